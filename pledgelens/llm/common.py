@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 4 << 20
 
@@ -129,3 +130,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xA3B195354A39B70D)
     return h ^ (h >> np.uint64(32))
+
+
+def with_text_columns(df: DataFrame, text: str, fields: str, kernel) -> DataFrame:
+    """Add columns that `kernel(bytes, offsets)` computes from each slice of texts, as a list of arrays in the order of `fields`.
+
+    Input columns of the same names are replaced. Row order within a partition and all other columns stay.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    new = df.sparkSession.createDataFrame([], fields).schema
+    kept = df.drop(*new.names)
+    schema = T.StructType([*kept.schema, *new])
+    arrow = to_arrow_schema(new)
+
+    def run(batches):
+        for rows, data, offsets in slices(batches, text):
+            made = [pa.array(x, t.type) if not isinstance(x, pa.Array) else x.cast(t.type) for x, t in zip(kernel(data, offsets), arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *made], [*rows.schema.names, *arrow.names])
+
+    return kept.mapInArrow(run, schema)
