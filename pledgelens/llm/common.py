@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -29,6 +30,14 @@ def by_value(name: str) -> None:
 by_value(__name__)
 
 
+def per_process(key, make):
+    """A value kept for the life of a Python worker, over the tasks it runs."""
+    kept = sys.modules.setdefault("_pledgelens_kept", types.ModuleType("_pledgelens_kept")).__dict__.setdefault("values", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a folder of our own only where none is set, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
