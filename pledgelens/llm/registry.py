@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pledgelens.llm.chat import canonical_turns, format_chat, gather_records, loss_text_sql, parse_chat
 from pledgelens.llm.pieces import piece_digests
 from pledgelens.llm.quality import fit_quality, score_quality
+from pledgelens.llm.secrets import BASE, find_secrets, spans_text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,12 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = {f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long") for k in BASE}
+    return found.select("doc_id", *(c.alias(k) for k, c in count.items()), F.sha2(spans_text("spans", BASE), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
