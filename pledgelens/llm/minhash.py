@@ -77,7 +77,7 @@ def dart_signatures(row: np.ndarray, shingle: np.ndarray, rows: int, k: int) ->
         r, s, rank = row[own], shingle[own], np.zeros(len(own))
         step = 1
         while len(r):
-            h = mix(s + GOLD * np.uint64(step))
+            h = mix(s + np.uint64(int(GOLD) * step % 2**64))
             rank = rank - np.log1p(-(h >> np.uint64(11)).astype(float) * 2.0**-53)
             keep = rank < limit[r]
             r, s, rank, h = r[keep], s[keep], rank[keep], h[keep]

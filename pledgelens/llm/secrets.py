@@ -138,7 +138,8 @@ def candidates(docs: DataFrame, rules: list[Rule], key: list[str], text_col: str
     need = [(kind, c, a, len(found[kind]), len(grams), t) for kind, q in found.items() for c, options in enumerate(q) for a, grams in enumerate(options) for t in sorted(grams)]
     if not need:
         return None
-    queries = docs.sparkSession.createDataFrame(need, "kind string, clause int, choice int, clauses int, grams int, trigram string")
+    values = ", ".join(f"({quoted(kind)}, {c}, {a}, {n}, {grams}, {quoted(t)})" for kind, c, a, n, grams, t in need)
+    queries = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS q(kind, clause, choice, clauses, grams, trigram)")
     postings = trigram_postings(docs, sorted({x[-1] for x in need}), key, text_col).distinct()
     return (
         postings.join(F.broadcast(queries), "trigram")
