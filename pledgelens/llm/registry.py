@@ -11,6 +11,7 @@ from pledgelens.llm.pieces import piece_digests
 from pledgelens.llm.quality import fit_quality, score_quality
 from pledgelens.llm.secrets import BASE, find_secrets, spans_text
 
+from pledgelens.llm.suffix_tree import score_texts
 from pledgelens.llm.topk import top_k
 
 
@@ -38,6 +39,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 5) == 1)
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
