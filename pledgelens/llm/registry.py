@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pledgelens.llm.chat import canonical_turns, format_chat, gather_records, loss_text_sql, parse_chat
+from pledgelens.llm.edit_walk import compare_next
 from pledgelens.llm.minhash import near_duplicates
 from pledgelens.llm.pieces import piece_digests
 from pledgelens.llm.quality import fit_quality, score_quality
@@ -56,6 +57,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans_text("spans", BASE), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
 
 
+def op6_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
