@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pledgelens.llm.chat import canonical_turns, format_chat, gather_records, loss_text_sql, parse_chat
 from pledgelens.llm.edit_walk import compare_next
 from pledgelens.llm.minhash import near_duplicates
+from pledgelens.llm.mixing import DOMAINS, mix_documents
 from pledgelens.llm.pieces import piece_digests
 from pledgelens.llm.quality import fit_quality, score_quality
 from pledgelens.llm.secrets import BASE, find_secrets, spans_text
@@ -73,6 +74,11 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.where(F.col("vec_id") % 100 == 0))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "tokens", *(F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), F.round("rate", 6).alias("rate"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
