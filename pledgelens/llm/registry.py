@@ -13,6 +13,7 @@ from pledgelens.llm.pieces import piece_digests
 from pledgelens.llm.quality import fit_quality, score_quality
 from pledgelens.llm.secrets import BASE, find_secrets, spans_text
 
+from pledgelens.llm.suffix_dedup import remove_repeats
 from pledgelens.llm.suffix_tree import score_texts
 from pledgelens.llm.topk import top_k
 
@@ -58,6 +59,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans_text("spans", BASE), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
 
 
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
