@@ -9,8 +9,8 @@ coordinate is the signature. So a document of any length costs its shingles once
 Documents with equal words are one node. Nodes meet in bands of `rows` coordinates. In each bucket the node that
 shares most buckets with others is the centre, and only (centre, node) pairs are verified, on whole shingle sets;
 their links give components. Buckets that still hold several components are then searched for the missing links:
-nodes outside a bucket's largest component are compared with the bucket's other nodes by signatures of 1024
-coordinates, and pairs that may reach the threshold are verified, each node's likeliest first. So a group of thousands of copies costs about a pair for each, and no link
+nodes outside a bucket's largest component are compared with all its nodes, in blocks of bounded size, by whole
+shingle sets, and the most similar node of each other component that reaches the threshold is verified. So a group of thousands of copies costs about a pair for each, and no link
 between different texts that share a band is left out. With 24 bands of 4, a pair at 0.8 shares none with
 probability 3e-6.
 
@@ -149,53 +149,68 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-FINE = 1024  # coordinates of the signatures that compare nodes within a bucket
+BLOCK = 2048  # members of a bucket that one task compares at most with as many others
 
 
-def _fine_signatures(sets: DataFrame) -> DataFrame:
-    """node, n and a byte for each of many coordinates, from the whole shingle sets."""
+def _short_sets(sets: DataFrame) -> DataFrame:
+    """node and the low half of its shingles' hashes."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                each = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
-                n = np.array([len(x) for x in each])
-                sig = (dart_signatures(np.repeat(np.arange(len(n)), n), np.concatenate(each), len(n), FINE) & np.uint64(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(n), pa.array([x.tobytes() for x in sig], pa.binary())], ["node", "n", "sig"])
+            short = [np.unique(np.frombuffer(x, np.uint64).astype(np.uint32)).tobytes() for x in batch.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(short, pa.binary())], ["node", "short"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "node binary, n long, sig binary")
+    return sets.select("node", "shingles").mapInArrow(run, "node binary, short binary")
 
 
-def _cross_search(threshold: float, most: int | None):
-    """Within a bucket, pairs of nodes of different components that may reach the threshold by size and signature.
-
-    Nodes outside the largest component are compared with all others; with `most`, each only gives its likeliest pairs.
-    The estimate's deviation is below 0.0126 at 0.8; pairs 4.5 of them under the threshold are left out.
-    """
-    at_least = threshold - 4.5 * np.sqrt(threshold * (1 - threshold) / FINE)
+def _cross_search(threshold: float):
+    """Within a block of a bucket: each query node's most similar member in every other component, if it reaches the threshold."""
 
     def search(group: pa.Table) -> pa.Table:
-        node = group.column("node").to_pylist()
-        code = np.unique(np.array(group.column("comp").to_pylist(), object), return_inverse=True)[1]
-        n = group.column("n").to_numpy().astype(float)
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(node), FINE)
+        node, comp = group.column("node").to_pylist(), group.column("comp").to_pylist()
+        number = {c: k for k, c in enumerate(set(comp))}
+        code = np.array([number[c] for c in comp])
+        sets = [np.frombuffer(x, np.uint32) for x in group.column("short").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        member = np.flatnonzero(np.asarray(group.column("member").combine_chunks()))
         a, b = [], []
-        for i in np.flatnonzero(code != np.bincount(code).argmax()):
-            other = np.flatnonzero((code != code[i]) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])))
-            like = np.concatenate([np.zeros(0), *((sig[other[k : k + 4096]] == sig[i]).mean(axis=1) for k in range(0, len(other), 4096))])
-            near = np.flatnonzero(like >= at_least)
-            if most is not None:
-                near = near[np.argsort(-like[near], kind="stable")[:most]]
-            for j in other[near].tolist():
-                x, y = sorted((node[i], node[j]))
-                a.append(x)
-                b.append(y)
+        if len(member):
+            flat, owner = np.concatenate([sets[i] for i in member]), np.repeat(np.arange(len(member)), n[member])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for i in np.flatnonzero(np.asarray(group.column("query").combine_chunks())):
+                low, high = np.searchsorted(flat, sets[i]), np.searchsorted(flat, sets[i], "right")
+                size = high - low
+                at = np.repeat(low - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
+                both = np.bincount(owner[at], minlength=len(member))
+                like = both / (n[i] + n[member] - both)
+                near = np.flatnonzero((like >= threshold) & (code[member] != code[i]))
+                best: dict[int, int] = {}
+                for j in near[np.argsort(-like[near], kind="stable")].tolist():
+                    best.setdefault(int(code[member[j]]), j)
+                for j in best.values():
+                    x, y = sorted((node[i], node[member[j]]))
+                    a.append(x)
+                    b.append(y)
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return search
 
 
+def _blocks(labelled: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components and untried pairs, dealt into blocks: band, x, y, node, comp, member, query.
+
+    Buckets of two are tried as (centre, node). Nodes outside a bucket's largest component are queries for all its members.
+    """
+    sizes = labelled.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("members"), F.count("*").alias("kinds"))
+    rows = labelled.join(largest.where("members > 2 AND kinds > 1"), "band").withColumn("rest", F.col("comp") != F.col("largest"))
+    rows = rows.withColumn("blocks", F.expr(f"cast(1 + (members - 1) div {BLOCK} AS int)")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = "array_distinct(concat(transform(sequence(0, blocks - 1), k -> named_struct('x', own, 'y', k)), if(rest, transform(sequence(0, blocks - 1), k -> named_struct('x', k, 'y', own)), array())))"
+    rows = rows.select("band", "node", "comp", "rest", "own", F.explode(F.expr(cells)).alias("cell"))
+    return rows.select("band", "cell.x", "cell.y", "node", "comp", (F.col("cell.x") == F.col("own")).alias("member"), (F.col("rest") & (F.col("cell.y") == F.col("own"))).alias("query"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each linked node reaches, by label passing and shortcuts until nothing changes."""
     both = materialise(links.select(F.col("a").alias("node"), F.col("b").alias("near")).union(links.select("b", "a")).distinct())
@@ -235,21 +250,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = materialise(_verified(pairs, sets, threshold))
     comp = components(links)
 
-    # buckets with more than one component: look for the links that the centres did not show, the likeliest few first
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for most in (4, None):
-        labelled = held.join(comp, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-        in_mixed = materialise(labelled.join(mixed, "band"))
-        if in_mixed.isEmpty():
-            break
-        fine = _fine_signatures(sets.join(in_mixed, "node", "left_semi"))
-        found = in_mixed.join(fine, "node").groupBy("band").applyInArrow(_cross_search(threshold, most), "a binary, b binary").distinct()
-        more = materialise(found.join(tried, ["a", "b"], "left_anti"))
-        late = materialise(_verified(more, sets, threshold))
-        tried, links = tried.union(more), links.union(late)
+    # buckets with more than one component: look for the links that the centres did not show
+    cells = materialise(_blocks(held.join(comp, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))))
+    if not cells.isEmpty():
+        short = _short_sets(sets.join(cells, "node", "left_semi"))
+        found = cells.join(short, "node").groupBy("band", "x", "y").applyInArrow(_cross_search(threshold), "a binary, b binary").distinct()
+        late = materialise(_verified(found, sets, threshold))
         if not late.isEmpty():
-            comp = components(links)
+            comp = components(links.union(late))
     classes = nodes.join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     lowest = classes.groupBy("comp").agg(F.min("rep").alias("class_id"))
     named = classes.join(lowest, "comp").select("node", "class_id")
