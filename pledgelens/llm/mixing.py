@@ -41,7 +41,9 @@ class DomainModel:
 
 def _held(body: str | Column, markers: list[str]) -> Column:
     """Places of the markers that the lower-cased text contains."""
-    return F.filter(F.transform(F.array(*map(F.lit, markers)), lambda m, i: F.when(F.contains(body, m), i)), lambda i: i.isNotNull())
+    # the text is bound once, as an array of one, so that it isn't lower-cased anew for each marker
+    text = F.array(F.col(body) if isinstance(body, str) else body)
+    return F.transform(text, lambda t: F.filter(F.transform(F.array(*map(F.lit, markers)), lambda m, i: F.when(F.contains(t, m), i)), lambda i: i.isNotNull()))[0]
 
 
 def fit_domains(docs: DataFrame, domain_of: DataFrame, domains: list[str], *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 16_000, per_domain: int = 12) -> DomainModel:
