@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pledgelens.plans import core
+from pledgelens.plans import core, learning, loads, texts
 
-MODULES = [core]
+MODULES = [core, loads, texts, learning]
 
 
 def queries() -> dict:
