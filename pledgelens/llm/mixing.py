@@ -110,7 +110,7 @@ class Mixture:
 
 
 def fit_rates(rows: DataFrame, weights: list[float], *, total: float | None = None, spare: float = 1.0, ridge: float = 1e-3, max_steps: int = 60, close: float = 1e-3) -> Mixture:
-    """rows: tokens and posteriors. weights: the domains' shares of `total` tokens; by default the largest total that repeats no domain, times `spare`."""
+    """rows: tokens and posteriors. weights: the domains' shares of `total` tokens; by default the total at which the domain of the largest weight is used once, times `spare`."""
     n = len(weights)
     cells = materialise(rows.groupBy("posteriors").agg(F.sum("tokens").cast("double").alias("tokens")))
     moments = cells.agg(F.sum("tokens").alias("t"), *(F.sum(F.col("tokens") * F.col("posteriors")[i] * F.col("posteriors")[j]).alias(f"m{i}_{j}") for i in range(n) for j in range(i, n)), *(F.sum(F.col("tokens") * F.col("posteriors")[k]).alias(f"e{k}") for k in range(n))).first()
@@ -119,8 +119,8 @@ def fit_rates(rows: DataFrame, weights: list[float], *, total: float | None = No
         return Mixture([], 0.0, ridge, [0.0] * n, [0.0] * n)
     w = np.array(weights, float) / sum(weights)
     natural = np.array([moments[f"e{k}"] for k in range(n)])
-    has = (w > 0) & (natural > 0)
-    goal = w * (total if total is not None else spare * float((natural[has] / w[has]).min()))
+    main = int(w.argmax())
+    goal = w * (total if total is not None else spare * natural[main] / w[main])
     scale = 1 / np.maximum(goal, 1e-6 * all_tokens)
     m = np.array([[moments[f"m{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
     eta = float(1 / (np.linalg.eigvalsh(np.sqrt(scale)[:, None] * m * np.sqrt(scale)[None, :]).max() + ridge))
