@@ -46,8 +46,8 @@ def _held(body: str | Column, markers: list[str]) -> Column:
     return F.transform(text, lambda t: F.filter(F.transform(F.array(*map(F.lit, markers)), lambda m, i: F.when(F.contains(t, m), i)), lambda i: i.isNotNull()))[0]
 
 
-def fit_domains(docs: DataFrame, domain_of: DataFrame, domains: list[str], *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 16_000, per_domain: int = 12) -> DomainModel:
-    """domain_of: (id, domain number). The sample is the `max_docs` labelled ids that hash lowest."""
+def fit_domains(docs: DataFrame, domain_of: DataFrame, domains: list[str], *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 16_000, per_domain: int = 16, least: int = 3, lift: float = 3.0) -> DomainModel:
+    """domain_of: (id, domain number). The sample is the `max_docs` labelled ids that hash lowest. A marker is in at least `least` of its domain's, and `lift` times as common there."""
     ids = domain_of.where(F.col(id_col).isNotNull() & F.col("domain").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("domain").alias("domain"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(max_docs)
     sample = docs.select(F.col(id_col).alias("id"), F.lower(clean_text(text_col)).alias("low")).join(F.broadcast(ids), "id").select("id", "domain", "low")
@@ -58,10 +58,11 @@ def fit_domains(docs: DataFrame, domain_of: DataFrame, domains: list[str], *, id
     tokens = tokens.where("length(token) between 2 and 40 or token rlike '^[^\\\\p{L}0-9]'")
     table = tokens.groupBy("token").agg(*(F.count_if(F.col("domain") == k).alias(f"n{k}") for k in range(n)))
     markers: list[str] = []
-    for k in range(n):
+    largest = max(range(n), key=lambda k: size.get(k, 0))
+    for k in (k for k in range(n) if k != largest):  # a text without markers is the largest domain's
         own = (F.col(f"n{k}") + 0.5) / (size.get(k, 0) + 1)
         rest = (sum(F.col(f"n{j}") for j in range(n) if j != k) + 0.5) / (total - size.get(k, 0) + 1)
-        best = table.where(F.col(f"n{k}") > 0).orderBy(F.desc(F.round(own * F.log(own / rest), 9)), "token").limit(4 * per_domain).collect()
+        best = table.where((F.col(f"n{k}") >= least) & (own > lift * rest)).orderBy(F.desc(F.round(own * F.log(own / rest), 9)), "token").limit(4 * per_domain).collect()
         own_markers: list[str] = []
         for r in best:  # a token that contains a marker tells nothing more
             if len(own_markers) < per_domain and not any(m in r.token for m in markers + own_markers):

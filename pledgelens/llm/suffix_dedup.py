@@ -166,6 +166,8 @@ RUN_WINDOWS = 1 << 16
 
 def sorted_run(windows: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Heads (HEAD bytes) and hashes of the other bytes, sorted; per suffix whether it repeats the one before; its key and place."""
+    if not len(windows):
+        return np.zeros((0, HEAD), np.uint8), np.zeros(0, np.uint64), np.zeros(0, bool), key, place
     heads = np.ascontiguousarray(windows[:, :HEAD])
     n, rest = windows.shape[1] - HEAD, np.ascontiguousarray(windows[:, HEAD:])
     roll = RollingHash(rest.ravel())
@@ -179,8 +181,10 @@ def sorted_run(windows: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple
 
 def front_code(heads: np.ndarray, tail: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Shared prefix lengths, the heads' bytes behind them, and the hashes."""
+    if not len(heads):
+        return b"", b"", b""
     differs = heads[1:] != heads[:-1]
-    shared = np.r_[0, np.where(differs.any(axis=1), differs.argmax(axis=1), HEAD)] if len(heads) else np.zeros(0, np.int64)
+    shared = np.r_[0, np.where(differs.any(axis=1), differs.argmax(axis=1), HEAD)]
     keep = np.arange(HEAD)[None, :] >= shared[:, None]
     return shared.astype(np.uint8).tobytes(), heads[keep].tobytes(), tail.astype("<u8").tobytes()
 
