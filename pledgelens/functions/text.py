@@ -24,7 +24,7 @@ def strip_stylesheet(c: str | Column) -> Column:
 def clean(c: str | Column) -> Column:
     t = F.regexp_replace(strip_stylesheet(c), "\\r\\n?", "\n")
     t = F.regexp_replace(F.regexp_replace(t, "[ \\t\\u00a0]+", " "), "\\n\\s*\\n+", "\n")
-    return F.trim(t)
+    return F.regexp_replace(t, "^\\s+|\\s+$", "")
 
 
 # Heading words that open a section, and the words of the rules below.
