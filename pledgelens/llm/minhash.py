@@ -149,7 +149,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-BLOCK = 2048  # members of a bucket that one task compares at most with as many others
+BLOCK = 512  # members of a bucket that one task compares at most with as many others
 
 
 def _short_sets(sets: DataFrame) -> DataFrame:
