@@ -1,7 +1,7 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader, sparse dot products.
 
 A word is a maximal run of letters and digits (any byte from 0x80 up counts as a letter) or of other visible
-ASCII. Unigrams and bigrams are hashed to `dims` slots; a slot's value is log(1 + count), and each document's
+ASCII. Unigrams, bigrams and the mark of a word said twice in a row are hashed to `dims` slots; a slot's value is log(1 + count), and each document's
 vector has length 1. Features are extracted by all tasks; the model is fitted by one task on at most `max_docs`
 labelled documents, which is the documented bound of the training sample, and is `dims` floats in size.
 
@@ -26,6 +26,7 @@ by_value(__name__)
 KIND = np.full(256, 1, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]] = 0
 KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 2
+TWICE = 0x51ED270B
 
 
 @dataclass(frozen=True)
@@ -52,8 +53,9 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     one = RollingHash(data).of(start, end)
     same = row[1:] == row[:-1]
     two = mix(one[:-1] * np.uint64(3) + one[1:])[same]
+    again = same & (one[1:] == one[:-1])  # a bigram of one word twice also counts as such, whatever the word
     shift = np.uint64(64 - bits)
-    key = np.sort(np.concatenate([(row << bits) | (one >> shift).astype(np.int64), (row[1:][same] << bits) | (two >> shift).astype(np.int64)]))
+    key = np.sort(np.concatenate([(row << bits) | (one >> shift).astype(np.int64), (row[1:][same] << bits) | (two >> shift).astype(np.int64), (row[1:][again] << bits) | TWICE % (1 << bits)]))
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     value = np.log1p(np.diff(np.r_[first, len(key)]).astype(float))
     key = key[first]
@@ -82,7 +84,7 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, float]], bits: int, epochs
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 16_000, bits: int = 18, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 16_000, bits: int = 18, epochs: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> QualityModel:
     """Fit on the `max_docs` labelled documents whose ids hash lowest (the bound of the sample)."""
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
