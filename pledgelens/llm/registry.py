@@ -9,6 +9,7 @@ from pledgelens.llm.chat import canonical_turns, format_chat, gather_records, lo
 from pledgelens.llm.edit_walk import compare_next
 from pledgelens.llm.minhash import near_duplicates
 from pledgelens.llm.mixing import DOMAINS, mix_documents
+from pledgelens.llm.oracles import ORACLES
 from pledgelens.llm.pieces import piece_digests
 from pledgelens.llm.quality import fit_quality, score_quality
 from pledgelens.llm.secrets import BASE, find_secrets, spans_text
@@ -94,4 +95,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
