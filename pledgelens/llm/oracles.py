@@ -52,4 +52,27 @@ SELECT query_id, rank, vec_id, score FROM (
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
   SELECT q.vec_id AS query_id, c.vec_id, cast(list_dot_product(q.e, c.e) AS bigint) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0)) WHERE rank <= 10"""
 
-ORACLES = {"op1_chat_formatting": CHAT, "op4_secret_scan": _secrets(), "op8_exact_top_k": TOP_K}
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, unnest(range(0, length(h) // 2 - 199)) AS p, h FROM d WHERE length(h) >= 400),
+k AS (SELECT rid, p, md5(substr(h, 2 * p + 1, 400)) AS x FROM w),
+r AS (SELECT rid, p FROM k WHERE x IN (SELECT x FROM k GROUP BY x HAVING count(*) > 1)),
+i AS (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS island FROM (SELECT rid, p, CASE WHEN p - lag(p) OVER (PARTITION BY rid ORDER BY p) <= 200 THEN 0 ELSE 1 END AS fresh FROM r)),
+s AS (SELECT rid, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY rid, island),
+t AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM s),
+g AS (SELECT t.rid, count(*) AS n, sum(b - a) AS gone, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM t JOIN d USING (rid) GROUP BY t.rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, cast(coalesce(gone, 0) AS bigint) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN g USING (rid)"""
+
+NEAR = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT array_to_string(w, ' ') AS words, any_value(w) AS w, min(doc_id) AS node FROM d GROUP BY 1),
+s AS (SELECT DISTINCT node, unnest(CASE WHEN len(w) < 5 THEN CASE WHEN len(w) = 0 THEN [] ELSE [words] END ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS x FROM n),
+c AS (SELECT node, count(*) AS n FROM s GROUP BY 1),
+e AS (SELECT p.a, p.b FROM (SELECT s.node AS a, t.node AS b, count(*) AS shared FROM s JOIN s t ON s.x = t.x AND s.node < t.node GROUP BY 1, 2) p JOIN c ca ON ca.node = p.a JOIN c cb ON cb.node = p.b WHERE shared >= 0.8 * (ca.n + cb.n - shared)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen),
+m AS (SELECT node, min(seen) AS class_id FROM r GROUP BY 1)
+SELECT d.doc_id, m.class_id, d.doc_id = m.class_id AS kept FROM d JOIN n ON n.words = array_to_string(d.w, ' ') JOIN m ON m.node = n.node"""
+
+ORACLES = {"op1_chat_formatting": CHAT, "op4_secret_scan": _secrets(), "op5_repeated_strings": REPEATS, "op8_exact_top_k": TOP_K, "op10_near_duplicates": NEAR}
