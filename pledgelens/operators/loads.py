@@ -44,7 +44,7 @@ def range_map(c: str | Column) -> Column:
 def merge_ranges(old: str, new: str) -> Column:
     """Range texts by axis: axes of the old stay as they are and come first, missing ones are added."""
     parts = F.filter(F.split(F.coalesce(F.nullif(new, F.lit("")), F.lit("")), ","), lambda p: (p != "") & ~F.coalesce(F.map_contains_key(range_map(old), F.split(p, ":")[0]), F.lit(False)))
-    return F.nullif(F.concat_ws(",", F.nullif(F.col(old), F.lit("")), F.array_join(parts, ",")), F.lit(""))
+    return F.nullif(F.concat_ws(",", F.nullif(F.col(old), F.lit("")), F.nullif(F.array_join(parts, ","), F.lit(""))), F.lit(""))
 
 
 def backfill_targets(plans: DataFrame, parsed: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
