@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pledgelens.llm.common import LOWER, RollingHash, by_value, materialise, mix, slices, word_spans
+from pledgelens.llm.common import LOWER, RollingHash, by_value, clean_text, materialise, mix, slices, word_spans
 
 by_value(__name__)
 
@@ -98,7 +98,7 @@ def _keys(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int, tf: bool) -> DataFrame:
-    """id, node (hash of the words), n shingles, bands (hash of each band)."""
+    """id, node (hash of the words), n shingles, bands (hash of each band), text_key (hash of the whole text)."""
     k = bands * rows
 
     def run(batches):
@@ -111,10 +111,10 @@ def sign(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, ro
                 h = mix(h * np.uint64(31) + ids[:, c::rows])
             at = np.r_[0, np.cumsum(np.where(n > 0, bands, 0))]
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h[n > 0].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(_keys(data, offsets), pa.binary()), pa.array(n), lists], ["id", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(_keys(data, offsets), pa.binary()), pa.array(n), lists, part.column("text_key")], ["id", "node", "n", "bands", "text_key"])
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    return source.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, node binary, n long, bands array<long>")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.xxhash64(clean_text(text_col)).alias("text_key"))
+    return source.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, node binary, n long, bands array<long>, text_key long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, tf: bool) -> DataFrame:
@@ -227,7 +227,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, bands: int = 24, rows: int = 4, weights: str = "set") -> DataFrame:
-    """(id_col, node, class_id) for each row: node is a hash of the document's words, class_id the smallest id of its class."""
+    """(id_col, node, class_id, comp, text_key) for each row: node is a hash of the document's words, class_id the smallest id of its class, comp the class."""
     tf = weights == "tf"
     signed = materialise(sign(docs, id_col, text_col, words, bands, rows, tf))
     nodes = materialise(signed.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
@@ -260,13 +260,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             comp = components(links.union(late))
     classes = nodes.join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     lowest = classes.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    named = classes.join(lowest, "comp").select("node", "class_id")
-    return signed.select(F.col("id").alias(id_col), "node").join(named, "node").select(id_col, "node", "class_id")
+    named = classes.join(lowest, "comp").select("node", "class_id", "comp")
+    return signed.select(F.col("id").alias(id_col), "node", "text_key").join(named, "node").select(id_col, "node", "class_id", "comp", "text_key")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without all but one of each class: the row with the smallest id stays (of equal ids, the text that sorts first)."""
+    """The documents without all but one of each class: the row with the smallest id stays, one without an id only if no row has one."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col("class_id").alias("_kept")).distinct()
-    left = docs.join(kept, F.col(id_col).eqNullSafe(kept._kept), "left_semi")
-    return left.dropDuplicates([id_col])
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_key")).alias("k"))
+    kept = first.select(F.col("k.id").alias("_id"), F.col("k.text_key").alias("_key"))
+    rows = docs.withColumn("_text_key", F.xxhash64(clean_text(text_col)))
+    left = rows.join(kept, rows[id_col].eqNullSafe(kept._id) & (rows._text_key == kept._key), "left_semi")
+    return left.dropDuplicates([id_col, "_text_key"]).select(*docs.columns)

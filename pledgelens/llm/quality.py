@@ -105,7 +105,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     sparse = rows.mapInArrow(extract, f"id {id_type}, label double, slots binary, vals binary")
 
     def train(batches):
-        got = [(hash(str(i)) if i is None else i, np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float), y) for b in batches for i, y, s, v in zip(*(b.column(c).to_pylist() for c in ("id", "label", "slots", "vals")))]
+        got = [(i, np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float), y) for b in batches for i, y, s, v in zip(*(b.column(c).to_pylist() for c in ("id", "label", "slots", "vals")))]
         got.sort(key=lambda x: x[0])
         order = np.random.default_rng(7).permutation(len(got))
         w, bias = ftrl([got[k][1:] for k in order], bits, epochs, alpha, beta, l1, l2)

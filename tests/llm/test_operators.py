@@ -86,6 +86,7 @@ def test_base_scores_against_brute_force(spark):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
     assert score_texts(spark.createDataFrame([], DOC), F.lit(False)).count() == 0
+    assert [r.n_tokens for r in score_texts(spark.createDataFrame([(1, None), (2, "")], DOC), F.col("doc_id") == 1).collect()] == [1, 1]
 
 
 # ---- pieces ----
@@ -343,8 +344,9 @@ def test_near_duplicates_against_brute_force(spark):
             rows.append((100 * g + len(rows), " ".join(w).capitalize()))
     got = near_duplicates(spark.createDataFrame(rows, DOC)).collect()
     assert sorted((str(r.doc_id), r.class_id) for r in got) == brute_classes(rows)
-    kept = keep_one(spark.createDataFrame(rows, DOC + "")).collect()
-    assert len(kept) == len({c for _, c in brute_classes(rows)})
+    kept = keep_one(spark.createDataFrame(rows, DOC)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({c for _, c in brute_classes(rows)})
+    assert sorted(r.text for r in keep_one(spark.createDataFrame([(None, "x y"), (None, "z"), (None, "z")], DOC)).collect()) == ["x y", "z"]
     assert near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
 
