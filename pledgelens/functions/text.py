@@ -251,3 +251,21 @@ def attachment_worklist(chosen: DataFrame, attachments: DataFrame, axes: Column,
     x = chosen.withColumn("axes", axes).where("NOT coalesce(attachment_absent, false)").join(done, "plan_id", "left_anti")
     x = x.withColumn("priority", F.when(F.col("axes") == 0, 1).when(F.col("axes") < 4, 2)).where(F.col("priority") <= (2 if include_partial else 1))
     return x.select("plan_id", "corp_code", "priority", F.concat("rcept_no", F.lit(".pdf")).alias("save_as"))
+
+
+def last_segment(c: str | Column) -> Column:
+    """The body of a text's last segment."""
+    return F.try_element_at(segments(c), F.lit(-1))["body"]
+
+
+def signal_loss(df: DataFrame, key: str, text: str, phrases: list[str]) -> DataFrame:
+    """(key, phrase): phrases that a text holds before cleaning and not after."""
+    both = df.select(key, F.regexp_replace(F.col(text), "\\s+", " ").alias("raw"), F.regexp_replace(clean(text), "\\s+", " ").alias("done"))
+    lost = F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains("raw", p) & ~F.contains("done", p))
+    return both.select(key, F.explode(lost).alias("phrase"))
+
+
+def backfill_signals(plans: DataFrame, text: str, axes: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signals computed anew from the stored texts (replacing the old), and two distributions: of the signals, and of the attachment marks."""
+    out = plans.withColumns({"body_signal": classify_body(text, axes), "body_reference_date": referenced_date(text), "attachment_absent": declares_no_attachment(text)})
+    return out, out.groupBy("body_signal").agg(F.count("*").alias("n")), out.groupBy("attachment_absent").agg(F.count("*").alias("n"))

@@ -70,6 +70,23 @@ def replay_labels(spark, sf_dir):
     return X.replay_labels(x.withColumn("got", X.classify_body("t", "axes")), "body_signal", "got")
 
 
+@query("SELECT CASE WHEN axes > 0 THEN 'axis_targets' ELSE CASE plan_id % 6 WHEN 0 THEN 'refiling' WHEN 1 THEN 'refiling' WHEN 2 THEN 'other_metric' ELSE 'no_targets' END END AS body_signal, count(*) AS n FROM (SELECT plan_id, " + AXES + " AS axes FROM valueup_plan) GROUP BY 1", "valueup_plan")
+def backfilled_signals(spark, sf_dir):
+    x = domain_tables(spark, sf_dir).valueup_plan.withColumn("axes", disclosed_axes()).withColumn("t", F.expr(NOTE))
+    return X.backfill_signals(x, "t", "axes")[1]
+
+
+@query("SELECT CASE WHEN plan_id % 6 = 3 THEN true ELSE false END AS attachment_absent, count(*) AS n FROM valueup_plan GROUP BY 1", "valueup_plan")
+def backfilled_attachment_marks(spark, sf_dir):
+    x = domain_tables(spark, sf_dir).valueup_plan.withColumn("axes", disclosed_axes()).withColumn("t", F.expr(NOTE))
+    return X.backfill_signals(x, "t", "axes")[2]
+
+
+@query(None)
+def document_last_segments(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(X.last_segment("text")).alias("n_chars"))
+
+
 @query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', chr(10), 'g'), '[ \\t\\r\\f]+', ' ', 'g'), '\\n ', chr(10), 'g'), '\\n{2,}', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') AS body FROM pages")
 def strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.strip_tags("html").alias("body"))

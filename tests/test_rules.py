@@ -166,3 +166,8 @@ def test_folds_keep_groups_whole(spark):
     rows = [(g, "x" if i % 3 else "y") for g in "abcdefg" for i in range(ord(g) - 95)]
     folds = ml.group_folds(spark.createDataFrame(rows, "g string, y string"), "g", "y", 3).collect()
     assert len(folds) == 7 and {r.fold for r in folds} == {0, 1, 2}
+
+
+def test_signal_loss(spark):
+    df = spark.createDataFrame([(1, "p{재공시} 목표"), (2, "재공시 목표")], "k int, t string")
+    assert [tuple(r) for r in X.signal_loss(df, "k", "t", ["재공시", "목표"]).collect()] == [(1, "재공시")]
