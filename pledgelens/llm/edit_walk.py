@@ -213,11 +213,11 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def edit_near_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", at_most: float = 0.05, bands: int = 16, samples: int = 6) -> DataFrame:
+def edit_near_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", at_most: float = 0.05, bands: int = 16, samples: int = 6, block: int = 256) -> DataFrame:
     """(id_a, id_b, distance): class representatives at an edit distance of at most `at_most` of the longer text, and copies' members.
 
     Equal texts are one class, whose smallest id stands for it. A band is a draw of samples of a text's last octaves;
-    in each band's bucket the representative with the smallest id is compared with the others.
+    all representatives of a band's bucket are compared with each other, block by block.
     """
     rows = docs.select(F.col(id_col).alias("id"), clean_text(text_col).alias("body"))
     classes_ = rows.groupBy("body").agg(F.min("id").alias("id"))
@@ -238,8 +238,13 @@ def edit_near_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     held = printed.select("id", "fingerprint").mapInArrow(run, f"id {kind}, band string")
-    centre = held.groupBy("band").agg(F.min("id").alias("id_a"))
-    pairs = held.join(centre, "band").where("id > id_a").select("id_a", F.col("id").alias("id_b")).distinct()
+    # a bucket's representatives are dealt by id into blocks of about `block`, and a join key is one pair of blocks
+    held = materialise(held.distinct())
+    size = held.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = held.join(size, "band").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = dealt.select("band", "b", F.col("id").alias("id_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
+    right = dealt.select("band", F.col("b").alias("c"), F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    pairs = left.join(right, ["band", "b", "c"]).where("id_a < id_b").select("id_a", "id_b").distinct()
     text = classes_.select("id", "body")
     found = pairs.join(text.select(F.col("id").alias("id_a"), F.col("body").alias("a")), "id_a").join(text.select(F.col("id").alias("id_b"), F.col("body").alias("b")), "id_b")
     found = found.where(F.abs(F.length("a") - F.length("b")) <= at_most * F.greatest(F.length("a"), F.length("b")))

@@ -236,6 +236,27 @@ def test_edit_pairs(spark):
     assert got[1, 5] == 0 and got[6, 7] == 0 and got[1, 2] == 3 and got[1, 3] == 5 and not any(4 in k for k in got)
 
 
+def test_edit_pairs_of_groups(spark):
+    rnd = random.Random(7)
+    rows = []
+    for g in range(3):
+        t = "".join(rnd.choice("abcdefgh ") for _ in range(400))
+        for k in range(5):
+            x = list(t)
+            for _ in range(k):
+                x[rnd.randrange(len(x))] = "#"
+            rows.append((10 * g + k, "".join(x) + "!" * (k % 2)))
+    texts = dict(rows)
+    want = {}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        d = edit_distance(texts[a], texts[b])
+        if d <= 0.05 * max(len(texts[a]), len(texts[b])):
+            want[a, b] = d
+    assert len(want) == 30
+    for block in (2, 256):
+        assert {(r.id_a, r.id_b): r.distance for r in edit_near_pairs(spark.createDataFrame(rows, DOC), block=block).collect()} == want
+
+
 # ---- quality ----
 
 
