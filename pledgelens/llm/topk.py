@@ -11,8 +11,8 @@ scored exactly in 64-bit integers, and a window keeps each query's k best over a
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors of another
 length than the query's are no candidates for it; null ids take no part; repeated ids are separate candidates,
-and every row with the query's own id is left out; ties go to smaller ids; a query row that is repeated is searched
-once; fewer than k candidates give fewer rows; an empty table gives an empty table. Components beyond 2**26 after
+and every row with the query's own id is left out; ties go to smaller ids; a query id that is repeated is searched
+once, with the smallest of its usable vectors; fewer than k candidates give fewer rows; an empty table gives an empty table. Components beyond 2**26 after
 scaling raise an error, since sums could leave 64 bits.
 """
 
@@ -71,41 +71,52 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, r
     return a[:, 0], a[:, 1], a[:, 2]
 
 
-def _packed(df: DataFrame, rows: int, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """Blocks of at most `rows` usable vectors of one length: dim, ids, vals (32-bit integers)."""
+def _usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id, vec of the rows whose id and components are all there and finite."""
+    usable = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.where(usable & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
+
+
+def _packed(df: DataFrame, rows: int, scale: int) -> DataFrame:
+    """Blocks of at most `rows` vectors of one length and one `b`: b, dim, ids, vals (32-bit integers).
+
+    `b` is the rows' own column, so that a block's key does not depend on the order in which a task gets its rows.
+    """
+
+    def block(key: tuple[int, int], ids: list[int], vectors: list[list[float]]) -> pa.RecordBatch:
+        x = np.floor(np.array(vectors, float) * scale)
+        if np.abs(x).max() > 2**26:
+            raise ValueError("a scaled component is beyond 2**26")
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([x.astype(np.int32).tobytes()], pa.binary())],
+            ["b", "dim", "ids", "vals"],
+        )
 
     def run(batches):
-        for b in batches:
-            ids, vectors = b.column("id").to_numpy(zero_copy_only=False), b.column("vec").to_pylist()
-            keep: dict[int, list[int]] = {}
-            for i, v in enumerate(vectors):
-                if v:
-                    keep.setdefault(len(v), []).append(i)
-            for dim, at in keep.items():
-                x = np.floor(np.array([vectors[i] for i in at], float) * scale)
-                if np.abs(x).max() > 2**26:
-                    raise ValueError("a scaled component is beyond 2**26")
-                x = x.astype(np.int32)
-                for a in range(0, len(at), rows):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([dim], pa.int32()), pa.array([ids[at[a : a + rows]].astype(np.int64).tobytes()], pa.binary()), pa.array([x[a : a + rows].tobytes()], pa.binary())],
-                        ["dim", "ids", "vals"],
-                    )
+        held: dict[tuple[int, int], tuple[list[int], list[list[float]]]] = {}
+        for batch in batches:
+            for b, i, v in zip(*(batch.column(c).to_pylist() for c in ("b", "id", "vec"))):
+                ids, vectors = held.setdefault((b, len(v)), ([], []))
+                ids.append(i)
+                vectors.append(v)
+                if len(ids) == rows:
+                    yield block((b, len(v)), *held.pop((b, len(v))))
+        for key, (ids, vectors) in held.items():
+            yield block(key, ids, vectors)
 
-    usable = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.where(usable).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec")).mapInArrow(run, "dim int, ids binary, vals binary")
+    return df.select("b", "id", "vec").mapInArrow(run, "b int, dim int, ids binary, vals binary")
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, *, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = 1024, block_rows: int = 1024, deal: int = 32) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k highest integer inner products."""
-    asked = queries.dropDuplicates([id_col])
+    asked = _usable(queries, id_col, vector_col).groupBy("id").agg(F.min("vec").alias("vec"))
     n = asked.count()
     blocks = max(1, -(-n // query_rows))
-    # every task packs its rows; query vectors are first dealt by hash into blocks of a known number
-    dealt = asked.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("_b"), id_col, vector_col).repartition(blocks, "_b")
-    q = _packed(dealt, query_rows, id_col, vector_col, scale).withColumn("q_block", F.pmod(F.xxhash64("ids"), F.lit(blocks)).cast("int"))
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(deal - 1)))).select("q_block", "part", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"))
-    c = _packed(candidates, block_rows, id_col, vector_col, scale).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(deal)).cast("int"))
+    # both sides are dealt by hashes of ids, so a task that runs again deals each row as before
+    dealt = asked.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(blocks, "b")
+    q = _packed(dealt, query_rows, scale).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(deal - 1)))).select(F.col("b").alias("q_block"), "part", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"))
+    rows = _usable(candidates, id_col, vector_col).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(deal)).cast("int"))
+    c = _packed(rows, block_rows, scale).withColumnRenamed("b", "part").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(batches):
         for b in batches:

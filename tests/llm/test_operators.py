@@ -25,7 +25,7 @@ from pledgelens.llm.quality import fit_quality, score_quality
 from pledgelens.llm.secrets import RULES, find_secrets, redact, trigram_query
 from pledgelens.llm.suffix_dedup import Run, front_code, merge_runs, remove_repeats, sorted_run
 from pledgelens.llm.suffix_tree import score_texts
-from pledgelens.llm.topk import top_k
+from pledgelens.llm.topk import _packed, _usable, top_k
 
 DOC = "doc_id long, text string"
 ODD = [(1, None), (2, ""), (None, "a b"), (3, " \n\t "), (4, "\U0001F600é漢"), (5, "x" * 5000), (6, "a b"), (6, "a b")]
@@ -294,6 +294,26 @@ def test_top_k_against_brute_force(spark):
     assert set(got) == {0, 100, 200, 300}
 
 
+def test_top_k_deals_by_id(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, None), (3, [float("nan")] * 8), (4, x[4].tolist())]
+    schema = "id long, vec array<double>"
+    dealt = lambda order: sorted(
+        (r.b, i)
+        for r in _packed(_usable(spark.createDataFrame([rows[j] for j in order], schema).coalesce(1), "id", "vec").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int")), 7, 1024).collect()
+        for i in np.frombuffer(r.ids, np.int64).tolist()
+    )
+    one = dealt(range(len(rows)))
+    assert len(one) == 61 and dealt(rng.permutation(len(rows))) == one
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>").coalesce(1)
+        got = [(r.vec_id, r.score) for r in top_k(df, df.where("vec_id IN (3, 4)"), k=3, query_rows=1).where("query_id = 3").orderBy("rank").collect()]
+        y = np.floor(np.vstack([x, x[4]]) * 1024).astype(np.int64)
+        s, ids = y @ y[3], np.r_[np.arange(60), 4]
+        assert got == [(int(ids[j]), int(s[j])) for j in np.lexsort((ids, -s)) if ids[j] != 3][:3]
+
+
 # ---- mixing ----
 
 
