@@ -3,17 +3,16 @@
 Texts are lower-cased (A-Z) and cut into words at ASCII white space; each document is its words and one end token.
 The alphabet is that of the base score: the V different training tokens and one symbol for every token outside
 them. The root gives the outside symbol the share of training tokens that occur once, and each known token its
-relative frequency of the rest. A context is up to two tokens; its next-symbol distribution holds the successors
-whose n-gram has at least the relative frequency `least`, and is smoothed with the parent's distribution, which gets
-the mass of all other successors. A context is kept if that distribution diverges from its parent's by more than
-the cost of its parameters (log-likelihood gain over half a log of its count for each successor). Each token is scored in
-the state of the longest kept suffix of what stands before it; a document starts after an end token.
-
-Frequent n-grams are counted in two passes over all training texts. First every slice names its n-grams with half
-the relative frequency; an n-gram that is frequent in the corpus has at least half its count in slices that named
-it, so those with less are out, and at most 2 / least of an order stay. Then all tasks count these exactly. So the
-broadcast model has at most 1 / least tokens and 2 / least n-grams of either order, whatever the corpus is; the
-counts of all words, which grow with the corpus, are summed and joined by key.
+relative frequency of the rest. A context is up to `depth` tokens; its next-symbol distribution holds the successors
+whose n-gram occurs at least `least` times, and is smoothed with the parent's distribution, which gets the mass of
+all other successors. A context is kept if that distribution diverges from its parent's by more than the cost of its
+parameters (log-likelihood gain over half a log of its count for each successor). Each token is scored in the state
+of the longest kept suffix of what stands before it; a document starts after an end token.
+
+The tree is a Spark table and grows with the corpus. Chunks name their different n-grams by 64-bit hashes, these are
+counted by key, and each depth's edges are joined with those of the depth before (an edge's n-gram without its oldest
+token is an edge there). A chunk gets the edges and contexts of its own n-grams by key, as it gets its words' counts,
+and scores its tokens from the root down. An n-gram with a word rarer than `least` is not named.
 
 Edge cases: null and empty texts have the end token alone; rows with a null id are training rows; repeated rows count
 as often as they occur; without training rows every token is outside; an empty table gives an empty table.
@@ -21,20 +20,17 @@ as often as they occur; without training rows every token is outside; an empty t
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pledgelens.llm.common import LOWER, SPACE, by_value, materialise, slices, utf8, word_spans
+from pledgelens.llm.common import LOWER, SPACE, RollingHash, by_value, materialise, mix, utf8, word_spans
 
 by_value(__name__)
 
-END = 1  # the code of the end token; 0: any token that is not frequent
-BITS = 20
+END = np.uint64(0xA24BAED4963EE407)  # the hash of the end token
 
 
 def coded_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -55,156 +51,89 @@ def with_ends(values: np.ndarray, row: np.ndarray, rows: int, end) -> tuple[np.n
     return out, np.repeat(np.arange(rows), per + 1)
 
 
-def token_codes(data: np.ndarray, offsets: np.ndarray, frequent: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the tokens (frequent words from 2 on) and of the one and two tokens before them, ends before a row."""
-    words, row = coded_words(data, offsets)
-    known = pc.fill_null(pc.index_in(words.dictionary, frequent), -2).to_numpy(zero_copy_only=False).astype(np.int64) + 2
-    code, owner = with_ends(known[np.asarray(words.indices)] if len(words) else np.zeros(0, np.int64), row, len(offsets) - 1, END)
-    one, two = np.r_[END, code[:-1]][: len(code)], np.r_[END, END, code[:-2]][: len(code)]
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-    one[first], two[first] = END, 0
-    second = first[np.r_[first[1:], len(owner)] - first > 1] + 1
-    two[second] = END
-    return code, one, two
-
-
-def grams(code: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
-    """Packed n-grams of order 2 and 3 whose tokens are all frequent, sorted."""
-    pair = (one > 0) & (code > 0)
-    triple = pair & (two > 0)
-    return [np.sort(one[pair] << BITS | code[pair]), np.sort(two[triple] << 2 * BITS | one[triple] << BITS | code[triple])]
-
-
-def counted(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys in order and their counts."""
-    if n is not None:
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
-    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    return key[at], np.diff(np.r_[at, len(key)]) if n is None else np.add.reduceat(n, at) if len(at) else n
-
-
-@dataclass(frozen=True)
-class SuffixTree:
-    """one, two: place of the kept contexts of one token (by code) and of two (sorted keys); tail: log10 of the mass that goes to
-    the parent; parent: place of the longest kept shorter context, -1 for the root; edge: sorted (place, successor) and their log10."""
-
-    frequent: pa.Array
-    one: np.ndarray
-    two: np.ndarray
-    two_place: np.ndarray
-    tail: np.ndarray
-    parent: np.ndarray
-    edge: np.ndarray
-    edge_log: np.ndarray
-
-
-def build_tree(frequent: pa.Array, root: np.ndarray, count: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray]) -> SuffixTree:
-    """root, count: probability and count by code; pairs, triples: sorted packed n-grams and counts."""
-    mask = (1 << BITS) - 1
-    one = np.full(len(root), -1, np.int64)
-    tail, parent, edges, logs = [], [], [], []
-    prob: list[dict[int, float]] = []
-
-    def of(place: int, w: int) -> float:
-        return root[w] if place < 0 else prob[place].get(w) or 10 ** tail[place] * of(parent[place], w)
-
-    def add(up: int, total: int, succ: np.ndarray, n: np.ndarray) -> int:
-        below = np.array([of(up, w) for w in succ.tolist()])
-        rest = max(0, total - int(n.sum()))
-        p = (n + rest * below) / total
-        other = max(1e-12, 1 - below.sum())
-        gain = float((n * np.log(p / below)).sum()) + (rest * np.log(max(rest, 1e-9) / total * (1 - below.sum()) / other) if rest else 0.0)
-        if gain <= 0.5 * len(succ) * np.log(total + 1):
-            return -1
-        place = len(prob)
-        prob.append(dict(zip(succ.tolist(), p.tolist())))
-        tail.append(np.log10(max(rest, 1e-9) / total))
-        parent.append(up)
-        edges.append(place << BITS | succ)
-        logs.append(np.log10(p))
-        return place
-
-    key, n = pairs
-    at = np.flatnonzero(np.r_[True, (key[1:] >> BITS) != (key[:-1] >> BITS)]) if len(key) else np.zeros(0, np.int64)
-    for a, b in zip(at, np.r_[at[1:], len(key)]):
-        ctx = int(key[a] >> BITS)
-        if count[ctx]:
-            one[ctx] = add(-1, int(count[ctx]), key[a:b] & mask, n[a:b])
-    total = dict(zip(key.tolist(), n.tolist()))
-    key, n = triples
-    at = np.flatnonzero(np.r_[True, (key[1:] >> BITS) != (key[:-1] >> BITS)]) if len(key) else np.zeros(0, np.int64)
-    two = []
-    for a, b in zip(at, np.r_[at[1:], len(key)]):
-        ctx = int(key[a] >> BITS)
-        if ctx in total and (ctx & mask) != END:
-            place = add(int(one[ctx & mask]), total[ctx], key[a:b] & mask, n[a:b])
-            if place >= 0:
-                two.append((ctx, place))
-    two.sort()
-    join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    edge, log = join(edges, np.int64), join(logs, float)
-    order = np.argsort(edge)
-    return SuffixTree(frequent, one, np.array([c for c, _ in two], np.int64), np.array([p for _, p in two], np.int64), np.array(tail), np.array(parent, np.int64), edge[order], log[order])
-
-
-def tree_log(tree: SuffixTree, code: np.ndarray, one: np.ndarray, two: np.ndarray, root_log: np.ndarray) -> np.ndarray:
-    """log10 probability of each token in the state of its longest kept context; root_log: its own at the root."""
-    state = tree.one[one]
-    if len(tree.two):
-        key = two << BITS | one
-        at = np.minimum(np.searchsorted(tree.two, key), len(tree.two) - 1)
-        state = np.where((tree.two[at] == key) & (two > 0), tree.two_place[at], state)
-    score = np.zeros(len(code))
-    live = np.flatnonzero(state >= 0)
-    done = np.zeros(len(code), bool)
-    while len(live):
-        key = state[live] << BITS | code[live]
-        at = np.minimum(np.searchsorted(tree.edge, key), len(tree.edge) - 1)
-        hit = tree.edge[at] == key
-        score[live[hit]] += tree.edge_log[at[hit]]
-        done[live[hit]] = True
-        live = live[~hit]
-        score[live] += tree.tail[state[live]]
-        state[live] = tree.parent[state[live]]
-        live = live[state[live] >= 0]
-    return score + np.where(done, 0.0, root_log)
-
-
-def frequent_grams(rows: DataFrame, frequent: pa.Array, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Exact counts of the n-grams of order 2 and 3 that at least `least` of the tokens end."""
-
-    def name(batches):
-        total, best = 0, [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
-        for _, data, offsets in slices(batches, "body"):
-            codes = token_codes(data, offsets, frequent)
-            total += len(codes[0])
-            for k, keys in enumerate(grams(*codes)):
-                key, n = counted(keys)
-                good = n >= least / 2 * len(codes[0])
-                best[k] = counted(np.r_[best[k][0], key[good]], np.r_[best[k][1], n[good]])
-        order = np.r_[0, np.repeat([2, 3], [len(x[0]) for x in best])].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(np.r_[0, best[0][0], best[1][0]]), pa.array(np.r_[total, best[0][1], best[1][1]])], ["size", "key", "n"])
-
-    named = materialise(rows.select("body").mapInArrow(name, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")))
-    total = named.where("size = 0").agg(F.sum("n")).first()[0] or 0
-    chosen = named.where((F.col("size") > 0) & (F.col("n") >= least / 2 * total)).toPandas()
-    wanted = [np.sort(chosen.key[chosen["size"] == k].to_numpy(np.int64)) for k in (2, 3)]
-
-    def count(batches):
-        sums = [np.zeros(len(w), np.int64) for w in wanted]
-        for _, data, offsets in slices(batches, "body"):
-            for keys, w, n in zip(grams(*token_codes(data, offsets, frequent)), wanted, sums):
-                n += np.searchsorted(keys, w, "right") - np.searchsorted(keys, w)
-        order = np.repeat([2, 3], [len(w) for w in wanted]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(np.concatenate(wanted)), pa.array(np.concatenate(sums))], ["size", "key", "n"])
-
-    exact = rows.select("body").mapInArrow(count, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).toPandas()
-    exact = exact[exact.n >= least * total].sort_values("key")
-    return [(x.key.to_numpy(np.int64), x.n.to_numpy(np.int64)) for x in (exact[exact["size"] == k] for k in (2, 3))]
-
-
-def score_texts(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text", least: float = 1e-5, chunk_bytes: int = 4 << 20) -> DataFrame:
+def word_hashes(words: pa.DictionaryArray) -> np.ndarray:
+    data, offsets = utf8(words.dictionary)
+    return RollingHash(data).of(offsets[:-1], offsets[1:]) if len(words.dictionary) else np.zeros(0, np.uint64)
+
+
+def grams(hashes: np.ndarray, row: np.ndarray, rows: int, depth: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of order 1 to depth + 1 that end at each token, the tokens' places in their rows and their rows.
+
+    hashes: those of the words. Each row is an end token, its words and an end token; an n-gram of order m is there from place m - 1 on.
+    """
+    per = np.bincount(row, minlength=rows) + 2
+    first = np.cumsum(per) - per
+    token = np.full(int(per.sum()), END)
+    inner = np.ones(len(token), bool)
+    inner[first] = inner[first + per - 1] = False
+    token[inner] = hashes
+    place = np.arange(len(token)) - np.repeat(first, per)
+    out = [token]
+    for m in range(1, depth + 1):
+        older = np.r_[np.zeros(min(m, len(token)), np.uint64), token[:-m]]
+        out.append(mix(out[-1] * np.uint64(0x9E3779B97F4A7C15) + older + np.uint64(m)))
+    return out, place, np.repeat(np.arange(rows), per)
+
+
+def named_grams(order: list[np.ndarray], place: np.ndarray, train: np.ndarray, common: np.ndarray) -> dict[str, np.ndarray]:
+    """The different n-grams of common tokens: order, key, ctx (without the newest token), up (without the oldest) and training count."""
+    parts = {c: [] for c in ("m", "key", "ctx", "up", "n")}
+    good = common
+    for m, key in enumerate(order, 1):
+        if m > 1:
+            good = good & np.r_[np.zeros(min(m - 1, len(common)), bool), common[: 1 - m]]
+        at = np.flatnonzero(good & (place >= max(1, m - 1)))
+        key, where, which = np.unique(key[at], return_index=True, return_inverse=True)
+        last = at[where]
+        parts["m"].append(np.full(len(key), m, np.int32))
+        parts["key"].append(key.view(np.int64))
+        parts["ctx"].append(order[m - 2][last - 1].view(np.int64) if m > 1 else np.zeros(len(key), np.int64))
+        parts["up"].append(order[m - 2][last].view(np.int64) if m > 1 else np.zeros(len(key), np.int64))
+        parts["n"].append(np.bincount(which, train[at], len(key)).astype(np.int64))
+    return {c: np.concatenate(x) for c, x in parts.items()}
+
+
+def tree_log(order: list[np.ndarray], place: np.ndarray, own: np.ndarray, key: np.ndarray, edge: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """log10 probability of each token from place 1 on; own: that at the root. key, edge, tail: sorted n-grams, their log10
+    probabilities as edges and the log10 mass that goes to the parent as contexts, NaN where they are none."""
+    score = own.copy()
+    if not len(key):
+        return score
+
+    def find(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(key, x), len(key) - 1)
+        return np.where(key[at] == x, values[at], np.nan)
+
+    for d in range(1, len(order)):
+        at = np.flatnonzero(place >= d)
+        e = find(order[d][at].view(np.int64), edge)
+        t = find(order[d - 1][at - 1].view(np.int64), tail)
+        score[at] = np.where(np.isnan(e), score[at] + np.nan_to_num(t), e)
+    return score
+
+
+def grow_tree(named: DataFrame, n_all: int, outside: float, least: float, depth: int) -> DataFrame:
+    """(key, edge, tail): log10 probabilities of the edges, and of the mass that kept contexts leave to their parents."""
+    counts = materialise(named.groupBy("m", "key").agg(F.sum("n").alias("n"), F.max("ctx").alias("ctx"), F.max("up").alias("up")).where(F.col("n") >= max(1, least)))
+    q = counts.where("m = 1").select("key", ((1 - outside) * F.col("n") / max(1, n_all)).alias("q"))
+    out = []
+    for d in range(1, depth + 1):
+        total = counts.where(F.col("m") == d).select(F.col("key").alias("ctx"), F.col("n").alias("total"))
+        edges = counts.where(F.col("m") == d + 1).select("key", "ctx", "up", "n").join(total, "ctx").join(q.select(F.col("key").alias("up"), F.col("q").alias("below")), "up")
+        context = Window.partitionBy("ctx")
+        edges = edges.withColumn("rest", F.greatest(F.lit(0), F.col("total") - F.sum("n").over(context)))
+        edges = edges.withColumn("p", (F.col("n") + F.col("rest") * F.col("below")) / F.col("total"))
+        gain = F.sum(F.col("n") * F.log(F.col("p") / F.col("below"))).over(context) + F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / F.col("total"))).otherwise(0.0)
+        edges = materialise(edges.withColumn("kept", gain > 0.5 * F.count("*").over(context) * F.log(F.col("total") + 1.0)).select("key", "ctx", F.when(F.col("kept"), F.col("p")).otherwise(F.col("below")).alias("q"), "kept", F.log10(F.greatest(F.col("rest"), F.lit(1e-9)) / F.col("total")).alias("tail")))
+        out += [edges.select("key", F.log10("q").alias("edge"), F.lit(None).cast("double").alias("tail")), edges.where("kept").groupBy(F.col("ctx").alias("key")).agg(F.lit(None).cast("double").alias("edge"), F.max("tail").alias("tail"))]
+        q = edges.select("key", "q")
+    table = out[0]
+    for x in out[1:]:
+        table = table.unionByName(x)
+    return table.groupBy("key").agg(F.max("edge").alias("edge"), F.max("tail").alias("tail"))
+
+
+def score_texts(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text", least: float = 2, depth: int = 3, chunk_bytes: int = 4 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows where held_out is true are not learned from."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("body"))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -225,29 +154,51 @@ def score_texts(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col:
     known = total.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     n_all, v = (known.n or 0) + ends, known.v + (ends > 0)
     outside = (known.once + 0.5) / (n_all + 1)
-    most = min(int(1 / least), (1 << BITS) - 2)
-    top = total.where(F.col("c") >= max(1, least * n_all)).orderBy(F.desc("c"), "word").limit(most).toPandas()
-    count_of = np.r_[0, ends, top.c.to_numpy(np.int64)]
-    frequent = pa.array(top.word, pa.large_string())
-    root = np.maximum((1 - outside) * count_of / max(1, n_all), 1e-300)
-    tree = build_tree(frequent, root, count_of, *frequent_grams(rows.where(~F.col("held")), frequent, least))
     back = found.select("chunk", "word").join(total, "word").select("chunk", "word", "c")
 
-    def finish(group: pa.Table, counts: pa.Table) -> pa.Table:
-        if not group.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in zip(names, (group.schema.field("id").type, pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2))})
+    def read(group: pa.Table, counts: pa.Table):
+        """Counts of the words, and the n-grams of the padded rows."""
         data, offsets = utf8(group.column("body"))
         words, row = coded_words(data, offsets)
         where = pc.index_in(words.dictionary, counts.column("word").combine_chunks().cast(pa.large_string()))
-        c = np.asarray(counts.column("c").combine_chunks())[np.asarray(where)][np.asarray(words.indices)] if len(words) else np.zeros(0, np.int64)
+        index = np.asarray(words.indices)
+        c = np.asarray(counts.column("c").combine_chunks())[np.asarray(where)][index] if len(words) else np.zeros(0, np.int64)
+        return c, row, *grams(word_hashes(words)[index], row, group.num_rows, depth)
+
+    def name(group: pa.Table, counts: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in zip(("chunk", "m", "key", "ctx", "up", "n"), (pa.int64(), pa.int32(), *[pa.int64()] * 4))})
+        c, row, order, place, owner = read(group, counts)
+        held = np.asarray(group.column("held").combine_chunks())
+        common = np.full(len(place), ends >= least)
+        inner = np.ones(len(place), bool)
+        inner[place == 0] = False
+        inner[np.r_[place[1:] == 0, True]] = False
+        common[inner] = c >= least
+        got = named_grams(order, place, ~held[owner], common)
+        return pa.table({"chunk": pa.array(np.full(len(got["key"]), group.column("chunk")[0].as_py())), **{k: pa.array(x) for k, x in got.items()}})
+
+    named = materialise(dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(name, "chunk long, m int, key long, ctx long, up long, n long"))
+    tree = grow_tree(named, n_all, outside, least, depth)
+    parts = named.select("chunk", "key").join(tree, "key").select("chunk", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("c"), "key", "edge", "tail")
+    lists = back.select("chunk", "word", "c", *(F.lit(None).cast(t).alias(x) for x, t in (("key", "long"), ("edge", "double"), ("tail", "double")))).unionByName(parts)
+
+    def finish(group: pa.Table, counts: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in zip(names, (group.schema.field("id").type, pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2))})
+        nodes = counts.filter(pc.is_valid(counts.column("key")))
+        c, row, order, place, _ = read(group, counts.filter(pc.is_valid(counts.column("word"))))
         rows = group.num_rows
         c, owner = with_ends(c, row, rows, ends)
         base = np.log10((c + 0.5) / (n_all + 0.5 * (v + 1)))
-        own = np.where(c > 0, np.log10((1 - outside) * np.maximum(c, 1) / max(1, n_all)), np.log10(outside))
-        score = tree_log(tree, *token_codes(data, offsets, tree.frequent), own)
+        own = np.zeros(len(place))
+        own[place > 0] = np.where(c > 0, np.log10((1 - outside) * np.maximum(c, 1) / max(1, n_all)), np.log10(outside))
+        key, edge, tail = (nodes.column(x).to_numpy() for x in ("key", "edge", "tail"))
+        at = np.argsort(key)
+        score = tree_log(order, place, own, key[at], edge[at], tail[at])[place > 0]
         per = [pa.array(x) for x in (np.bincount(owner, minlength=rows), np.bincount(owner, c > 0, rows).astype(np.int64), np.full(rows, n_all, np.int64), np.bincount(owner, base, rows), np.bincount(owner, score, rows))]
         return pa.table([group.column("id"), group.column("held"), *per], names=names)
 
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(finish, schema).withColumnRenamed("id", id_col)
+    return dealt.groupBy("chunk").cogroup(lists.groupBy("chunk")).applyInArrow(finish, schema).withColumnRenamed("id", id_col)

@@ -89,6 +89,52 @@ def test_base_scores_against_brute_force(spark):
     assert [r.n_tokens for r in score_texts(spark.createDataFrame([(1, None), (2, "")], DOC), F.col("doc_id") == 1).collect()] == [1, 1]
 
 
+def brute_tree(train, least, depth):
+    """log10 of a token after a list of tokens, by a tree of dictionaries; texts are lists of tokens between end tokens (None)."""
+    c = collections.Counter(t for x in train for t in x[1:])
+    n_all = sum(c.values())
+    outside = (sum(k == 1 for k in c.values()) + 0.5) / (n_all + 1)
+    root = lambda w: (1 - outside) * c[w] / n_all if c[w] else outside
+    after = collections.defaultdict(collections.Counter)
+    for x in train:
+        for i in range(1, len(x)):
+            for d in range(1, min(depth, i) + 1):
+                after[tuple(x[i - d : i])][x[i]] += 1
+    kept = {}
+
+    def prob(ctx, w):
+        while ctx and ctx not in kept:
+            ctx = ctx[1:]
+        if not ctx:
+            return root(w)
+        return kept[ctx][0][w] if w in kept[ctx][0] else kept[ctx][1] * prob(ctx[1:], w)
+
+    for ctx in sorted(after, key=len):
+        total, succ = sum(after[ctx].values()), {w: n for w, n in after[ctx].items() if n >= least}
+        rest = total - sum(succ.values())
+        below = {w: prob(ctx[1:], w) for w in succ}
+        p = {w: (n + rest * below[w]) / total for w, n in succ.items()}
+        gain = sum(n * math.log(p[w] / below[w]) for w, n in succ.items()) + (rest * math.log(rest / total) if rest else 0)
+        if succ and gain > 0.5 * len(succ) * math.log(total + 1):
+            kept[ctx] = p, max(rest, 1e-9) / total
+    return prob, kept
+
+
+def test_tree_scores_against_brute_force(spark):
+    rnd = random.Random(4)
+    line = [" ".join(f"u{rnd.randrange(40)}" for _ in range(8)) for _ in range(12)]
+    rows = ODD + [(i + 10, " ".join(rnd.choice([rnd.choice(line), "the cat sat on", f"w{rnd.randrange(3000)}"]) for _ in range(rnd.randrange(30)))) for i in range(150)]
+    tok = lambda x: [None, *(x or "").lower().split(), None]
+    for depth in (1, 3, 4):
+        prob, kept = brute_tree([tok(x) for i, x in rows if i is None or i % 5], 2, depth)
+        assert max(map(len, kept)) == min(depth, 3) or depth == 4
+        got = score_texts(spark.createDataFrame(rows, DOC), F.col("doc_id") % 5 == 0, depth=depth, chunk_bytes=5000).collect()
+        want = sorted((str(i), round(sum(math.log10(prob(tuple(tok(x)[max(0, k - depth) : k]), tok(x)[k])) for k in range(1, len(tok(x)))), 6)) for i, x in rows)
+        have = sorted((str(r.doc_id), round(r.score, 6)) for r in got)
+        assert [i for i, _ in have] == [i for i, _ in want]
+        assert np.allclose([s for _, s in have], [s for _, s in want], atol=1e-5)
+
+
 # ---- pieces ----
 
 
