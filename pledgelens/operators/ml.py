@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def char_ngram_hash(df: DataFrame, key: str, text: str, dim: int = 1 << 14, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     """(key, slot, value): character n-grams by crc32 mod dim, each row's values scaled to length 1; runs of white space are one blank."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " "))
-    grams = [_grams(t, n) for n in sizes]
-    rows = df.select(key, F.explode(F.concat(*grams)).alias("g")).select(key, (F.crc32(F.encode("g", "UTF-8")) % dim).alias("slot"))
+    rows = df.select(key, F.explode(_all_grams(text, sizes)).alias("g")).select(key, (F.crc32(F.encode("g", "UTF-8")) % dim).alias("slot"))
     n = rows.groupBy(key, "slot").agg(F.count("*").alias("n"))
     norm = n.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return n.join(norm, key).select(key, "slot", (F.col("n") / F.col("norm")).alias("value"))
 
 
+def _all_grams(text: str | Column, sizes: tuple[int, ...]) -> Column:
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " "))
+    return F.concat(*(_grams(t, n) for n in sizes))
+
+
+def char_ngram_vectors(df: DataFrame, text: str | Column, out: str, dim: int = 1 << 14, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """Add the values of char_ngram_hash as a sparse vector of `dim` slots; a text without n-grams is the zero vector."""
+    from pyspark.ml.feature import CountVectorizerModel, Normalizer
+
+    slots = df.withColumn("_slots", F.transform(_all_grams(text, sizes), lambda g: (F.crc32(F.encode(g, "UTF-8")) % dim).cast("string")))
+    model = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_slots", outputCol="_counts")
+    return Normalizer(p=2.0, inputCol="_counts", outputCol=out).transform(model.transform(slots)).drop("_slots", "_counts")
+
+
 def _grams(t: Column, n: int) -> Column:
     whole = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substr(t, i, F.lit(n)))
     return F.when(F.length(t) >= n, whole).otherwise(F.array().cast("array<string>"))
@@ -31,6 +45,20 @@ def classification_scores(df: DataFrame, y: str, pred: str) -> DataFrame:
     return per.agg(F.round(F.sum("tp") / F.sum("support"), 6).alias("accuracy"), F.round(F.avg(f1), 6).alias("macro_f1"), F.count("*").alias("classes"))
 
 
+def class_scores(df: DataFrame, y: str, pred: str, by: tuple[str, ...] = (), n: Column | None = None) -> DataFrame:
+    """(by, class, support, tp, precision, recall, f1) of each class that is true or predicted; rows count n times.
+
+    A measure with denominator 0 is null; F1 is 0 for a class with support and no hit.
+    """
+    counts = df.groupBy(*by, F.col(y).alias("y"), F.col(pred).alias("p")).agg(F.sum(n if n is not None else F.lit(1)).alias("n"))
+    sides = F.array(F.struct(F.col("y").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("said")), F.struct(F.col("p").alias("class"), F.lit(0).cast("long").alias("support"), F.col("n").alias("said")))
+    long = counts.select(*by, F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("hit"), F.explode(sides).alias("s")).select(*by, "s.class", "s.support", "s.said", "hit")
+    per = long.groupBy(*by, "class").agg(F.sum("support").alias("support"), F.sum("said").alias("said"), F.sum(F.when(F.col("support") > 0, F.col("hit")).otherwise(0)).alias("tp"))
+    over = lambda a, b: F.when(b > 0, a / b)
+    tp, support, said = F.col("tp"), F.col("support"), F.col("said")
+    return per.select(*by, "class", "support", "tp", over(tp, said).alias("precision"), over(tp, support).alias("recall"), over(2.0 * tp, F.when((support > 0) | (tp > 0), support + said)).alias("f1"))
+
+
 def stratified_sample(df: DataFrame, cls: str, key: str, n: int, small: int = 30) -> DataFrame:
     """Classes of up to `small` rows whole, the rest of n shared out in proportion; within a class the rows whose keys hash lowest."""
     sizes = df.groupBy(cls).agg(F.count("*").alias("size"))
@@ -42,9 +70,11 @@ def stratified_sample(df: DataFrame, cls: str, key: str, n: int, small: int = 30
     return df.withColumn("_r", F.row_number().over(order)).join(want.drop("size"), cls).where("_r <= want").drop("_r", "want")
 
 
-def group_folds(df: DataFrame, group: str, y: str, k: int = 5) -> DataFrame:
+def group_folds(df: DataFrame, group: str, y: str, k: int = 5, seed: int | None = None) -> DataFrame:
     """(group, fold): whole groups, largest first, each to the fold with the fewest rows of its main class (ties: the smallest fold).
 
+    Groups of one size follow their names, or with a seed a hash of seed and name.
+
     Only the groups' class counts come to the driver; their number is that of the groups (companies), checked here.
     """
     counts = df.groupBy(group, y).agg(F.count("*").alias("n"))
@@ -55,7 +85,8 @@ def group_folds(df: DataFrame, group: str, y: str, k: int = 5) -> DataFrame:
     for r in counts.collect():
         by.setdefault(r[group], {})[r[y]] = r["n"]
     size, held, out = [0] * k, [dict() for _ in range(k)], []
-    for g in sorted(by, key=lambda g: (-sum(by[g].values()), str(g))):
+    name = lambda g: (0 if seed is None else zlib.crc32(f"{seed}:{g}".encode()), str(g))
+    for g in sorted(by, key=lambda g: (-sum(by[g].values()), name(g))):
         main = max(sorted(by[g], key=str), key=lambda c: by[g][c])
         fold = min(range(k), key=lambda f: (held[f].get(main, 0), size[f], f))
         for c, n in by[g].items():
@@ -65,25 +96,58 @@ def group_folds(df: DataFrame, group: str, y: str, k: int = 5) -> DataFrame:
     return df.sparkSession.createDataFrame(out, f"{group} {df.schema[group].dataType.simpleString()}, fold int")
 
 
-def evaluate(df: DataFrame, key: str, text: str, group: str, y: str, k: int = 3, dim: int = 1 << 10) -> DataFrame:
-    """(fold, accuracy, macro_f1) of a class-weighted logistic regression on character n-grams over grouped folds."""
+def evaluate(df: DataFrame, key: str, text: str, group: str, y: str, k: int = 5, repeats: int = 5, dim: int = 1 << 14, rule: Column | None = None, embedding: DataFrame | None = None) -> DataFrame:
+    """(system, class, folds, macro_f1, macro_f1_sd, accuracy, accuracy_sd, recall, recall_sd, support) over repeated grouped folds.
+
+    Systems: `rule` (a column that names the class, not fitted), class-weighted multinomial logistic regressions on the
+    character n-grams of the whole text and of its last segment, and one on `embedding`, a table (key, vec) of precomputed
+    vectors, where rows without one take no part. Means and population deviations are over folds and repeats; undefined
+    measures are left out. Rows without a class take no part. Only confusion counts come to the driver.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StringIndexer
     from pyspark.ml.functions import array_to_vector
 
-    slots = char_ngram_hash(df, key, text, dim)
-    dense = slots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int"), "value"))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    x = df.select(key, group, y).join(dense, key).join(group_folds(df, group, y, k), group).select(key, "fold", F.col(y).cast("string").alias("y"), array_to_vector(vector).alias("features"))
-    x = StringIndexer(inputCol="y", outputCol="label").fit(x).transform(x).persist()
-    weight = x.groupBy("label").agg((1.0 / F.count("*")).alias("w"))
-    out = None
-    for fold in range(k):
-        train = x.where(F.col("fold") != fold).join(weight, "label")
-        model = LogisticRegression(weightCol="w", regParam=1e-6, maxIter=40).fit(train)
-        part = classification_scores(model.transform(x.where(F.col("fold") == fold)), "label", "prediction").select(F.lit(fold).alias("fold"), "accuracy", "macro_f1")
-        out = part if out is None else out.unionByName(part)
-    return out
+    from pledgelens.functions.text import last_segment
+
+    names = ["rule"] if rule is not None else []
+    x = df.where(F.col(y).isNotNull()).select(key, F.col(group).alias("_group"), F.col(y).cast("string").alias("y"), F.col(text).alias("_text"), (rule if rule is not None else F.lit(None)).cast("string").alias("_rule"))
+    x = x.withColumn("_last", F.coalesce(last_segment("_text"), F.col("_text")))
+    x = char_ngram_vectors(char_ngram_vectors(x, "_text", "char_full", dim), "_last", "char_last_segment", dim).drop("_text", "_last")
+    fitted = ["char_full", "char_last_segment"]
+    if embedding is not None:
+        x = x.join(embedding.select(key, array_to_vector(F.col("vec").cast("array<double>")).alias("embedding")), key, "left")
+        fitted.append("embedding")
+    index = StringIndexer(inputCol="y", outputCol="label", stringOrderType="alphabetAsc").fit(x)
+    x = index.transform(x).persist()
+    confusion = []
+    try:
+        for rep in range(repeats):
+            folds = group_folds(x, "_group", "y", k, seed=1000 + rep).withColumnRenamed("_group", "_g")
+            dealt = x.join(F.broadcast(folds), F.col("_group").eqNullSafe(F.col("_g")))
+            if rule is not None:
+                said = dealt.groupBy("fold", "y", F.col("_rule").alias("p")).count().collect()
+                confusion += [("rule", rep, r.fold, r.y, r.p, r["count"]) for r in said]
+            for fold in range(k):
+                for system in fitted:
+                    rows = dealt.where(F.col(system).isNotNull())
+                    train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+                    sizes = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
+                    if not sizes:
+                        continue
+                    weight = F.element_at(F.create_map(*(F.lit(v) for c, n in sizes.items() for v in (c, sum(sizes.values()) / (len(sizes) * n)))), F.col("label"))
+                    model = LogisticRegression(featuresCol=system, weightCol="w", family="multinomial", regParam=1e-3, standardization=False, maxIter=100).fit(train.withColumn("w", weight))
+                    said = model.transform(test).groupBy("y", "prediction").count().collect()
+                    confusion += [(system, rep, fold, r.y, index.labels[int(r.prediction)], r["count"]) for r in said]
+    finally:
+        x.unpersist()
+    counts = df.sparkSession.createDataFrame(confusion, "system string, rep int, fold int, y string, p string, n long")
+    per = class_scores(counts, "y", "p", ("system", "rep", "fold"), F.col("n"))
+    whole = per.where("support > 0").groupBy("system", "rep", "fold").agg(F.avg("f1").alias("macro_f1"), (F.sum("tp") / F.sum("support")).alias("accuracy"))
+    moments = lambda *c: [f(x).alias(x + s) for x in c for f, s in ((F.avg, ""), (F.stddev_pop, "_sd"))]
+    total = whole.groupBy("system").agg(F.count("*").alias("folds"), *moments("macro_f1", "accuracy"))
+    classes = per.where("class IS NOT NULL").groupBy("system", "class").agg(*moments("recall"), F.sum("support").alias("support"))
+    return total.join(classes, "system").select("system", "class", "folds", "macro_f1", "macro_f1_sd", "accuracy", "accuracy_sd", "recall", "recall_sd", "support")
 
 
 def gold_join(docs: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:

@@ -62,5 +62,5 @@ def grouped_folds(spark, sf_dir):
 
 @query()
 def evaluate_classifier(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").where("n_chars < 2000").select("doc_id", "text", "source", "quality")
-    return L.evaluate(docs, "doc_id", "text", "source", "quality", k=2, dim=64)
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", "source", "quality")
+    return L.evaluate(docs, "doc_id", "text", "source", "quality", rule=(F.length("text") >= 500).cast("int"))
