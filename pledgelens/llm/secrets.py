@@ -45,12 +45,17 @@ class Rule:
 
 VALUE = "[A-Za-z0-9+/_.=-]"
 KEYWORD = "(?i:(password|passwd|secret|token|api_?key))"
+#: To the key's end line, which single dashes may precede (headers of encrypted keys); without one over the base64 lines that follow.
+PEM = (
+    "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:[^-]*(?:-[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----|(?:[\x20\t\r]*\n[A-Za-z0-9+/]{40,})*(?:[\x20\t\r]*\n[A-Za-z0-9+/]+={1,2})?)"
+)
 #: The base rules first, then common public key formats.
 RULES = [
     Rule("assign", KEYWORD + r"""["']?\x20*[:=]\x20*["']?(""" + VALUE + "+)", 2, 6),
     Rule("access", "AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", "[0-9a-f]{24,}", 0, 24),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", PEM),
     Rule("code_host", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_bot", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", "AIza[A-Za-z0-9_-]{35}"),

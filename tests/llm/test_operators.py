@@ -183,6 +183,22 @@ def test_secrets_against_brute_force(spark, sf):
     assert all(not [s for s in brute_spans(r.text) if s[3] != "assign"] for r in clean)
 
 
+def test_private_keys_go_whole(spark):
+    rnd = random.Random(11)
+    line = lambda n: "".join(rnd.choice("ABCxyz019+/") for _ in range(n))
+    body = "\n".join([line(64) for _ in range(26)] + [line(30) + "=="])
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = {
+        1: (f"a\n{head}\n{body}\n{foot}\nb", "a\n<secret>\nb"),
+        2: (f"a\n{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F\n\n{body}\n{foot}\nb - c", "a\n<secret>\nb - c"),
+        3: (f"a\n{head}\n{body}\nand then -- more words", "a\n<secret>\nand then -- more words"),
+        4: (f"{head}\\n{line(64)}\\n{foot} x {head}\n{body}\n{foot}", "<secret> x <secret>"),
+        5: (f"{head} alone", "<secret> alone"),
+    }
+    got = redact(find_secrets(spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], DOC))).collect()
+    assert {r.doc_id: r.text for r in got} == {i: t for i, (_, t) in texts.items()}
+
+
 def test_trigram_queries():
     assert trigram_query("[0-9a-f]{24,}") == [] and trigram_query("AKIA[A-Z0-9]+") == [[frozenset({"aki", "kia"})]]
     for rule, text in ((RULES[0], "x PassWord= 'abcdef"), (RULES[5], "xoxb-1234567890ab"), (RULES[3], "-----BEGIN PRIVATE KEY-----")):
