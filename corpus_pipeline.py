@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from pledgelens.llm.common import materialise
 from pledgelens.llm.minhash import keep_one
 from pledgelens.llm.mixing import keep_by_rate
-from pledgelens.llm.pieces import encode_pieces
+from pledgelens.llm.pieces import encode_and_decode
 from pledgelens.llm.quality import fit_quality, score_quality
 from pledgelens.llm.secrets import find_secrets, redact
 
-#: SQL can express none of the learned and signature stages; tests compare them with brute force.
+#: SQL can express none of the learned and signature stages; tests/llm compare the operators behind them with brute force,
+#: the library or held-out labels, and the secret and piece stages themselves on a small table.
 ORACLE_SQL: str | None = None
 
 
@@ -49,12 +50,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the ids of each document."""
-    ids = encode_pieces(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, n_tokens, the ids of each document and the SHA-256 of the text that they decode to."""
+    done = encode_and_decode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
-STAGES = [("quality classifier", quality), ("MinHash near-dedup", near_duplicates), ("secret scans", secrets), ("mixing to target weights", mixture), ("SentencePiece encoding", pieces)]
+STAGES = [("quality classifier", quality), ("MinHash near-dedup", near_duplicates), ("secret scans", secrets), ("mixing to target weights", mixture), ("SentencePiece encoding and decoding", pieces)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

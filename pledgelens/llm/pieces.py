@@ -324,6 +324,18 @@ def piece_digests(docs: DataFrame, model_path: str, *, text_col: str = "text") -
     return with_text_columns(docs, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", kernel)
 
 
+def encode_and_decode(docs: DataFrame, model_path: str, *, text_col: str = "text") -> DataFrame:
+    """Add ids (array of int) and decoded_sha256, the SHA-256 of the text they decode to; columns of these names are replaced."""
+    from hashlib import sha256
+
+    def kernel(data, offsets):
+        v = vocabulary(model_path)
+        ids, at = encode_slice(v, data, offsets)
+        return [pa.LargeListArray.from_arrays(pa.array(at), pa.array(ids)).cast(pa.list_(pa.int32())), [sha256(x).hexdigest() for x in decode_slice(v, ids, at)]]
+
+    return with_text_columns(docs, text_col, "ids array<int>, decoded_sha256 string", kernel)
+
+
 def decode_pieces(rows: DataFrame, model_path: str, *, ids_col: str = "ids") -> DataFrame:
     """Add decoded (string) from an array of ids; a null array decodes to an empty text, ids outside the vocabulary to nothing."""
     from pyspark.sql import types as T
