@@ -63,17 +63,48 @@ def text_stats(df: DataFrame, text_col: str) -> DataFrame:
     return run.agg(F.max("n").alias("n"), at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("len").alias("longest"))
 
 
-# The patterns of targets, labels of competing metrics, and of periods.
+# Numbers, labels, competing metrics and words of the target rules. A ceiling ("at most") and percentage points are no target.
 NUMBER = "([0-9]+(?:\\.[0-9]+)?)"
-PERCENT = NUMBER + "\\s*%(?![pP포])(?!\\s*(?:이내|이하|미만))"
-RANGE = NUMBER + "\\s*[~∼\\-–]\\s*" + NUMBER + "\\s*%(?![pP포])(?!\\s*(?:이내|이하|미만))"
+NO_POINT = "(?![pP포])"
+NO_CEILING = "(?!\\s*(?:이내|이하|미만))"
+PERCENT = NUMBER + "\\s*%" + NO_POINT + NO_CEILING
+RANGE = NUMBER + "\\s*[~∼\\-–]\\s*" + NUMBER + "\\s*%" + NO_POINT + NO_CEILING
 LABELS = {"target_roe": "(?i:ROE|자기자본이익률)", "target_payout_ratio": "배당성향", "target_total_return_ratio": "(?:총\\s*주주환원율|주주환원율|총주주환원)"}
-OTHERS = {"target_roe": "배당성향|주주환원|PBR|영업이익|부채비율", "target_payout_ratio": "ROE|자기자본이익률|주주환원|PBR|영업이익|부채비율", "target_total_return_ratio": "ROE|자기자본이익률|배당성향|PBR|영업이익|부채비율"}
-GOAL = "목표|지향|이상|확대|원칙|수준|계획"
-QUALIFIER = "([0-9]{1,2}\\s*개?년\\s*(?:평균|연평균)|CAGR|[`'‘’]?[0-9]{2,4}\\s*년(?:도)?(?:\\s*까지)?)"
-PLAN_WORD = "계획|목표|향후|중장기"
-PERIODS = ["(20[0-9]{2})\\s*년?\\s*[~\\-–∼]\\s*(20[0-9]{2})", "[`'‘’]\\s*([0-9]{2})\\s*[~\\-–∼]\\s*[`'‘’]?\\s*([0-9]{2})\\s*년", "[`'‘’]?(20[0-9]{2}|[0-9]{2})\\s*(?:년도?)?\\s*부터\\s*[`'‘’]?(20[0-9]{2}|[0-9]{2})\\s*(?:년도?)?\\s*까지"]
+LABEL_WORDS = {"target_roe": ["ROE", "자기자본이익률"], "target_payout_ratio": ["배당성향"], "target_total_return_ratio": ["주주환원"]}
+OTHERS = {"target_roe": "(?i:배당성향|주주환원|PBR|영업이익|부채비율)", "target_payout_ratio": "ROE|자기자본이익률|주주환원|PBR|영업이익|부채비율", "target_total_return_ratio": "ROE|자기자본이익률|배당성향|PBR|영업이익|부채비율"}
+PAYOUT_RIVALS = ["ROE", "자기자본이익률", "주주환원", "PBR", "영업이익", "부채비율"]
+GOAL = "(?:목표|지향|이상|확대|원칙|수준|계획)"
+EARLY_GOAL = "(?:목표|지향|상향|계획)"
+PAST_WORD = "(?:실적|기록|달성|현황|이행)"
+BULLET = "(?:[-–—·•*ㆍ]|[①-⑳]|[㉠-㉭]|\\(?[0-9]{1,2}[).]|[□■○●▶>])"
+METRIC_WORD = "(?:[A-Za-z][A-Za-z0-9\\-]+|[가-힣]{2,})\\s*(?:비율|이익률|수익률|증가율|성장률|배수|지수|비중|률|율)"
+QUALIFIER = "(?:[0-9]{1,2}\\s*개?년\\s*(?:평균|연평균)|CAGR|[`'‘’]?[0-9]{2,4}\\s*년\\s*까지|[`'‘’]?[0-9]{2}\\s*[~\\-–∼]\\s*[`'‘’]?[0-9]{2}\\s*년|[`'‘’]?[0-9]{2,4}\\s*년(?:도)?에?)"
+AHEAD = "평균|연평균|CAGR|까지"
+ARROWS = "[→⇒➔]"
+PBR = "(?i:PBR)[^0-9\\n]{0,15}?([0-9]+(?:\\.[0-9]+)?)\\s*배"
 BUYBACK, NEGATION = "(?:자기주식|자사주)[^\\n]{0,15}?(?:취득|매입|소각)", "없음|없이|아니|않|미실시|미계획|계획\\s*없|완료|기실시"
+# Gaps between a label and its value ({x}: competing metrics), and what has to stand behind the value.
+GAPS = {
+    "plain": "(?:(?!{x})[^0-9%\\n(]){0,15}(?:\\((?:(?!%|{x})[^)\\n]){0,25}\\)\\s*[:：]?\\s*)?(?:(?!{x})[^0-9%\\n]){0,10}?",
+    "arrow_left": "(?:(?!{x})[^%\\n]){0,30}?",
+    "arrow_right": "(?:(?!{x})[^\\n%]){0,25}?",
+    "qualified_left": "(?:(?!{x})[^0-9%\\n(]){0,12}",
+    "qualified_right": "(?:(?!{x})[^0-9%\\n]){0,8}?",
+    "next_line": "(?:(?!{x})[^0-9%\\n]){0,8}\\n[ \\t]*{bullet}[ \\t]*(?:(?!{x})(?!{metric})[^0-9%\\n]){0,12}?{goal}(?:(?!{x})(?!{metric})[^0-9%\\n]){0,8}?",
+    "goal_first": "(?:(?!{x})(?!{past})[^0-9%\\n]){0,12}?{early}(?:(?!{x})(?!{past})[^0-9%\\n(]){0,12}(?:\\((?:(?!%|{x})[^)\\n]){0,25}\\))?(?:(?!{x})(?!{past})[^0-9%\\n]){0,8}?",
+    "backwards": "(?:(?!{x})[^0-9%\\n]){0,25}?(?:의\\s*)?",
+    "goal_after": "(?=(?:(?!{x})[^\\n]){0,12}?{goal})",
+    "goal_after_wide": "(?=(?:(?!{x})(?!{metric})[^%\\n]){0,6}\\n?(?:(?!{x})(?!{metric})[^%\\n]){0,20}?{goal})",
+}
+# Year ranges, end years, and the words and distances that anchor them.
+PERIODS = [
+    "(20[0-9]{2})\\s*년?\\s*[~\\-–∼]\\s*(20[0-9]{2})",
+    "[`'‘’]\\s*([0-9]{2})\\s*[~\\-–∼]\\s*[`'‘’]?\\s*([0-9]{2})\\s*년",
+    "[`'‘’]?([0-9]{2}|20[0-9]{2})\\s*(?:회계연도|년|년도)?\\s*부터\\s*[`'‘’]?([0-9]{2}|20[0-9]{2})\\s*(?:회계연도|년|년도)?\\s*까지",
+]
+UNTIL, FORWARD = "[`'‘’]?([0-9]{2}|20[0-9]{2})\\s*년\\s*까지", "향후\\s*([0-9]{1,2})\\s*개?년"
+PLAN_WORD, UNTIL_WORD = "계획|목표|향후|중장기", "계획|목표|향후|중장기|환원|달성|유지|개선|제고"
+NEAR, UNTIL_NEAR, LONGEST_SPAN, LARGEST_PBR = 20, 60, 20, 100
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
@@ -81,56 +112,119 @@ def found(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit("")).try_cast("double")
 
 
-def metric_target(c: Column, name: str, year: Column) -> tuple[Column, Column]:
-    """(value, range text) of one metric. Tiers, each only where those before found nothing: arrow or plain, range, qualified, reversed."""
-    label, others = LABELS[name], OTHERS[name]
-    gap = lambda n, ban="0-9%\\n": f"(?:(?!{others})[^{ban}]){{0,{n}}}?"
-    mark = f"(?=(?:(?!{others})[^\\n]){{0,12}}?(?:{GOAL}))" if name == "target_total_return_ratio" else ""
-    plain = f"{label}{gap(15)}(?:\\((?:(?!%|{others})[^)\\n]){{0,25}}\\)\\s*[:：]?\\s*)?{gap(10)}{PERCENT}{mark}"
-    arrow = f"{label}{gap(30, '%\\n')}{NUMBER}\\s*%{gap(25, '%\\n')}[→⇒➔]\\s*{gap(25, '%\\n')}{NUMBER}\\s*%(?![pP포]){mark}"
-    ranged = f"{label}{gap(15)}(?:\\((?:(?!%|{others})[^)\\n]){{0,25}}\\)\\s*[:：]?\\s*)?{gap(10)}{RANGE}{mark}"
-    qualified = f"{label}{gap(12)}{QUALIFIER}{gap(8)}{PERCENT}{mark}"
+def hits(c: Column, pattern: str) -> Column:
+    """array<struct<at, a, b>>: every match of a pattern with two groups, at its code point from 0; empty without one."""
+    pair = lambda g: F.regexp_extract_all(c, F.lit(pattern), F.lit(g))
+    cut = F.arrays_zip(pair(0).alias("m"), pair(1).alias("a"), pair(2).alias("b"), F.split(c, pattern, -1).alias("before"))
+    start = F.expr("named_struct('at', 0, 'out', cast(array() AS array<struct<at:int,a:string,b:string>>))")
+
+    def add(s, z):
+        at = s["at"] + F.length(z["before"])
+        return F.struct((at + F.length(z["m"])).alias("at"), F.array_append(s["out"], F.struct(at.alias("at"), z["a"].alias("a"), z["b"].alias("b"))).alias("out"))
+
+    each = F.aggregate(F.filter(cut, lambda z: z["m"].isNotNull()), start, add, lambda s: s["out"])
+    return F.when(c.rlike(pattern), each).otherwise(F.expr("cast(array() AS array<struct<at:int,a:string,b:string>>)"))
+
+
+def before(c: Column, at: Column, n: int) -> Column:
+    """Up to n code points before a place."""
+    begin = F.greatest(at - n, F.lit(0))
+    return F.substr(c, begin + 1, at - begin)
+
+
+def full_year(y: Column, year: Column) -> Column:
+    """A year of two digits in the century of `year`."""
+    return F.when(F.length(y) == 2, F.floor(F.coalesce(year, F.lit(2000)) / 100).cast("int") * 100 + y.cast("int")).otherwise(y.cast("int"))
+
+
+def metric_target(c: Column, name: str, year: Column) -> Column:
+    """struct<value, low, high> of one metric, null if none; low and high are the texts of a range.
+
+    The tiers stand in one coalesce, so each regular expression runs once, on texts for which all before it found nothing:
+    arrow or plain, range, qualified by years, then by metric: next line (ROE), backwards (payout), wide range and goal
+    first (total return). Texts without a percent sign or the label are passed over.
+    """
+    label, x, key = LABELS[name], OTHERS[name], name.removeprefix("target_")
+    gap = {k: v.replace("{x}", x).replace("{bullet}", BULLET).replace("{metric}", METRIC_WORD).replace("{goal}", GOAL).replace("{early}", EARLY_GOAL).replace("{past}", PAST_WORD) for k, v in GAPS.items()}
+    mark = gap["goal_after"] if key == "total_return_ratio" else ""
+    plain = label + gap["plain"] + PERCENT + mark
+    arrow = label + gap["arrow_left"] + NUMBER + "\\s*%" + gap["arrow_right"] + ARROWS + "\\s*" + gap["arrow_right"] + NUMBER + "\\s*%" + NO_POINT + mark
+    one = lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high")))
     at = lambda p: F.nullif(F.regexp_instr(c, F.lit(p)), F.lit(0))
-    first = F.when(at(arrow).isNotNull() & (at(plain).isNull() | (at(arrow) <= at(plain))), found(c, arrow, 2)).otherwise(found(c, plain))
-    low, high = found(c, ranged), found(c, ranged, 2)
-    in_range = F.when(low <= high, low)
-    word = F.nullif(F.regexp_extract(c, qualified, 1), F.lit(""))
-    digits = F.nullif(F.regexp_extract(word, "([0-9]{2,4})(?=[^0-9]*$)", 1), F.lit("")).try_cast("int")
-    ahead = word.rlike("평균|CAGR|까지") | (F.when(digits < 100, digits + F.floor(year / 100) * 100).otherwise(digits) > year)
-    later = F.when(ahead, found(c, qualified, 2))
-    value = F.coalesce(first, in_range, later)
-    if name == "target_payout_ratio":
-        back = f"((?:.{{0,20}}))(?<![0-9.]){PERCENT}(?:(?!{others})[^0-9%\\n]){{0,25}}?(?:의\\s*)?배당성향"
-        value = F.coalesce(value, F.when(~F.regexp_extract(c, back, 1).rlike(others), found(c, back, 2)))
-    text = F.when(first.isNull() & in_range.isNotNull(), F.concat(F.lit(name.removeprefix("target_") + ":"), F.regexp_extract(c, ranged, 1), F.lit("~"), F.regexp_extract(c, ranged, 2)))
-    return value, text
+
+    def held(make: Column, build) -> Column:
+        """`build` of a value that is computed once."""
+        return F.transform(F.array(make), build)[0]
+
+    def ranged(mark_: str) -> Column:
+        """The first range, if it rises; its ends are read again from the match alone."""
+        pattern, ends = label + gap["plain"] + RANGE, NUMBER + "\\s*[~∼\\-–]\\s*" + NUMBER + "\\s*%$"
+        low, high = (lambda m: F.regexp_extract(m, ends, 1)), (lambda m: F.regexp_extract(m, ends, 2))
+        return held(F.regexp_extract(c, pattern + mark_, 0), lambda m: F.when((m != "") & (low(m).try_cast("double") <= high(m).try_cast("double")), F.struct(low(m).try_cast("double").alias("value"), low(m).alias("low"), high(m).alias("high"))))
+
+    def qualified() -> Column:
+        """The first value whose qualifier looks ahead of the disclosure's year."""
+        p = label + gap["qualified_left"] + f"({QUALIFIER})" + gap["qualified_right"] + PERCENT + mark
+        every = F.arrays_zip(F.regexp_extract_all(c, F.lit(p), F.lit(1)).alias("q"), F.regexp_extract_all(c, F.lit(p), F.lit(2)).alias("v"))
+        last = lambda z: F.try_element_at(F.regexp_extract_all(z["q"], F.lit("[0-9]{2,4}"), F.lit(0)), F.lit(-1))
+        return F.try_element_at(F.filter(every, lambda z: z["q"].rlike(AHEAD) | F.coalesce(full_year(last(z), year) > year, F.lit(False))), F.lit(1))["v"].try_cast("double")
+
+    first = F.when(c.rlike(ARROWS), F.when(at(arrow).isNotNull() & (at(plain).isNull() | (at(arrow) <= at(plain))), found(c, arrow, 2)).otherwise(found(c, plain))).otherwise(found(c, plain))
+    tiers = [held(first, one), ranged(mark), held(qualified(), one)]
+    if key == "roe":
+        tiers.append(held(found(c, label + gap["next_line"] + PERCENT), one))
+    if key == "payout_ratio":
+        # no competing label within the 20 characters before a number
+        alone = "".join(f"(?<!{w}[\\s\\S]{{0,{NEAR - len(w)}}})" for w in PAYOUT_RIVALS)
+        tiers.append(held(found(c, "(?<![0-9])(?<![0-9]\\.)" + alone + PERCENT + gap["backwards"] + label), one))
+    if key == "total_return_ratio":
+        tiers += [ranged(gap["goal_after_wide"]), held(found(c, label + gap["goal_first"] + PERCENT), one)]
+    said = F.lit(False)
+    for w in LABEL_WORDS[name]:
+        said = said | F.contains(F.upper(c) if w == "ROE" else c, F.lit(w))
+    return F.when(F.contains(c, F.lit("%")) & said, F.coalesce(*tiers))
 
 
 def period(c: Column, year: Column) -> Column:
-    """struct(start, end) as texts: the first range near a plan word, else the only range; without ranges `향후 N년`, else one end year."""
-    century = lambda y: F.when(F.length(y) == 2, F.concat(F.coalesce(F.floor(year / 100).cast("string"), F.lit("20")), y)).otherwise(y)
+    """struct<s, e>, texts: the first range behind a plan word, else the only range; without ranges `향후 N년`, else the one end year."""
+    pair = lambda s, e: F.struct(s.cast("string").alias("s"), e.cast("string").alias("e"))
+    shapes = [
+        (PERIODS[0], lambda z: (z["a"].cast("int"), z["b"].cast("int")), 10**4),
+        (PERIODS[1], lambda z: (2000 + z["a"].cast("int"), 2000 + z["b"].cast("int")), 10**4),
+        (PERIODS[2], lambda z: (full_year(z["a"], year), full_year(z["b"], year)), LONGEST_SPAN),
+    ]
     every = []
-    for p in PERIODS:
-        groups = [F.regexp_extract_all(c, F.lit(f"(.{{0,20}}?){p}"), F.lit(g)) for g in (1, 2, 3)]
-        every.append(F.transform(F.arrays_zip(*(g.alias(n) for g, n in zip(groups, ("x", "s", "e")))), lambda z: F.struct(z["x"].rlike(PLAN_WORD).alias("near"), century(z["s"]).alias("s"), century(z["e"]).alias("e"))))
-    ranges = F.filter(F.concat(*every), lambda r: (r["s"] <= r["e"]) & (r["e"].try_cast("int") - r["s"].try_cast("int") <= 20))
-    near = F.filter(ranges, lambda r: r["near"])
-    pairs = F.array_distinct(F.transform(ranges, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"))))
-    pick = F.when(F.size(near) > 0, F.struct(F.try_element_at(near, F.lit(1))["s"].alias("s"), F.try_element_at(near, F.lit(1))["e"].alias("e"))).when(F.size(pairs) == 1, F.try_element_at(pairs, F.lit(1)))
-    n = F.nullif(F.regexp_extract(c, "향후\\s*([0-9]{1,2})\\s*개?년", 1), F.lit("")).try_cast("int")
-    until = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(c, F.lit("(?:계획|목표|향후|중장기|환원|달성|유지|개선|제고).{0,60}?[`'‘’]?(20[0-9]{2}|[0-9]{2})\\s*년\\s*까지"), F.lit(1)), century), lambda y: y.try_cast("int").between(year, year + 20)))
-    later = F.when(n.between(1, 20), F.struct(year.cast("string").alias("s"), (year + n - 1).cast("string").alias("e"))).when(F.size(until) == 1, F.struct(year.cast("string").alias("s"), F.try_element_at(until, F.lit(1)).alias("e")))
-    return F.when(F.size(ranges) > 0, pick).otherwise(F.when(year.isNotNull(), later))
+    for p, years, span in shapes:
+        made = F.transform(hits(c, p), lambda z: F.struct(z["at"].alias("at"), years(z)[0].alias("s"), years(z)[1].alias("e")))
+        every.append(F.filter(made, lambda r: (r["s"] <= r["e"]) & (r["e"] - r["s"] <= span)))
+
+    def pick(ranges: Column) -> Column:
+        near = F.filter(ranges, lambda r: before(c, r["at"], NEAR).rlike(PLAN_WORD))
+        kinds = F.array_distinct(F.transform(ranges, lambda r: pair(r["s"], r["e"])))
+        return F.when(F.size(near) > 0, pair(near[0]["s"], near[0]["e"])).when(F.size(kinds) == 1, kinds[0])
+
+    n = F.nullif(F.regexp_extract(c, FORWARD, 1), F.lit("")).try_cast("int")
+    ends = F.filter(hits(c, UNTIL + "()"), lambda z: before(c, z["at"], UNTIL_NEAR).rlike(UNTIL_WORD))
+    until = F.array_distinct(F.filter(F.transform(ends, lambda z: full_year(z["a"], year)), lambda y: y.between(year, year + LONGEST_SPAN)))
+    later = F.when(n.between(1, LONGEST_SPAN), pair(year, year + n - 1)).otherwise(F.transform(F.array(until), lambda u: F.when(F.size(u) == 1, pair(year, u[0])))[0])
+    found_ = F.array(F.array_sort(F.concat(*every)))
+    return F.when(c.rlike("[0-9]{2}\\s*(?:년|회계연도|부터|[~\\-–∼])|향후"), F.transform(found_, lambda r: F.when(F.size(r) > 0, pick(r)).when(year.isNotNull(), later))[0])
 
 
 def parse_targets(df: DataFrame, text: str, date: str) -> DataFrame:
-    """Add the seven target fields and target_ranges of a text; each regular expression is a column of its own."""
-    c, year = F.col(text), F.substring(F.col(date), 1, 4).try_cast("int")
-    made = {name: metric_target(c, name, year) for name in LABELS}
-    pbr = found(c, "(?i:PBR)[^0-9\\n]{0,15}?" + NUMBER + "\\s*배")
-    window = F.regexp_extract(c, f"((?:[\\s\\S]{{0,10}}){BUYBACK}[\\s\\S]{{0,15}})", 1)
-    out = df.withColumns({name: v for name, (v, _) in made.items()} | {"target_pbr": F.when((pbr > 0) & (pbr <= 100), pbr), "_p": period(c, year)})
-    return out.withColumns({"period_start": F.col("_p.s"), "period_end": F.col("_p.e"), "buyback_planned": F.when(window != "", ~window.rlike(NEGATION)), "target_ranges": F.nullif(F.concat_ws(",", *(r for _, r in made.values())), F.lit(""))}).drop("_p")
+    """Add the seven target fields and target_ranges of a text."""
+    c, head = F.coalesce(F.col(text), F.lit("")), F.substring(F.col(date), 1, 4)
+    year = F.when(head.rlike("^[0-9]{4}$"), head.cast("int"))
+    out = df.withColumns({f"_{name}": metric_target(c, name, year) for name in LABELS} | {"_p": period(c, year), "_pbr": F.when(F.contains(c, F.lit("배")), found(c, PBR)), "_window": F.when(c.rlike("자기주식|자사주"), F.regexp_extract(c, f"[\\s\\S]{{0,10}}?{BUYBACK}[\\s\\S]{{0,15}}", 0))})
+    ranges = [F.when(F.col(f"_{name}.low").isNotNull(), F.concat(F.lit(name.removeprefix("target_") + ":"), F.col(f"_{name}.low"), F.lit("~"), F.col(f"_{name}.high"))) for name in LABELS]
+    made = {name: F.col(f"_{name}.value") for name in LABELS} | {
+        "target_pbr": F.when((F.col("_pbr") > 0) & (F.col("_pbr") <= LARGEST_PBR), F.col("_pbr")),
+        "period_start": F.col("_p.s"),
+        "period_end": F.col("_p.e"),
+        "buyback_planned": F.when(F.col("_window") != "", ~F.col("_window").rlike(NEGATION)),
+        "target_ranges": F.nullif(F.concat_ws(",", *ranges), F.lit("")),
+    }
+    return out.withColumns(made).drop(*(f"_{name}" for name in LABELS), "_p", "_pbr", "_window")
 
 
 def squeeze(c: str | Column) -> Column:
@@ -142,18 +236,21 @@ def is_plan_report(c: str | Column) -> Column:
     return F.contains(t, F.lit("기업가치제고계획")) & ~t.rlike("이행현황|철회")
 
 
+# Goal words (two letters each) within 25 characters of a figure, and how a text names an earlier filing.
+FIGURE_GOAL, FIGURE, FIGURE_NEAR = "(?:목표|지향|이상|달성|확대|중반)", "[0-9]+(?:\\.[0-9]+)?\\s*(?:%|배)", 25 - 2
+EARLIER_FILING = "(?:旣|기)\\s*공시\\s*[(（]?\\s*(20[0-9]{2})\\s*[.\\-/]\\s*([0-9]{1,2})\\s*[.\\-/]\\s*([0-9]{1,2})"
+
+
 def has_numeric_target(c: str | Column) -> Column:
     """A figure in per cent or times with a goal word within 25 characters on its line."""
-    goal, figure = "(?:목표|지향|이상|달성|확대|중반)", "[0-9]+(?:\\.[0-9]+)?\\s*(?:%|배)"
-    return F.exists(F.split(col(c), "\\n"), lambda line: line.rlike(f"{goal}.{{0,25}}?{figure}|{figure}.{{0,25}}?{goal}"))
+    gap = f".{{0,{FIGURE_NEAR}}}?"
+    return F.exists(F.split(col(c), "\\n"), lambda line: line.rlike(f"{FIGURE_GOAL}{gap}{FIGURE}|{FIGURE}{gap}{FIGURE_GOAL}"))
 
 
 def referenced_date(c: str | Column) -> Column:
-    """The first calendar day that a text names as an earlier filing's."""
-    p = "(?:旣|기)\\s*공시\\s*[(（]?\\s*(20[0-9]{2})\\s*[.\\-/]\\s*([0-9]{1,2})\\s*[.\\-/]\\s*([0-9]{1,2})"
-    y, m, d = (F.regexp_extract_all(col(c), F.lit(p), F.lit(g)) for g in (1, 2, 3))
-    days = F.transform(F.arrays_zip(y.alias("y"), m.alias("m"), d.alias("d")), lambda z: F.try_to_date(F.concat_ws("-", z["y"], F.lpad(z["m"], 2, "0"), F.lpad(z["d"], 2, "0")), "yyyy-MM-dd"))
-    return F.try_element_at(F.filter(days, lambda x: x.isNotNull()), F.lit(1)).cast("string")
+    """The day that a text names first as an earlier filing's; null if that is no day of the calendar, whatever follows."""
+    y, m, d = (F.regexp_extract(col(c), EARLIER_FILING, g) for g in (1, 2, 3))
+    return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd").cast("string")
 
 
 def classify_body(text: str, axes: str) -> Column:

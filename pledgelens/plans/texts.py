@@ -54,10 +54,64 @@ def parse_targets(spark, sf_dir):
     return X.parse_targets(rendered(spark, sf_dir).select("plan_id", "raw_text", "disclosure_date"), "raw_text", "disclosure_date").select("plan_id", *FIELDS)
 
 
-NOTE = "CASE plan_id % 6 WHEN 0 THEN ' 기 공시(2024.2.30) 및 旣공시 (2024. 3. 5)' WHEN 1 THEN '재공시 하는 경우' WHEN 2 THEN '영업이익률 12.5% 달성 목표' WHEN 3 THEN '첨부 없이 제출' WHEN 4 THEN '기업가치 제고 계획 예고 (안내공시) / (2025)' ELSE '첨부 파일을 참조' END"
-
-
-@query(f"""SELECT plan_id, CASE plan_id % 6 WHEN 0 THEN '2024-03-05' END AS ref, plan_id % 6 = 2 AS numeric_target, plan_id % 6 = 3 AS no_attachment, plan_id % 6 = 4 AS notice, plan_id % 6 = 5 AS external,
+#: Texts of every tier of the target rules, and what each says, written by hand ({n}: a number of the plan, filed in 2026).
+TIERS: list[tuple[str, dict[str, str]]] = [
+    ("ROE 목표 {n}%", {"roe": "n"}),
+    ("자기자본이익률(연결) : {n}% 달성", {"roe": "n"}),
+    ("ROE(2024년 5%) 배당성향 {n}%", {"payout": "n"}),
+    ("ROE 현재 5% → 목표 {n}%", {"roe": "n"}),
+    ("ROE {n}~{n}.5% 목표", {"roe": "n", "ranges": "'roe:' || n || '~' || n || '.5'"}),
+    ("ROE {n}~3% 목표", {}),
+    ("ROE : '26년까지 {n}%", {"roe": "n"}),
+    ("ROE 2022년 5% 기록. ROE 2030년까지 {n}% 달성", {"roe": "n"}),
+    ("ROE 2024년 {n}%", {}),
+    ("ROE : '26~'28년 {n}%", {"roe": "n", "start": "'2026'", "end": "'2028'"}),
+    ("③ ROE\n- 중장기 목표 {n}%", {"roe": "n"}),
+    ("ROE 개선\n- K-ICS 비율 목표 {n}%", {}),
+    ("배당성향 {n}% 이상 유지", {"payout": "n"}),
+    ("배당성향 {n}% 이내", {}),
+    ("배당성향 2020년 10%, 배당성향 3년 평균 {n}%", {"payout": "n"}),
+    ("당기순이익의 {n}%이상의 배당성향", {"payout": "n"}),
+    ("부채비율 : {n}% 이상 - 배당성향", {}),
+    ("부채비율 100% 배당성향 확대, 연결 당기순이익 가운데 주주 몫으로 {n}%의 배당성향", {"payout": "n"}),
+    ("주주환원율 {n}% 목표", {"total": "n"}),
+    ("주주환원율 {n}%", {}),
+    ("주주환원율 {n}% ROE 목표 7%", {"roe": "7"}),
+    ("주주환원율 3년 평균 {n}% 수준", {"total": "n"}),
+    ("총주주환원율 {n}~{n}.5%\n수준을 유지", {"total": "n", "ranges": "'total_return_ratio:' || n || '~' || n || '.5'"}),
+    ("주주환원율 상향: 당기순이익(연결)의 {n}%", {"total": "n"}),
+    ("주주환원율 상향 이전 실적인 {n}%", {}),
+    ("PBR {n}배 달성, 2024회계연도부터 2026회계연도까지", {"pbr": "n", "start": "'2024'", "end": "'2026'"}),
+    ("비교 2019~2021년, 계획\n2024~2026년 ROE {n}%p", {"start": "'2024'", "end": "'2026'"}),
+    ("비교 2019~2021년 및 2022~2023년 매출 {n}%", {}),
+    ("향후 3개년 매출 {n}%", {"start": "'2026'", "end": "'2028'"}),
+    ("주주환원 지속 - 2030년까지 배당성향 {n}%", {"payout": "n", "start": "'2026'", "end": "'2030'"}),
+    ("자사주 취득 자사주 소각 계획 없음 {n}%", {"buyback": "false"}),
+    ("자기주식 매입 및 소각 {n}%", {"buyback": "true"}),
+]
+TIER_FIELDS = {"roe": "target_roe", "payout": "target_payout_ratio", "total": "target_total_return_ratio", "pbr": "target_pbr", "start": "period_start", "end": "period_end", "buyback": "buyback_planned", "ranges": "target_ranges"}
+
+
+def _tier_oracle() -> str:
+    text = {"start", "end", "ranges"}
+    kinds = {k: "varchar" if k in text else "boolean" if k == "buyback" else "double" for k in TIER_FIELDS}
+    said = lambda k: " ".join(f"WHEN {i} THEN cast({want[k]} AS {kinds[k]})" for i, (_, want) in enumerate(TIERS) if k in want)
+    columns = ", ".join(f"CASE plan_id % {len(TIERS)} {said(k)} END AS {name}" for k, name in TIER_FIELDS.items())
+    return f"SELECT plan_id, {columns} FROM (SELECT plan_id, cast(5 + plan_id % 37 AS varchar) AS n FROM valueup_plan)"
+
+
+@query(_tier_oracle(), "valueup_plan")
+def target_tiers(spark, sf_dir):
+    """One text of TIERS for each plan."""
+    text = F.element_at(F.array(*(F.lit(t) for t, _ in TIERS)), (F.col("plan_id") % len(TIERS) + 1).cast("int"))
+    plans = domain_tables(spark, sf_dir).valueup_plan.select("plan_id", F.replace(text, F.lit("{n}"), (F.lit(5) + F.col("plan_id") % 37).cast("string")).alias("t"), F.lit("2026-03-20").alias("d"))
+    return X.parse_targets(plans, "t", "d").select("plan_id", *TIER_FIELDS.values())
+
+
+NOTE = "CASE plan_id % 6 WHEN 0 THEN CASE WHEN plan_id % 4 = 0 THEN ' 기 공시(2024.2.30) 및 旣공시 (2024. 3. 5)' ELSE ' 旣공시 (2024. 3. 5), 기 공시(2024.2.28)' END WHEN 1 THEN '재공시 하는 경우' WHEN 2 THEN '영업이익률 12.5% 달성 목표' WHEN 3 THEN '첨부 없이 제출' WHEN 4 THEN '기업가치 제고 계획 예고 (안내공시) / (2025)' ELSE '첨부 파일을 참조' END"
+
+
+@query(f"""SELECT plan_id, CASE WHEN plan_id % 6 = 0 AND plan_id % 4 <> 0 THEN '2024-03-05' END AS ref, plan_id % 6 = 2 AS numeric_target, plan_id % 6 = 3 AS no_attachment, plan_id % 6 = 4 AS notice, plan_id % 6 = 5 AS external,
  CASE WHEN axes > 0 THEN 'axis_targets' ELSE CASE plan_id % 6 WHEN 0 THEN 'refiling' WHEN 1 THEN 'refiling' WHEN 2 THEN 'other_metric' ELSE 'no_targets' END END AS body, CASE WHEN axes = 0 THEN CASE WHEN plan_id % 6 = 3 THEN 'undisclosed' WHEN plan_id % 5 = 0 THEN 'unreadable' WHEN plan_id % 6 = 4 THEN 'notice' ELSE 'unstated' END END AS reason FROM (SELECT plan_id, {AXES} AS axes FROM valueup_plan)""", "valueup_plan")
 def body_rules(spark, sf_dir):
     x = domain_tables(spark, sf_dir).valueup_plan.select("plan_id", disclosed_axes().alias("axes"), F.expr(NOTE).alias("t"), F.expr("plan_id % 5 = 0").alias("unreadable"))
