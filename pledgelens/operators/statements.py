@@ -65,12 +65,12 @@ def statement_facts(rows: DataFrame) -> DataFrame:
             if w in TAG_STATEMENTS:
                 gate = sj.isNull() | sj.isin(TAG_STATEMENTS[w])
                 if w == CASH_TAG:
-                    gate = gate & (sj.isNull() | (sj != "CF") | F.contains("nm", F.lit(PERIOD_END)))
+                    gate = gate & (sj.isNull() | (sj != "CF") | F.contains("label", F.lit(PERIOD_END)))
                 hit = (tag == w) & gate
             elif w.startswith(("ifrs-full_", "dart_")):
                 hit = tag == w
             else:
-                hit = F.col("label") == w
+                hit = F.col("nm") == w  # letter for letter; the tags take in what is written otherwise
             place = F.when(hit, k).otherwise(place)
         picks.append(F.min_by(F.when(place.isNotNull(), F.col("v")), F.when(place.isNotNull() & F.col("v").isNotNull(), F.struct(place, F.col("row_no")))).alias(name))
     bs = F.max(sj.isNotNull().cast("int")) == 0
@@ -97,18 +97,24 @@ def statement_facts(rows: DataFrame) -> DataFrame:
     return out.drop("summed", "no_debt")
 
 
+# The total's label and unit, and the labels (without blanks) whose positive figure says that a dividend was paid.
+DIVIDEND_TOTAL, DIVIDEND_UNIT = "현금배당금총액(백만원)", 1_000_000
+DIVIDEND_EVIDENCE = ["주당현금배당금(원)", "현금배당수익률(%)", "(연결)현금배당성향(%)", "(별도)현금배당성향(%)"]
+
+
 def dividend_total(rows: DataFrame) -> DataFrame:
-    """Rows: corp_code, year, rcept_no, se, thstrm. The latest filing's total in won; blank total without other evidence is 0."""
+    """Rows: corp_code, year, rcept_no, se, thstrm. The latest filing's total in won; a blank total without other evidence is 0."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("corp_code", "year")
-    last = rows.withColumn("_l", F.max("rcept_no").over(w)).where("rcept_no = _l").withColumn("v", parse_amount("thstrm"))
-    total = F.col("se") == "현금배당금총액(백만원)"
-    evidence = F.contains("se", F.lit("현금배당")) | F.contains("se", F.lit("주당"))
-    g = last.groupBy("corp_code", "year").agg(
-        F.count_if(total).alias("n"), F.min(F.when(total, F.col("v"))).alias("lo"), F.max(F.when(total, F.col("v"))).alias("hi"), F.count_if(total & F.col("v").isNull()).alias("blank"), F.count_if(evidence & ~total & (F.col("v") > 0)).alias("proof")
-    )
-    value = F.when((F.col("n") > 0) & (F.col("lo") == F.col("hi")) & (F.col("lo") >= 0), F.col("lo") * 1_000_000).when((F.col("n") > 0) & F.col("lo").isNull() & (F.col("proof") == 0), F.lit(0))
+    filing = F.coalesce("rcept_no", F.lit(""))
+    last = rows.withColumn("_l", F.max(filing).over(w)).where(filing == F.col("_l"))
+    last = last.withColumns({"v": parse_amount("thstrm"), "label": F.regexp_replace("se", "\\s", ""), "figure": F.regexp_replace("thstrm", "[,\\s]", "")})
+    total = F.coalesce(F.col("label") == DIVIDEND_TOTAL, F.lit(False))
+    paid = F.col("label").isin(DIVIDEND_EVIDENCE) & F.col("figure").rlike("^[+]?([0-9]+[.]?[0-9]*|[.][0-9]+)$") & (F.col("figure").try_cast("double") > 0)
+    g = last.groupBy("corp_code", "year").agg(F.count_if(total).alias("n"), F.min(F.when(total, F.col("v"))).alias("lo"), F.max(F.when(total, F.col("v"))).alias("hi"), F.count_if(paid).alias("proof"))
+    known, blank = (F.col("lo") == F.col("hi")) & (F.col("lo") >= 0), F.col("lo").isNull() & (F.col("proof") == 0)
+    value = F.when((F.col("n") > 0) & known, F.col("lo") * DIVIDEND_UNIT).when((F.col("n") > 0) & blank, F.lit(0))
     return g.select("corp_code", "year", value.alias("dividend_total"))
 
 
@@ -125,14 +131,26 @@ def buyback_quantity(rows: DataFrame, field: str) -> DataFrame:
     return g.select("corp_code", "year", value.alias(field))
 
 
+# The holders' summary rows (letter for letter), the mark of common shares, and the shares' summary row.
+HOLDER_TOTAL, HOLDER_SUMMARIES, COMMON, SHARE_TOTAL = "계", ["계", "소계", "합계"], "보통", "합계"
+
+
 def ownership_facts(holders: DataFrame, shares: DataFrame) -> DataFrame:
-    """Largest shareholder's and treasury shares' per cent of each company and year; a row only if one is known."""
-    common = F.contains("stock_knd", F.lit("보통주")) | F.contains("stock_knd", F.lit("의결권"))
-    total, v = F.regexp_replace("nm", "\\s", "") == "계", parse_ratio("rate")
-    h = holders.groupBy("corp_code", "year").agg(F.coalesce(F.min_by(v, F.when(total & common & v.isNotNull(), F.col("row_no"))), F.min_by(v, F.when(total & v.isNotNull(), F.col("row_no"))), F.round(F.sum(F.when(~total & common, v)), 2)).alias("largest_shareholder_pct"))
-    issued, own = parse_quantity("istc_totqy"), F.when(F.trim("tesstk_co").isin("", "-"), F.lit(0)).otherwise(parse_quantity("tesstk_co"))
-    pct = F.round(F.when(issued > 0, own * 100.0 / issued), 2)
-    s = shares.where(F.regexp_replace("se", "\\s", "") == "합계").groupBy("corp_code", "year").agg(F.max(F.when(pct.between(0, 100), pct)).alias("treasury_stock_pct"))
+    """Largest shareholder's and treasury shares' per cent of each company and year; a row only if one is known.
+
+    Holders: corp_code, year, row_no, nm, stock_knd, rate. Shares: corp_code, year, row_no, se, istc_totqy, tesstk_co. The
+    first summary row of the shares counts; a treasury cell without a number beside a known issue is 0.
+    """
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "^\\s+|\\s+$", "")
+    name, v = bare("nm"), parse_ratio("rate")
+    common = F.contains(F.coalesce("stock_knd", F.lit("")), F.lit(COMMON))
+    first = lambda hit: F.min_by(v, F.when(hit & v.isNotNull(), F.col("row_no")))
+    parts = F.round(F.sum(F.when(~name.isin(HOLDER_SUMMARIES) & common, v)), 2)
+    h = holders.groupBy("corp_code", "year").agg(F.coalesce(first((name == HOLDER_TOTAL) & common), first(name == HOLDER_TOTAL), parts).alias("largest_shareholder_pct"))
+    summary = shares.where(bare("se") == SHARE_TOTAL).groupBy("corp_code", "year").agg(F.min_by(F.struct(parse_amount("istc_totqy").alias("issued"), parse_amount("tesstk_co").alias("own")), "row_no").alias("s"))
+    issued, own = F.col("s.issued"), F.col("s.own")
+    pct = F.when(issued != 0, F.when(own.isNull(), F.lit(0.0)).otherwise(F.round(own * 100.0 / issued, 2)))
+    s = summary.select("corp_code", "year", F.when(pct.between(0, 100), pct).alias("treasury_stock_pct"))
     return h.join(s, ["corp_code", "year"], "full").where("largest_shareholder_pct IS NOT NULL OR treasury_stock_pct IS NOT NULL")
 
 

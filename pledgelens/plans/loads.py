@@ -155,7 +155,7 @@ _V = "CASE WHEN amount = '-' THEN NULL WHEN amount LIKE '(%' THEN -cast(replace(
 
 @query(f"""SELECT corp_code, year, quarter, revenue, net_income, operating_income, depreciation, equity, total_assets, total_liabilities, cash, buyback_krw, retired_krw, CASE WHEN NOT coalesce(td > total_liabilities, false) THEN td END AS total_debt FROM (
 SELECT corp_code, year, quarter, arg_min(v, [p_rev, row_no]) FILTER (WHERE p_rev IS NOT NULL AND v IS NOT NULL) AS revenue, cast(NULL AS bigint) AS net_income, cast(NULL AS bigint) AS operating_income, cast(NULL AS bigint) AS depreciation, arg_min(v, row_no) FILTER (WHERE label = '자본총계' AND v IS NOT NULL) AS equity, cast(NULL AS bigint) AS total_assets,
- arg_min(v, row_no) FILTER (WHERE label = '부채총계' AND v IS NOT NULL) AS total_liabilities, cast(NULL AS bigint) AS cash,
+ arg_min(v, row_no) FILTER (WHERE account_id = 'ifrs-full_Liabilities' AND (sj_div IS NULL OR sj_div = 'BS') AND v IS NOT NULL) AS total_liabilities, cast(NULL AS bigint) AS cash,
  sum(abs(v)) FILTER (WHERE sj_div = 'CF' AND account_nm = '자기주식의 취득') AS buyback_krw,
  max(abs(v)) FILTER (WHERE sj_div = 'SCE' AND (account_id = 'ifrs-full_CancellationOfTreasuryShares' OR account_nm LIKE '%소각%') AND account_nm NOT LIKE '%변동%' AND v <> 0) AS retired_krw,
  coalesce(CASE WHEN count(sj_div) = 0 THEN sum(v) FILTER (WHERE debt) ELSE sum(v) FILTER (WHERE debt AND sj_div = 'BS') END,
@@ -166,14 +166,34 @@ def statement_facts(spark, t):
     return T.statement_facts(spark.sql(STATEMENTS))
 
 
-DIVIDENDS = """SELECT lpad(cast(o_custkey AS varchar(20)), 8, '0') AS corp_code, year(o_orderdate) AS year, lpad(cast(o_orderkey AS varchar(20)), 14, '0') AS rcept_no, CASE WHEN l_linenumber < 3 THEN '현금배당금총액(백만원)' WHEN l_linenumber = 3 THEN '주당 현금배당금(원)' ELSE '주식배당' END AS se,
- CASE WHEN l_partkey % 4 = 0 THEN '-' WHEN l_partkey % 4 = 1 THEN '2,000' ELSE cast(cast(l_quantity AS bigint) AS varchar(20)) END AS thstrm FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
-
-
-@query(f"""SELECT corp_code, year, CASE WHEN n > 0 AND lo = hi AND lo >= 0 THEN lo * 1000000 WHEN n > 0 AND lo IS NULL AND proof = 0 THEN 0 END AS dividend_total FROM (SELECT corp_code, year, count(*) FILTER (WHERE tot) AS n, min(v) FILTER (WHERE tot) AS lo, max(v) FILTER (WHERE tot) AS hi, count(*) FILTER (WHERE se LIKE '주당%' AND v > 0) AS proof
-FROM (SELECT *, se LIKE '현금배당금총액%' AS tot, try_cast(replace(thstrm, ',', '') AS bigint) AS v FROM ({DIVIDENDS}) QUALIFY rcept_no = max(rcept_no) OVER (PARTITION BY corp_code, year)) GROUP BY 1, 2)""")
+#: Filings of one company and year: rows (label, figure), and the total in won that they state, written by hand.
+FILINGS: list[tuple[list[tuple[str, str]], str]] = [
+    ([("현금배당금총액(백만원)", "2,000")], "2000000000"),
+    ([("현금배당금총액 (백만원)", "25,026"), ("주당 현금배당금(원)", "-")], "25026000000"),
+    ([("현금배당금총액(백만원)", "-"), ("(연결)주당순이익(원)", "5,000")], "0"),
+    ([("현금배당금총액(백만원)", "-"), ("현금배당수익률(%)", "3.10")], "NULL"),
+    ([("현금배당금총액(백만원)", "-"), ("주당 현금배당금(원)", "500")], "NULL"),
+    ([("현금배당금총액(백만원)", "-"), ("주식배당수익률(%)", "1.5"), ("(연결)현금배당성향(%)", "-")], "0"),
+    ([("현금배당금총액(백만원)", "30"), ("현금배당금총액(백만원)", "31")], "NULL"),
+    ([("현금배당금총액(백만원)", "30"), ("현금배당금총액(백만원)", "30")], "30000000"),
+    ([("현금배당금총액(백만원)", "(30)")], "NULL"),
+    ([("현금배당금총액(원)", "30")], "NULL"),
+    ([("(별도)현금배당성향(%)", "12.5")], "NULL"),
+]
+FILED = "SELECT lpad(cast(o_custkey AS varchar(20)), 8, '0') AS corp_code, year(o_orderdate) AS year, o_custkey % 11 AS kind, lpad(cast(max(o_orderkey) AS varchar(20)), 14, '0') AS rcept_no FROM orders GROUP BY 1, 2, 3"
+
+
+def filings(spark):
+    """The rows of each company's kind of filing, and an older filing of the same year that says something else."""
+    kinds = F.array(*(F.array(*(F.struct(F.lit(a).alias("se"), F.lit(b).alias("thstrm")) for a, b in rows)) for rows, _ in FILINGS))
+    x = spark.sql(FILED)
+    new = x.select("corp_code", "year", "rcept_no", F.explode(F.element_at(kinds, (F.col("kind") + 1).cast("int"))).alias("r")).select("corp_code", "year", "rcept_no", "r.*")
+    return new.unionByName(x.selectExpr("corp_code", "year", "'00000000000000' AS rcept_no", "'현금배당금총액(백만원)' AS se", "'77' AS thstrm"))
+
+
+@query("SELECT corp_code, year, cast(CASE kind " + " ".join(f"WHEN {i} THEN {v}" for i, (_, v) in enumerate(FILINGS)) + f" END AS bigint) AS dividend_total FROM ({FILED})")
 def dividend_total(spark, t):
-    return T.dividend_total(spark.sql(DIVIDENDS))
+    return T.dividend_total(filings(spark))
 
 
 QUANTITIES = """SELECT lpad(cast(o_custkey AS varchar(20)), 8, '0') AS corp_code, year(o_orderdate) AS year, CASE WHEN l_linenumber = 1 AND o_custkey % 3 = 0 THEN '총 계' WHEN l_linenumber = 2 AND o_custkey % 2 = 0 THEN '소계' ELSE '배당가능이익' END AS acqs_mth1, '직접' AS acqs_mth2, '장내' AS acqs_mth3,
@@ -196,12 +216,32 @@ def zero_treasury_gate(spark, t):
     return T.zero_treasury_gate(spark.sql(GATE), t.financials)
 
 
-HOLDERS = """SELECT lpad(cast(o_custkey AS varchar(20)), 8, '0') AS corp_code, year(o_orderdate) AS year, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + cast(l_extendedprice * 100 AS bigint) % 1000 AS row_no, CASE WHEN l_linenumber = 1 AND o_custkey % 2 = 0 THEN '계' ELSE '홍길동' END AS nm, CASE WHEN l_partkey % 3 = 0 THEN '우선주' ELSE '보통주' END AS stock_knd, cast(cast(l_quantity AS int) AS varchar(9)) || '.25%' AS rate FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
-SHARES = """SELECT lpad(cast(o_custkey AS varchar(20)), 8, '0') AS corp_code, year(o_orderdate) AS year, CASE WHEN l_linenumber = 2 THEN '합 계' ELSE '보통주' END AS se, cast(1000 * (l_partkey % 4) AS varchar(20)) AS istc_totqy, CASE WHEN l_partkey % 5 = 0 THEN '-' ELSE cast(cast(l_quantity AS bigint) * 30 AS varchar(20)) END AS tesstk_co FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
-
-
-@query(f"""SELECT * FROM (SELECT coalesce(h.corp_code, s.corp_code) AS corp_code, coalesce(h.year, s.year) AS year, largest_shareholder_pct, treasury_stock_pct FROM
-(SELECT corp_code, year, coalesce(arg_min(v, row_no) FILTER (WHERE nm = '계' AND stock_knd = '보통주'), arg_min(v, row_no) FILTER (WHERE nm = '계'), round(sum(v) FILTER (WHERE nm <> '계' AND stock_knd = '보통주'), 2)) AS largest_shareholder_pct FROM (SELECT *, cast(replace(rate, '%', '') AS double) AS v FROM ({HOLDERS})) GROUP BY 1, 2) h FULL JOIN
-(SELECT corp_code, year, max(CASE WHEN p BETWEEN 0 AND 100 THEN p END) AS treasury_stock_pct FROM (SELECT corp_code, year, round(CASE WHEN cast(istc_totqy AS bigint) > 0 THEN CASE WHEN tesstk_co = '-' THEN 0 ELSE cast(tesstk_co AS bigint) END * 100.0e0 / cast(istc_totqy AS bigint) END, 2) AS p FROM ({SHARES}) WHERE se = '합 계') GROUP BY 1, 2) s ON h.corp_code = s.corp_code AND h.year = s.year) WHERE largest_shareholder_pct IS NOT NULL OR treasury_stock_pct IS NOT NULL""")
+#: Holders (name, kind of share, rate) with the per cent that they state, and shares (row, issued, own) with theirs, by hand.
+HOLDERS: list[tuple[list[tuple[str, str, str]], str]] = [
+    ([("홍길동", "보통주", "30"), ("홍길순", "보통주", "5"), ("합계", "보통주", "35")], "35.0"),
+    ([("홍길동", "의결권 없는 우선주", "20"), ("홍길순", "보통주", "30")], "30.0"),
+    ([("홍길동", "보통주", "30.25"), (" 계 ", "보통주", "41.5%"), ("계", "보통주", "9")], "41.5"),
+    ([("계", "우선주", "7"), ("계", "보통주", "-"), ("홍길동", "보통주", "3")], "7.0"),
+    ([("특수관계인", "보통주", "12.1"), ("소계", "보통주", "12.1")], "12.1"),
+    ([("계", "보통주", "-")], "NULL"),
+]
+SHARES: list[tuple[list[tuple[str, str, str]], str]] = [
+    ([("합계", "1,000", "30")], "3.0"),
+    ([("합계", "1000", "△")], "0.0"),
+    ([("보통주", "1000", "900"), ("합계", "1000", "-")], "0.0"),
+    ([("합계", "0", "30")], "NULL"),
+    ([("합계", "1000", "3000"), ("합계", "1000", "10")], "NULL"),
+    ([("합 계", "1000", "10")], "NULL"),
+    ([("합계", "-", "10")], "NULL"),
+]
+OWNED = "SELECT DISTINCT lpad(cast(o_custkey AS varchar(20)), 8, '0') AS corp_code, year(o_orderdate) AS year, o_custkey % 6 AS h, o_custkey % 7 AS s FROM orders"
+
+
+def listed(spark, kinds: list, by: str, *names: str):
+    rows = F.array(*(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows)) for rows, _ in kinds))
+    return spark.sql(OWNED).select("corp_code", "year", F.posexplode(F.element_at(rows, (F.col(by) + 1).cast("int"))).alias("row_no", "r")).select("corp_code", "year", "row_no", "r.*")
+
+
+@query("SELECT * FROM (SELECT corp_code, year, cast(CASE h " + " ".join(f"WHEN {i} THEN {v}" for i, (_, v) in enumerate(HOLDERS)) + " END AS double) AS largest_shareholder_pct, cast(CASE s " + " ".join(f"WHEN {i} THEN {v}" for i, (_, v) in enumerate(SHARES)) + f" END AS double) AS treasury_stock_pct FROM ({OWNED})) WHERE largest_shareholder_pct IS NOT NULL OR treasury_stock_pct IS NOT NULL")
 def ownership_facts(spark, t):
-    return T.ownership_facts(spark.sql(HOLDERS), spark.sql(SHARES))
+    return T.ownership_facts(listed(spark, HOLDERS, "h", "nm", "stock_knd", "rate"), listed(spark, SHARES, "s", "se", "istc_totqy", "tesstk_co"))
