@@ -7,8 +7,10 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from pledgelens.operators import loads as L
 from pledgelens.operators import metrics as M
 from pledgelens.operators import scores as S
 
@@ -28,6 +30,7 @@ class RunResult:
     engine: str
     as_of: str
     scored: int = 0
+    deleted: int = 0
     failed: list[str] = field(default_factory=list)
     subset: bool = False
 
@@ -54,35 +57,61 @@ def score_engine(engine: str, t, as_of: str, cfg: S.Config = S.Config(), corp_co
             raise ValueError("neither metrics nor ownership: nothing to rank")
         return S.mna_score(metrics_d, own, t.company, t.macro_indicator, as_of, cfg, corp_codes)
     if engine == "opacity":
-        return S.opacity_score(S.choose_plans(t.valueup_plan, as_of), t.company, as_of, cfg)
+        chosen = S.choose_plans(t.valueup_plan, as_of)
+        if chosen.isEmpty():
+            raise ValueError("no plan: nothing to rank")
+        out = S.opacity_score(chosen, t.company, as_of, cfg)
+        return out.where(F.col("corp_code").isin(corp_codes)) if corp_codes else out
     raise ValueError(f"unknown engine {engine!r}")
 
 
+def stored_scores(spark: SparkSession, out: str, engine: str, as_of: str) -> DataFrame | None:
+    """An engine's rows of a day as they were written, None if there are none."""
+    try:
+        return spark.read.parquet(f"{out}/{engine}/as_of={as_of}").withColumn("as_of", F.lit(as_of))
+    except AnalysisException as x:
+        if x.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def run_scoring(t, out: str, as_of: str, engines: tuple[str, ...] = ENGINES, corp_codes: list[str] | None = None) -> list[RunResult]:
-    """Write each engine's partition of a day; an engine that fails leaves its old partition and does not stop the others."""
-    done = []
+    """Write each engine's rows of a day; an engine that fails leaves its old rows and does not stop the others.
+
+    Rows without a basis any more are deleted (counted). With `corp_codes` only these companies are scored anew or
+    deleted: all others keep their rows. The new rows are staged whole before they take the old ones' place.
+    """
+    if corp_codes is not None and not corp_codes:
+        raise ValueError("corp_codes is empty; leave it out to score all companies")
+    spark, done = t.company.sparkSession, []
     for e in engines:
         r = RunResult(e, as_of, subset=corp_codes is not None)
         try:
-            df = score_engine(e, t, as_of, corp_codes=corp_codes)
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of").parquet(f"{out}/{e}")
-            r.scored = df.sparkSession.read.parquet(f"{out}/{e}").where(F.col("as_of") == as_of).count()
+            new = score_engine(e, t, as_of, corp_codes=corp_codes)
+            old, staged = stored_scores(spark, out, e, as_of), f"{out}/_staged/{e}-{uuid.uuid4().hex}"
+            scope = None if corp_codes is None else spark.createDataFrame([(c,) for c in sorted(set(corp_codes))], "corp_code string")
+            (new if old is None else L.reconcile(old.select(*new.columns), new, as_of, scope)).drop("as_of").write.parquet(staged)
+            rows = spark.read.parquet(staged)
+            if old is not None:
+                gone = old.select("corp_code").join(rows.select("corp_code"), "corp_code", "left_anti")
+                r.deleted = (gone if scope is None else gone.join(scope, "corp_code", "left_semi")).count()
+            r.scored = (rows if scope is None else rows.join(scope, "corp_code", "left_semi")).count()
+            rows.write.mode("overwrite").parquet(f"{out}/{e}/as_of={as_of}")
         except Exception as x:  # the failure is the result
             r.failed.append(f"{e}: {x}")
         done.append(r)
     return done
 
 
-def refresh_company(t, out: str, corp_code: str, as_of: str) -> list[RunResult]:
-    """Score one company anew in a day's rows and rank all opacity again."""
-    spark = t.company.sparkSession
-    old = spark.read.parquet(f"{out}/gap").where((F.col("as_of") == as_of) & (F.col("corp_code") != corp_code))
-    new = score_engine("gap", t, as_of, corp_codes=[corp_code])
-    staged = f"{out}/_staged-{uuid.uuid4().hex}"
-    old.unionByName(new.select(*old.columns)).write.parquet(staged)
-    rows = spark.read.parquet(staged)
-    rows.withColumn("as_of", F.col("as_of").cast("string")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of").parquet(f"{out}/gap")
-    return [RunResult("gap", as_of, rows.count()), *run_scoring(t, out, as_of, ("opacity",))]
+def refresh_company(t, out: str, corp_code: str, as_of: str | None = None) -> list[RunResult]:
+    """Score one company anew in a day's rows (by default the latest day that was scored) and rank all opacity again; each stage has its own result."""
+    if as_of is None:
+        as_of = str(t.company.sparkSession.read.parquet(f"{out}/gap").agg(F.max("as_of")).first()[0])
+    return [*run_scoring(t, out, as_of, ("gap",), [corp_code]), *run_scoring(t, out, as_of, ("opacity",))]
+
+
+#: Written before each file's text, so that spreadsheet programs read it as UTF-8.
+BYTE_ORDER_MARK = "\ufeff"
 
 
 def publish_snapshot(views: dict[str, DataFrame], out: str, as_of: str, generated_at: str) -> dict:
@@ -96,8 +125,9 @@ def publish_snapshot(views: dict[str, DataFrame], out: str, as_of: str, generate
     generation, rows = f"gen={uuid.uuid4().hex}", {}
     for name, df in views.items():
         at = f"{out}/{generation}/view={name}"
-        df.write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(at)
-        rows[name] = spark.read.option("header", True).schema(df.schema).csv(at).count()
+        marked = df.withColumnRenamed(df.columns[0], BYTE_ORDER_MARK + df.columns[0])  # the mark stands before the header
+        marked.write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(at)
+        rows[name] = spark.read.option("header", True).schema(df.schema).option("enforceSchema", True).csv(at).count()
     manifest = {"as_of": as_of, "generated_at": generated_at, "generation": generation, "views": rows}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/manifest")
     return manifest
@@ -105,4 +135,4 @@ def publish_snapshot(views: dict[str, DataFrame], out: str, as_of: str, generate
 
 def read_snapshot(spark: SparkSession, out: str, name: str) -> DataFrame:
     manifest = json.loads(spark.read.text(f"{out}/manifest").first()[0])
-    return spark.read.option("header", True).csv(f"{out}/{manifest['generation']}/view={name}")
+    return spark.read.option("header", True).schema(", ".join(f"{c} string" for c in SNAPSHOT_COLUMNS[name])).csv(f"{out}/{manifest['generation']}/view={name}")

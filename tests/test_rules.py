@@ -1,5 +1,7 @@
 """Golden values on tiny tables."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,16 +138,28 @@ def test_batch_refresh_and_snapshot(spark, sf, tmp_path):
     t, out, day = domain_tables(spark, sf), str(tmp_path / "scores"), "2001-03-31"
     done = run_scoring(t, out, day)
     assert all(r.publishable and r.scored for r in done)
-    before = spark.read.parquet(f"{out}/gap").count()
+    rows = {e: spark.read.parquet(f"{out}/{e}").count() for e in ("gap", "mna", "opacity")}
     corp = spark.read.parquet(f"{out}/gap").first().corp_code
-    assert refresh_company(t, out, corp, day)[0].scored == before == spark.read.parquet(f"{out}/gap").count()
-    assert not run_scoring(t, out, day, ("mna",), [corp])[0].publishable
+    assert [(r.engine, r.scored, r.deleted) for r in refresh_company(t, out, corp)] == [("gap", 1, 0), ("opacity", rows["opacity"], 0)]
+    for e in rows:  # a run for one company leaves all others as they are
+        r = run_scoring(t, out, day, (e,), [corp])[0]
+        assert not r.failed and r.publishable == (e == "gap") and spark.read.parquet(f"{out}/{e}").count() == rows[e]
     assert run_scoring(t, out, day, ("nope",))[0].failed
+    none = replace(t, valueup_plan=t.valueup_plan.where(f"corp_code <> '{corp}'"))
+    assert [(r.scored, r.deleted) for r in run_scoring(none, out, day, ("gap",), [corp])] == [(0, 1)]
+    assert spark.read.parquet(f"{out}/gap").count() == rows["gap"] - 1
+    nothing = replace(t, valueup_plan=t.valueup_plan.limit(0))
+    assert [(r.scored, r.deleted) for r in run_scoring(nothing, out, day, ("gap",))] == [(0, rows["gap"] - 1)]
+    assert run_scoring(nothing, out, day, ("opacity",))[0].failed and spark.read.parquet(f"{out}/opacity").count() == rows["opacity"]
+    with pytest.raises(ValueError):
+        run_scoring(t, out, day, ("gap",), [])
     vm = M.valuation_metrics(t.financials, t.prices)
     gap = S.valueup_score(S.choose_plans(t.valueup_plan, day), M.reports_as_of(vm, day), M.reports_as_of(t.financials, day), day)
     views = C.snapshot_views(t.company, gap, M.reports_as_of(vm, day), vm, t.financials, t.macro_indicator, day)
     at = str(tmp_path / "snap")
     m = publish_snapshot(views, at, day, "now")
+    files = spark.read.format("binaryFile").load(f"{at}/{m['generation']}/view=macro_layer/*.csv").select("content").collect()
+    assert all(f.content.startswith("\ufeffindicator,".encode()) for f in files)
     assert m["views"]["macro_layer"] == read_snapshot(spark, at, "macro_layer").count() > 0
     with pytest.raises(ValueError):
         publish_snapshot(views | {"macro_layer": views["macro_layer"].drop("value")}, at, day, "later")
