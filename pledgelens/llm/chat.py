@@ -7,20 +7,24 @@ one CASE over fingerprints, so a table of mixed layouts takes one pass. Turns ar
 control strings, and control strings inside texts get a backslash after their first character (one more where
 backslashes are there already), which `parse_chat` takes out again.
 
+Texts of any length go through: a fingerprint is taken from the record without its string values, and the parser's
+limit on strings is lifted to that of Spark's own strings (2**31 - 1 bytes for a record).
+
 Edge cases: a null text or role is an empty one; a record that is null, is no JSON or has an unknown fingerprint
 gets null turns, an empty formatted text and an empty mask; equal turn numbers are ordered by role, then text;
 repeated rows are repeated turns; rows without a conversation id form one conversation; an empty table gives an
-empty table; other columns stay, columns with the names of results are replaced.
+empty table; all other columns stay, whatever their names, but columns with the names of results are replaced.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pledgelens.llm.native import quoted, starts_sql
+from pledgelens.llm.native import free_names, quoted, starts_sql
 
 
 @dataclass(frozen=True)
@@ -31,14 +35,20 @@ class Mapping:
 
 
 def _pair(*fields: tuple[str, str]) -> str:
-    names = ", ".join(f"{f} STRING" for _, f in fields)
-    turns = ", ".join(f"named_struct('role', '{r}', 'text', coalesce(from_json(record, '{names}').{f}, ''))" for r, f in fields)
+    turns = ", ".join(f"named_struct('role', '{r}', 'text', coalesce(r.{f}, ''))" for r, f in fields)
     return f"array({turns})"
 
 
 def _list(field: str, role: str, text: str) -> str:
-    parsed = f"from_json(record, '{field} ARRAY<STRUCT<`{role}`: STRING, `{text}`: STRING>>').{field}"
-    return f"transform({parsed}, m -> named_struct('role', coalesce(m.`{role}`, ''), 'text', coalesce(m.`{text}`, '')))"
+    return f"transform(r.{field}, m -> named_struct('role', coalesce(m.`{role}`, ''), 'text', coalesce(m.`{text}`, '')))"
+
+
+#: Fields that mappings may read, as a schema; records are parsed once, for all mappings.
+FIELDS = {
+    "messages": "ARRAY<STRUCT<role: STRING, content: STRING>>",
+    "conversations": "ARRAY<STRUCT<`from`: STRING, `value`: STRING>>",
+    **{f: "STRING" for f in ("prompt", "response", "completion", "question", "answer", "system", "instruction", "input", "output", "text")},
+}
 
 
 #: Layouts of public instruction, prompt and message sets.
@@ -53,25 +63,39 @@ MAPPINGS = [
     Mapping(
         "instruction_input_output",
         '{"instruction": "p", "input": "i", "output": "r"}',
-        "transform(array(from_json(record, 'instruction STRING, input STRING, output STRING')), m -> array(named_struct('role', 'user', 'text', concat_ws('\\n', m.instruction, nullif(m.input, ''))), named_struct('role', 'assistant', 'text', coalesce(m.output, ''))))[0]",
+        "array(named_struct('role', 'user', 'text', concat_ws('\\n', r.instruction, nullif(r.input, ''))), named_struct('role', 'assistant', 'text', coalesce(r.output, '')))",
     ),
     Mapping("text", '{"text": "t"}', _pair(("user", "text"))),
 ]
 
 
+LEAF_TYPES = "\\b(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DECIMAL\\([0-9, ]*\\))(?=[,>]|$)"
+
+
+def skeleton_sql(record: str) -> str:
+    """A JSON text without its string values: escaped backslashes and quotes go first, so a value ends at the next quote."""
+    bare = f"replace(replace({record}, {quoted(chr(92) * 2)}, ''), {quoted(chr(92) + chr(34))}, '')"
+    # keys stay, with two quotes behind their colons, all other strings become two quotes; then the keys' quotes go
+    marked = f"regexp_replace({bare}, {quoted('(\"[^\"]*+\"\\s*+:\\s*+)|\"[^\"]*+\"')}, {quoted('$1\"\"')})"
+    return f"regexp_replace({marked}, {quoted('(:\\s*+)\"\"')}, '$1')"
+
+
 def fingerprint_sql(record: str) -> str:
     """Hash of the nested field paths of a JSON text; null where it is none."""
-    return f"xxhash64(regexp_replace(nullif(schema_of_variant(try_parse_json({record})), 'VOID'), '\\\\b(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DECIMAL\\\\([0-9, ]*\\\\))(?=[,>]|$)', ''))"
+    return f"xxhash64(regexp_replace(nullif(schema_of_variant(try_parse_json({skeleton_sql(record)})), 'VOID'), {quoted(LEAF_TYPES)}, ''))"
 
 
-def canonical_turns(records: DataFrame, *, record_col: str = "record", mappings: list[Mapping] = MAPPINGS) -> DataFrame:
-    """Add fingerprint, layout and turns (array of role and text)."""
-    got = records.withColumn("record", F.col(record_col)) if record_col != "record" else records
-    got = got.withColumn("fingerprint", F.expr(f"CASE WHEN try_parse_json(record) IS NULL THEN NULL ELSE {fingerprint_sql('record')} END"))
+def canonical_turns(records: DataFrame, *, record_col: str = "record", mappings: list[Mapping] = MAPPINGS, fields: dict[str, str] = FIELDS) -> DataFrame:
+    """Add fingerprint, layout and turns (array of role and text). Mappings are expressions over `r`, the parsed record."""
+    (parsed,) = free_names(records, "_parsed")
+    json, broken = f"`{record_col}`", "_broken"
+    schema = ", ".join(f"`{f}` {t}" for f, t in {**fields, broken: "STRING"}.items())
+    got = records.withColumn("fingerprint", F.expr(f"CASE WHEN try_parse_json({skeleton_sql(json)}) IS NOT NULL THEN {fingerprint_sql(json)} END"))
+    got = got.withColumn(parsed, F.expr(f"from_json({json}, {quoted(schema)}, map('maxStringLen', '{2**31 - 1}', 'columnNameOfCorruptRecord', '{broken}'))"))
     layout = " ".join(f"WHEN {fingerprint_sql(quoted(m.example))} THEN '{m.name}'" for m in mappings)
-    turns = " ".join(f"WHEN '{m.name}' THEN {m.turns}" for m in mappings)
-    got = got.withColumn("layout", F.expr(f"CASE fingerprint {layout} END")).withColumn("turns", F.expr(f"CASE layout {turns} END"))
-    return got if record_col == "record" or "record" in records.columns else got.drop("record")
+    got = got.withColumn("layout", F.expr(f"CASE WHEN {parsed}.{broken} IS NULL THEN CASE fingerprint {layout} END END"))
+    turns = " ".join(f"WHEN '{m.name}' THEN {re.sub(r'\br\.', f'{parsed}.', m.turns)}" for m in mappings)
+    return got.withColumn("turns", F.expr(f"CASE layout {turns} END")).drop(parsed)
 
 
 #: The template's control strings, as (role, before, after); other roles are written out.
@@ -92,12 +116,14 @@ def format_chat(rows: DataFrame, *, turns_col: str = "turns") -> DataFrame:
     """Add formatted (the templated text) and loss_mask (array of start and end, in code points, of the assistant's texts)."""
     before = "CASE t.role " + " ".join(f"WHEN '{r}' THEN '{a}'" for r, (a, _) in MARKS.items()) + f" ELSE concat('{ROLE_OPEN}', {escape_sql('t.role')}, '{ROLE_CLOSE}') END"
     after = "CASE t.role " + " ".join(f"WHEN '{r}' THEN '{b}'" for r, (_, b) in MARKS.items()) + f" ELSE '{END}' END"
-    parts = rows.withColumn("_parts", F.expr(f"transform(coalesce({turns_col}, array()), t -> named_struct('own', t.role = 'assistant', 'before', {before}, 'body', {escape_sql('t.text')}, 'after', {after}))"))
-    parts = parts.withColumn("formatted", F.expr("array_join(transform(_parts, p -> concat(p.before, p.body, p.after)), '')"))
-    parts = parts.withColumn("_sizes", F.expr("transform(_parts, p -> cast(length(p.before) + length(p.body) + length(p.after) AS bigint))"))
-    parts = parts.withColumn("_starts", F.expr(starts_sql("_sizes")))
-    mask = "transform(filter(arrays_zip(_parts, _starts), z -> z._parts.own), z -> named_struct('start', z._starts + length(z._parts.before), 'end', z._starts + length(z._parts.before) + length(z._parts.body)))"
-    return parts.withColumn("loss_mask", F.expr(mask)).drop("_parts", "_sizes", "_starts")
+    pieces, sizes, starts = free_names(rows, "_parts", "_sizes", "_starts")
+    parts = rows.withColumn(pieces, F.expr(f"transform(coalesce({turns_col}, array()), t -> named_struct('own', t.role = 'assistant', 'before', {before}, 'body', {escape_sql('t.text')}, 'after', {after}))"))
+    parts = parts.withColumn("formatted", F.expr(f"array_join(transform({pieces}, p -> concat(p.before, p.body, p.after)), '')"))
+    parts = parts.withColumn(sizes, F.expr(f"transform({pieces}, p -> cast(length(p.before) + length(p.body) + length(p.after) AS bigint))"))
+    parts = parts.withColumn(starts, F.expr(starts_sql(sizes)))
+    begin = f"z.{starts} + length(z.{pieces}.before)"
+    mask = f"transform(filter(arrays_zip({pieces}, {starts}), z -> z.{pieces}.own), z -> named_struct('start', {begin}, 'end', {begin} + length(z.{pieces}.body)))"
+    return parts.withColumn("loss_mask", F.expr(mask)).drop(pieces, sizes, starts)
 
 
 def parse_chat(rows: DataFrame, *, formatted_col: str = "formatted") -> DataFrame:
@@ -118,16 +144,24 @@ def loss_text_sql(formatted: str = "formatted", mask: str = "loss_mask") -> str:
 def gather_records(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One JSON record for each conversation of a table with a row for each turn.
 
-    A user's and an assistant's turn become a prompt record, the same after a system turn a prompt record with it,
-    conversations of more than six turns a from/value list, and all others a list of messages.
+    The layouts are dealt by what the turns allow and the conversation's number: a user's and an assistant's turn become
+    one of five pair records (the one with an input where the user's text goes on after a line), the same after a system
+    turn a prompt record with it, a user's turn alone a text, more than six turns a from/value list, all else messages.
+    A conversation is one record, so it must fit in one task.
     """
     row = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    got = turns.groupBy(F.col(id_col).alias(id_col)).agg(F.sort_array(F.collect_list(row)).alias("_t"))
+    (t,) = free_names(turns, "_turns")
+    got = turns.groupBy(F.col(id_col).alias(id_col)).agg(F.sort_array(F.collect_list(row)).alias(t))
+    kind, head = f"pmod(xxhash64(cast({id_col} AS string)), 4)" if dict(turns.dtypes)[id_col] == "string" else f"pmod({id_col}, 4)", f"instr({t}[0].text, '\n')"
+    pair = lambda a, b: f"to_json(named_struct('{a}', {t}[0].text, '{b}', {t}[1].text))"
     return got.select(
         id_col,
-        F.expr("""CASE
-          WHEN transform(_t, t -> t.role) = array('user', 'assistant') THEN to_json(named_struct('prompt', _t[0].text, 'response', _t[1].text))
-          WHEN transform(_t, t -> t.role) = array('system', 'user', 'assistant') THEN to_json(named_struct('system', _t[0].text, 'prompt', _t[1].text, 'response', _t[2].text))
-          WHEN size(_t) > 6 THEN to_json(named_struct('conversations', transform(_t, t -> named_struct('from', t.role, 'value', t.text))))
-          ELSE to_json(named_struct('messages', transform(_t, t -> named_struct('role', t.role, 'content', t.text)))) END""").alias("record"),
+        F.expr(f"""CASE
+          WHEN transform({t}, t -> t.role) = array('user', 'assistant') THEN CASE
+            WHEN {head} > 0 AND {head} < length({t}[0].text) THEN to_json(named_struct('instruction', left({t}[0].text, {head} - 1), 'input', substring({t}[0].text, {head} + 1), 'output', {t}[1].text))
+            WHEN {kind} = 0 THEN {pair('prompt', 'response')} WHEN {kind} = 1 THEN {pair('prompt', 'completion')} WHEN {kind} = 2 THEN {pair('question', 'answer')} ELSE {pair('instruction', 'output')} END
+          WHEN transform({t}, t -> t.role) = array('system', 'user', 'assistant') THEN to_json(named_struct('system', {t}[0].text, 'prompt', {t}[1].text, 'response', {t}[2].text))
+          WHEN transform({t}, t -> t.role) = array('user') THEN to_json(named_struct('text', {t}[0].text))
+          WHEN size({t}) > 6 THEN to_json(named_struct('conversations', transform({t}, t -> named_struct('from', t.role, 'value', t.text))))
+          ELSE to_json(named_struct('messages', transform({t}, t -> named_struct('role', t.role, 'content', t.text)))) END""").alias("record"),
     )

@@ -7,23 +7,23 @@ a few dozen rows), and intersected and united by counting; the documents that sa
 with its expression. Rules without a mandatory trigram scan every document.
 
 Spans are code-point offsets with an exclusive end. They come from cutting a text at the matches: the lengths of
-the pieces and of the matches in between give the places, without a function per match.
+the pieces and of the matches in between give the places, without a function per match. So a rule reads a candidate
+twice, and a text is tested once for each of the few dozen trigrams that the index holds.
 
 Edge cases: a null or empty text has no span; rows with equal id and text share postings, and each gets its spans;
-null ids are matched with null ids; an empty table gives an empty table; other columns stay, a column named
-`spans` is replaced.
+null ids are matched with null ids; an empty table gives an empty table; all other columns stay, whatever their
+names, but a column named `spans` is replaced.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pledgelens.llm.common import clean_text
-from pledgelens.llm.native import quoted, starts_sql
+from pledgelens.llm.native import free_names, quoted, starts_sql
 
 try:
     from re import _constants as sre
@@ -133,8 +133,9 @@ def trigram_query(pattern: str, most: int = 48) -> Query:
 
 def trigram_postings(docs: DataFrame, trigrams: list[str], key: list[str], text_col: str) -> DataFrame:
     """(key columns, trigram) for every listed trigram in a text."""
-    held = F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.col("_low"), t))
-    return docs.select(*key, F.lower(F.col(text_col)).alias("_low")).select(*key, F.explode(held).alias("trigram"))
+    low = F.array(F.lower(F.col(text_col)))  # bound once
+    held = F.transform(low, lambda t: F.filter(F.array(*map(F.lit, trigrams)), lambda g: F.contains(t, g)))[0]
+    return docs.select(*key, F.explode(held).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: list[Rule], key: list[str], text_col: str) -> DataFrame | None:
@@ -155,38 +156,36 @@ def candidates(docs: DataFrame, rules: list[Rule], key: list[str], text_col: str
         .agg(F.count_distinct("clause").alias("n"))
         .where("n = clauses")
         .groupBy(*key)
-        .agg(F.collect_set("kind").alias("_kinds"))
+        .agg(F.collect_set("kind").alias("kinds"))
     )
 
 
-def _verify(rows: DataFrame, rule: Rule, text_col: str) -> DataFrame:
-    """Add _spans_<kind>: struct(start, end) of the rule's matches in the texts that are candidates for it."""
-    p, t = quoted(rule.pattern), f"`{text_col}`"
-    free = not trigram_query(rule.pattern)
-    on = f"rlike({t}, {p})" if free else f"array_contains(_kinds, '{rule.kind}') AND rlike({t}, {p})"
-    rows = rows.withColumn("_on", F.expr(f"coalesce({on}, false)"))
-    rows = rows.withColumn("_match", F.expr(f"CASE WHEN _on THEN regexp_extract_all({t}, {p}, 0) ELSE array() END"))
-    rows = rows.withColumn("_gap", F.expr(f"CASE WHEN _on THEN slice(split({t}, {p}, -1), 1, size(_match)) ELSE array() END"))
-    rows = rows.withColumn("_value", F.expr(f"CASE WHEN _on THEN regexp_extract_all({t}, {p}, {rule.value}) ELSE array() END"))
-    rows = rows.withColumn("_len", F.expr("zip_with(_gap, _match, (g, m) -> cast(length(g) + length(m) AS bigint))"))
-    rows = rows.withColumn("_start", F.expr(starts_sql("_len")))
-    spans = f"transform(filter(arrays_zip(_start, _gap, _match, _value), z -> length(z._value) >= {rule.least}), z -> named_struct('start', z._start + length(z._gap), 'end', z._start + length(z._gap) + length(z._match)))"
-    return rows.withColumn(f"_spans_{rule.kind}", F.expr(spans)).drop("_on", "_match", "_gap", "_value", "_len", "_start")
+def _spans_sql(rule: Rule, text: str, kinds: str) -> str:
+    """Array of struct(start, end) of the rule's matches in the texts that are candidates for it."""
+    p = quoted(rule.pattern)
+    value = f"regexp_extract(z.m, {p}, {rule.value})" if rule.value else "z.m"  # a match holds its own groups
+    cut = f"transform(array(regexp_extract_all({text}, {p}, 0)), m -> CASE WHEN size(m) > 0 THEN zip_with(m, slice(split({text}, {p}, -1), 1, size(m)), (x, y) -> named_struct('m', x, 'g', y)) END)[0]"
+    lengths = "transform(c, z -> cast(length(z.g) + length(z.m) AS bigint))"
+    starts = f"transform(array({lengths}), l -> {starts_sql('l')})[0]"
+    places = f"transform(array({cut}), c -> zip_with(c, {starts}, (x, y) -> named_struct('m', x.m, 'start', y + length(x.g))))[0]"
+    spans = f"transform(filter({places}, z -> length({value}) >= {rule.least}), z -> named_struct('start', z.start, 'end', z.start + length(z.m)))"
+    return spans if not trigram_query(rule.pattern) else f"CASE WHEN array_contains({kinds}, '{rule.kind}') THEN {spans} END"
 
 
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
     """Add spans: array of (start, rank, end, kind) in the order of start, then of the rules."""
-    rows = docs.drop("spans").withColumn("_key", F.col(id_col)).withColumn("_body", clean_text(text_col)).withColumn("_hash", F.xxhash64("_body"))
-    found = candidates(rows, rules, ["_key", "_hash"], "_body")
+    docs = docs.drop("spans")
+    key, body, digest, kinds = free_names(docs, "_key", "_body", "_hash", "_kinds")
+    rows = docs.withColumn(key, F.col(id_col)).withColumn(body, clean_text(text_col)).withColumn(digest, F.xxhash64(body))
+    found = candidates(rows, rules, [key, digest], body)
     if found is None:
-        rows = rows.withColumn("_kinds", F.array().cast("array<string>"))
+        rows = rows.withColumn(kinds, F.array().cast("array<string>"))
     else:
-        found = found.withColumnsRenamed({"_key": "_k", "_hash": "_h"})
-        rows = rows.join(found, rows._key.eqNullSafe(found._k) & (rows._hash == found._h), "left").drop("_k", "_h")
-    for rule in rules:
-        rows = _verify(rows, rule, "_body")
-    parts = ", ".join(f"transform(_spans_{r.kind}, s -> named_struct('start', s.start, 'rank', {k}, 'end', s.end, 'kind', '{r.kind}'))" for k, r in enumerate(rules))
-    return rows.withColumn("spans", F.expr(f"array_sort(concat({parts}))")).drop("_key", "_body", "_hash", "_kinds", *(f"_spans_{r.kind}" for r in rules))
+        found = found.select(F.col(key).alias("k"), F.col(digest).alias("h"), F.col("kinds").alias(kinds))
+        rows = rows.join(found, rows[key].eqNullSafe(found.k) & (rows[digest] == found.h), "left").drop(found.k, found.h)
+    none = "cast(array() AS array<struct<start: bigint, end: bigint>>)"
+    parts = ", ".join(f"transform(coalesce({_spans_sql(r, body, kinds)}, {none}), s -> named_struct('start', s.start, 'rank', {k}, 'end', s.end, 'kind', '{r.kind}'))" for k, r in enumerate(rules))
+    return rows.withColumn("spans", F.expr(f"array_sort(concat({parts}))")).select(*docs.columns, "spans")
 
 
 def spans_text(spans: str | Column, kinds: list[str] | None = None) -> Column:
@@ -197,9 +196,18 @@ def spans_text(spans: str | Column, kinds: list[str] | None = None) -> Column:
     return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+#: What an assignment keeps before its value.
+KEPT = KEYWORD + r"""["']?\x20*[:=]\x20*["']?"""
+
+
 def redact(rows: DataFrame, *, text_col: str = "text", spans_col: str = "spans", mark: str = "<secret>") -> DataFrame:
-    """Replace the secret part of every match in the texts that have spans; an assignment keeps its keyword."""
-    c = F.regexp_replace(text_col, RULES[0].pattern.replace("(" + VALUE + "+)", "").replace(KEYWORD, "(" + KEYWORD) + f")(?={VALUE}{{6}}){VALUE}+", "$1" + re.sub(r"([\\$])", r"\\\1", mark))
-    for rule in RULES[1:]:
-        c = F.regexp_replace(c, rule.pattern.replace("[A-Z0-9]+", "[A-Z0-9]{16,}"), mark)
-    return rows.withColumn(text_col, F.when(F.size(spans_col) > 0, c).otherwise(F.col(text_col)))
+    """Replace the spans of each text by a mark; an assignment keeps its keyword, spans that touch one another share a mark.
+
+    The text is cut at the spans, in their order; a text of n characters with m spans costs about n * m steps.
+    """
+    t, s = f"coalesce(`{text_col}`, '')", f"`{spans_col}`"
+    cut = f"substring({t}, cast(s.at + 1 AS int), cast(x.start - s.at AS int))"
+    kept = f"CASE WHEN x.kind = {quoted(RULES[0].kind)} THEN regexp_extract(substring({t}, cast(x.start + 1 AS int), cast(x.end - x.start AS int)), {quoted('^' + KEPT)}, 0) ELSE '' END"
+    step = f"CASE WHEN x.start >= s.at THEN named_struct('at', x.end, 'out', concat(s.out, array({cut}, {kept}, {quoted(mark)}))) ELSE named_struct('at', greatest(s.at, x.end), 'out', s.out) END"
+    text = f"aggregate({s}, named_struct('at', 0L, 'out', cast(array() AS array<string>)), (s, x) -> {step}, s -> concat(array_join(s.out, ''), substring({t}, cast(s.at + 1 AS int))))"
+    return rows.withColumn(text_col, F.expr(f"CASE WHEN size({s}) > 0 THEN {text} ELSE `{text_col}` END"))
