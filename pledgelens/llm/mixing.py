@@ -1,104 +1,124 @@
 """Mixing sources to target weights by soft membership; all in Spark SQL.
 
-A labelled table gives some documents a domain. A naive Bayes classifier over marker tokens (the tokens that tell
-the domains apart best, chosen on a bounded sample of `max_docs` labelled documents) predicts every document's
-domain posteriors, rounded to thousandths. Non-negative rates, one for each document, are then fitted by projected
+A labelled table gives some documents a domain. A naive Bayes classifier (each token there or not) predicts every
+document's domain posteriors: it is fitted on a bounded sample of `max_docs` labelled documents and holds the log odds of
+every token that tells a domain apart from the rest beyond chance (a two-proportion z test at `sure` deviations, any
+number of tokens). Texts are cut into tokens once; a token is looked up by its hash in a table of slots, the slot's
+tokens are compared letter for letter. Posteriors are rounded to thousandths, so that equal ones can be summed.
+
+Non-negative rates, one for each document, are then fitted by projected
 gradient steps on least squares, so that the expected token totals of the domains, the sums of
 rate * tokens * posterior, match the targets: sum over domains of (total - target)**2 / target, with a small ridge
-towards rate 1. Gradients are taken in the metric weighted by tokens, in which a document's rate depends on its
+towards rate 1; `most` bounds the rates from above as well. Gradients are taken in the metric weighted by tokens, in
+which a document's rate depends on its
 posteriors alone; so the corpus is summed once to a row for each different posterior vector, each step is one
 aggregate of a few numbers over these rows, and a document's rate is a fold over the steps' residuals.
 
-Edge cases: a null or empty text has no token and the posteriors of a text without markers; a null label is no
+Edge cases: a null or empty text has no token and the posteriors of a text without known tokens; a null label is no
 label; of several labels of an id the largest domain number counts; without labels all domains are equally likely;
-a domain that has no document keeps its target unmet; an empty table gives an empty table; other columns stay,
-columns named like results are replaced.
+a domain that has no document keeps its target unmet; an empty table gives an empty table; all other columns stay,
+whatever their names, but columns named like results are replaced.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pledgelens.llm.common import clean_text, materialise
+from pledgelens.llm.native import free_names, quoted
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-MARKER = "[\\p{L}0-9]+|[^\\p{L}0-9\\s]+"
+#: Marks that become blanks before a text is cut into tokens.
+MARKS = "\t\n\x0b\x0c\r.,;:!?\"'()[]{}<>"
 
 
 @dataclass(frozen=True)
 class DomainModel:
-    """log prior and log odds: the score of domain k is base[k] + the sum of gain[k][i] over the markers i in the text."""
+    """The score of domain k is base[k] + the sum of gain[token][k] over the model's different tokens in the text."""
 
     domains: list[str]
-    markers: list[str]
     base: list[float]
-    gain: list[list[float]]
+    gain: dict[str, list[float]] = field(default_factory=dict)
 
 
-def _held(body: str | Column, markers: list[str]) -> Column:
-    """Places of the markers that the lower-cased text contains."""
-    # the text is bound once, as an array of one, so that it isn't lower-cased anew for each marker
-    text = F.array(F.col(body) if isinstance(body, str) else body)
-    return F.transform(text, lambda t: F.filter(F.transform(F.array(*map(F.lit, markers)), lambda m, i: F.when(F.contains(t, m), i)), lambda i: i.isNotNull()))[0]
+def tokens_of(text: str | Column) -> Column:
+    """Lower-case tokens of a text; marks and white space part them."""
+    return F.split(F.translate(F.lower(clean_text(text)), MARKS, " " * len(MARKS)), " ")
 
 
-def fit_domains(docs: DataFrame, domain_of: DataFrame, domains: list[str], *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 16_000, per_domain: int = 16, least: int = 3, lift: float = 3.0) -> DomainModel:
-    """domain_of: (id, domain number). The sample is the `max_docs` labelled ids that hash lowest. A marker is in at least `least` of its domain's, and `lift` times as common there."""
+def fit_domains(docs: DataFrame, domain_of: DataFrame, domains: list[str], *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 16_000, least: int = 3, sure: float = 4.0) -> DomainModel:
+    """domain_of: (id, domain number). The sample is the `max_docs` labelled ids that hash lowest; a token is in at least `least` documents of a domain."""
     ids = domain_of.where(F.col(id_col).isNotNull() & F.col("domain").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("domain").alias("domain"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(max_docs)
-    sample = docs.select(F.col(id_col).alias("id"), F.lower(clean_text(text_col)).alias("low")).join(F.broadcast(ids), "id").select("id", "domain", "low")
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(F.broadcast(ids), "id").select("domain", F.array_distinct(tokens_of("body")).alias("tokens"))
     n = len(domains)
-    size = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
-    total = sum(size.values())
-    tokens = sample.select("id", "domain", F.explode(F.regexp_extract_all("low", F.lit(MARKER), F.lit(0))).alias("token")).distinct()
-    tokens = tokens.where("length(token) between 2 and 40 or token rlike '^[^\\\\p{L}0-9]'")
-    table = tokens.groupBy("token").agg(*(F.count_if(F.col("domain") == k).alias(f"n{k}") for k in range(n)))
-    markers: list[str] = []
-    largest = max(range(n), key=lambda k: size.get(k, 0))
-    for k in (k for k in range(n) if k != largest):  # a text without markers is the largest domain's
-        own = (F.col(f"n{k}") + 0.5) / (size.get(k, 0) + 1)
-        rest = (sum(F.col(f"n{j}") for j in range(n) if j != k) + 0.5) / (total - size.get(k, 0) + 1)
-        best = table.where((F.col(f"n{k}") >= least) & (own > lift * rest)).orderBy(F.desc(F.round(own * F.log(own / rest), 9)), "token").limit(4 * per_domain).collect()
-        own_markers: list[str] = []
-        for r in best:  # a token that contains a marker tells nothing more
-            if len(own_markers) < per_domain and not any(m in r.token for m in markers + own_markers):
-                own_markers.append(r.token)
-        markers += own_markers
-    if not markers:
-        return DomainModel(domains, [], [0.0] * n, [[] for _ in domains])
-    seen = {(r.domain, r.i): r["count"] for r in sample.select("domain", F.explode(_held("low", markers)).alias("i")).groupBy("domain", "i").count().collect()}
-    base, gain = [], []
+    seen = materialise(sample.select("domain", F.explode("tokens").alias("token")).where("token <> ''").groupBy("token").agg(*(F.count_if(F.col("domain") == k).alias(f"n{k}") for k in range(n))))
+    count = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
+    size = [count.get(k, 0) for k in range(n)]
+    total = sum(size)
+    base = [float(np.log((size[k] + 1) / (total + n))) for k in range(n)]
+    if not total:
+        return DomainModel(domains, [0.0] * n)
+    tell = F.lit(False)
     for k in range(n):
-        p = (np.array([seen.get((k, i), 0) for i in range(len(markers))]) + 0.5) / (size.get(k, 0) + 1)
-        base.append(float(np.log((size.get(k, 0) + 1) / (total + n)) + np.log(1 - p).sum()))
-        gain.append((np.log(p) - np.log(1 - p)).tolist())
-    return DomainModel(domains, markers, base, gain)
+        rest = total - size[k]
+        if not size[k] or not rest:
+            continue
+        inside, outside = F.col(f"n{k}"), sum((F.col(f"n{j}") for j in range(n) if j != k), F.lit(0))
+        p = (inside + outside + 1) / (total + 2)
+        z = (inside / size[k] - outside / rest) / F.sqrt(p * (1 - p) * (1 / size[k] + 1 / rest))
+        tell = tell | ((inside >= least) & (z >= sure))
+    gain = {}
+    for r in seen.where(tell).collect():  # at most the sample's own tokens
+        p = np.array([(r[f"n{k}"] + 0.5) / (size[k] + 1) for k in range(n)])
+        base = [float(b + x) for b, x in zip(base, np.log(1 - p))]
+        gain[r.token] = (np.log(p) - np.log(1 - p)).tolist()
+    return DomainModel(domains, base, gain)
+
+
+def _slots_sql(model: DomainModel) -> tuple[str, int]:
+    """The model's tokens as a literal array of slots, each an array of (token, gains), and the number of slots."""
+    size = 1 << max(4, (2 * len(model.gain)).bit_length())
+    held: list[list[str]] = [[] for _ in range(size)]
+    for token, gain in sorted(model.gain.items()):
+        held[zlib.crc32(token.encode()) % size].append(f"named_struct('t', {quoted(token)}, 'g', array({', '.join(f'{x!r}D' for x in gain)}))")
+    none = "cast(array() AS array<struct<t: string, g: array<double>>>)"
+    return "array(" + ", ".join(f"array({', '.join(x)})" if x else none for x in held) + ")", size
 
 
 def add_posteriors(docs: DataFrame, model: DomainModel, *, text_col: str = "text") -> DataFrame:
-    """Add tokens (long) and posteriors (array, a thousandth's steps)."""
+    """Add tokens (long, words between white space) and posteriors (array, a thousandth's steps)."""
     n = len(model.domains)
-    rows = docs.drop("tokens", "posteriors").withColumn("tokens", F.regexp_count(clean_text(text_col), F.lit(WORD)).cast("long"))
-    if not model.markers:
-        return rows.withColumn("posteriors", F.array(*[F.lit(round(1 / n, 3))] * n))
-    rows = rows.withColumn("_held", _held(F.lower(clean_text(text_col)), model.markers))
-    arrays = [f"array({', '.join(f'{x!r}D' for x in g)})" for g in model.gain]
-    rows = rows.withColumn("_score", F.expr("array(" + ", ".join(f"aggregate(_held, {b!r}D, (s, i) -> s + {g}[i])" for b, g in zip(model.base, arrays)) + ")"))
-    rows = rows.withColumn("_odds", F.expr("transform(_score, x -> exp(x - array_max(_score)))"))
-    return rows.withColumn("posteriors", F.expr("transform(_odds, x -> round(x / aggregate(_odds, 0D, (s, y) -> s + y), 3))")).drop("_held", "_score", "_odds")
-
-
-def _rate(steps: list[list[float]], eta: float, ridge: float) -> Column:
-    """A document's rate after the steps' scaled residuals: a fold over them."""
+    rows = docs.drop("tokens", "posteriors")
+    cut, found, score, odds = free_names(rows, "_cut", "_found", "_score", "_odds")
+    made = rows.withColumn("tokens", F.regexp_count(clean_text(text_col), F.lit(WORD)).cast("long"))
+    if model.gain:
+        slots, size = _slots_sql(model)
+        made = made.withColumn(cut, tokens_of(text_col))
+        # the tokens that the model has, each once, with their gains
+        look = f"transform(filter({cut}, t -> exists({slots}[cast(crc32(cast(t AS binary)) % {size} AS int)], e -> e.t = t)), t -> filter({slots}[cast(crc32(cast(t AS binary)) % {size} AS int)], e -> e.t = t)[0])"
+        made = made.withColumn(found, F.expr(f"array_distinct({look})"))
+        made = made.withColumn(score, F.expr("array(" + ", ".join(f"aggregate({found}, {b!r}D, (s, e) -> s + e.g[{k}])" for k, b in enumerate(model.base)) + ")"))
+    else:
+        made = made.withColumn(score, F.expr("array(" + ", ".join(f"{b!r}D" for b in model.base) + ")"))
+    made = made.withColumn(odds, F.expr(f"transform({score}, x -> exp(x - array_max({score})))"))
+    made = made.withColumn("posteriors", F.expr(f"transform({odds}, x -> round(x / aggregate({odds}, 0D, (s, y) -> s + y), 3))"))
+    return made.select(*rows.columns, "tokens", "posteriors")
+
+
+def _rate(steps: list[list[float]], eta: float, ridge: float, most: float | None) -> Column:
+    """A document's rate after the steps' scaled residuals: a fold over them, each step projected on [0, most]."""
     if not steps:
         return F.lit(1.0)
     held = "array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in s) + ")" for s in steps) + ")"
     dot = "aggregate(zip_with(posteriors, g, (p, x) -> p * x), 0D, (s, x) -> s + x)"
-    return F.expr(f"aggregate({held}, 1D, (r, g) -> greatest(0D, r - {eta!r}D * ({dot} + {ridge!r}D * (r - 1D))))")
+    moved = f"greatest(0D, r - {eta!r}D * ({dot} + {ridge!r}D * (r - 1D)))"
+    return F.expr(f"aggregate({held}, 1D, (r, g) -> {moved if most is None else f'least({most!r}D, {moved})'})")
 
 
 @dataclass(frozen=True)
@@ -108,16 +128,17 @@ class Mixture:
     ridge: float
     targets: list[float]
     reached: list[float]
+    most: float | None = None
 
 
-def fit_rates(rows: DataFrame, weights: list[float], *, total: float | None = None, spare: float = 1.0, ridge: float = 1e-3, max_steps: int = 60, close: float = 1e-3) -> Mixture:
-    """rows: tokens and posteriors. weights: the domains' shares of `total` tokens; by default the total at which the domain of the largest weight is used once, times `spare`."""
+def fit_rates(rows: DataFrame, weights: list[float], *, total: float | None = None, spare: float = 1.0, ridge: float = 1e-3, max_steps: int = 60, close: float = 1e-3, most: float | None = None) -> Mixture:
+    """rows: tokens and posteriors. weights: the domains' shares of `total` tokens; by default the total at which the domain of the largest weight is used once, times `spare`. `most`: the largest rate."""
     n = len(weights)
     cells = materialise(rows.groupBy("posteriors").agg(F.sum("tokens").cast("double").alias("tokens")))
     moments = cells.agg(F.sum("tokens").alias("t"), *(F.sum(F.col("tokens") * F.col("posteriors")[i] * F.col("posteriors")[j]).alias(f"m{i}_{j}") for i in range(n) for j in range(i, n)), *(F.sum(F.col("tokens") * F.col("posteriors")[k]).alias(f"e{k}") for k in range(n))).first()
     all_tokens = moments.t or 0.0
     if not all_tokens:
-        return Mixture([], 0.0, ridge, [0.0] * n, [0.0] * n)
+        return Mixture([], 0.0, ridge, [0.0] * n, [0.0] * n, most)
     w = np.array(weights, float) / sum(weights)
     natural = np.array([moments[f"e{k}"] for k in range(n)])
     main = int(w.argmax())
@@ -131,16 +152,17 @@ def fit_rates(rows: DataFrame, weights: list[float], *, total: float | None = No
         if np.abs(reached - goal).max() <= close * all_tokens:
             break
         steps.append([float(x) for x in (reached - goal) * scale])
-        got = cells.withColumn("rate", _rate(steps, eta, ridge)).agg(*(F.sum(F.col("tokens") * F.col("rate") * F.col("posteriors")[k]).alias(f"e{k}") for k in range(n))).first()
+        got = cells.withColumn("rate", _rate(steps, eta, ridge, most)).agg(*(F.sum(F.col("tokens") * F.col("rate") * F.col("posteriors")[k]).alias(f"e{k}") for k in range(n))).first()
         reached = np.array([got[f"e{k}"] for k in range(n)])
-    return Mixture(steps, eta, ridge, goal.tolist(), reached.tolist())
+    return Mixture(steps, eta, ridge, goal.tolist(), reached.tolist(), most)
 
 
 def add_rates(rows: DataFrame, mixture: Mixture) -> DataFrame:
     """Add rate (double) to rows with posteriors."""
-    return rows.drop("rate").withColumn("rate", _rate(mixture.steps, mixture.eta, mixture.ridge))
+    return rows.drop("rate").withColumn("rate", _rate(mixture.steps, mixture.eta, mixture.ridge, mixture.most))
 
 
+#: The domains and weights of the test data's marks; any others go through the parameters.
 DOMAINS = ["clean", "low", "toxic"]
 WEIGHTS = [0.94, 0.03, 0.03]
 
@@ -150,19 +172,21 @@ def label_domains(labels: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     return labels.select(id_col, F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0).alias("domain"))
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, *, weights: list[float] = WEIGHTS, spare: float = 1.0) -> tuple[DataFrame, Mixture]:
-    """Documents with tokens, posteriors and rate, and the fitted mixture."""
-    model = fit_domains(docs, label_domains(labels), DOMAINS)
-    rows = add_posteriors(docs, model)
-    held = materialise(rows.drop("text") if "text" in rows.columns else rows)
-    mixture = fit_rates(held, weights, spare=spare)
+def mix_documents(docs: DataFrame, domain_of: DataFrame, *, domains: list[str] = DOMAINS, weights: list[float] = WEIGHTS, spare: float = 1.0, most: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Mixture]:
+    """Documents without their texts, with tokens, posteriors and rate, and the fitted mixture. domain_of: (id, domain number)."""
+    model = fit_domains(docs, domain_of, domains, id_col=id_col, text_col=text_col)
+    held = materialise(add_posteriors(docs, model, text_col=text_col).drop(text_col))
+    mixture = fit_rates(held, weights, spare=spare, most=most)
     return add_rates(held, mixture), mixture
 
 
-def keep_by_rate(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", weights: list[float] = WEIGHTS, spare: float = 1.2) -> DataFrame:
-    """The documents whose hash, as a share of its range, is under their rate; no document is repeated."""
-    model = fit_domains(docs, label_domains(labels), DOMAINS, id_col=id_col, text_col=text_col)
-    rows = materialise(add_posteriors(docs, model, text_col=text_col))
-    mixture = fit_rates(rows, weights, spare=spare)
-    chance = F.pmod(F.xxhash64(F.col(id_col), clean_text(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    return add_rates(rows, mixture).where(chance < F.col("rate")).select(*docs.columns)
+def keep_by_rate(docs: DataFrame, domain_of: DataFrame, *, domains: list[str] = DOMAINS, weights: list[float] = WEIGHTS, spare: float = 1.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents whose hash, as a share of its range, is under their rate. Rates are fitted within 0 and 1, since no document is repeated."""
+    model = fit_domains(docs, domain_of, domains, id_col=id_col, text_col=text_col)
+    own = free_names(docs.drop("tokens", "posteriors", "rate"), *(f"_own{i}" for i in range(len(docs.columns))))
+    names = dict(zip(docs.columns, own))  # the caller's columns, whatever their names
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    rows = materialise(add_posteriors(rows, model, text_col=names[text_col]))
+    mixture = fit_rates(rows, weights, spare=spare, most=1.0)
+    chance = F.pmod(F.xxhash64(F.col(names[id_col]), clean_text(names[text_col])), F.lit(1 << 30)) / float(1 << 30)
+    return add_rates(rows, mixture).where(chance < F.col("rate")).select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from pledgelens.llm.chat import canonical_turns, format_chat, gather_records, loss_text_sql, parse_chat
 from pledgelens.llm.edit_walk import compare_next
 from pledgelens.llm.minhash import near_duplicates
-from pledgelens.llm.mixing import DOMAINS, mix_documents
+from pledgelens.llm.mixing import DOMAINS, label_domains, mix_documents
 from pledgelens.llm.oracles import ORACLES
 from pledgelens.llm.pieces import piece_digests
 from pledgelens.llm.quality import fit_quality, score_quality
 from pledgelens.llm.secrets import BASE, find_secrets, spans_text
-
 from pledgelens.llm.suffix_dedup import remove_repeats
 from pledgelens.llm.suffix_tree import score_texts
 from pledgelens.llm.topk import top_k
@@ -81,8 +80,11 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return rows.select("doc_id", "tokens", *(F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), F.round("rate", 6).alias("rate"))
+    """Rates, with the domains' target totals and what the rates reach (tokens)."""
+    rows, mixture = mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), label_domains(table(spark, sf_dir, "labels")))
+    posteriors = [F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
+    totals = [F.lit(x[k]).alias(f"{n}_{d}") for n, x in (("target", mixture.targets), ("reached", mixture.reached)) for k, d in enumerate(DOMAINS)]
+    return rows.select("doc_id", "tokens", *posteriors, F.round("rate", 6).alias("rate"), *totals)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

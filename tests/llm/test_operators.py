@@ -19,7 +19,7 @@ from pledgelens.llm.chat import canonical_turns, format_chat, gather_records, lo
 from pledgelens.llm.common import utf8, word_spans
 from pledgelens.llm.edit_walk import compare_next, edit_distance, edit_near_pairs, edited, likeness, walk
 from pledgelens.llm.minhash import dart_signatures, keep_one, near_duplicates
-from pledgelens.llm.mixing import add_posteriors, add_rates, fit_domains, fit_rates, keep_by_rate
+from pledgelens.llm.mixing import add_posteriors, add_rates, fit_domains, fit_rates, keep_by_rate, label_domains
 from pledgelens.llm.pieces import Vocabulary, decode_slice, encode_pieces, encode_slice
 from pledgelens.llm.quality import fit_quality, score_quality
 from pledgelens.llm.secrets import RULES, find_secrets, redact, trigram_query
@@ -398,10 +398,37 @@ def test_mixture_meets_its_targets(spark):
     assert add_posteriors(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("most", [None, 1.0])
+def test_rates_against_another_solver(spark, most):
+    """Cyclic coordinate descent over all documents' rates on the same least squares, within the same bounds."""
+    rnd = random.Random(2)
+    rows = [(rnd.randrange(1, 60), p) for p in ([1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.1, 0.2, 0.7], [0.5, 0.5, 0.0], [0.0, 0.0, 1.0]) for _ in range(8)]
+    m = fit_rates(spark.createDataFrame(rows, "tokens long, posteriors array<double>"), [0.5, 0.2, 0.3], total=900.0, close=1e-4, max_steps=80, most=most)
+    t, p, goal = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows]), np.array([450.0, 180.0, 270.0])
+    rate, ridge = np.ones(len(t)), m.ridge
+    for _ in range(4000):
+        for i in range(len(t)):
+            rest = (rate * t) @ p - rate[i] * t[i] * p[i]
+            # least squares in the token metric: each document's ridge weighs its tokens
+            a, b = t[i] * (p[i] ** 2 / goal).sum() + ridge, (p[i] * (goal - rest) / goal).sum() + ridge
+            rate[i] = min(max(b / a, 0), np.inf if most is None else most)
+    want = (rate * t) @ p
+    assert np.allclose(m.targets, goal) and np.allclose(m.reached, want, rtol=0.01, atol=2)
+
+
+def test_domain_tokens_are_whole_words(spark):
+    rows = [(i, "a prudent plan" if i % 2 else "how rude, indeed") for i in range(200)] + [(900, "PRUDENT!"), (901, "Rude"), (902, None)]
+    docs = spark.createDataFrame(rows, DOC)
+    model = fit_domains(docs, spark.createDataFrame([(i, 1 - i % 2) for i in range(100)], "doc_id long, domain int"), ["clean", "rude"])
+    assert {"rude", "prudent"} <= set(model.gain)
+    got = {r.doc_id: r.posteriors for r in add_posteriors(docs, model).collect()}
+    assert got[901][1] > got[902][1] > got[900][1]
+
+
 def test_rates_keep_clean_documents(spark):
     sf = "/root/testdata/sf0.01"  # a few hundred labels, so that markers can be told from chance
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    kept = keep_by_rate(docs, labels)
+    kept = keep_by_rate(docs, label_domains(labels))
     assert kept.columns == docs.columns
     clean = labels.where("quality = 1 AND toxic = 0")
     assert kept.join(clean, "doc_id").count() >= 0.9 * clean.count()
