@@ -68,9 +68,9 @@ FROM d LEFT JOIN g USING (rid)"""
 NEAR = """
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 n AS (SELECT array_to_string(w, ' ') AS words, any_value(w) AS w, min(doc_id) AS node FROM d GROUP BY 1),
-s AS (SELECT DISTINCT node, unnest(CASE WHEN len(w) < 5 THEN CASE WHEN len(w) = 0 THEN [] ELSE [words] END ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS x FROM n),
-c AS (SELECT node, count(*) AS n FROM s GROUP BY 1),
-e AS (SELECT p.a, p.b FROM (SELECT s.node AS a, t.node AS b, count(*) AS shared FROM s JOIN s t ON s.x = t.x AND s.node < t.node GROUP BY 1, 2) p JOIN c ca ON ca.node = p.a JOIN c cb ON cb.node = p.b WHERE shared >= 0.8 * (ca.n + cb.n - shared)),
+s AS (SELECT node, x, count(*) AS k FROM (SELECT node, unnest(CASE WHEN len(w) < 5 THEN CASE WHEN len(w) = 0 THEN [] ELSE [words] END ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS x FROM n) GROUP BY 1, 2),
+c AS (SELECT node, sum(k) AS n FROM s GROUP BY 1),
+e AS (SELECT p.a, p.b FROM (SELECT s.node AS a, t.node AS b, sum(least(s.k, t.k)) AS shared FROM s JOIN s t ON s.x = t.x AND s.node < t.node GROUP BY 1, 2) p JOIN c ca ON ca.node = p.a JOIN c cb ON cb.node = p.b WHERE shared >= 0.8 * (ca.n + cb.n - shared)),
 l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen),
 m AS (SELECT node, min(seen) AS class_id FROM r GROUP BY 1)

@@ -437,13 +437,22 @@ def test_rates_keep_clean_documents(spark):
 # ---- near duplicates ----
 
 
-def shingles(t):
+WEIGHT = {"set": lambda n: 1.0, "tf": float, "log": lambda n: 1 + math.log(n)}
+
+
+def shingles(t, weights="tf"):
     w = t.lower().split()
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    every = collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
+    return {k: WEIGHT[weights](n) for k, n in every.items()}
+
+
+def likeness_of(a, b):
+    both = sum(min(x, b[k]) for k, x in a.items() if k in b)
+    return both / (sum(a.values()) + sum(b.values()) - both) if a or b else 1.0
 
 
-def brute_classes(rows, threshold=0.8):
-    sets = [shingles(t or "") for _, t in rows]
+def brute_classes(rows, threshold=0.8, weights="tf"):
+    sets = [shingles(t or "", weights) for _, t in rows]
     up = list(range(len(rows)))
 
     def find(a):
@@ -452,8 +461,7 @@ def brute_classes(rows, threshold=0.8):
         return a
 
     for a, b in itertools.combinations(range(len(rows)), 2):
-        both = len(sets[a] & sets[b])
-        if sets[a] == sets[b] or both >= threshold * (len(sets[a]) + len(sets[b]) - both) > 0:
+        if likeness_of(sets[a], sets[b]) >= threshold - 1e-9:
             up[find(a)] = find(b)
     groups = collections.defaultdict(list)
     for k, (i, _) in enumerate(rows):
@@ -472,21 +480,45 @@ def test_near_duplicates_against_brute_force(spark):
             for _ in range(rnd.randint(0, 4)):
                 w[rnd.randrange(len(w))] = word()
             rows.append((100 * g + len(rows), " ".join(w).capitalize()))
-    got = near_duplicates(spark.createDataFrame(rows, DOC)).collect()
-    assert sorted((str(r.doc_id), r.class_id) for r in got) == brute_classes(rows)
+    rows += [(5000 + k, "very often " * 40 + " ".join(word() for _ in range(12)) * (k % 3)) for k in range(9)]
+    for weights in WEIGHT:
+        got = near_duplicates(spark.createDataFrame(rows, DOC), weights=weights).collect()
+        assert sorted((str(r.doc_id), r.class_id) for r in got) == brute_classes(rows, weights=weights)
     kept = keep_one(spark.createDataFrame(rows, DOC)).collect()
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c in brute_classes(rows)})
     assert sorted(r.text for r in keep_one(spark.createDataFrame([(None, "x y"), (None, "z"), (None, "z")], DOC)).collect()) == ["x y", "z"]
     assert near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
 
-def test_dart_signatures_estimate_similarity():
+def test_near_duplicates_find_planted_links(spark):
+    """Every pair at 0.8 or more among the documents of sf0.001, by brute force over shared shingles."""
+    rows = [tuple(r) for r in table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.comp for r in near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    sets = {i: shingles(t or "") for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a].keys() & sets[b].keys() and likeness_of(sets[a], sets[b]) >= 0.8]
+    assert len(links) > 10 and sum(got[a] == got[b] for a, b in links) >= 0.999 * len(links)
+
+
+@pytest.mark.parametrize("kind", ["one", "whole", "real"])
+def test_dart_signatures_estimate_weighted_similarity(kind):
     rng = np.random.default_rng(1)
-    a, b = rng.integers(1, 2**63, 400, dtype=np.uint64), rng.integers(1, 2**63, 400, dtype=np.uint64)
-    one, two = np.sort(a), np.sort(np.r_[a[:300], b[:100]])
+    pool = rng.integers(1, 2**63, 500, dtype=np.uint64)
+    make = {"one": lambda n: np.ones(n), "whole": lambda n: rng.integers(1, 30, n).astype(float), "real": lambda n: rng.exponential(3.0, n) + 0.05}[kind]
+    sets = [dict(zip(pool[:400].tolist(), make(400))), dict(zip(pool[100:].tolist(), make(400)))]
+    for k in list(sets[0])[200:]:
+        if k in sets[1]:
+            sets[1][k] = sets[0][k]
     row = np.repeat([0, 1, 2], [400, 400, 1])
-    s = dart_signatures(row, np.r_[one, two, a[:1]], 4, 2048)
-    assert abs((s[0] == s[1]).mean() - 300 / 500) < 0.05 and (s[2] != 0).all() and (s[3] == 0).all()
+    shingle = np.array([*sorted(sets[0]), *sorted(sets[1]), int(pool[0])], np.uint64)
+    weight = np.array([*(sets[0][k] for k in sorted(sets[0])), *(sets[1][k] for k in sorted(sets[1])), 0.3])
+    s = dart_signatures(row, shingle, weight, 4, 4096)
+    assert abs((s[0] == s[1]).mean() - likeness_of(*sets)) < 0.04
+    assert (s[2] != 0).all() and (s[3] == 0).all()
+
+
+def test_keep_one_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", "t", "i"), (2, "a b c", "t", "i")], DOC + ", _text_key string, kept_id string")
+    assert [tuple(r) for r in keep_one(df).collect()] == [(1, "a b c", "t", "i")]
 
 
 def test_word_spans_stop_at_rows():
