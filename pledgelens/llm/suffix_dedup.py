@@ -10,16 +10,21 @@ compared are settled before the sort, without loss:
    context occurs again is repeated as a whole; one whose core occurs in no other context has no other repeats; of
    each context of a core that occurs in several, one unit goes on.
 2. These are dealt again by cores of 185 bytes, 16 windows each.
-3. What is left (windows where two contexts begin to differ) is sorted: each task sorts its suffixes into runs and
-   drops a run's repeats, the runs are sent front-coded (the length of the prefix shared with the suffix before, the
-   rest of the first 32 bytes, and a hash of the other bytes), and a loser tree merges them. It keeps each
-   run's common prefix with the last suffix that went out, and compares bytes only behind it.
+3. What is left (windows where two contexts begin to differ) is sorted: each task sorts its suffixes, whole, into runs
+   and drops a run's repeats. Splitters from a hashed sample of the suffixes cut all runs into the same key ranges, so
+   the ranges in order hold all suffixes in order. A range's runs are sent front-coded (the length of the prefix shared with the
+   suffix before, and the other bytes), and a loser tree merges them. It keeps each run's common prefix with the last
+   suffix that went out, compares bytes only behind it, and a suffix is a repeat where that prefix is the whole of it.
 
 A core with many contexts in one slice sends two of them as evidence and takes the others on to the next step, and
-repeats within a run are sent once, so a passage that a third of the documents share puts no load on one task.
+repeats within a slice or run are sent once, so a passage that a third of the documents share puts no load on one task.
+Repeated rows have one key; what is found of a key is kept once.
+
+Steps 1 and 2 settle a window as a repeat by two equal 64-bit hashes (core and whole context), step 3 by its bytes.
 
 Edge cases: null and empty texts have no byte; texts shorter than `length` keep all; repeated rows repeat each
-other's strings; windows never cross documents; an empty table gives an empty table.
+other's strings; windows never cross documents; columns besides id and text don't matter; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -35,7 +40,8 @@ from pledgelens.llm.common import RollingHash, by_value, clean_text, materialise
 
 by_value(__name__)
 
-GRAM, WIDE, NARROW, HEAD, EVIDENCE = 16, 92, 16, 32, 64
+GRAM, WIDE, NARROW, EVIDENCE = 16, 92, 16, 64
+SPLIT, SAMPLES, MOST_PARTS = 16, 64, 4096  # bytes of a splitter, samples for each range, key ranges at most
 UNIT = np.dtype([("core", "<u8"), ("whole", "<u8"), ("key", "<i8"), ("lo", "<i4"), ("size", "u1"), ("top", "u1"), ("again", "u1")])
 MARK, OPEN = 0, 1
 
@@ -106,6 +112,8 @@ def _deal(units: np.ndarray, buckets: int) -> pa.RecordBatch:
     at = np.flatnonzero(new)
     times = np.diff(np.r_[at, len(units)])
     rest = units[~new]  # repeats of a context within the slice
+    rest = rest[np.lexsort((rest["lo"], rest["key"]))]  # those of repeated rows once
+    rest = rest[np.r_[True, (rest["key"][1:] != rest["key"][:-1]) | (rest["lo"][1:] != rest["lo"][:-1])]] if len(rest) else rest
     first = units[at]
     first["again"] = times > 1
     core = np.cumsum(new_core[at]) - 1
@@ -164,51 +172,59 @@ def _settle(group: pa.Table) -> pa.Table:
 RUN_WINDOWS = 1 << 16
 
 
-def sorted_run(windows: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Heads (HEAD bytes) and hashes of the other bytes, sorted; per suffix whether it repeats the one before; its key and place."""
-    if not len(windows):
-        return np.zeros((0, HEAD), np.uint8), np.zeros(0, np.uint64), np.zeros(0, bool), key, place
-    heads = np.ascontiguousarray(windows[:, :HEAD])
-    n, rest = windows.shape[1] - HEAD, np.ascontiguousarray(windows[:, HEAD:])
-    roll = RollingHash(rest.ravel())
-    tail = roll.of(np.arange(len(rest)) * n, (np.arange(len(rest)) + 1) * n) if n else np.zeros(len(rest), np.uint64)
-    words = heads.view(">u8").reshape(len(heads), -1)
-    order = np.lexsort((tail, *(words[:, c] for c in range(words.shape[1] - 1, -1, -1))))
-    heads, tail = heads[order], tail[order]
-    same = np.r_[False, (heads[1:] == heads[:-1]).all(axis=1) & (tail[1:] == tail[:-1])] if len(heads) else np.zeros(0, bool)
-    return heads, tail, same, key[order], place[order]
-
-
-def front_code(heads: np.ndarray, tail: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Shared prefix lengths, the heads' bytes behind them, and the hashes."""
-    if not len(heads):
-        return b"", b"", b""
-    differs = heads[1:] != heads[:-1]
-    shared = np.r_[0, np.where(differs.any(axis=1), differs.argmax(axis=1), HEAD)]
-    keep = np.arange(HEAD)[None, :] >= shared[:, None]
-    return shared.astype(np.uint8).tobytes(), heads[keep].tobytes(), tail.astype("<u8").tobytes()
+def sorted_run(windows: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes in order, what each shares with the one before (bytes), their keys and places."""
+    n, length = windows.shape
+    if not n:
+        return windows, np.zeros(0, np.int64), key, place
+    words = -(-length // 8)
+    padded = np.zeros((n, words * 8), np.uint8)
+    padded[:, :length] = windows
+    big = padded.view(">u8")
+    order = np.lexsort((big[:, 1], big[:, 0])) if words > 1 else np.argsort(big[:, 0], kind="stable")
+    # rows that agree in the first words are few; they are put in order among themselves by all their bytes
+    same = (big[order][1:, : min(2, words)] == big[order][:-1, : min(2, words)]).all(axis=1)
+    edge = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8)))
+    for a, b in zip(edge[::2], edge[1::2] + 1):
+        part = order[a:b]
+        order[a:b] = part[np.lexsort(big[part][:, ::-1].T)]
+    windows = windows[order]
+    differs = windows[1:] != windows[:-1]
+    shared = np.r_[0, np.where(differs.any(axis=1), differs.argmax(axis=1), length)]
+    return windows, shared, key[order], place[order]
+
+
+def front_code(windows: np.ndarray, shared: np.ndarray) -> tuple[bytes, bytes]:
+    """Shared prefix lengths (16 bits each) and the bytes behind them."""
+    keep = np.arange(windows.shape[1])[None, :] >= shared[:, None]
+    return shared.astype("<u2").tobytes(), windows[keep].tobytes()
 
 
 class Run:
-    """A front-coded run that gives its suffixes one by one."""
+    """A front-coded run that gives its suffixes one by one; `prefix` is what a suffix shares with the last that the merge gave."""
 
-    def __init__(self, shared: bytes, rest: bytes, tail: bytes):
-        self.shared, self.rest, self.tail = shared, rest, np.frombuffer(tail, "<u8").tolist()
-        self.next, self.at, self.head, self.prefix = 0, 0, b"", 0
+    def __init__(self, shared: bytes, rest: bytes, length: int):
+        self.shared, self.rest, self.length = np.frombuffer(shared, "<u2").tolist(), rest, length
+        self.next, self.at, self.bytes, self.prefix = 0, 0, b"", 0
 
     def step(self) -> bool:
-        """Go to the next suffix; its shared prefix with the one before is `prefix`."""
         if self.next == len(self.shared):
             return False
         self.prefix = self.shared[self.next]
-        more = HEAD - self.prefix
-        self.head = self.head[: self.prefix] + self.rest[self.at : self.at + more]
+        more = self.length - self.prefix
+        self.bytes = self.bytes[: self.prefix] + self.rest[self.at : self.at + more]
         self.at += more
-        self.hash = self.tail[self.next]
         self.next += 1
         return True
 
 
+def common_prefix(a: bytes, b: bytes, known: int) -> int:
+    """Bytes that two suffixes of one length share, of which `known` are known."""
+    n = len(a) - known
+    apart = int.from_bytes(a[known:], "big") ^ int.from_bytes(b[known:], "big")
+    return known + n - (apart.bit_length() + 7) // 8
+
+
 def merge_runs(runs: list[Run]):
     """All suffixes of sorted runs in order, by a loser tree: (run, place in it, whether it equals the one given before).
 
@@ -226,34 +242,21 @@ def merge_runs(runs: list[Run]):
             return a is not None
         if a.prefix != b.prefix:
             return a.prefix > b.prefix
-        i = a.prefix
-        while i < HEAD and a.head[i] == b.head[i]:
-            i += 1
-        if i < HEAD:
-            first = a.head[i] < b.head[i]
-        else:
-            first = (a.hash, x) < (b.hash, y)
+        i = common_prefix(a.bytes, b.bytes, a.prefix)
+        first = x < y if i == a.length else a.bytes[i] < b.bytes[i]
         (b if first else a).prefix = i
         return first
 
     # play the first rounds bottom up; losers stay in the inner nodes
-    loser = [0] * k
-    for r in live:
-        if r is not None:
-            r.prefix = 0
-    winner = [0] * (2 * k)
-    for x in range(k):
-        winner[k + x] = x
+    loser, winner = [0] * k, [0] * k + list(range(k))
     for node in range(k - 1, 0, -1):
         x, y = winner[2 * node], winner[2 * node + 1]
         winner[node], loser[node] = (x, y) if less(x, y) else (y, x)
-    top = winner[1] if k > 1 else 0
-    last = None
+    top, started = (winner[1] if k > 1 else 0), False
     while live[top] is not None:
         r = live[top]
-        now = (r.head, r.hash)
-        yield top, r.next - 1, last == now
-        last = now
+        yield top, r.next - 1, started and r.prefix == r.length
+        started = True
         if not r.step():
             live[top] = None
         node = (top + k) // 2
@@ -263,10 +266,10 @@ def merge_runs(runs: list[Run]):
             node //= 2
 
 
-def _merge(group: pa.Table) -> pa.Table:
+def _merge(group: pa.Table, length: int) -> pa.Table:
     """Places whose suffix occurs in two runs, or twice in one."""
-    cols = {c: group.column(c).to_pylist() for c in ("shared", "rest", "tail", "again", "key", "place")}
-    runs = [Run(*x) for x in zip(cols["shared"], cols["rest"], cols["tail"])]
+    cols = {c: group.column(c).to_pylist() for c in ("shared", "rest", "again", "key", "place")}
+    runs = [Run(*x, length) for x in zip(cols["shared"], cols["rest"])]
     again = [np.frombuffer(x, np.uint8) for x in cols["again"]]
     hit = [np.zeros(len(x), bool) for x in again]
     before = None
@@ -281,22 +284,27 @@ def _merge(group: pa.Table) -> pa.Table:
     return pa.table({"key": key, "lo": place, "size": one, "top": one * 0, "kind": one * MARK})
 
 
-def _runs(windows: np.ndarray, key: np.ndarray, place: np.ndarray, parts: int):
-    """Front-coded runs by part (a hash of the whole suffix), and marks for a run's own repeats."""
-    heads, tail, same, key, place = sorted_run(windows, key, place)
+def ranges_of(windows: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """The key range of each suffix, by its first SPLIT bytes."""
+    return np.searchsorted(splitters, np.ascontiguousarray(windows[:, :SPLIT]).view(f"S{SPLIT}")[:, 0], "right")
+
+
+def _runs(windows: np.ndarray, key: np.ndarray, place: np.ndarray, splitters: np.ndarray):
+    """Front-coded runs by key range, and marks for a run's own repeats."""
+    windows, shared, key, place = sorted_run(windows, key, place)
+    same = shared == windows.shape[1]
     at = np.flatnonzero(~same)
     again = np.diff(np.r_[at, len(same)]) > 1
     repeats = key[same], place[same]
-    heads, tail, key, place = heads[at], tail[at], key[at], place[at]
-    words = heads.view("<u8").reshape(len(heads), -1)
-    to = tail.copy()
-    for c in range(words.shape[1]):
-        to = mix(to * np.uint64(3) + words[:, c])
-    to = to % np.uint64(parts)
+    windows, shared, key, place = windows[at], shared[at], key[at], place[at]
+    to = ranges_of(windows, splitters)
+    cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
     out = []
-    for part in np.unique(to):
-        mine = to == part
-        out.append((int(part), *front_code(heads[mine], tail[mine]), again[mine].astype(np.uint8).tobytes(), key[mine].tobytes(), place[mine].astype(np.int32).tobytes()))
+    for a, b in zip(cut, np.r_[cut[1:], len(to)]):
+        part = slice(a, b)
+        own = shared[part].copy()
+        own[0] = 0
+        out.append((int(to[a]), *front_code(windows[part], own), again[part].astype(np.uint8).tobytes(), key[part].tobytes(), place[part].astype(np.int32).tobytes()))
     return out, repeats
 
 
@@ -338,7 +346,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     dealt = "bucket int, kind int, blob binary"
     first = materialise(rows.select("key", "body").mapInArrow(wide, dealt).groupBy("bucket").applyInArrow(_settle, FOUND))
-    by_key = first.groupBy("key").agg(F.collect_list("lo").alias("lo"), F.collect_list("size").alias("size"), F.collect_list("top").alias("top"), F.collect_list("kind").alias("kind"))
+
+    def by_key(found: DataFrame, **names: str) -> DataFrame:
+        """Each key's findings as lists, every one once."""
+        g = found.groupBy("key").agg(F.collect_set(F.struct(*names.values())).alias("found"))
+        return g.select("key", *(F.col(f"found.{c}").alias(n) for n, c in names.items()))
+
 
     def judge(batches):
         """Documents without open units are done; the others go on with their texts."""
@@ -358,7 +371,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     result = f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     lists = "lo array<int>, size array<int>, top array<int>, kind array<int>"
-    judged = materialise(rows.join(by_key, "key", "left").select("id", "key", "body", "lo", "size", "top", "kind").mapInArrow(judge, f"{result}, key long, body string, {lists}"))
+    judged = materialise(rows.join(by_key(first, lo="lo", size="size", top="top", kind="kind"), "key", "left").select("id", "key", "body", "lo", "size", "top", "kind").mapInArrow(judge, f"{result}, key long, body string, {lists}"))
     done = judged.where("n_bytes IS NOT NULL").select("id", *names)
     waiting = judged.where("n_bytes IS NULL").drop(*names)
 
@@ -370,15 +383,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     texts = waiting.dropDuplicates(["key"])
     second = materialise(texts.select("key", "body", "lo", "size", "top", "kind").mapInArrow(narrow, dealt).groupBy("bucket").applyInArrow(_settle, FOUND))
-    opened = second.where(F.col("kind") == OPEN).groupBy("key").agg(F.collect_list("lo").alias("lo"), F.collect_list("size").alias("size"))
-
-    def run(batches):
-        def sent(made):
-            blobs, (key, place) = made
-            if len(key):
-                blobs = [*blobs, (int(key[0] % buckets), b"", b"", b"", b"", key.tobytes(), place.astype(np.int32).tobytes())]
-            return pa.RecordBatch.from_arrays([pa.array([b[c] for b in blobs], pa.int32() if c == 0 else pa.binary()) for c in range(7)], ["part", "shared", "rest", "tail", "again", "key", "place"])
+    opened = by_key(second.where(F.col("kind") == OPEN), lo="lo", size="size")
 
+    def open_windows(batches):
+        """The open windows of a slice, RUN_WINDOWS at a time: bytes, keys and places."""
         for part, data, offsets in slices(batches, "body"):
             row, lo, size = _lists(part, "lo", "size")
             place = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum())) if len(lo) else np.zeros(0, np.int64)
@@ -387,7 +395,29 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             view = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else np.zeros((0, length), np.uint8)
             for a in range(0, len(place), RUN_WINDOWS):
                 b = slice(a, a + RUN_WINDOWS)
-                yield sent(_runs(view[place[b] + offsets[row[b]]], key[b], place[b], buckets))
+                yield view[place[b] + offsets[row[b]]], key[b], place[b]
+
+    waits = texts.select("key", "body").join(opened, "key")
+    n_open = second.where(F.col("kind") == OPEN).agg(F.sum("size")).first()[0] or 0
+    parts = int(min(MOST_PARTS, max(8, n_open * length >> 25)))
+    every = max(1, n_open // (parts * SAMPLES))  # one window in so many is a sample, chosen by a hash of its bytes
+
+    def sample(batches):
+        for windows, _, _ in open_windows(batches):
+            heads = np.ascontiguousarray(windows[:, :SPLIT])
+            chosen = mix(RollingHash(heads.ravel()).of(np.arange(len(heads)) * SPLIT, (np.arange(len(heads)) + 1) * SPLIT)) % np.uint64(every) == 0
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in heads[chosen]], pa.binary())], ["head"])
+
+    # different heads only, a few for each range, so their number is bounded by the number of ranges
+    heads = sorted(bytes(r.head) for r in waits.mapInArrow(sample, "head binary").distinct().collect()) if n_open else []
+    splitters = np.unique(np.array([heads[len(heads) * k // parts] for k in range(1, parts)] if heads else [], f"S{SPLIT}"))
+
+    def run(batches):
+        for windows, key, place in open_windows(batches):
+            blobs, (again_key, again_place) = _runs(windows, key, place, splitters)
+            if len(again_key):
+                blobs = [*blobs, (int(again_key[0] % parts), b"", b"", b"", again_key.tobytes(), again_place.astype(np.int32).tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array([b[c] for b in blobs], pa.int32() if c == 0 else pa.binary()) for c in range(6)], ["part", "shared", "rest", "again", "key", "place"])
 
     def merged(group: pa.Table) -> pa.Table:
         plain = [not x for x in group.column("shared").to_pylist()]
@@ -397,16 +427,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         place = np.frombuffer(b"".join(marks.column("place").to_pylist()), np.int32)
         one = np.ones(len(key), np.int32)
         own = pa.table({"key": key, "lo": place, "size": one, "top": one * 0, "kind": one * MARK})
-        return pa.concat_tables([own, _merge(rest)]) if rest.num_rows else own
-
-    third = materialise(
-        texts.select("key", "body")
-        .join(opened, "key")
-        .mapInArrow(run, "part int, shared binary, rest binary, tail binary, again binary, key binary, place binary")
-        .groupBy("part")
-        .applyInArrow(merged, FOUND)
-    )
-    more = second.where(F.col("kind") == MARK).union(third).groupBy("key").agg(F.collect_list("lo").alias("lo2"), F.collect_list("size").alias("size2"))
+        return pa.concat_tables([own, _merge(rest, length)]) if rest.num_rows else own
+
+    third = materialise(waits.mapInArrow(run, "part int, shared binary, rest binary, again binary, key binary, place binary").groupBy("part").applyInArrow(merged, FOUND))
+    more = by_key(second.where(F.col("kind") == MARK).union(third), lo2="lo", size2="size")
 
     def close(batches):
         for part, data, offsets in slices(batches, "body"):

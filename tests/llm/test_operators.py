@@ -7,6 +7,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -23,7 +24,7 @@ from pledgelens.llm.mixing import add_posteriors, add_rates, fit_domains, fit_ra
 from pledgelens.llm.pieces import Vocabulary, decode_slice, encode_pieces, encode_slice
 from pledgelens.llm.quality import fit_quality, score_quality
 from pledgelens.llm.secrets import RULES, find_secrets, redact, trigram_query
-from pledgelens.llm.suffix_dedup import Run, front_code, merge_runs, remove_repeats, sorted_run
+from pledgelens.llm.suffix_dedup import Run, front_code, merge_runs, ranges_of, remove_repeats, sorted_run
 from pledgelens.llm.suffix_tree import score_texts
 from pledgelens.llm.topk import _packed, _usable, top_k
 
@@ -245,18 +246,40 @@ def test_repeats_against_brute_force(spark):
 
 def test_loser_tree_merges_in_order():
     rng = np.random.default_rng(2)
-    runs, every = [], []
+    coded, every = [], []
     for n in (0, 1, 50, 200, 7):
-        windows = rng.integers(97, 99, (n, 200)).astype(np.uint8)
-        heads, tail, _, key, _ = sorted_run(windows, np.arange(n), np.arange(n))
-        runs.append(Run(*front_code(heads, tail)))
-        every += [(h.tobytes(), int(t)) for h, t in zip(heads, tail)]
-        if n:
-            again = [Run(*front_code(heads, tail))]
-            assert [r for r, _, _ in merge_runs(again)] == [0] * n
-    again = {k: v for k, v in enumerate(runs)}
-    out = [(again[r].head, again[r].hash) for r, _, _ in merge_runs(runs)]
+        windows = rng.integers(0, 2, (n, 200)).astype(np.uint8)
+        windows[: n // 2] = windows[:1]  # suffixes that part late, or not at all
+        windows[: n // 4, 150] = rng.integers(0, 3, n // 4)
+        windows, shared, key, _ = sorted_run(windows, np.arange(n), np.arange(n))
+        coded.append(front_code(windows, shared))
+        every += [w.tobytes() for w in windows]
+        assert sorted(key) == list(range(n))
+    runs = [Run(*x, 200) for x in coded]
+    out, equal = [], []
+    for r, _, same in merge_runs(runs):
+        out.append(runs[r].bytes)
+        equal.append(same)
     assert out == sorted(every)
+    assert equal == [k > 0 and out[k] == out[k - 1] for k in range(len(out))]
+
+
+def test_ranges_hold_suffixes_in_order():
+    rng = np.random.default_rng(3)
+    windows = rng.integers(0, 3, (500, 200)).astype(np.uint8)
+    heads = sorted(w[:16].tobytes() for w in windows[::10])
+    to = ranges_of(windows, np.unique(np.array(heads[5::10], "S16")))
+    order = sorted(range(500), key=lambda i: windows[i].tobytes())
+    assert (np.diff(to[order]) >= 0).all() and len(set(to)) > 3
+
+
+def test_repeated_rows_cost_once(spark):
+    rnd = random.Random(15)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(4000))
+    rows = [(1, text)] * 1600 + [(2, "x" + text[:1000]), (3, "short")]
+    began = time.perf_counter()
+    got = collections.Counter((r.doc_id, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, DOC)).collect())
+    assert got == {(1, 4000): 1600, (2, 1000): 1, (3, 0): 1} and time.perf_counter() - began < 60
 
 
 # ---- edit walk ----
