@@ -181,13 +181,12 @@ def sorted_run(windows: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple
     padded = np.zeros((n, words * 8), np.uint8)
     padded[:, :length] = windows
     big = padded.view(">u8")
-    order = np.lexsort((big[:, 1], big[:, 0])) if words > 1 else np.argsort(big[:, 0], kind="stable")
-    # rows that agree in the first words are few; they are put in order among themselves by all their bytes
-    same = (big[order][1:, : min(2, words)] == big[order][:-1, : min(2, words)]).all(axis=1)
-    edge = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8)))
-    for a, b in zip(edge[::2], edge[1::2] + 1):
-        part = order[a:b]
-        order[a:b] = part[np.lexsort(big[part][:, ::-1].T)]
+    order = np.lexsort((big[:, 1], big[:, 0]))
+    # rows that agree in the first words with a neighbour are put in order by all their bytes, in the places that they hold
+    same = (big[order][1:, :2] == big[order][:-1, :2]).all(axis=1)
+    tied = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    part = order[tied]
+    order[tied] = part[np.lexsort(big[part][:, ::-1].T)]
     windows = windows[order]
     differs = windows[1:] != windows[:-1]
     shared = np.r_[0, np.where(differs.any(axis=1), differs.argmax(axis=1), length)]

@@ -26,7 +26,7 @@ from pledgelens.llm.quality import fit_quality, score_quality
 from pledgelens.llm.secrets import RULES, find_secrets, redact, trigram_query
 from pledgelens.llm.suffix_dedup import Run, front_code, merge_runs, ranges_of, remove_repeats, sorted_run
 from pledgelens.llm.suffix_tree import score_texts
-from pledgelens.llm.topk import _packed, _usable, top_k
+from pledgelens.llm.topk import _packed, _usable, floors, principal_axes, search_block, top_k
 
 DOC = "doc_id long, text string"
 ODD = [(1, None), (2, ""), (None, "a b"), (3, " \n\t "), (4, "\U0001F600é漢"), (5, "x" * 5000), (6, "a b"), (6, "a b")]
@@ -399,6 +399,21 @@ def test_top_k_deals_by_id(spark):
         assert got == [(int(ids[j]), int(s[j])) for j in np.lexsort((ids, -s)) if ids[j] != 3][:3]
 
 
+def test_top_k_prunes_clustered_vectors():
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(40, 32)) * 4
+    x = np.floor((centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * 0.3) * 1024).astype(np.int64)
+    x[:30] = x[0]  # ties
+    ids, q = np.arange(4000), x[::100]
+    low = floors(q, ids[::100], x[:2048], ids[:2048], 10)
+    i, j, s, scored = search_block(q, ids[::100], x, ids, 10, low, principal_axes(x[:2048]))
+    assert scored < 0.1 * len(q) * len(x)
+    for n, qid in enumerate(ids[::100]):
+        score = x @ q[n]
+        want = [(int(r), int(score[r])) for r in np.lexsort((ids, -score)) if r != qid][:10]
+        assert [(int(b), int(c)) for a, b, c in zip(i, j, s) if a == n] == want
+
+
 # ---- mixing ----
 
 
