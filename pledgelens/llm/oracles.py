@@ -17,13 +17,13 @@ WITH rows AS (
  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 g AS (
- SELECT conv_id, count(*) AS n, list(role ORDER BY turn, role, text) AS roles, list(text ORDER BY turn, role, text)[1] AS opening, strpos(list(text ORDER BY turn, role, text)[1], chr(10)) AS at,
+ SELECT conv_id, count(*) AS n, list(role ORDER BY turn, role, text) AS roles, list(text ORDER BY turn, role, text)[1] AS opening, strpos(list(text ORDER BY turn, role, text)[1], chr(10)) AS line_end,
   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
   sum({_escaped('text')} + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 18 + {_escaped('role')} END) AS chars
  FROM rows GROUP BY conv_id)
 SELECT conv_id, n AS n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, cast(chars AS bigint) AS formatted_chars,
- CASE WHEN roles = ['user', 'assistant'] THEN CASE WHEN at > 0 AND at < length(opening) THEN 'instruction_input_output' ELSE ['prompt_response', 'prompt_completion', 'question_answer', 'instruction_output'][((conv_id % 4) + 4) % 4 + 1] END
+ CASE WHEN roles = ['user', 'assistant'] THEN CASE WHEN line_end > 0 AND line_end < length(opening) THEN 'instruction_input_output' ELSE ['prompt_response', 'prompt_completion', 'question_answer', 'instruction_output'][((conv_id % 4) + 4) % 4 + 1] END
   WHEN roles = ['system', 'user', 'assistant'] THEN 'system_prompt_response' WHEN roles = ['user'] THEN 'text' WHEN n > 6 THEN 'from_value' ELSE 'messages' END AS layout
 FROM g"""
 
