@@ -170,9 +170,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     left = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    deals = pairs.groupBy("a").agg(F.expr(f"cast(1 + count(*) div {BLOCK} AS int)").alias("deals"))
-    right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(deals, "a").withColumn("deal", F.explode(F.expr("sequence(0, deals - 1)"))).drop("deals")
-    dealt = pairs.join(deals, "a").withColumn("deal", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int"))
+    # the few that are dealt stand in a table of their own, so that a join with them can split their rows
+    deals = materialise(pairs.groupBy("a").agg(F.expr(f"cast(1 + count(*) div {BLOCK} AS int)").alias("deals")).where("deals > 1"))
+    often = F.coalesce("deals", F.lit(1))
+    right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(deals, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), often - 1)).alias("deal"))
+    dealt = pairs.join(deals, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), often).cast("int").alias("deal"))
     return dealt.join(left, "b").join(right, ["a", "deal"]).select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 

@@ -1,10 +1,10 @@
 """Mixing sources to target weights by soft membership; all in Spark SQL.
 
-A labelled table gives some documents a domain. A naive Bayes classifier (each token there or not) predicts every
-document's domain posteriors: it is fitted on a bounded sample of `max_docs` labelled documents and holds the log odds of
-every token that tells a domain apart from the rest beyond chance (a two-proportion z test at `sure` deviations, any
-number of tokens). Texts are cut into tokens once; a token is looked up by its hash in a table of slots, the slot's
-tokens are compared letter for letter. Posteriors are rounded to thousandths, so that equal ones can be summed.
+A labelled table gives some documents a domain. A naive Bayes classifier predicts every document's domain posteriors
+from its tokens' hashes, each of `SLOTS` slots there or not. It is fitted on a bounded sample of `max_docs` labelled
+documents and holds the log odds of every slot that tells one of the rarer domains apart from the rest beyond chance (a
+two-proportion z test at `sure` deviations), so a text that shows nothing of these is the largest domain's. The model is one row with an array of slots, which tasks look up by place. Posteriors are rounded to thousandths, so
+that equal ones can be summed.
 
 Non-negative rates, one for each document, are then fitted by projected
 gradient steps on least squares, so that the expected token totals of the domains, the sums of
@@ -22,88 +22,87 @@ whatever their names, but columns named like results are replaced.
 
 from __future__ import annotations
 
-import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pledgelens.llm.common import clean_text, materialise
-from pledgelens.llm.native import free_names, quoted
+from pledgelens.llm.native import free_names
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Marks that become blanks before a text is cut into tokens.
 MARKS = "\t\n\x0b\x0c\r.,;:!?\"'()[]{}<>"
 
 
+SLOTS = 1 << 16
+
+
 @dataclass(frozen=True)
 class DomainModel:
-    """The score of domain k is base[k] + the sum of gain[token][k] over the model's different tokens in the text."""
+    """The score of domain k is base[k] + the sum of a slot's entries k over the text's different slots; most slots have no entries.
+
+    slots: a table of one row, with the slots' entries as `gains`; None for a model without any.
+    """
 
     domains: list[str]
     base: list[float]
-    gain: dict[str, list[float]] = field(default_factory=dict)
+    slots: DataFrame | None = None
+
+
+def slots_of(text: str | Column) -> Column:
+    """The slots of a text's lower-case tokens; marks and white space part them."""
+    tokens = F.split(F.translate(F.lower(clean_text(text)), MARKS, " " * len(MARKS)), " ")
+    return F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(SLOTS)).cast("int"))
 
 
-def tokens_of(text: str | Column) -> Column:
-    """Lower-case tokens of a text; marks and white space part them."""
-    return F.split(F.translate(F.lower(clean_text(text)), MARKS, " " * len(MARKS)), " ")
+#: The slot of the empty token, which blanks in a row give.
+EMPTY = "pmod(xxhash64(''), {n})"
 
 
-def fit_domains(docs: DataFrame, domain_of: DataFrame, domains: list[str], *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 16_000, least: int = 3, sure: float = 4.0) -> DomainModel:
-    """domain_of: (id, domain number). The sample is the `max_docs` labelled ids that hash lowest; a token is in at least `least` documents of a domain."""
+def fit_domains(docs: DataFrame, domain_of: DataFrame, domains: list[str], *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 16_000, least: int = 3, sure: float = 5.0) -> DomainModel:
+    """domain_of: (id, domain number). The sample is the `max_docs` labelled ids that hash lowest; a slot is in at least `least` documents of a domain."""
     ids = domain_of.where(F.col(id_col).isNotNull() & F.col("domain").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("domain").alias("domain"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(max_docs)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(F.broadcast(ids), "id").select("domain", F.array_distinct(tokens_of("body")).alias("tokens"))
-    n = len(domains)
-    seen = materialise(sample.select("domain", F.explode("tokens").alias("token")).where("token <> ''").groupBy("token").agg(*(F.count_if(F.col("domain") == k).alias(f"n{k}") for k in range(n))))
-    count = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
-    size = [count.get(k, 0) for k in range(n)]
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(F.broadcast(ids), "id").select("domain", F.array_distinct(slots_of("body")).alias("slots"))
+    n, spark = len(domains), docs.sparkSession
+    # the number of documents by domain stands beside the counts, as slot -1
+    marked = sample.select("domain", F.explode(F.array_append("slots", F.lit(-1))).alias("slot"))
+    seen = materialise(marked.groupBy("slot").agg(*(F.count_if(F.col("domain") == k).alias(f"n{k}") for k in range(n))))
+    whole = seen.where("slot = -1").first()
+    size = [whole[f"n{k}"] if whole else 0 for k in range(n)]
     total = sum(size)
-    base = [float(np.log((size[k] + 1) / (total + n))) for k in range(n)]
     if not total:
         return DomainModel(domains, [0.0] * n)
-    tell = F.lit(False)
+    tell, p = F.lit(False), [(F.col(f"n{k}") + 0.5) / (size[k] + 1) for k in range(n)]
+    largest = max(range(n), key=lambda k: size[k])
     for k in range(n):
         rest = total - size[k]
-        if not size[k] or not rest:
-            continue
-        inside, outside = F.col(f"n{k}"), sum((F.col(f"n{j}") for j in range(n) if j != k), F.lit(0))
-        p = (inside + outside + 1) / (total + 2)
-        z = (inside / size[k] - outside / rest) / F.sqrt(p * (1 - p) * (1 / size[k] + 1 / rest))
-        tell = tell | ((inside >= least) & (z >= sure))
-    gain = {}
-    for r in seen.where(tell).collect():  # at most the sample's own tokens
-        p = np.array([(r[f"n{k}"] + 0.5) / (size[k] + 1) for k in range(n)])
-        base = [float(b + x) for b, x in zip(base, np.log(1 - p))]
-        gain[r.token] = (np.log(p) - np.log(1 - p)).tolist()
-    return DomainModel(domains, base, gain)
-
-
-def _slots_sql(model: DomainModel) -> tuple[str, int]:
-    """The model's tokens as a literal array of slots, each an array of (token, gains), and the number of slots."""
-    size = 1 << max(4, (2 * len(model.gain)).bit_length())
-    held: list[list[str]] = [[] for _ in range(size)]
-    for token, gain in sorted(model.gain.items()):
-        held[zlib.crc32(token.encode()) % size].append(f"named_struct('t', {quoted(token)}, 'g', array({', '.join(f'{x!r}D' for x in gain)}))")
-    none = "cast(array() AS array<struct<t: string, g: array<double>>>)"
-    return "array(" + ", ".join(f"array({', '.join(x)})" if x else none for x in held) + ")", size
+        if size[k] and rest and k != largest:
+            inside, outside = F.col(f"n{k}"), sum((F.col(f"n{j}") for j in range(n) if j != k), F.lit(0))
+            both = (inside + outside + 1) / (total + 2)
+            z = (inside / size[k] - outside / rest) / F.sqrt(both * (1 - both) * (1 / size[k] + 1 / rest))
+            tell = tell | ((inside >= least) & (z >= sure))
+    told = seen.where((F.col("slot") >= 0) & (F.col("slot") != F.expr(EMPTY.format(n=SLOTS)))).where(tell)
+    absent = told.agg(*(F.coalesce(F.sum(F.log(1 - p[k])), F.lit(0.0)).alias(f"b{k}") for k in range(n))).first()
+    base = [float(np.log((size[k] + 1) / (total + n))) + absent[f"b{k}"] for k in range(n)]
+    entries = told.select(F.col("slot").cast("long").alias("id"), F.array(*(F.log(x) - F.log(1 - x) for x in p)).alias("g"))
+    slots = spark.range(SLOTS).join(entries, "id", "left").agg(F.sort_array(F.collect_list(F.struct("id", "g"))).alias("s")).select(F.col("s.g").alias("gains"))
+    return DomainModel(domains, base, materialise(slots))
 
 
 def add_posteriors(docs: DataFrame, model: DomainModel, *, text_col: str = "text") -> DataFrame:
     """Add tokens (long, words between white space) and posteriors (array, a thousandth's steps)."""
-    n = len(model.domains)
     rows = docs.drop("tokens", "posteriors")
-    cut, found, score, odds = free_names(rows, "_cut", "_found", "_score", "_odds")
+    gains, found, score, odds = free_names(rows, "_gains", "_found", "_score", "_odds")
     made = rows.withColumn("tokens", F.regexp_count(clean_text(text_col), F.lit(WORD)).cast("long"))
-    if model.gain:
-        slots, size = _slots_sql(model)
-        made = made.withColumn(cut, tokens_of(text_col))
-        # the tokens that the model has, each once, with their gains
-        look = f"transform(filter({cut}, t -> exists({slots}[cast(crc32(cast(t AS binary)) % {size} AS int)], e -> e.t = t)), t -> filter({slots}[cast(crc32(cast(t AS binary)) % {size} AS int)], e -> e.t = t)[0])"
-        made = made.withColumn(found, F.expr(f"array_distinct({look})"))
-        made = made.withColumn(score, F.expr("array(" + ", ".join(f"aggregate({found}, {b!r}D, (s, e) -> s + e.g[{k}])" for k, b in enumerate(model.base)) + ")"))
+    if model.slots is not None:
+        # a subquery of one value; the next projection takes it in, and its functions look up the array by reference
+        made = made.withColumn(gains, F.array(model.slots.select("gains").scalar()))
+        told = F.transform(gains, lambda g: F.transform(F.array_distinct(F.filter(slots_of(text_col), lambda s: g[s].isNotNull())), lambda s: g[s]))[0]
+        made = made.select(*rows.columns, "tokens", told.alias(found))
+        made = made.withColumn(score, F.expr("array(" + ", ".join(f"aggregate({found}, {b!r}D, (s, g) -> s + g[{k}])" for k, b in enumerate(model.base)) + ")"))
     else:
         made = made.withColumn(score, F.expr("array(" + ", ".join(f"{b!r}D" for b in model.base) + ")"))
     made = made.withColumn(odds, F.expr(f"transform({score}, x -> exp(x - array_max({score})))"))

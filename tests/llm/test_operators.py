@@ -458,7 +458,7 @@ def test_domain_tokens_are_whole_words(spark):
     rows = [(i, "a prudent plan" if i % 2 else "how rude, indeed") for i in range(200)] + [(900, "PRUDENT!"), (901, "Rude"), (902, None)]
     docs = spark.createDataFrame(rows, DOC)
     model = fit_domains(docs, spark.createDataFrame([(i, 1 - i % 2) for i in range(100)], "doc_id long, domain int"), ["clean", "rude"])
-    assert {"rude", "prudent"} <= set(model.gain)
+    assert model.slots.selectExpr("size(filter(gains, g -> g IS NOT NULL)) AS n").first().n == 3  # those of the smaller domain, or of the second of two equal ones
     got = {r.doc_id: r.posteriors for r in add_posteriors(docs, model).collect()}
     assert got[901][1] > got[902][1] > got[900][1]
 
