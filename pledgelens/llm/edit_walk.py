@@ -5,8 +5,8 @@ moves on or stays by a random bit that depends on j and the character's class (o
 into step again after an edit, so the Hamming distance of the strings follows the texts' edit distance. A
 fingerprint keeps the classes written at fixed random steps, up to `SAMPLES` in each octave of steps until the walk
 ends, so it covers whole texts of any length with a few hundred characters, and texts share their sample steps.
-The likeness of two fingerprints is the share of equal samples, each weighted by the steps it stands for. All texts
-of a batch walk side by side. Near pairs come from bands of samples and are verified by their edit distance.
+The likeness of two fingerprints is the share of equal samples, each weighted by the steps it stands for. The texts
+of a slice of about 2 MB (one longer text comes alone) walk side by side. Near pairs come from bands of samples and are verified by their edit distance.
 
 Edge cases: null and empty texts have an empty fingerprint, and likeness 1 to each other; equal texts have equal
 fingerprints; the last document's next is the first, a single document's is itself; equal ids are ordered by a hash
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pledgelens.llm.common import by_value, clean_text, materialise, per_process
+from pledgelens.llm.common import SLICE_BYTES, by_value, clean_text, materialise, per_process
 
 by_value(__name__)
 
@@ -107,6 +107,18 @@ def likeness(a: str, b: str) -> float:
     return float(w[x == y].sum() / w.sum())
 
 
+def text_slices(texts: list[str], limit: int = SLICE_BYTES):
+    """Ranges of texts that hold about `limit` characters; one longer text comes alone."""
+    begin, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > begin and held + len(t) > limit:
+            yield begin, i
+            begin, held = i, 0
+        held += len(t)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def edit_fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """Add fingerprint; a column of that name is replaced."""
     from pyspark.sql import types as T
@@ -114,9 +126,11 @@ def edit_fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     kept = docs.drop("fingerprint")
 
     def run(batches):
-        for b in batches:
-            texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(walk(texts), pa.string())], [*b.schema.names, "fingerprint"])
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            for a, b in text_slices(texts):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(walk(texts[a:b]), pa.string())], [*part.schema.names, "fingerprint"])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField("fingerprint", T.StringType())]))
 
@@ -166,9 +180,8 @@ def compare_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             if last is not None:
                 ids, texts = [last[0], *ids], [last[1], *texts]
             last = ids[-1], texts[-1]
-            if len(ids) > 1:
-                got = compared(ids[:-1], texts[:-1], texts[1:])
-                n = len(ids) - 1
+            for x, y in text_slices(texts[:-1]):
+                got, n = compared(ids[x:y], texts[x:y], texts[x + 1 : y + 1]), y - x
                 yield pa.RecordBatch.from_arrays([pa.array(got["id"], kind), *(pa.array(got[c], t) for c, t in types.items()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, kind), pa.nulls(n, pa.string())], names)
         if first is not None:
             yield pa.RecordBatch.from_arrays([pa.array([last[0]], kind), *(pa.nulls(1, t) for t in types.values()), pa.array([part], pa.int32()), pa.array([last[1]]), pa.array([first[0]], kind), pa.array([first[1]])], names)
@@ -185,9 +198,10 @@ def compare_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def close(batches):
         for b in batches:
-            if b.num_rows:
-                got = compared(b.column("id").to_pylist(), b.column("last_text").to_pylist(), b.column("first_text").to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(got[c], t) for c, t in types.items())], ["id", *types])
+            texts, afters = b.column("last_text").to_pylist(), b.column("first_text").to_pylist()
+            for x, y in text_slices(texts):
+                got = compared(b.column("id").to_pylist()[x:y], texts[x:y], afters[x:y])
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(x, y - x), *(pa.array(got[c], t) for c, t in types.items())], ["id", *types])
 
     done = made.where("part IS NULL").select("id", *types).unionByName(tails.mapInArrow(close, f"id {kind}, {columns}"))
     return done.withColumnRenamed("id", id_col)

@@ -1,9 +1,9 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader, sparse dot products.
 
 A word is a maximal run of letters and digits (any byte from 0x80 up counts as a letter) or of other visible
-ASCII. Unigrams, bigrams and the mark of a word said twice in a row are hashed to `dims` slots; a slot's value is log(1 + count), and each document's
+ASCII. Unigrams and bigrams are hashed to 2**bits slots, one more is the mark of a word said twice in a row; a slot's value is log(1 + count), and each document's
 vector has length 1. Features are extracted by all tasks; the model is fitted by one task on at most `max_docs`
-labelled documents, which is the documented bound of the training sample, and is `dims` floats in size.
+labelled documents, which is the documented bound of the training sample, and is a float for each slot in size.
 
 Edge cases: a null or empty text has no feature and gets the bias alone; a label that is null is no label; several
 labels of one id count as their largest; labelled ids without a document are ignored; with no labelled row at all
@@ -26,7 +26,6 @@ by_value(__name__)
 KIND = np.full(256, 1, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]] = 0
 KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 2
-TWICE = 0x51ED270B
 
 
 @dataclass(frozen=True)
@@ -36,7 +35,7 @@ class QualityModel:
 
     @property
     def bits(self) -> int:
-        return len(self.weights).bit_length() - 1
+        return (len(self.weights) - 1).bit_length() - 1
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,19 +53,21 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     same = row[1:] == row[:-1]
     two = mix(one[:-1] * np.uint64(3) + one[1:])[same]
     again = same & (one[1:] == one[:-1])  # a bigram of one word twice also counts as such, whatever the word
-    shift = np.uint64(64 - bits)
-    key = np.sort(np.concatenate([(row << bits) | (one >> shift).astype(np.int64), (row[1:][same] << bits) | (two >> shift).astype(np.int64), (row[1:][again] << bits) | TWICE % (1 << bits)]))
+    shift, wide = np.uint64(64 - bits), bits + 1
+    slot = lambda r, h: (r << wide) | (h >> shift).astype(np.int64)
+    key = np.sort(np.concatenate([slot(row, one), slot(row[1:][same], two), (row[1:][again] << wide) | 1 << bits]))
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     value = np.log1p(np.diff(np.r_[first, len(key)]).astype(float))
     key = key[first]
-    row = key >> bits
+    row = key >> wide
     norm = np.sqrt(np.bincount(row, value * value, len(offsets) - 1))
-    return row, key & ((1 << bits) - 1), value / norm[row]
+    return row, key & ((1 << wide) - 1), value / norm[row]
 
 
 def ftrl(examples: list[tuple[np.ndarray, np.ndarray, float]], bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, float]:
-    """Per-coordinate follow-the-regularised-leader-proximal on (slots, values, label); the last slot is the bias."""
-    z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+    """Per-coordinate follow-the-regularised-leader-proximal on (slots, values, label); the slot behind all others is the bias."""
+    bias = (1 << bits) + 1
+    z, n = np.zeros(bias + 1), np.zeros(bias + 1)
 
     def weight(at):
         zi = z[at]
@@ -75,12 +76,12 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, float]], bits: int, epochs
 
     for _ in range(epochs):
         for slot, value, label in examples:
-            at, x = np.append(slot, 1 << bits), np.append(value, 1.0)
+            at, x = np.append(slot, bias), np.append(value, 1.0)
             w = weight(at)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - label) * x
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
             n[at] += g * g
-    w = weight(np.arange((1 << bits) + 1))
+    w = weight(np.arange(bias + 1))
     return w[:-1].astype(np.float32), float(w[-1])
 
 
