@@ -8,17 +8,38 @@ from pyspark.sql import functions as F
 from pledgelens.functions.values import finite
 
 
-def mid_rank(df: DataFrame, value: str, out: str, group: list[Column] | None = None, low_is_good: bool = False) -> DataFrame:
+RANGES = 256
+
+
+def _running(each: DataFrame, keys: list[str], wide: bool) -> DataFrame:
+    """Add _upto, the rows of a group up to each value, and _n, its rows; `each` has a row for each value and its count _eq."""
+    if not wide:
+        order = Window.partitionBy(*keys).orderBy("_v")
+        return each.withColumn("_upto", F.sum("_eq").over(order)).withColumn("_n", F.sum("_eq").over(Window.partitionBy(*keys)))
+    # values are cut into ranges, at any bounds; sums run within a range, and over the few ranges of a group
+    points = F.lit([k / RANGES for k in range(1, RANGES)]).cast("array<double>")
+    bounds = each.agg(F.percentile_approx("_v", points, F.lit(10_000)).alias("_b")).scalar()
+    cut = each.withColumn("_bounds", bounds).withColumn("_range", F.size(F.filter(F.coalesce("_bounds", F.array().cast("array<double>")), lambda x: x < F.col("_v")))).drop("_bounds")
+    totals = cut.groupBy(*keys, "_range").agg(F.sum("_eq").alias("_t"))
+    sums = totals.withColumn("_before", F.sum("_t").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_t")).withColumn("_n", F.sum("_t").over(Window.partitionBy(*keys))).drop("_t")
+    sums = sums.select(*(F.col(k).alias(f"_s{k}") for k in keys), F.col("_range").alias("_s_range"), "_before", "_n")
+    same = [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in keys] + [F.col("_range") == F.col("_s_range")]
+    joined = cut.join(sums, on=same).select(*keys, "_range", "_v", "_eq", "_before", "_n")
+    within = F.sum("_eq").over(Window.partitionBy(*keys, "_range").orderBy("_v"))
+    return joined.withColumn("_upto", F.col("_before") + within).drop("_range", "_before")
+
+
+def mid_rank(df: DataFrame, value: str, out: str, group: list[Column] | None = None, low_is_good: bool = False, wide: bool = False) -> DataFrame:
     """Add (below + (equal - 1) / 2) / (n - 1) of a value in its group; null for values that are no finite numbers and groups under two.
 
-    The rows are first reduced to a row for each different value of a group, and ranks run over these, so that a group of
-    all rows is no single task's load beyond its different values.
+    The rows are first reduced to a row for each different value of a group, and ranks run over these. With `wide`, for
+    groups that may hold most of the rows with ever different values, they run in ranges of values with offsets, so that no
+    task sorts a whole group.
     """
     keys = {f"_g{i}": g for i, g in enumerate(group or [F.lit(0)])}
     rows = df.withColumns(keys | {"_v": finite(value)})
     each = rows.where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count("*").alias("_eq"))
-    up = Window.partitionBy(*keys).orderBy("_v")
-    each = each.withColumn("_upto", F.sum("_eq").over(up)).withColumn("_n", F.sum("_eq").over(Window.partitionBy(*keys)))
+    each = _running(each, list(keys), wide)
     rank = F.when(F.col("_n") > 1, (F.col("_upto") - F.col("_eq") + (F.col("_eq") - 1) / 2.0) / (F.col("_n") - 1))
     each = each.withColumn(out, 1.0 - rank if low_is_good else rank).select(*keys, "_v", out)
     same = [rows[k].eqNullSafe(each[k]) for k in keys] + [rows["_v"] == each["_v"]]
@@ -35,7 +56,7 @@ def population_basis(df: DataFrame, indicators: list[str], bucket: str, least: i
 
 
 def rank_in_basis(df: DataFrame, value: str, out: str, bucket: str, low_is_good: bool = False) -> DataFrame:
-    """Mid-rank in the bucket where it is ready, else among all rows."""
+    """Mid-rank in the bucket where it is ready, else among all rows; for values of few kinds."""
     whole = mid_rank(df, value, "_whole", None, low_is_good)
     both = mid_rank(whole, value, "_own", [F.col(bucket)], low_is_good)
     return both.withColumn(out, F.when(F.col("ready"), F.col("_own")).otherwise(F.col("_whole"))).drop("_whole", "_own")
@@ -49,7 +70,7 @@ def rank_indicators(df: DataFrame, indicators: dict[str, bool], keys: list[str],
     named = ", ".join(f"'{c}', cast({c} AS double)" for c in indicators)
     extra = [bucket, "ready"] if bucket else []
     long = df.select(*keys, *extra, F.expr(f"stack({len(indicators)}, {named}) AS (indicator, value)"))
-    ranked = mid_rank(long, "value", "rank", [F.col("indicator")])
+    ranked = mid_rank(long, "value", "rank", [F.col("indicator")], wide=True)
     if bucket:
         ranked = mid_rank(ranked, "value", "_own", [F.col("indicator"), F.col(bucket)]).withColumn("rank", F.when(F.col("ready"), F.col("_own")).otherwise(F.col("rank")))
     pick = [F.max(F.when(F.col("indicator") == c, 1.0 - F.col("rank") if low else F.col("rank"))).alias(f"p_{c}") for c, low in indicators.items()]

@@ -113,17 +113,33 @@ def lowest_own_gap(scores: DataFrame, own_gap: DataFrame) -> DataFrame:
 SCREEN_SORTS = ["corp_code", "execution_score", "mna_target_score", "opacity_rank", "roe", "pbr", "ev_ebit", "debt_ratio", "total_return_ratio", "market_cap", "lowest_own_gap"]
 
 
-def screening_rows(company: DataFrame, gap: DataFrame, mna: DataFrame, opacity: DataFrame, metrics_d: DataFrame, price: DataFrame, own_gap: DataFrame) -> DataFrame:
-    """Companies with any score of the day, with flags that tell a score that was not run from one that is null."""
-    g = gap.select("corp_code", "execution_score", "progress_rate", "washing_flag", "buyback_executed", "buyback_retired", "buyback_status", "score_basis", "source_plan_id", F.lit(True).alias("g"))
-    m = mna.select("corp_code", "mna_target_score", "population_basis", F.lit(True).alias("m"))
-    o = opacity.select("corp_code", "opacity_rank", "opacity_count", "opacity_basis", F.lit(True).alias("o"))
-    x = company.join(g, "corp_code", "left").join(m, "corp_code", "left").join(o, "corp_code", "left").where("g OR m OR o")
-    x = x.join(metrics_d.select("corp_code", "roe", "pbr", "ev_ebit", "debt_ratio", "total_return_ratio"), "corp_code", "left").join(price, "corp_code", "left").join(lowest_own_gap(gap, own_gap), "corp_code", "left")
-    flags = {"has_valueup": F.coalesce("g", F.lit(False)), "has_mna": F.coalesce("m", F.lit(False)), "has_opacity": F.coalesce("o", F.lit(False))}
+def screening_rows(company: DataFrame, gap: DataFrame, mna: DataFrame, opacity: DataFrame, metrics_d: DataFrame, price: DataFrame, own_gap: DataFrame, plans: DataFrame) -> DataFrame:
+    """Companies with any score of the day and the plan in force, with flags that tell a score that was not run from one that is null."""
+    own = ["execution_score", "progress_rate", "washing_flag", "buyback_executed", "buyback_retired", "buyback_status", "buyback_timing", "score_basis", "source_plan_id"]
+    g = gap.select("corp_code", *own, F.col("as_of").alias("g"))
+    m = mna.select("corp_code", "mna_target_score", "population_basis", F.col("as_of").alias("m"))
+    o = opacity.select("corp_code", "opacity_rank", "opacity_count", "opacity_basis", F.col("as_of").alias("o"))
+    x = company.join(g, "corp_code", "left").join(m, "corp_code", "left").join(o, "corp_code", "left").where("coalesce(g, m, o) IS NOT NULL")
+    x = x.join(metrics_d.select("corp_code", "roe", "pbr", "ev_ebit", "debt_ratio", "total_return_ratio", "retired_return_ratio"), "corp_code", "left").join(price, "corp_code", "left")
+    # the plan and its smallest gap come by the plan's id
+    lowest = own_gap.where("own_gap IS NOT NULL").groupBy(F.col("plan_id").alias("source_plan_id")).agg(F.min("own_gap").alias("lowest_own_gap"))
+    said = plans.select(F.col("plan_id").alias("source_plan_id"), F.col("body_signal").alias("plan_body_signal"), F.col("disclosure_date").alias("plan_date"))
+    x = x.join(lowest, "source_plan_id", "left").join(said, "source_plan_id", "left")
+    flags = {"as_of": F.coalesce("g", "m", "o"), "has_valueup": F.col("g").isNotNull(), "has_mna": F.col("m").isNotNull(), "has_opacity": F.col("o").isNotNull()}
     return x.withColumns(flags).drop("g", "m", "o", "stock_code")
 
 
+def matching_presets(rows: DataFrame, presets: dict[str, ScreenFilter] | None = None) -> DataFrame:
+    """The rows of each preset that they pass, in one pass: rows with `preset`, one for each."""
+    passed = []
+    for name, f in (PRESETS if presets is None else presets).items():
+        hit = F.lit(True)
+        for c in f.conditions():
+            hit = hit & c
+        passed.append(F.when(hit, F.lit(name)))
+    return rows.withColumn("preset", F.explode(F.array_compact(F.array(*passed))))
+
+
 def screen(rows: DataFrame, f: ScreenFilter, sort: str | None = None, page: int = 1, size: int = 20) -> Page:
     return paged(where_all(rows, f.conditions()), sort_keys(sort, SCREEN_SORTS, ["corp_code"]), page, size)
 

@@ -113,7 +113,7 @@ def ambition(t):
 
 @query(f"SELECT corp_code, roe, {ranked('vmd', 'roe', '1', 'pct', False)} FROM vmd", "vmd")
 def mid_rank_market(t):
-    return R.mid_rank(vmd(t).select("corp_code", "roe"), "roe", "pct")
+    return R.mid_rank(vmd(t).select("corp_code", "roe"), "roe", "pct", wide=True)
 
 
 @query(f"SELECT corp_code, bucket, pbr, {ranked('x', 'pbr', 'bucket', 'pct', True)} FROM (SELECT corp_code, pbr, {BUCKET} AS bucket FROM vmd LEFT JOIN company USING (corp_code)) x", "vmd", "company")
@@ -182,16 +182,16 @@ def mna_ranking_page(t):
 
 
 def screen_rows(t):
-    return X.screening_rows(t.company, gap(t), mna(t), opacity(t), vmd(t), M.latest_price(t.prices), M.plan_own_gap(t.valueup_plan, vm(t)))
+    return X.screening_rows(t.company, gap(t), mna(t), opacity(t), vmd(t), M.latest_price(t.prices), M.plan_own_gap(t.valueup_plan, vm(t)), t.valueup_plan)
 
 
-SCREEN = """(SELECT c.corp_code, c.corp_name, c.market, c.sector, g.execution_score, g.progress_rate, g.washing_flag, g.buyback_executed, g.buyback_retired, g.buyback_status, g.score_basis, g.source_plan_id, m.mna_target_score, m.population_basis, o.opacity_rank, o.opacity_count, o.opacity_basis,
- v.roe, v.pbr, v.ev_ebit, v.debt_ratio, v.total_return_ratio, p.market_cap, l.lowest_own_gap, g.corp_code IS NOT NULL AS has_valueup, m.corp_code IS NOT NULL AS has_mna, o.corp_code IS NOT NULL AS has_opacity
-FROM company c LEFT JOIN gap g USING (corp_code) LEFT JOIN mna m USING (corp_code) LEFT JOIN opa o USING (corp_code) LEFT JOIN vmd v USING (corp_code)
-LEFT JOIN (SELECT corp_code, market_cap FROM prices QUALIFY row_number() OVER (PARTITION BY corp_code ORDER BY date DESC) = 1) p USING (corp_code)
+SCREEN = """(SELECT c.corp_code, c.corp_name, c.market, c.sector, g.execution_score, g.progress_rate, g.washing_flag, g.buyback_executed, g.buyback_retired, g.buyback_status, g.buyback_timing, g.score_basis, g.source_plan_id, p.body_signal AS plan_body_signal, p.disclosure_date AS plan_date, coalesce(g.as_of, m.as_of, o.as_of) AS as_of, m.mna_target_score, m.population_basis, o.opacity_rank, o.opacity_count, o.opacity_basis,
+ v.roe, v.pbr, v.ev_ebit, v.debt_ratio, v.total_return_ratio, v.retired_return_ratio, q.market_cap, l.lowest_own_gap, g.corp_code IS NOT NULL AS has_valueup, m.corp_code IS NOT NULL AS has_mna, o.corp_code IS NOT NULL AS has_opacity
+FROM company c LEFT JOIN gap g USING (corp_code) LEFT JOIN mna m USING (corp_code) LEFT JOIN opa o USING (corp_code) LEFT JOIN vmd v USING (corp_code) LEFT JOIN valueup_plan p ON p.plan_id = g.source_plan_id
+LEFT JOIN (SELECT corp_code, market_cap FROM prices QUALIFY row_number() OVER (PARTITION BY corp_code ORDER BY date DESC) = 1) q USING (corp_code)
 LEFT JOIN (SELECT g.corp_code, min(own_gap) AS lowest_own_gap FROM gap g JOIN own_gap x ON x.plan_id = g.source_plan_id WHERE own_gap IS NOT NULL GROUP BY 1) l USING (corp_code)
 WHERE g.corp_code IS NOT NULL OR m.corp_code IS NOT NULL OR o.corp_code IS NOT NULL)"""
-SCREEN_NEEDS = ("company", "gap", "mna", "opa", "vmd", "prices", "own_gap")
+SCREEN_NEEDS = ("company", "gap", "mna", "opa", "vmd", "prices", "own_gap", "valueup_plan")
 SCREEN_ROUND = ", ".join(f"round({c}, 6) AS {c}" for c in ("execution_score", "progress_rate", "mna_target_score", "opacity_rank"))
 
 
@@ -208,11 +208,7 @@ def screening_page(t):
 
 @query(f"SELECT 'opaque' AS preset, corp_code FROM {SCREEN} WHERE opacity_rank >= 0.7 UNION ALL SELECT 'modest_target', corp_code FROM {SCREEN} WHERE lowest_own_gap <= 0 UNION ALL SELECT 'bought_not_retired', corp_code FROM {SCREEN} WHERE buyback_status = 'purchased_only' AND total_return_ratio >= 40", *SCREEN_NEEDS)
 def screening_presets(t):
-    rows, out = screen_rows(t), None
-    for name, f in X.PRESETS.items():
-        part = X.where_all(rows, f.conditions()).select(F.lit(name).alias("preset"), "corp_code")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return X.matching_presets(screen_rows(t)).select("preset", "corp_code")
 
 
 @query(f"SELECT corp_code, CASE WHEN NOT has_mna THEN 'not_run' WHEN mna_target_score IS NOT NULL THEN 'ok' WHEN substr(sector, 1, 3) = '641' OR substr(sector, 1, 2) = '65' THEN 'unsupported_sector' ELSE 'unknown' END AS cell_status FROM {SCREEN}", *SCREEN_NEEDS)
