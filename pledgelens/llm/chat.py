@@ -7,8 +7,8 @@ one CASE over fingerprints, so a table of mixed layouts takes one pass. Turns ar
 control strings, and control strings inside texts get a backslash after their first character (one more where
 backslashes are there already), which `parse_chat` takes out again.
 
-Texts of any length go through: a fingerprint is taken from the record without its string values, and the parser's
-limit on strings is lifted to that of Spark's own strings (2**31 - 1 bytes for a record).
+Texts of any length go through: the fingerprint of a long record is taken without its string values, and the limit on
+strings is lifted to that of Spark's own strings (2**31 - 1 bytes for a record).
 
 Edge cases: a null text or role is an empty one; a record that is null, is no JSON or has an unknown fingerprint
 gets null turns, an empty formatted text and an empty mask; equal turn numbers are ordered by role, then text;
@@ -80,9 +80,15 @@ def skeleton_sql(record: str) -> str:
     return f"regexp_replace({marked}, {quoted('(:\\s*+)\"\"')}, '$1')"
 
 
+#: The parser's limit on a string; longer records are parsed without their values, which gives the same paths.
+PARSED_BYTES = 20_000_000
+
+
 def fingerprint_sql(record: str) -> str:
     """Hash of the nested field paths of a JSON text; null where it is none."""
-    return f"xxhash64(regexp_replace(nullif(schema_of_variant(try_parse_json({skeleton_sql(record)})), 'VOID'), {quoted(LEAF_TYPES)}, ''))"
+    parsed = f"CASE WHEN octet_length({record}) < {PARSED_BYTES} THEN try_parse_json({record}) ELSE try_parse_json({skeleton_sql(record)}) END"
+    paths = f"nullif(schema_of_variant({parsed}), 'VOID')"
+    return f"transform(array({paths}), p -> CASE WHEN p IS NOT NULL THEN xxhash64(regexp_replace(p, {quoted(LEAF_TYPES)}, '')) END)[0]"
 
 
 def canonical_turns(records: DataFrame, *, record_col: str = "record", mappings: list[Mapping] = MAPPINGS, fields: dict[str, str] = FIELDS) -> DataFrame:
@@ -90,7 +96,7 @@ def canonical_turns(records: DataFrame, *, record_col: str = "record", mappings:
     (parsed,) = free_names(records, "_parsed")
     json, broken = f"`{record_col}`", "_broken"
     schema = ", ".join(f"`{f}` {t}" for f, t in {**fields, broken: "STRING"}.items())
-    got = records.withColumn("fingerprint", F.expr(f"CASE WHEN try_parse_json({skeleton_sql(json)}) IS NOT NULL THEN {fingerprint_sql(json)} END"))
+    got = records.withColumn("fingerprint", F.expr(fingerprint_sql(json)))
     got = got.withColumn(parsed, F.expr(f"from_json({json}, {quoted(schema)}, map('maxStringLen', '{2**31 - 1}', 'columnNameOfCorruptRecord', '{broken}'))"))
     layout = " ".join(f"WHEN {fingerprint_sql(quoted(m.example))} THEN '{m.name}'" for m in mappings)
     got = got.withColumn("layout", F.expr(f"CASE WHEN {parsed}.{broken} IS NULL THEN CASE fingerprint {layout} END END"))
