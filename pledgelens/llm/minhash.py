@@ -73,7 +73,7 @@ def _uniform(h: np.ndarray) -> np.ndarray:
 
 def dart_signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows: int, k: int) -> np.ndarray:
     """Ids of each row's earliest dart per coordinate, (rows, k); zeros for rows without a shingle."""
-    total = np.bincount(row, weight, rows)
+    total = np.bincount(row, weight, rows).astype(float)
     # the pieces of the weight axis that each shingle reaches: [0, 1), [1, 2), [2, 4), ...
     pieces = 1 + np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64)
     of = np.repeat(np.arange(len(row)), pieces)
@@ -121,7 +121,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, ro
         for part, data, offsets in slices(batches, "body"):
             row, shingle, weight = shingle_weights(data, offsets, words, weights)
             ids = dart_signatures(row, shingle, weight, part.num_rows, k)
-            n = np.bincount(row, weight, part.num_rows)
+            n = np.bincount(row, weight, part.num_rows).astype(float)  # a slice without any shingle gives whole numbers
             h = np.broadcast_to(np.arange(bands, dtype=np.uint64), (part.num_rows, bands)).copy()
             for c in range(rows):
                 h = mix(h * np.uint64(31) + ids[:, c::rows])

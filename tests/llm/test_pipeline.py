@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from pledgelens.llm.common import materialise
 
@@ -42,3 +44,18 @@ def test_secret_stage_against_expressions(spark):
     got = {r.doc_id: r for r in P.secrets(spark, spark.createDataFrame([(i, t, len(t or "")) for i, t in texts.items()], "doc_id long, text string, n_chars long"), "").collect()}
     want = {i: t and re.sub("AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}|gh[pousr]_[A-Za-z0-9]{36,}", "<secret>", t) for i, t in texts.items()}
     assert {i: (r.text or "", r.n_chars) for i, r in got.items()} == {i: (t or "", len(t or "")) for i, t in want.items()}
+
+
+def test_stages_keep_columns_and_take_odd_rows(spark, sf):
+    """Callers' columns named like results or working columns, null and repeated rows, and empty tables."""
+    extra = {c: F.lit(f"mine {c}") for c in ("score", "predicted", "tokens", "posteriors", "rate", "spans", "_key", "_text_key", "node", "record")}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(90001, None), (90002, ""), (None, "a b c"), (90003, "token=abcdefgh " * 3), (90003, "token=abcdefgh " * 3)], "doc_id long, text string")
+    docs = docs.unionByName(odd, allowMissingColumns=True).withColumns(extra)
+    for name, stage in P.STAGES[:-1]:
+        new = materialise(stage(spark, docs, sf))
+        assert new.columns == docs.columns and [f.dataType for f in new.schema] == [f.dataType for f in docs.schema], name
+        assert all(new.where(F.col(c) != f"mine {c}").isEmpty() for c in extra), name
+        assert new.count() <= docs.count() and stage(spark, docs.limit(0), sf).count() == 0, name
+        docs = new
+    assert P.pieces(spark, docs, sf).count() == docs.count()
