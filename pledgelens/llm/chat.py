@@ -88,7 +88,11 @@ def fingerprint_sql(record: str) -> str:
     """Hash of the nested field paths of a JSON text; null where it is none."""
     parsed = f"CASE WHEN octet_length({record}) < {PARSED_BYTES} THEN try_parse_json({record}) ELSE try_parse_json({skeleton_sql(record)}) END"
     paths = f"nullif(schema_of_variant({parsed}), 'VOID')"
-    return f"transform(array({paths}), p -> CASE WHEN p IS NOT NULL THEN xxhash64(regexp_replace(p, {quoted(LEAF_TYPES)}, '')) END)[0]"
+    return f"transform(array({paths}), p -> CASE WHEN p IS NOT NULL THEN {_paths_hash_sql('p')} END)[0]"
+
+
+def _paths_hash_sql(schema: str) -> str:
+    return f"xxhash64(regexp_replace({schema}, {quoted(LEAF_TYPES)}, ''))"
 
 
 def canonical_turns(records: DataFrame, *, record_col: str = "record", mappings: list[Mapping] = MAPPINGS, fields: dict[str, str] = FIELDS) -> DataFrame:
@@ -98,7 +102,8 @@ def canonical_turns(records: DataFrame, *, record_col: str = "record", mappings:
     schema = ", ".join(f"`{f}` {t}" for f, t in {**fields, broken: "STRING"}.items())
     got = records.withColumn("fingerprint", F.expr(fingerprint_sql(json)))
     got = got.withColumn(parsed, F.expr(f"from_json({json}, {quoted(schema)}, map('maxStringLen', '{2**31 - 1}', 'columnNameOfCorruptRecord', '{broken}'))"))
-    layout = " ".join(f"WHEN {fingerprint_sql(quoted(m.example))} THEN '{m.name}'" for m in mappings)
+    # without a lambda, so that the examples' fingerprints are folded to constants
+    layout = " ".join(f"WHEN {_paths_hash_sql(f'schema_of_variant(try_parse_json({quoted(m.example)}))')} THEN '{m.name}'" for m in mappings)
     got = got.withColumn("layout", F.expr(f"CASE WHEN {parsed}.{broken} IS NULL THEN CASE fingerprint {layout} END END"))
     turns = " ".join(f"WHEN '{m.name}' THEN {re.sub(r'\br\.', f'{parsed}.', m.turns)}" for m in mappings)
     return got.withColumn("turns", F.expr(f"CASE layout {turns} END")).drop(parsed)
