@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = nodes.join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     # of components of several nodes only, in a table of its own, so that a join with it can split a large component's rows
     lowest = materialise(classes.groupBy("comp").agg(F.min("rep").alias("class_id"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    named = classes.join(lowest, "comp", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), "comp")
+    named = materialise(classes.join(lowest, "comp", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), "comp"))
     return signed.select(F.col("id").alias(id_col), "node", "text_key").join(named, "node").select(id_col, "node", "class_id", "comp", "text_key")
 
 
