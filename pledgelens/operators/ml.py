@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 
 def char_ngram_hash(df: DataFrame, key: str, text: str, dim: int = 1 << 14, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
@@ -31,8 +33,8 @@ def char_ngram_vectors(df: DataFrame, text: str | Column, out: str, dim: int = 1
 
 
 def _grams(t: Column, n: int) -> Column:
-    whole = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substr(t, i, F.lit(n)))
-    return F.when(F.length(t) >= n, whole).otherwise(F.array().cast("array<string>"))
+    """All runs of n code points in one walk over the text: each match consumes one and looks ahead over n."""
+    return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))."), 1)
 
 
 def classification_scores(df: DataFrame, y: str, pred: str) -> DataFrame:
@@ -96,13 +98,14 @@ def group_folds(df: DataFrame, group: str, y: str, k: int = 5, seed: int | None
     return df.sparkSession.createDataFrame(out, f"{group} {df.schema[group].dataType.simpleString()}, fold int")
 
 
-def evaluate(df: DataFrame, key: str, text: str, group: str, y: str, k: int = 5, repeats: int = 5, dim: int = 1 << 14, rule: Column | None = None, embedding: DataFrame | None = None) -> DataFrame:
+def evaluate(df: DataFrame, key: str, text: str, group: str, y: str, k: int = 5, repeats: int = 5, dim: int = 1 << 14, rule: Column | None = None, embedding: DataFrame | None = None, parallelism: int = 8) -> DataFrame:
     """(system, class, folds, macro_f1, macro_f1_sd, accuracy, accuracy_sd, recall, recall_sd, support) over repeated grouped folds.
 
     Systems: `rule` (a column that names the class, not fitted), class-weighted multinomial logistic regressions on the
     character n-grams of the whole text and of its last segment, and one on `embedding`, a table (key, vec) of precomputed
     vectors, where rows without one take no part. Means and population deviations are over folds and repeats; undefined
-    measures are left out. Rows without a class take no part. Only confusion counts come to the driver.
+    measures are left out. Rows without a class take no part. `parallelism` fits run at a time, each a distributed one.
+    Only confusion counts come to the driver.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StringIndexer
@@ -120,7 +123,7 @@ def evaluate(df: DataFrame, key: str, text: str, group: str, y: str, k: int = 5,
         fitted.append("embedding")
     index = StringIndexer(inputCol="y", outputCol="label", stringOrderType="alphabetAsc").fit(x)
     x = index.transform(x).persist()
-    confusion = []
+    confusion, jobs = [], []
     try:
         for rep in range(repeats):
             folds = group_folds(x, "_group", "y", k, seed=1000 + rep).withColumnRenamed("_group", "_g")
@@ -128,17 +131,24 @@ def evaluate(df: DataFrame, key: str, text: str, group: str, y: str, k: int = 5,
             if rule is not None:
                 said = dealt.groupBy("fold", "y", F.col("_rule").alias("p")).count().collect()
                 confusion += [("rule", rep, r.fold, r.y, r.p, r["count"]) for r in said]
-            for fold in range(k):
-                for system in fitted:
-                    rows = dealt.where(F.col(system).isNotNull())
-                    train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-                    sizes = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
-                    if not sizes:
-                        continue
-                    weight = F.element_at(F.create_map(*(F.lit(v) for c, n in sizes.items() for v in (c, sum(sizes.values()) / (len(sizes) * n)))), F.col("label"))
-                    model = LogisticRegression(featuresCol=system, weightCol="w", family="multinomial", regParam=1e-3, standardization=False, maxIter=100).fit(train.withColumn("w", weight))
-                    said = model.transform(test).groupBy("y", "prediction").count().collect()
-                    confusion += [(system, rep, fold, r.y, index.labels[int(r.prediction)], r["count"]) for r in said]
+            jobs += [(rep, fold, system, dealt) for fold in range(k) for system in fitted]
+
+        def run(job):
+            """Confusion counts of one fit; nothing if no row of the system is left to learn from."""
+            rep, fold, system, dealt = job
+            rows = dealt.where(F.col(system).isNotNull())
+            train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+            sizes = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
+            if not sizes:
+                return []
+            weights = (F.lit(v) for c, n in sizes.items() for v in (c, sum(sizes.values()) / (len(sizes) * n)))
+            train = train.withColumn("w", F.element_at(F.create_map(*weights), F.col("label")))
+            lr = LogisticRegression(featuresCol=system, weightCol="w", family="multinomial", regParam=1e-3, standardization=False, maxIter=100, tol=1e-4)
+            said = lr.fit(train).transform(test).groupBy("y", "prediction").count().collect()
+            return [(system, rep, fold, r.y, index.labels[int(r.prediction)], r["count"]) for r in said]
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            confusion += [r for done in pool.map(inheritable_thread_target(df.sparkSession)(run), jobs) for r in done]
     finally:
         x.unpersist()
     counts = df.sparkSession.createDataFrame(confusion, "system string, rep int, fold int, y string, p string, n long")

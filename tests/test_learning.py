@@ -20,7 +20,7 @@ def test_class_scores(spark):
 
 
 def test_char_ngram_vectors(spark):
-    texts = {1: "ab  ab", 2: "", 3: "äöü x", 4: None}
+    texts = {1: "ab  ab", 2: "", 3: "äöü x", 4: None, 5: "😀a😀😀 b\u20acc", 6: "😀", 7: "x😀"}
     got = {r.id: r.v for r in L.char_ngram_vectors(spark.createDataFrame(list(texts.items()), "id long, t string"), "t", "v").collect()}
     for i, t in texts.items():
         t, want = " ".join((t or "").split()), {}
