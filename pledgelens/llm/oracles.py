@@ -76,4 +76,22 @@ r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, l.b FROM r JOIN l ON
 m AS (SELECT node, min(seen) AS class_id FROM r GROUP BY 1)
 SELECT d.doc_id, m.class_id, d.doc_id = m.class_id AS kept FROM d JOIN n ON n.words = array_to_string(d.w, ' ') JOIN m ON m.node = n.node"""
 
-ORACLES = {"op1_chat_formatting": CHAT, "op4_secret_scan": _secrets(), "op5_repeated_strings": REPEATS, "op8_exact_top_k": TOP_K, "op10_near_duplicates": NEAR}
+RANKED = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, cast(sum(len(w)) AS bigint) AS total FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+t AS (SELECT term, cast(floor(1000 * ln((2 * n_docs + 2) / cast(2 * count(*) + 1 AS double))) AS bigint) AS weight FROM p, s GROUP BY term, n_docs),
+x AS (SELECT q.item_id, d.doc_id, d.rid, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(d.w) * n_docs) // total)))) AS bigint) AS score
+ FROM q JOIN p USING (term) JOIN t USING (term) JOIN d ON d.rid = p.rid, s GROUP BY 1, 2, 3)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0) WHERE rank <= 10"""
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, body, sha1(body) AS x, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+ array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast(('0x' || substr(x, cast(5 * (i // 4) + 1 AS bigint), 5)) AS bigint) >> cast(15 - 5 * (i % 4) AS bigint)) & 31 AS bigint), 1)), '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS digest_matches
+FROM h"""
+
+ORACLES = {"op12_ranked_search": RANKED, "op13_warc": WARC, "op1_chat_formatting": CHAT, "op4_secret_scan": _secrets(), "op5_repeated_strings": REPEATS, "op8_exact_top_k": TOP_K, "op10_near_duplicates": NEAR}

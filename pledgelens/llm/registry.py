@@ -12,10 +12,13 @@ from pledgelens.llm.mixing import DOMAINS, label_domains, mix_documents
 from pledgelens.llm.oracles import ORACLES
 from pledgelens.llm.pieces import piece_digests
 from pledgelens.llm.quality import fit_quality, score_quality
+from pledgelens.llm.ranked import ranked_search
 from pledgelens.llm.secrets import BASE, find_secrets, spans_text
 from pledgelens.llm.suffix_dedup import remove_repeats
 from pledgelens.llm.suffix_tree import score_texts
 from pledgelens.llm.topk import top_k
+from pledgelens.llm.warc import archive_dir, page_records, read_warc, write_warc
+from pledgelens.llm.whitening import as_integers, fit_whitening, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +95,37 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = fit_whitening(rows)
+    if model is None:
+        fields = "component int, n long, deviation long, whitened double, explained double, identity_error double"
+        return rows.where(F.lit(False)).select("vec_id", *(F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in fields.split(", ")))
+    sums = F.array(*(F.lit(s).cast("long") for s in model.sums))
+    square = F.zip_with(as_integers("embedding", model.scale), sums, lambda x, s: (model.n * x - s) * (model.n * x - s))
+    white = whiten(rows, model).select("vec_id", F.aggregate(square, F.lit(0).cast("long"), lambda a, b: a + b).alias("deviation"), F.posexplode("whitened").alias("k", "whitened"))
+    explained = F.element_at(F.array(*map(F.lit, model.explained)), F.col("k") + 1)
+    return white.select(
+        "vec_id",
+        (F.col("k") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        explained.alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = archive_dir(spark)
+    write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), at)
+    return page_records(read_warc(spark, at, payloads=False))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
