@@ -4,8 +4,10 @@ Vectors become integers, floor(scale * x). The fit list holds each different int
 bounded size in a table of the shared folder. The covariance V is never formed: each pass over the blocks computes V*Q for
 a few columns Q as the sum of centred products C'(C*Q) / n, and only such sums (dim x columns) reach the driver, through
 a tree of about the square root of the blocks. A round is
-1. a Chebyshev polynomial of V on Q, one pass for each degree, that stays small over [0, smallest Ritz value of the block]
-   and grows steeply above it, so that the unwanted part of the spectrum is damped;
+1. a Chebyshev polynomial of V on Q, one pass for each degree, that stays small over an interval up to the smallest Ritz value
+   of the block and grows steeply above it, so that the unwanted part of the spectrum is damped. The interval begins as far
+   below the mean of the eigenvalues outside the block (known from the trace) as it ends above, or at 0 as soon as a Ritz
+   value shows that something lies further below, which such a filter would bring up;
 2. QR, one more pass, and Rayleigh-Ritz;
 3. the certificate: |V*q - e*q| <= tolerance * e_1 for every wanted column.
 Rounds end with the certificate. A block of columns that makes no headway is widened, and one that spans all dimensions is
@@ -161,10 +163,10 @@ def filtered(apply: Callable[[np.ndarray], np.ndarray], q: np.ndarray, vq: np.nd
     return now
 
 
-def leading(apply: Callable[[np.ndarray], np.ndarray], dim: int, wanted: int, width: int = 16, degree: int = 10, tolerance: float = 1e-13) -> tuple[np.ndarray, np.ndarray, float]:
+def leading(apply: Callable[[np.ndarray], np.ndarray], dim: int, wanted: int, width: int = 16, degree: int = 10, tolerance: float = 1e-13, trace: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
     """Eigenvalues (falling), eigenvectors and the largest residual over the largest eigenvalue, of an operator Q -> V*Q."""
     rng = np.random.default_rng(11)
-    width, stalled, last = min(dim, max(width, 2 * wanted)), 0, math.inf
+    width, stalled, last, low, whole = min(dim, max(width, 2 * wanted)), 0, math.inf, 0.0, False
     q = np.linalg.qr(rng.standard_normal((dim, width)))[0]
     while True:
         vq = apply(q)
@@ -179,7 +181,10 @@ def leading(apply: Callable[[np.ndarray], np.ndarray], dim: int, wanted: int, wi
         stalled = stalled + 1 if residual > last / 2 else 0
         last = min(last, residual)
         high = max(values[-1], top * 1e-6)
-        y = filtered(apply, q, vq, degree, 0.0, high, top) if high < top * (1 - 1e-9) else vq
+        whole = whole or bool(values[-1] < low)
+        rest = (trace - values.sum()) / (dim - width)
+        low = 0.0 if whole else max(0.0, min(2 * rest - high, 0.999 * high))
+        y = filtered(apply, q, vq, degree, low, high, top) if high < top * (1 - 1e-9) else vq
         if stalled >= 3:  # more columns, so that a larger gap decides
             width, stalled = min(dim, 2 * width), 0
             y = np.hstack([y / np.linalg.norm(y, axis=0), rng.standard_normal((dim, width - q.shape[1]))])
@@ -210,7 +215,7 @@ def fit_whitening(df: DataFrame, components: int = 4, *, scale: int = 256, vecto
 
         return gather(blocks, count, dim, 8 * q.size, product)[0] / n
 
-    values, vectors, residual = leading(apply, dim, min(components, dim), width, degree, tolerance)
+    values, vectors, residual = leading(apply, dim, min(components, dim), width, degree, tolerance, trace)
     kept = values > ZERO * trace
     values, vectors = values[kept], vectors[:, kept]
     error = 0.0

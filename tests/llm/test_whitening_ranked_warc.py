@@ -64,12 +64,13 @@ def test_whitening_odd_rows(spark):
 
 def test_leading_components_of_hard_spectra():
     rng = np.random.default_rng(5)
-    for values in (np.linspace(2, 1, 60), np.array([3.0] * 3 + [1.0] * 47), 0.5 ** np.arange(40), 1 + 1e-3 * rng.random(64)):
+    for values in (np.linspace(2, 1, 60), np.array([3.0] * 3 + [1.0] * 47), 0.5 ** np.arange(40), 1 + 1e-3 * rng.random(64), np.array([2.0] + [1.0] * 60 + [0.0] * 3)):
         axes = np.linalg.qr(rng.standard_normal((len(values), len(values))))[0]
         v = (axes * values) @ axes.T
-        got, vectors, residual = leading(lambda q: v @ q, len(values), 4)
+        for trace in (0.0, values.sum()):
+            got, vectors, residual = leading(lambda q: v @ q, len(values), 4, trace=trace)
+            assert np.abs(v @ vectors - vectors * got).max() < 1e-11
         assert got == pytest.approx(np.sort(values)[::-1][:4], rel=1e-11) and residual <= 1e-12
-        assert np.abs(v @ vectors - vectors * got).max() < 1e-11
 
 
 # --- ranked search
