@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pledgelens.functions.values import col
+from pledgelens.functions.values import col, held, starts
 
 
 def strip_tags(c: str | Column) -> Column:
@@ -16,9 +16,24 @@ def strip_tags(c: str | Column) -> Column:
     return F.regexp_replace(t, "^[ \\n]+|[ \\n]+$", "")
 
 
+# The characters of a style rule's selector, and those it starts with.
+SELECTOR, SELECTOR_START = ".#*a-zA-Z0-9_\\-\\s:,>+~\\[\\]=\"'()", ".#*a-zA-Z"
+
+
 def strip_stylesheet(c: str | Column) -> Column:
-    """Drop leading `selector{declarations}` blocks whose selector holds no Hangul."""
-    return F.regexp_replace(col(c), "^(?:\\s*[^{}\\p{IsHangul}]{1,200}\\{[^{}]*\\})+", "")
+    """Drop the leading rules `selector{declarations}`, up to the first piece before a closing brace that is none.
+
+    The text is cut at closing braces, so no expression repeats a group, and the time is linear in the text.
+    """
+    rule = f"^\\s*[{SELECTOR_START}][{SELECTOR}]*\\{{[^{{}}]*$"
+
+    def rest(pieces: Column) -> Column:
+        # what stands behind the last brace is no rule
+        rules = F.transform(pieces, lambda p, i: p.rlike(rule) & (i < F.size(pieces) - 1))
+        first = F.array_position(rules, False).cast("int")
+        return F.array_join(F.slice(pieces, first, F.size(pieces)), "}")
+
+    return F.when(F.contains(col(c), F.lit("}")), held(F.split(col(c), "\\}", -1), rest)).otherwise(col(c))
 
 
 def clean(c: str | Column) -> Column:
@@ -113,17 +128,19 @@ def found(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def hits(c: Column, pattern: str) -> Column:
-    """array<struct<at, a, b>>: every match of a pattern with two groups, at its code point from 0; empty without one."""
+    """array<struct<at, a, b>>: every match of a pattern with two groups, at its code point from 0; empty without one.
+
+    Places are sums over the matches and the pieces between them, so the time is linear in their number.
+    """
     pair = lambda g: F.regexp_extract_all(c, F.lit(pattern), F.lit(g))
-    cut = F.arrays_zip(pair(0).alias("m"), pair(1).alias("a"), pair(2).alias("b"), F.split(c, pattern, -1).alias("before"))
-    start = F.expr("named_struct('at', 0, 'out', cast(array() AS array<struct<at:int,a:string,b:string>>))")
+    cut = F.filter(F.arrays_zip(pair(0).alias("m"), pair(1).alias("a"), pair(2).alias("b"), F.split(c, pattern, -1).alias("before")), lambda z: z["m"].isNotNull())
 
-    def add(s, z):
-        at = s["at"] + F.length(z["before"])
-        return F.struct((at + F.length(z["m"])).alias("at"), F.array_append(s["out"], F.struct(at.alias("at"), z["a"].alias("a"), z["b"].alias("b"))).alias("out"))
+    def placed(found_: Column) -> Column:
+        begin = starts(F.transform(found_, lambda z: F.length(z["before"]) + F.length(z["m"])))
+        at = lambda z, s: (s + F.length(z["before"])).cast("int")
+        return F.zip_with(found_, begin, lambda z, s: F.struct(at(z, s).alias("at"), z["a"].alias("a"), z["b"].alias("b")))
 
-    each = F.aggregate(F.filter(cut, lambda z: z["m"].isNotNull()), start, add, lambda s: s["out"])
-    return F.when(c.rlike(pattern), each).otherwise(F.expr("cast(array() AS array<struct<at:int,a:string,b:string>>)"))
+    return F.when(c.rlike(pattern), held(cut, placed)).otherwise(F.expr("cast(array() AS array<struct<at:int,a:string,b:string>>)"))
 
 
 def before(c: Column, at: Column, n: int) -> Column:
@@ -152,10 +169,6 @@ def metric_target(c: Column, name: str, year: Column) -> Column:
     one = lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high")))
     at = lambda p: F.nullif(F.regexp_instr(c, F.lit(p)), F.lit(0))
 
-    def held(make: Column, build) -> Column:
-        """`build` of a value that is computed once."""
-        return F.transform(F.array(make), build)[0]
-
     def ranged(mark_: str) -> Column:
         """The first range, if it rises; its ends are read again from the match alone."""
         pattern, ends = label + gap["plain"] + RANGE, NUMBER + "\\s*[~∼\\-–]\\s*" + NUMBER + "\\s*%$"
@@ -285,25 +298,105 @@ def related_url(c: str | Column, own_hosts: list[str]) -> Column:
     return F.regexp_replace(F.coalesce(F.try_element_at(near, F.lit(1)), F.try_element_at(urls(col(c)), F.lit(1))), "[.,;)]+$", "")
 
 
+def without_dots(segments: Column) -> Column:
+    """Path segments with `.` left out and `..` taking the segment before it along; a last one leaves an empty segment."""
+    none = F.expr("cast(array() AS array<string>)")
+    shorter = lambda s: F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))
+    kept = F.aggregate(segments, none, lambda s, x: F.when(x == "..", shorter(s)).when(x == ".", s).otherwise(F.array_append(s, x)))
+    return F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+
+
+def absolute_url(base: str | Column, link: str | Column) -> Column:
+    """A link as its page means it: relative to the page's folder, its root, its host or its scheme; `.` and `..` are folded.
+
+    Links with a scheme of their own, or with the page's scheme and a host, stay as they are. An empty link is the page; only
+    a query or a fragment goes to the page's path. Paths without dot segments are not folded. No page, no change.
+    """
+    url, h = F.trim(col(base)), F.trim(col(link))
+    part = lambda c, p, g: F.regexp_extract(c, p, g)
+    whole = "^([a-zA-Z][a-zA-Z0-9+.\\-]*)://([^/?#]*)([^?#]*)(\\?[^#]*)?"
+    scheme, host, path, query = (part(url, whole, g) for g in (1, 2, 3, 4))
+    own = part(h, "^([a-zA-Z][a-zA-Z0-9+.\\-]*):", 1)
+    same = F.lower(own) == F.lower(scheme)
+    # a link with the page's scheme and no host is relative
+    rel = F.when((own != "") & same, F.substr(h, F.length(own) + 2)).otherwise(h)
+    own_path, own_query, fragment = part(rel, "^[^?#]*", 0), part(rel, "^[^?#]*(\\?[^#]+)", 1), part(rel, "#.+$", 0)
+
+    def joined(split: Column, rooted: Column) -> Column:
+        """Path segments of folder and link; empty ones between the first and the last go where the folder takes part."""
+        n = F.size(split)
+        inner = F.filter(split, lambda x, i: (i == 0) | (i == n - 1) | (x != ""))
+        return F.when(rooted, split).otherwise(inner)
+
+    rooted = F.startswith(own_path, F.lit("/"))
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    segments = held(F.split(F.when(rooted, own_path).otherwise(F.concat(folder, own_path)), "/", -1), lambda s: joined(s, rooted))
+    folded = F.when(F.concat(F.lit("/"), own_path, F.lit("/")).rlike("/\\.\\.?/") | path.rlike("/\\.\\.?(/|$)"), held(segments, without_dots)).otherwise(segments)
+    full = F.regexp_replace(F.array_join(folded, "/"), "^(?!/)", "/")
+    root = F.concat(scheme, F.lit("://"), host)
+    moved = F.when(own_path == "", F.concat(root, path, F.when(own_query != "", own_query).otherwise(query), fragment)).otherwise(F.concat(root, full, own_query, fragment))
+    hosted = F.startswith(rel, F.lit("//"))
+    return F.when(F.coalesce(scheme, F.lit("")) == "", h).when((own != "") & ~same, h).when(hosted & (own != ""), F.concat(F.lower(own), F.lit(":"), rel)).when(hosted, F.concat(scheme, F.lit(":"), rel)).when(h == "", url).otherwise(moved)
+
+
+def unescaped(c: Column) -> Column:
+    """The character references of mark-up's own characters, and those that stand for a blank and quotes."""
+    for name, sign in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(sign))
+    return c
+
+
+def anchors(html: str | Column) -> Column:
+    """array<struct<href, label>>: the closed links of a page in their order; an inner link takes an outer one's place.
+
+    Scripts, styles and comments hold no links; one that is not closed goes to the end. The page is cut where links begin.
+    """
+    page = F.regexp_replace(col(html), "(?is)<(?:script|style)\\b.*?(?:</(?:script|style)\\s*>|\\z)", "")
+    page = F.regexp_replace(page, "(?s)<!--.*?(?:-->|\\z)", "")
+    pieces = held(F.split(page, "(?i)<a(?=\\s)", -1), lambda s: F.slice(s, F.lit(2), F.size(s)))
+
+    def link(p: Column) -> Column:
+        tag = F.substring_index(p, ">", 1)
+        rest = F.substr(p, F.length(tag) + 2)
+        end = F.locate("</a", F.lower(rest))
+        quoted = "(?is)\\shref\\s*=\\s*"
+        href = F.coalesce(*(F.nullif(F.regexp_extract(tag, quoted + v, 1), F.lit("")) for v in ('"([^"]*)"', "'([^']*)'", "([^\\s\"'>]+)")))
+        text = F.regexp_replace(F.regexp_replace(F.substr(rest, F.lit(1), end - 1), "<[^>]*>", "\u0001"), "\u0001+", " ")
+        return F.when(end > 0, F.struct(unescaped(href).alias("href"), F.trim(unescaped(text)).alias("label")))
+
+    return F.filter(F.transform(pieces, link), lambda a: a["href"].isNotNull())
+
+
+LABEL_CHARS = 80
+
+
 def plan_links(pages: DataFrame, words: list[str], exclude: list[str], suffix: str = ".pdf") -> DataFrame:
-    """(page_id, href, label, score): links of a page that hold the suffix, once each, best first; a word counts 2 in the link, 1 in its text."""
-    p = "(?is)<a\\s[^>]*href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"
-    pair = F.arrays_zip(F.regexp_extract_all("html", F.lit(p), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(p), F.lit(2)).alias("label"))
-    x = pages.select("page_id", "url", F.posexplode(pair).alias("pos", "z")).select("page_id", "pos", "url", F.col("z.href").alias("raw"), F.trim(F.regexp_replace("z.label", "<[^>]*>", "")).alias("label"))
-    root = F.regexp_extract("url", "^(https?://[^/]+)", 1)
-    href = F.when(F.col("raw").rlike("^https?://"), F.col("raw")).when(F.col("raw").startswith("/"), F.concat(root, "raw")).otherwise(F.concat(root, F.lit("/"), "raw"))
-    x = x.withColumn("href", href).where(F.contains(F.lower("href"), F.lit(suffix)))
+    """(page_id, href, label, pos, score): a page's links that hold the suffix, once each by their absolute URL.
+
+    Links with an excluded word in URL or text go. A word in the URL scores 2, one in the text 1, however many there are.
+    """
+    x = pages.select("page_id", "url", F.posexplode(anchors("html")).alias("pos", "a"))
+    x = x.select("page_id", "pos", absolute_url("url", "a.href").alias("href"), F.col("a.label").alias("label")).where(F.contains(F.lower("href"), F.lit(suffix)))
     x = x.groupBy("page_id", "href").agg(F.min_by("label", "pos").alias("label"), F.min("pos").alias("pos"))
-    for w in exclude:
-        x = x.where(~F.contains(F.lower("href"), F.lit(w)))
-    hit = lambda c: sum((F.contains(F.lower(c), F.lit(w)).cast("int") for w in words), F.lit(0))
-    return x.select("page_id", "href", "label", "pos", (2 * hit("href") + hit("label")).alias("score"))
+
+    def holds(c: str, said: list[str]) -> Column:
+        hit = F.lit(False)
+        for w in said:
+            hit = hit | F.contains(F.lower(c), F.lit(w))
+        return hit
+
+    x = x.where(~holds("href", exclude) & ~holds("label", exclude))
+    score = 2 * holds("href", words).cast("int") + holds("label", words).cast("int")
+    return x.select("page_id", "href", F.substring("label", 1, LABEL_CHARS).alias("label"), "pos", score.alias("score"))
 
 
-def best_links(links: DataFrame) -> DataFrame:
-    """(page_id, status): the best link if it scores, else how many there are."""
-    g = links.groupBy("page_id").agg(F.max_by("href", F.struct("score", -F.col("pos"))).alias("href"), F.max("score").alias("score"), F.count("*").alias("n"))
-    return g.select("page_id", F.when(F.col("score") > 0, F.col("href")).otherwise(F.concat(F.lit("ambiguous:"), "n")).alias("status"))
+def best_links(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """(page_id, href, error) for each page: its best link if that scores, the first of equal ones, else why there is none."""
+    best = F.max_by("href", F.struct("score", -F.col("pos")))
+    g = links.groupBy("page_id").agg(best.alias("best"), F.max("score").alias("score"), F.count("*").alias("n"))
+    j = pages.select("page_id").join(g, "page_id", "left")
+    error = F.when(F.col("n").isNull(), "no_pdf_links").when(F.col("score") == 0, F.concat(F.lit("ambiguous:"), "n", F.lit("_pdfs")))
+    return j.select("page_id", F.when(F.col("score") > 0, F.col("best")).alias("href"), error.alias("error"))
 
 
 def merge_pages(pages: DataFrame, fields: list[str]) -> DataFrame:

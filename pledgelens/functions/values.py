@@ -74,3 +74,35 @@ def cap_bucket(c: str | Column) -> Column:
     """large from 10 trillion, mid from 1 trillion, small below; null for an unknown value."""
     v = col(c)
     return F.when(v >= 10**13, "large").when(v >= 10**12, "mid").when(v.isNotNull(), "small")
+
+
+STARTS_BLOCK = 256
+
+
+def held(value: Column, build) -> Column:
+    """`build` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), build)[0]
+
+
+def starts(lengths: Column) -> Column:
+    """array<bigint>: the sum of the entries before each entry, in time linear in their number.
+
+    Sums of blocks first, then the entries behind each block's sum, as an array that grows entry by entry is copied each time.
+    """
+    none, step = F.expr("cast(array() AS array<bigint>)"), STARTS_BLOCK
+    add = lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+    sums = lambda xs, at: F.aggregate(xs, F.struct(at.alias("at"), none.alias("out")), add, lambda s: s["out"])
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+    def level(xs: Column, inner) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / step)), lambda b: F.slice(xs, (b * step + 1).cast("int"), F.lit(step)))
+
+        def joined(parts: Column) -> Column:
+            before = inner(F.transform(parts, total))
+            return F.flatten(F.zip_with(parts, before, lambda part, at: sums(part, at)))
+
+        return held(blocks, joined)
+
+    flat = lambda xs: sums(xs, F.lit(0).cast("bigint"))
+    made = held(lengths.cast("array<bigint>"), lambda xs: F.when(F.size(xs) == 0, none).otherwise(level(xs, lambda ys: held(ys, lambda zs: level(zs, flat)))))
+    return made

@@ -1,18 +1,21 @@
-"""Scoring batches, refreshes and published snapshots over a directory of Parquet tables."""
+"""Scoring batches, refreshes, the tables served from them, and published snapshots."""
 
 from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from pledgelens.operators import loads as L
 from pledgelens.operators import metrics as M
 from pledgelens.operators import scores as S
+from pledgelens.operators import screening as X
+from pledgelens.sources.store import Generations
 
 ENGINES = ("gap", "mna", "opacity")
 
@@ -44,9 +47,12 @@ class RunResult:
         return self.complete and not (self.subset and self.engine != "gap")
 
 
-def score_engine(engine: str, t, as_of: str, cfg: S.Config = S.Config(), corp_codes: list[str] | None = None) -> DataFrame:
-    """One engine's rows of a day; an empty universe of facts is an error before anything is written."""
-    metrics_d = M.reports_as_of(M.valuation_metrics(t.financials, t.prices), as_of)
+def score_engine(engine: str, t, as_of: str, cfg: S.Config = S.Config(), corp_codes: list[str] | None = None, metrics: DataFrame | None = None) -> DataFrame:
+    """One engine's rows of a day; an empty universe of facts is an error before anything is written.
+
+    metrics: the valuation metrics, where they are at hand.
+    """
+    metrics_d = M.reports_as_of(M.valuation_metrics(t.financials, t.prices) if metrics is None else metrics, as_of)
     if engine == "gap":
         chosen = S.choose_plans(t.valueup_plan, as_of)
         out = S.valueup_score(chosen, metrics_d, M.reports_as_of(t.financials, as_of), as_of, cfg)
@@ -66,50 +72,92 @@ def score_engine(engine: str, t, as_of: str, cfg: S.Config = S.Config(), corp_co
 
 
 def stored_scores(spark: SparkSession, out: str, engine: str, as_of: str) -> DataFrame | None:
-    """An engine's rows of a day as they were written, None if there are none."""
-    try:
-        return spark.read.parquet(f"{out}/{engine}/as_of={as_of}").withColumn("as_of", F.lit(as_of))
-    except AnalysisException as x:
-        if x.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    """An engine's rows in force of a day, None if there are none."""
+    rows = Generations(spark, out).read(engine, as_of)
+    return None if rows is None else rows.withColumn("as_of", F.lit(as_of))
 
 
-def run_scoring(t, out: str, as_of: str, engines: tuple[str, ...] = ENGINES, corp_codes: list[str] | None = None) -> list[RunResult]:
+def run_scoring(t, out: str, as_of: str, engines: tuple[str, ...] = ENGINES, corp_codes: list[str] | None = None, metrics: DataFrame | None = None) -> list[RunResult]:
     """Write each engine's rows of a day; an engine that fails leaves its old rows and does not stop the others.
 
     Rows without a basis any more are deleted (counted). With `corp_codes` only these companies are scored anew or
-    deleted: all others keep their rows. The new rows are staged whole before they take the old ones' place.
+    deleted: all others keep their rows. The new rows are a generation of their own, staged whole; one pointer swap puts
+    them in force, so that a failure at any moment leaves the old ones. Engines run side by side.
     """
     if corp_codes is not None and not corp_codes:
         raise ValueError("corp_codes is empty; leave it out to score all companies")
-    spark, done = t.company.sparkSession, []
-    for e in engines:
+    spark = t.company.sparkSession
+    store = Generations(spark, out)
+
+    def run(e: str) -> RunResult:
         r = RunResult(e, as_of, subset=corp_codes is not None)
         try:
-            new = score_engine(e, t, as_of, corp_codes=corp_codes)
-            old, staged = stored_scores(spark, out, e, as_of), f"{out}/_staged/{e}-{uuid.uuid4().hex}"
+            store.sweep(e, as_of)
+            new = score_engine(e, t, as_of, corp_codes=corp_codes, metrics=metrics)
+            old = stored_scores(spark, out, e, as_of)
             scope = None if corp_codes is None else spark.createDataFrame([(c,) for c in sorted(set(corp_codes))], "corp_code string")
-            (new if old is None else L.reconcile(old.select(*new.columns), new, as_of, scope)).drop("as_of").write.parquet(staged)
-            rows = spark.read.parquet(staged)
+            generation = store.stage(e, as_of, (new if old is None else L.reconcile(old.select(*new.columns), new, as_of, scope)).drop("as_of"))
+            rows = store.staged(e, as_of, generation)
             if old is not None:
                 gone = old.select("corp_code").join(rows.select("corp_code"), "corp_code", "left_anti")
                 r.deleted = (gone if scope is None else gone.join(scope, "corp_code", "left_semi")).count()
             r.scored = (rows if scope is None else rows.join(scope, "corp_code", "left_semi")).count()
-            rows.write.mode("overwrite").parquet(f"{out}/{e}/as_of={as_of}")
+            store.commit(e, as_of, generation)
         except Exception as x:  # the failure is the result
             r.failed.append(f"{e}: {x}")
-        done.append(r)
-    return done
+        return r
+
+    with ThreadPoolExecutor(max(1, len(engines))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(run), engines))
 
 
 def refresh_company(t, out: str, corp_code: str, as_of: str | None = None) -> list[RunResult]:
     """Score one company anew in a day's rows (by default the latest day that was scored) and rank all opacity again; each stage has its own result."""
     if as_of is None:
-        as_of = str(t.company.sparkSession.read.parquet(f"{out}/gap").agg(F.max("as_of")).first()[0])
+        as_of = Generations(t.company.sparkSession, out).days("gap")[-1]
     return [*run_scoring(t, out, as_of, ("gap",), [corp_code]), *run_scoring(t, out, as_of, ("opacity",))]
 
 
+#: Tables beside the engines' that a screening page reads.
+SERVED = ("history", "metrics", "own_gap", "plans")
+
+
+def serve_day(t, out: str, as_of: str) -> list[RunResult]:
+    """All that a day's pages read: the metrics once, from them the three engines, and the smaller facts beside them."""
+    spark = t.company.sparkSession
+    store = Generations(spark, out)
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        store.sweep(name, as_of)
+        generation = store.stage(name, as_of, df)
+        store.commit(name, as_of, generation)
+        return store.staged(name, as_of, generation)
+
+    history = put("history", M.valuation_metrics(t.financials, t.prices))
+    facts = {
+        "metrics": lambda: M.reports_as_of(history, as_of).join(M.latest_price(t.prices), "corp_code", "full"),
+        "own_gap": lambda: X.lowest_gaps(M.plan_own_gap(t.valueup_plan, history)),
+        "plans": lambda: X.plan_reasons(t.valueup_plan),
+    }
+    with ThreadPoolExecutor(len(facts)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(lambda n=n, f=f: put(n, f()))) for n, f in facts.items()]
+        done = run_scoring(t, out, as_of, metrics=history)
+        for j in jobs:
+            j.result()
+    return done
+
+
+def stored_screening(spark: SparkSession, company: DataFrame, out: str, as_of: str) -> DataFrame:
+    """The screening rows of a day from stored tables alone; an engine that was not run has no rows."""
+    store = Generations(spark, out)
+    metrics, lowest, plans = (store.read(n, as_of) for n in ("metrics", "own_gap", "plans"))
+    if metrics is None or lowest is None or plans is None:
+        raise ValueError(f"{as_of} is not served from {out}")
+    gap, mna, opacity = (stored_scores(spark, out, e, as_of) for e in ENGINES)
+    known = metrics.where("year IS NOT NULL")
+    return X.screening_rows(company, gap, mna, opacity, known, metrics.select("corp_code", "market_cap"), lowest, plans)
+
+
 #: Written before each file's text, so that spreadsheet programs read it as UTF-8.
 BYTE_ORDER_MARK = "\ufeff"
 

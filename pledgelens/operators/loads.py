@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pledgelens.functions.values import macro_date, parse_ratio
+from pledgelens.functions.values import finite, macro_date, parse_ratio
 
 MACRO_INDICATORS = ["base_rate", "bond_3y", "usd_krw", "cpi"]
 
@@ -68,20 +68,86 @@ def upsert_attachments(base: DataFrame, inc: DataFrame) -> DataFrame:
     return base.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh.select(*base.columns))
 
 
-def apply_reviews(attachments: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Approved rows lose their flag, with target_roe overridden ("none" clears it); rejected rows get an error; notes say old -> new."""
-    d = decisions.select("filename", F.col("decision").alias("_d"), F.col("target_roe").alias("_roe"), F.col("reason").alias("_why"))
-    j = attachments.join(d, "filename", "left")
-    roe = F.when(F.col("_d") != "approve", F.col("target_roe")).when(F.col("_roe") == "none", F.lit(None)).otherwise(F.coalesce(parse_ratio("_roe"), F.col("target_roe")))
-    new = F.when(F.col("_d").isNull(), F.col("target_roe")).otherwise(roe)
-    note = F.when((F.col("_d") == "approve") & F.col("_roe").isNotNull(), F.concat(F.lit("target_roe: "), F.coalesce(F.col("target_roe").cast("string"), F.lit("none")), F.lit(" -> "), F.coalesce(new.cast("string"), F.lit("none"))))
-    return j.select(
-        *(c for c in attachments.columns if c not in {"target_roe", "needs_review", "parse_error", "review_note"}),
-        new.alias("target_roe"),
-        F.when(F.col("_d") == "approve", False).otherwise(F.col("needs_review")).alias("needs_review"),
-        F.when(F.col("_d") == "reject", F.concat(F.lit("review_rejected:"), F.coalesce("_why", F.lit("")))).otherwise(F.col("parse_error")).alias("parse_error"),
-        F.coalesce(note, F.col("review_note")).alias("review_note"),
+#: Fields that a review may override, by the type that its text must have.
+OVERRIDABLE = {
+    "target_roe": "double",
+    "target_payout_ratio": "double",
+    "target_total_return_ratio": "double",
+    "target_pbr": "double",
+    "period_start": "string",
+    "period_end": "string",
+    "buyback_planned": "boolean",
+}
+NOTE_CHARS, ERROR_CHARS = 300, 200
+
+
+def typed(raw: Column, kind: str) -> tuple[Column, Column]:
+    """The value of an override's text, and whether the text is one: none, null and blank clear the field."""
+    t = F.lower(F.trim(raw))
+    clear = t.isin("none", "null", "")
+    if kind == "boolean":
+        value = F.when(t.isin("true", "1", "yes"), True).when(t.isin("false", "0", "no"), False)
+    elif kind == "double":
+        value = finite(t.try_cast("double"))
+    else:
+        value = F.trim(raw)
+    return F.when(~clear, value), clear | value.isNotNull()
+
+
+def checked_reviews(attachments: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The decisions with `errors`: array<string>; a decision with an error must not be applied at all.
+
+    decisions: filename, decision (approve or reject), reviewer, overrides (map of field to text), reason, note, day.
+    """
+    keys = F.coalesce(F.map_keys("overrides"), F.expr("cast(array() AS array<string>)"))
+    known = attachments.select(F.col("filename").alias("_file")).distinct()
+    d = decisions.withColumn("_times", F.count("*").over(Window.partitionBy("filename"))).join(known, F.col("filename") == F.col("_file"), "left")
+    approves = F.coalesce(F.col("decision") == "approve", F.lit(False))
+    bad = []
+    for f, kind in OVERRIDABLE.items():
+        raw = F.try_element_at("overrides", F.lit(f))
+        bad.append(F.when(F.array_contains(keys, f) & ~F.coalesce(typed(raw, kind)[1], F.lit(False)), F.lit(f"bad_value:{f}")))
+    errors = F.array(
+        F.when(~F.coalesce(F.col("decision").isin("approve", "reject"), F.lit(False)), "unknown_decision"),
+        F.when(F.coalesce(F.trim("reviewer"), F.lit("")) == "", "no_reviewer"),
+        F.when(~approves & (F.size(keys) > 0), "overrides_without_approval"),
+        F.when(F.col("_times") > 1, "several_decisions"),
+        F.when(F.col("_file").isNull(), "no_attachment"),
+        *bad,
     )
+    unknown = F.transform(F.array_except(keys, F.array(*map(F.lit, OVERRIDABLE))), lambda f: F.concat(F.lit("unknown_field:"), f))
+    return d.withColumn("errors", F.concat(F.array_compact(errors), unknown)).drop("_times", "_file")
+
+
+def apply_reviews(attachments: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(attachments after the reviews, errors as (filename, error)); decisions as in `checked_reviews`.
+
+    Approved rows take the typed overrides and lose their flag; rejected rows get an error and lose their flag. The note says
+    what was set, old -> new, behind the reviewer's own words. A decision with an error changes nothing.
+    """
+    d = checked_reviews(attachments, decisions)
+    errors = d.select("filename", F.explode("errors").alias("error"))
+    good = d.where(F.size("errors") == 0).select("filename", *(F.col(c).alias(f"_{c}") for c in ("decision", "reviewer", "overrides", "reason", "note", "day")))
+    j = attachments.join(good, "filename", "left")
+    approved, rejected = F.col("_decision") == "approve", F.col("_decision") == "reject"
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    new, said = {}, []
+    for f, kind in OVERRIDABLE.items():
+        given = F.coalesce(approved & F.map_contains_key(F.coalesce("_overrides", F.expr("cast(map() AS map<string, string>)")), F.lit(f)), F.lit(False))
+        value = typed(F.try_element_at("_overrides", F.lit(f)), kind)[0]
+        new[f] = F.when(given, value).otherwise(F.col(f))
+        said.append(F.when(given, F.concat(F.lit(f"{f}: "), shown(F.col(f)), F.lit(" -> "), shown(value))))
+    own = F.nullif(F.array_join(F.array_compact(F.array(*said)), "; "), F.lit(""))
+    note = F.nullif(F.substring(F.concat_ws(" | ", F.nullif(F.col("_note"), F.lit("")), own), 1, NOTE_CHARS), F.lit(""))
+    made = new | {
+        "needs_review": F.when(approved | rejected, False).otherwise(F.col("needs_review")),
+        "parse_error": F.when(rejected, F.substring(F.concat(F.lit("review_rejected:"), F.coalesce("_reason", F.lit(""))), 1, ERROR_CHARS)).otherwise(F.col("parse_error")),
+        "reviewed_by": F.when(approved | rejected, F.col("_reviewer")).otherwise(F.col("reviewed_by")),
+        "review_note": F.when(approved | rejected, note).otherwise(F.col("review_note")),
+    }
+    if "reviewed_at" in attachments.columns:
+        made["reviewed_at"] = F.when(approved | rejected, F.col("_day")).otherwise(F.col("reviewed_at"))
+    return j.select(*(made[c].alias(c) if c in made else F.col(c) for c in attachments.columns)), errors
 
 
 def merge_prices(ohlcv: DataFrame, cap: DataFrame) -> DataFrame:

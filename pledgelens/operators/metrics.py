@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pledgelens.functions.values import col, guarded, sector_bucket
+from pledgelens.operators.rank import exact_medians
 
 
 def latest_price(prices: DataFrame) -> DataFrame:
@@ -91,8 +92,9 @@ def peer_medians(metrics: DataFrame, company: DataFrame, min_n: int = 5) -> Data
     """Exact median of each metric (of its hundredths, so that halves round up) by sector bucket and year, null below `min_n` peers; the count is always there."""
     rows = metrics.join(company.select("corp_code", sector_bucket("sector").alias("bucket")), "corp_code").where("bucket IS NOT NULL")
     long = rows.select("bucket", "year", F.expr("stack(3, " + ", ".join(f"'{m}', {m}" for m, _ in OWN_GAP_METRICS) + ") AS (metric, value)")).where("value IS NOT NULL")
-    out = long.groupBy("bucket", "year", "metric").agg(F.count("*").alias("peer_n"), F.median(F.round(F.col("value") * 100).cast("bigint")).alias("m"))
-    return out.select("bucket", "year", "metric", "peer_n", F.when(F.col("peer_n") >= min_n, F.round("m") / 100).alias("peer_median"))
+    hundredths = long.select("bucket", "year", "metric", F.round(F.col("value") * 100).cast("bigint").alias("_v"))
+    out = exact_medians(hundredths, ["bucket", "year", "metric"])
+    return out.select("bucket", "year", "metric", F.col("n").alias("peer_n"), F.when(F.col("n") >= min_n, F.round("median") / 100).alias("peer_median"))
 
 
 def ambition(plans: DataFrame, metrics: DataFrame, company: DataFrame, min_n: int = 5) -> DataFrame:

@@ -61,15 +61,34 @@ def class_scores(df: DataFrame, y: str, pred: str, by: tuple[str, ...] = (), n:
     return per.select(*by, "class", "support", "tp", over(tp, said).alias("precision"), over(tp, support).alias("recall"), over(2.0 * tp, F.when((support > 0) | (tp > 0), support + said)).alias("f1"))
 
 
+#: Rows that a bin of hash values holds on average.
+BIN_ROWS = 4096
+
+
 def stratified_sample(df: DataFrame, cls: str, key: str, n: int, small: int = 30) -> DataFrame:
-    """Classes of up to `small` rows whole, the rest of n shared out in proportion; within a class the rows whose keys hash lowest."""
+    """Classes of up to `small` rows whole, the rest of n shared out in proportion; within a class the rows whose keys hash lowest.
+
+    A class is cut into bins of hash values, more of them the larger it is. Counts of the bins say which one a class's quota
+    ends in; bins before it are taken whole, and only that bin's rows are put in order. Rows of one key share a bin. A null
+    class is one.
+    """
+    rows = df.withColumn("_h", F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(0)))
     sizes = df.groupBy(cls).agg(F.count("*").alias("size"))
     totals = sizes.agg(F.sum(F.when(F.col("size") <= small, F.col("size"))).alias("whole"), F.sum(F.when(F.col("size") > small, F.col("size"))).alias("rest"))
     left = F.greatest(F.lit(n) - F.coalesce(totals.select("whole").scalar(), F.lit(0)), F.lit(0))
     rest = totals.select("rest").scalar()
-    want = sizes.withColumn("want", F.when(F.col("size") <= small, F.col("size")).otherwise(F.floor(left * F.col("size") / rest)))
-    order = Window.partitionBy(cls).orderBy(F.crc32(F.col(key).cast("string").cast("binary")), key)
-    return df.withColumn("_r", F.row_number().over(order)).join(want.drop("size"), cls).where("_r <= want").drop("_r", "want")
+    want = F.when(F.col("size") <= small, F.col("size")).otherwise(F.floor(left * F.col("size") / rest))
+    bits = F.least(F.lit(32), F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / BIN_ROWS)))).cast("int")
+    quota = sizes.select(F.col(cls).alias("_c"), want.alias("_want"), bits.alias("_bits"))
+    binned = rows.join(quota, F.col(cls).eqNullSafe(F.col("_c"))).withColumn("_bin", F.expr("shiftright(_h, 32 - _bits)")).drop("_c", "_bits")
+    counts = binned.groupBy(F.col(cls).alias("_c"), "_bin", "_want").agg(F.count("*").alias("_t"))
+    upto = F.sum("_t").over(Window.partitionBy("_c").orderBy("_bin"))
+    last = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_t") < F.col("_want")))
+    last = last.select("_c", F.col("_bin").alias("_last"), (F.col("_want") - F.col("_upto") + F.col("_t")).alias("_more"))
+    cut = binned.join(last, F.col(cls).eqNullSafe(F.col("_c")))
+    order = Window.partitionBy(cls).orderBy("_h", key)
+    inside = cut.where(F.col("_bin") == F.col("_last")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("_more"))
+    return cut.where(F.col("_bin") < F.col("_last")).select(*df.columns).unionByName(inside.select(*df.columns))
 
 
 def group_folds(df: DataFrame, group: str, y: str, k: int = 5, seed: int | None = None) -> DataFrame:
@@ -160,12 +179,30 @@ def evaluate(df: DataFrame, key: str, text: str, group: str, y: str, k: int = 5,
     return total.join(classes, "system").select("system", "class", "folds", "macro_f1", "macro_f1_sd", "accuracy", "accuracy_sd", "recall", "recall_sd", "support")
 
 
-def gold_join(docs: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
-    """Every document with its label or the reason why it is left out; of several labels the largest counts."""
-    l = labels.groupBy(key).agg(F.max(label).alias(label), F.count_distinct(label).alias("_k"))
-    j = docs.join(l, key, "left")
-    reason = F.when(F.col("_k").isNull(), "unlabelled").when(F.col("_k") > 1, "contested").when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty")
-    return j.select(key, label, reason.alias("reason"))
+def gold_join(docs: DataFrame, sources: list[tuple[str, DataFrame]], key: str, label: str, classes: list[str] | None = None, left_out: tuple[str, ...] = ()) -> DataFrame:
+    """(key, label, source, overruled, reason): every document with its label, or the reason why it takes no part.
+
+    `sources` come in order of precedence; the first that has a label for a document which is not blank decides, and
+    `overruled` names the others' labels that differ, as source=label. The reasons, the first that holds: `unlabelled`, `contested`
+    (the deciding source has several labels, the largest is shown), `left_out:<label>` for labels that stand outside the classes on
+    purpose, `unknown_value:<label>` for any other outside them, `empty` for a blank text.
+    """
+    each = None
+    for rank, (name, rows) in enumerate(sources):
+        said = rows.select(key, F.trim(F.col(label).cast("string")).alias("_l")).where("_l <> ''")
+        part = said.groupBy(key).agg(F.max("_l").alias("_l"), F.count_distinct("_l").alias("_k")).select(key, F.lit(rank).alias("_rank"), F.lit(name).alias("_source"), "_l", "_k")
+        each = part if each is None else each.unionByName(part)
+    g = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_rank", "_source", "_l", "_k"))).alias("_all"))  # a row for each source
+    first = F.col("_all")[0]
+    others = F.filter(F.slice("_all", 2, len(sources)), lambda s: s["_l"] != first["_l"])
+    overruled = F.nullif(F.array_join(F.transform(others, lambda s: F.concat(s["_source"], F.lit("="), s["_l"])), ","), F.lit(""))
+    j = docs.join(g.select(key, first["_l"].alias("_label"), first["_source"].alias("_source"), first["_k"].alias("_k"), overruled.alias("_overruled")), key, "left")
+    value = F.col("_label")
+    reason = F.when(value.isNull(), "unlabelled").when(F.col("_k") > 1, "contested").when(value.isin(*left_out), F.concat(F.lit("left_out:"), value))
+    if classes is not None:
+        reason = reason.when(~value.isin(*classes), F.concat(F.lit("unknown_value:"), value))
+    reason = reason.when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty")
+    return j.select(key, value.alias(label), F.col("_source").alias("source"), F.col("_overruled").alias("overruled"), reason.alias("reason"))
 
 
 def partition_corpus(df: DataFrame, decided: Column, notice: Column) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pledgelens.functions.values import clamp01, sector_bucket
 from pledgelens.operators.metrics import latest_as_of
-from pledgelens.operators.rank import population_basis, rank_in_basis, rank_indicators
+from pledgelens.operators.rank import rank_few, rank_indicators
+from pledgelens.sources.store import written
 
 
 @dataclass(frozen=True)
@@ -133,26 +134,36 @@ CAPACITY = {"debt_ratio": True, "net_cash": False, "ebit_margin": False}
 OWNERSHIP = {"largest_shareholder_pct": True, "treasury_stock_pct": False}
 
 
+def indicator_rows(df: DataFrame, bucket: str, indicators: dict[str, bool]) -> DataFrame:
+    """(corp_code, bucket, indicator, value): a row for each company and indicator."""
+    named = ", ".join(f"'{c}', cast({c} AS double)" for c in indicators)
+    return df.select("corp_code", F.expr(bucket).alias("bucket"), F.expr(f"stack({len(indicators)}, {named}) AS (indicator, value)"))
+
+
 def mna_score(metrics_d: DataFrame, ownership_d: DataFrame, company: DataFrame, macro: DataFrame, as_of: str, cfg: Config = Config(), corp_codes: list[str] | None = None) -> DataFrame:
-    """Acquisition attractiveness by peer percentiles. Populations hold all companies; a subset is cut last."""
+    """Acquisition attractiveness by peer percentiles. Populations hold all companies; a subset is cut last.
+
+    All indicators of both tables are written once as one long table and ranked in one pass.
+    """
     bucket = company.select("corp_code", sector_bucket("sector").alias("bucket"))
     inner = {**VALUATION, **CAPACITY}
-    m = population_basis(metrics_d.select("corp_code", *inner).join(bucket, "corp_code", "left"), list(inner), "bucket", cfg.peer_min)
-    m = rank_indicators(m, inner, ["corp_code", "basis"], "bucket")
-    o = rank_indicators(ownership_d.select("corp_code", *OWNERSHIP), OWNERSHIP, ["corp_code"])
+    long = indicator_rows(metrics_d.select("corp_code", *inner).join(bucket, "corp_code", "left"), "bucket", inner)
+    long = written(long.unionByName(indicator_rows(ownership_d, "cast(NULL AS string)", OWNERSHIP)))
+    ranked = rank_indicators(long, ["corp_code"], {**inner, **OWNERSHIP}, list(inner), cfg.peer_min)
     mean = lambda names: sum((F.col(f"p_{c}") for c in names), F.lit(0.0)) / len(names)
-    x = company.select("corp_code").join(m.select("corp_code", "basis", mean(VALUATION).alias("valuation_score"), mean(CAPACITY).alias("capacity_score")), "corp_code", "left")
-    x = x.join(o.select("corp_code", mean(OWNERSHIP).alias("ownership_score")), "corp_code", "left").withColumn("macro_score", macro_score(macro, as_of).scalar())
+    factors = ranked.select("corp_code", "basis", mean(VALUATION).alias("valuation_score"), mean(CAPACITY).alias("capacity_score"), mean(OWNERSHIP).alias("ownership_score"))
+    x = company.select("corp_code").join(factors, "corp_code").withColumn("macro_score", macro_score(macro, as_of).scalar())
     total = 100 * (cfg.w_valuation * F.col("valuation_score") + cfg.w_capacity * F.col("capacity_score") + cfg.w_ownership * F.col("ownership_score") + cfg.w_macro * F.col("macro_score"))
     x = x.where("valuation_score IS NOT NULL OR capacity_score IS NOT NULL OR ownership_score IS NOT NULL")
     if corp_codes is not None:
         x = x.where(F.col("corp_code").isin(corp_codes))
-    return x.select("corp_code", F.lit(as_of).alias("as_of"), total.alias("mna_target_score"), "valuation_score", "capacity_score", "ownership_score", "macro_score", F.when(F.expr("valuation_score IS NOT NULL OR capacity_score IS NOT NULL"), F.col("basis")).alias("population_basis"))
+    judged = F.expr("valuation_score IS NOT NULL OR capacity_score IS NOT NULL")
+    return x.select("corp_code", F.lit(as_of).alias("as_of"), total.alias("mna_target_score"), "valuation_score", "capacity_score", "ownership_score", "macro_score", F.when(judged, F.col("basis")).alias("population_basis"))
 
 
 def opacity_score(chosen: DataFrame, company: DataFrame, as_of: str, cfg: Config = Config()) -> DataFrame:
     """Percentile of the number of undisclosed axes among plans that disclose at least one."""
     x = chosen.withColumn("opacity_count", 4 - disclosed_axes()).where("opacity_count < 4")
     x = x.select("corp_code", "opacity_count").join(company.select("corp_code", sector_bucket("sector").alias("bucket")), "corp_code", "left")
-    x = rank_in_basis(population_basis(x, ["opacity_count"], "bucket", cfg.peer_min), "opacity_count", "opacity_rank", "bucket")
+    x = rank_few(x, "opacity_count", "opacity_rank", "bucket", cfg.peer_min)
     return x.where("opacity_rank IS NOT NULL").select("corp_code", F.lit(as_of).alias("as_of"), "opacity_rank", "opacity_count", F.col("basis").alias("opacity_basis"))

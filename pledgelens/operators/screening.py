@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pledgelens.functions.text import is_notice, references_external
 from pledgelens.functions.values import finite
-from pledgelens.operators.metrics import known_at, latest_as_of, plan_own_gap, reports_as_of
+from pledgelens.operators.metrics import known_at
+from pledgelens.operators.scores import disclosed_axes
 
 SUPPORTED_MARKETS = ["KOSPI", "KOSDAQ"]
 MACRO_SLOTS = ["base_rate", "bond_3y", "usd_krw", "cpi"]
@@ -113,18 +115,46 @@ def lowest_own_gap(scores: DataFrame, own_gap: DataFrame) -> DataFrame:
 SCREEN_SORTS = ["corp_code", "execution_score", "mna_target_score", "opacity_rank", "roe", "pbr", "ev_ebit", "debt_ratio", "total_return_ratio", "market_cap", "lowest_own_gap"]
 
 
-def screening_rows(company: DataFrame, gap: DataFrame, mna: DataFrame, opacity: DataFrame, metrics_d: DataFrame, price: DataFrame, own_gap: DataFrame, plans: DataFrame) -> DataFrame:
-    """Companies with any score of the day and the plan in force, with flags that tell a score that was not run from one that is null."""
+def lowest_gaps(own_gap: DataFrame) -> DataFrame:
+    """(source_plan_id, lowest_own_gap): each plan's smallest known gap."""
+    return own_gap.where("own_gap IS NOT NULL").groupBy(F.col("plan_id").alias("source_plan_id")).agg(F.min("own_gap").alias("lowest_own_gap"))
+
+
+def plan_reasons(plans: DataFrame) -> DataFrame:
+    """(source_plan_id, plan_body_signal, plan_date, unrankable_reason): what a page says of the plan behind a score.
+
+    The reason of a plan without a disclosed axis: it is declared that nothing is attached, it points to a document
+    outside its text, it only announces a plan, or nothing is known. Unknown marks and texts are no reason.
+    """
+    said = lambda c: F.coalesce(c, F.lit(False))
+    reason = (
+        F.when(disclosed_axes() > 0, F.lit(None).cast("string"))
+        .when(said(F.col("attachment_absent")), "undisclosed")
+        .when(said(references_external("raw_text")), "unreadable")
+        .when(said(is_notice("raw_text")), "notice")
+        .otherwise("unstated")
+    )
+    return plans.select(F.col("plan_id").alias("source_plan_id"), F.col("body_signal").alias("plan_body_signal"), F.col("disclosure_date").alias("plan_date"), reason.alias("unrankable_reason"))
+
+
+def screening_rows(company: DataFrame, gap: DataFrame | None, mna: DataFrame | None, opacity: DataFrame | None, metrics_d: DataFrame, price: DataFrame, lowest: DataFrame, plans: DataFrame) -> DataFrame:
+    """Companies with any score of the day and the plan in force, with flags that tell a score that was not run from one that is null.
+
+    lowest and plans are as `lowest_gaps` and `plan_reasons` give them. An engine without rows (None) was not run.
+    """
+    spark = company.sparkSession
+    none = lambda fields: spark.createDataFrame([], "corp_code string, as_of string, " + fields)
     own = ["execution_score", "progress_rate", "washing_flag", "buyback_executed", "buyback_retired", "buyback_status", "buyback_timing", "score_basis", "source_plan_id"]
+    gap = gap if gap is not None else none("execution_score double, progress_rate double, washing_flag boolean, buyback_executed boolean, buyback_retired boolean, buyback_status string, buyback_timing string, score_basis string, source_plan_id long")
+    mna = mna if mna is not None else none("mna_target_score double, population_basis string")
+    opacity = opacity if opacity is not None else none("opacity_rank double, opacity_count int, opacity_basis string")
     g = gap.select("corp_code", *own, F.col("as_of").alias("g"))
     m = mna.select("corp_code", "mna_target_score", "population_basis", F.col("as_of").alias("m"))
     o = opacity.select("corp_code", "opacity_rank", "opacity_count", "opacity_basis", F.col("as_of").alias("o"))
     x = company.join(g, "corp_code", "left").join(m, "corp_code", "left").join(o, "corp_code", "left").where("coalesce(g, m, o) IS NOT NULL")
     x = x.join(metrics_d.select("corp_code", "roe", "pbr", "ev_ebit", "debt_ratio", "total_return_ratio", "retired_return_ratio"), "corp_code", "left").join(price, "corp_code", "left")
     # the plan and its smallest gap come by the plan's id
-    lowest = own_gap.where("own_gap IS NOT NULL").groupBy(F.col("plan_id").alias("source_plan_id")).agg(F.min("own_gap").alias("lowest_own_gap"))
-    said = plans.select(F.col("plan_id").alias("source_plan_id"), F.col("body_signal").alias("plan_body_signal"), F.col("disclosure_date").alias("plan_date"))
-    x = x.join(lowest, "source_plan_id", "left").join(said, "source_plan_id", "left")
+    x = x.join(lowest, "source_plan_id", "left").join(plans, "source_plan_id", "left")
     flags = {"as_of": F.coalesce("g", "m", "o"), "has_valueup": F.col("g").isNotNull(), "has_mna": F.col("m").isNotNull(), "has_opacity": F.col("o").isNotNull()}
     return x.withColumns(flags).drop("g", "m", "o", "stock_code")
 
@@ -217,9 +247,41 @@ def investment_tags(rows: DataFrame) -> DataFrame:
 
 
 def cell_status(rows: DataFrame) -> DataFrame:
-    """Why a score cell is empty: the run is missing, the sector is one the ratios do not fit, or the value is unknown."""
-    special = F.substring("sector", 1, 3).isin("641") | F.substring("sector", 1, 2).isin("65")
-    return rows.withColumn("cell_status", F.when(~F.col("has_mna"), "not_run").when(F.col("mna_target_score").isNotNull(), "ok").when(special, "unsupported_sector").otherwise("unknown"))
+    """Why each score cell of a screening row is empty, or ok: valueup_status, mna_status, opacity_status.
+
+    An engine that was not run differs from a value that is unknown. The acquisition score does not fit banks and insurers.
+    An opacity rank may be missing because the plan is in another metric, or for the plan's unrankable reason; `unstated`
+    and no reason are plainly unranked.
+    """
+    special = F.startswith("sector", F.lit("641")) | F.startswith("sector", F.lit("65"))
+    valueup = F.when(~F.col("has_valueup"), "not_run").when(F.col("execution_score").isNull(), "unknown").otherwise("ok")
+    mna = F.when(~F.col("has_mna"), "not_run").when(F.col("mna_target_score").isNotNull(), "ok").when(special, "unsupported_sector").otherwise("unknown")
+    named = F.when(F.col("unrankable_reason").isin("undisclosed", "unreadable", "notice"), F.col("unrankable_reason"))
+    opacity = F.when(F.col("has_opacity") & F.col("opacity_rank").isNotNull(), "ok").when(F.col("plan_body_signal") == "other_metric", "other_metric").otherwise(F.coalesce(named, F.lit("unranked")))
+    return rows.withColumns({"valueup_status": valueup, "mna_status": mna, "opacity_status": opacity})
+
+
+def resolve_days(gap_days: DataFrame, mna_days: DataFrame, requested: DataFrame, date_col: str = "as_of") -> DataFrame:
+    """(requested, as_of, error, warning): the day of a snapshot for each request (null: the latest day of both engines).
+
+    A requested day must be in both engines' tables: else as_of is null and error names those that lack it. Without a
+    request, no common day is the error `no_common_day`, and an engine with a newer day is a warning, as that day
+    is not in the snapshot. Several engines are comma-joined. One aggregate of the days, joined to the requests.
+    """
+    days = gap_days.select(F.col(date_col).alias("day"), F.lit(1).alias("g"), F.lit(0).alias("m")).unionByName(mna_days.select(F.col(date_col).alias("day"), F.lit(0).alias("g"), F.lit(1).alias("m")))
+    each = days.where("day IS NOT NULL").groupBy("day").agg(F.max("g").alias("g"), F.max("m").alias("m"))
+    last = lambda c: F.max(F.when(c, F.col("day")))
+    whole = each.agg(last((F.col("g") == 1) & (F.col("m") == 1)).alias("common"), last(F.col("g") == 1).alias("last_g"), last(F.col("m") == 1).alias("last_m"))
+    x = requested.join(each.withColumnRenamed("day", "requested"), "requested", "left").crossJoin(F.broadcast(whole))
+    asked, g, m = F.col("requested").isNotNull(), F.coalesce("g", F.lit(0)) == 1, F.coalesce("m", F.lit(0)) == 1
+    lacking = F.concat_ws(",", F.when(~g, "valueup"), F.when(~m, "mna"))
+    newer = F.concat_ws(",", F.when(F.col("last_g") > F.col("common"), "valueup"), F.when(F.col("last_m") > F.col("common"), "mna"))
+    return x.select(
+        "requested",
+        F.when(asked & g & m, F.col("requested")).when(~asked, F.col("common")).alias("as_of"),
+        F.when(asked, F.when(lacking != "", F.concat(F.lit("missing:"), lacking))).when(F.col("common").isNull(), "no_common_day").alias("error"),
+        F.when(~asked & (newer != ""), F.concat(F.lit("newer:"), newer)).alias("warning"),
+    )
 
 
 def latest_common_as_of(a: DataFrame, b: DataFrame, date_col: str = "as_of") -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pledgelens.functions.values import cap_bucket, period_buyback_status, sector_bucket
+from pledgelens.operators import batch as B
 from pledgelens.operators import metrics as M
 from pledgelens.operators import rank as R
 from pledgelens.operators import scores as S
 from pledgelens.operators import screening as X
-from pledgelens.plans.oracle import AS_OF, BUCKET, KNOWN, ranked, with_tables
-from pledgelens.sources.domain import Tables, domain_tables
+from pledgelens.plans.oracle import AS_OF, AXES, BUCKET, KNOWN, ranked, with_tables
+from pledgelens.sources.domain import Tables, domain_tables, state_of
+from pledgelens.sources.store import Generations, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -113,7 +115,7 @@ def ambition(t):
 
 @query(f"SELECT corp_code, roe, {ranked('vmd', 'roe', '1', 'pct', False)} FROM vmd", "vmd")
 def mid_rank_market(t):
-    return R.mid_rank(vmd(t).select("corp_code", "roe"), "roe", "pct", wide=True)
+    return R.mid_rank(vmd(t).select("corp_code", "roe"), "roe", "pct")
 
 
 @query(f"SELECT corp_code, bucket, pbr, {ranked('x', 'pbr', 'bucket', 'pct', True)} FROM (SELECT corp_code, pbr, {BUCKET} AS bucket FROM vmd LEFT JOIN company USING (corp_code)) x", "vmd", "company")
@@ -181,13 +183,39 @@ def mna_ranking_page(t):
     return X.paged(rows, X.sort_keys("-mna_target_score", ["mna_target_score"], ["corp_code"]), 1, 100).items
 
 
-def screen_rows(t):
-    return X.screening_rows(t.company, gap(t), mna(t), opacity(t), vmd(t), M.latest_price(t.prices), M.plan_own_gap(t.valueup_plan, vm(t)), t.valueup_plan)
+def score_store(t: Tables) -> str:
+    """The folder of the scores over the present state of the base tables."""
+    spark = t.company.sparkSession
+    return f"{shared_dir(spark)}/scores-{state_of(spark, t.at)}"
 
 
-SCREEN = """(SELECT c.corp_code, c.corp_name, c.market, c.sector, g.execution_score, g.progress_rate, g.washing_flag, g.buyback_executed, g.buyback_retired, g.buyback_status, g.buyback_timing, g.score_basis, g.source_plan_id, p.body_signal AS plan_body_signal, p.disclosure_date AS plan_date, coalesce(g.as_of, m.as_of, o.as_of) AS as_of, m.mna_target_score, m.population_basis, o.opacity_rank, o.opacity_count, o.opacity_basis,
- v.roe, v.pbr, v.ev_ebit, v.debt_ratio, v.total_return_ratio, v.retired_return_ratio, q.market_cap, l.lowest_own_gap, g.corp_code IS NOT NULL AS has_valueup, m.corp_code IS NOT NULL AS has_mna, o.corp_code IS NOT NULL AS has_opacity
-FROM company c LEFT JOIN gap g USING (corp_code) LEFT JOIN mna m USING (corp_code) LEFT JOIN opa o USING (corp_code) LEFT JOIN vmd v USING (corp_code) LEFT JOIN valueup_plan p ON p.plan_id = g.source_plan_id
+def screen_rows(t):
+    """The stored day's screening rows; the day is scored and stored first where that has not been done for these tables."""
+    spark, root = t.company.sparkSession, score_store(t)
+    store = Generations(spark, root)
+    if any(store.current(name, AS_OF) is None for name in (*B.ENGINES, *B.SERVED)):
+        if failed := [x for r in B.serve_day(t, root, AS_OF) for x in r.failed]:
+            raise ValueError("; ".join(failed))
+    return B.stored_screening(spark, t.company, root, AS_OF)
+
+
+@query("SELECT 'gap' AS engine, count(*) AS scored, 0 AS deleted, true AS publishable FROM gap UNION ALL SELECT 'mna', count(*), 0, true FROM mna UNION ALL SELECT 'opacity', count(*), 0, true FROM opa", "gap", "mna", "opa")
+def score_batch(t):
+    """A whole scoring run of the day into the store that the screening queries read, and what each engine did."""
+    done = B.serve_day(t, score_store(t), AS_OF)
+    rows = [(r.engine, r.scored, r.deleted, r.publishable) for r in done]
+    return t.company.sparkSession.createDataFrame(rows, "engine string, scored long, deleted long, publishable boolean")
+
+
+SCREEN = f"""(SELECT c.corp_code, c.corp_name, c.market, c.sector, g.execution_score, g.progress_rate, g.washing_flag, g.buyback_executed,
+ g.buyback_retired, g.buyback_status, g.buyback_timing, g.score_basis, g.source_plan_id, p.body_signal AS plan_body_signal,
+ p.disclosure_date AS plan_date, p.unrankable_reason, coalesce(g.as_of, m.as_of, o.as_of) AS as_of, m.mna_target_score,
+ m.population_basis, o.opacity_rank, o.opacity_count, o.opacity_basis, v.roe, v.pbr, v.ev_ebit, v.debt_ratio, v.total_return_ratio,
+ v.retired_return_ratio, q.market_cap, l.lowest_own_gap, g.corp_code IS NOT NULL AS has_valueup, m.corp_code IS NOT NULL AS has_mna,
+ o.corp_code IS NOT NULL AS has_opacity
+FROM company c LEFT JOIN gap g USING (corp_code) LEFT JOIN mna m USING (corp_code) LEFT JOIN opa o USING (corp_code) LEFT JOIN vmd v USING (corp_code)
+LEFT JOIN (SELECT plan_id, body_signal, disclosure_date, CASE WHEN {AXES} > 0 THEN NULL WHEN plan_id % 12 = 0 THEN 'undisclosed'
+  WHEN plan_id % 20 = 0 THEN 'unreadable' WHEN plan_id % 20 = 4 THEN 'notice' ELSE 'unstated' END AS unrankable_reason FROM valueup_plan) p ON p.plan_id = g.source_plan_id
 LEFT JOIN (SELECT corp_code, market_cap FROM prices QUALIFY row_number() OVER (PARTITION BY corp_code ORDER BY date DESC) = 1) q USING (corp_code)
 LEFT JOIN (SELECT g.corp_code, min(own_gap) AS lowest_own_gap FROM gap g JOIN own_gap x ON x.plan_id = g.source_plan_id WHERE own_gap IS NOT NULL GROUP BY 1) l USING (corp_code)
 WHERE g.corp_code IS NOT NULL OR m.corp_code IS NOT NULL OR o.corp_code IS NOT NULL)"""
@@ -211,9 +239,11 @@ def screening_presets(t):
     return X.matching_presets(screen_rows(t)).select("preset", "corp_code")
 
 
-@query(f"SELECT corp_code, CASE WHEN NOT has_mna THEN 'not_run' WHEN mna_target_score IS NOT NULL THEN 'ok' WHEN substr(sector, 1, 3) = '641' OR substr(sector, 1, 2) = '65' THEN 'unsupported_sector' ELSE 'unknown' END AS cell_status FROM {SCREEN}", *SCREEN_NEEDS)
+@query(f"""SELECT corp_code, CASE WHEN NOT has_valueup THEN 'not_run' WHEN execution_score IS NULL THEN 'unknown' ELSE 'ok' END AS valueup_status,
+ CASE WHEN NOT has_mna THEN 'not_run' WHEN mna_target_score IS NOT NULL THEN 'ok' WHEN substr(sector, 1, 3) = '641' OR substr(sector, 1, 2) = '65' THEN 'unsupported_sector' ELSE 'unknown' END AS mna_status,
+ CASE WHEN opacity_rank IS NOT NULL THEN 'ok' WHEN plan_body_signal = 'other_metric' THEN 'other_metric' WHEN unrankable_reason IN ('undisclosed', 'unreadable', 'notice') THEN unrankable_reason ELSE 'unranked' END AS opacity_status FROM {SCREEN}""", *SCREEN_NEEDS)
 def cell_status(t):
-    return X.cell_status(screen_rows(t)).select("corp_code", "cell_status")
+    return X.cell_status(screen_rows(t)).select("corp_code", "valueup_status", "mna_status", "opacity_status")
 
 
 @query("""SELECT c.corp_code, concat_ws(',', CASE WHEN v.roe >= 10 THEN 'high_roe' END, CASE WHEN v.pbr <= 1 THEN 'low_pbr' END, CASE WHEN g.buyback_status = 'retired' THEN 'retired_buyback' END, CASE WHEN m.valuation_score >= 0.7 THEN 'cheap' END, CASE WHEN m.capacity_score >= 0.7 THEN 'able' END, CASE WHEN m.ownership_score >= 0.7 THEN 'open_ownership' END) AS tags
@@ -308,6 +338,25 @@ def latest_common_date(t):
     return X.latest_common_as_of(t.ownership, ends)
 
 
+G_DAYS = "(SELECT DISTINCT as_of AS day FROM ownership)"
+M_DAYS = "(SELECT DISTINCT substr(date, 1, 4) || '-12-31' AS day FROM macro_indicator WHERE substr(date, 1, 4) <> '2001')"
+
+
+@query(f"""SELECT * FROM (WITH g AS {G_DAYS}, m AS {M_DAYS}, r AS (SELECT DISTINCT substr(date, 1, 4) || '-12-31' AS requested FROM prices UNION ALL SELECT '2050-12-31' UNION ALL SELECT NULL),
+b AS (SELECT max(day) AS common FROM (SELECT day FROM g INTERSECT SELECT day FROM m)),
+x AS (SELECT requested, requested IN (SELECT day FROM g) AS in_g, requested IN (SELECT day FROM m) AS in_m, common, (SELECT max(day) FROM g) AS last_g, (SELECT max(day) FROM m) AS last_m FROM r, b)
+SELECT requested, CASE WHEN requested IS NULL THEN common WHEN in_g AND in_m THEN requested END AS as_of,
+ CASE WHEN requested IS NOT NULL THEN CASE WHEN NOT in_g AND NOT in_m THEN 'missing:valueup,mna' WHEN NOT in_g THEN 'missing:valueup' WHEN NOT in_m THEN 'missing:mna' END WHEN common IS NULL THEN 'no_common_day' END AS error,
+ CASE WHEN requested IS NULL THEN CASE WHEN last_g > common AND last_m > common THEN 'newer:valueup,mna' WHEN last_g > common THEN 'newer:valueup' WHEN last_m > common THEN 'newer:mna' END END AS warning FROM x)""", "ownership", "macro_indicator", "prices")
+def snapshot_days(t):
+    """Each year's end in the prices, a day that no engine has, and no day, as requests."""
+    year_end = F.concat(F.substring("date", 1, 4), F.lit("-12-31"))
+    requested = t.prices.select(year_end.alias("requested")).distinct()
+    more = t.company.sparkSession.createDataFrame([("2050-12-31",), (None,)], "requested string")
+    mna_days = t.macro_indicator.where("substr(date, 1, 4) <> '2001'").select(year_end.alias("as_of"))
+    return X.resolve_days(t.ownership, mna_days, requested.unionByName(more))
+
+
 @query("SELECT greatest((SELECT max(as_of) FROM ownership), (SELECT max(date) FROM macro_indicator), (SELECT max(date) FROM prices)) AS as_of", "ownership", "macro_indicator", "prices")
 def latest_any_date(t):
     return X.latest_any_as_of(t.ownership, t.macro_indicator.withColumnRenamed("date", "as_of"), t.prices.withColumnRenamed("date", "as_of"))

@@ -33,9 +33,19 @@ def classification_scores(spark, sf_dir):
     return L.classification_scores(table(spark, sf_dir, "labels").withColumn("p", F.expr(PRED)), "quality", "p")
 
 
-@query("SELECT d.doc_id, l.quality, CASE WHEN l.doc_id IS NULL THEN 'unlabelled' WHEN trim(coalesce(text, '')) = '' THEN 'empty' END AS reason FROM documents d LEFT JOIN labels l USING (doc_id)")
+GOLD = "CASE WHEN doc_id % 28 = 0 THEN ' ' WHEN doc_id % 20 = 0 THEN '01' ELSE cast(quality AS string) END"
+PACKET = "CASE WHEN doc_id % 9 = 0 THEN 'notice' ELSE cast(toxic AS string) END"
+
+
+@query(f"""WITH s AS (SELECT doc_id, nullif(trim(CASE WHEN doc_id % 4 = 0 THEN {GOLD} END), '') AS g, CASE WHEN doc_id % 3 <> 1 THEN {PACKET} END AS p FROM labels),
+x AS (SELECT d.doc_id, d.text, coalesce(g, p) AS label, CASE WHEN g IS NOT NULL THEN 'gold' WHEN p IS NOT NULL THEN 'packet' END AS source, CASE WHEN g <> p THEN 'packet=' || p END AS overruled FROM documents d LEFT JOIN s USING (doc_id))
+SELECT doc_id, label AS quality, source, overruled, CASE WHEN label IS NULL THEN 'unlabelled' WHEN label = 'notice' THEN 'left_out:notice' WHEN label NOT IN ('0', '1') THEN 'unknown_value:' || label WHEN trim(coalesce(text, '')) = '' THEN 'empty' END AS reason FROM x""")
 def gold_join(spark, sf_dir):
-    return L.gold_join(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), "doc_id", "quality")
+    labels = table(spark, sf_dir, "labels")
+    gold = labels.where("doc_id % 4 = 0").select("doc_id", F.expr(GOLD).alias("quality"))
+    packet = labels.where("doc_id % 3 <> 1").select("doc_id", F.expr(PACKET).alias("quality"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return L.gold_join(docs, [("gold", gold), ("packet", packet)], "doc_id", "quality", ["0", "1"], ("notice",))
 
 
 @query("SELECT doc_id, CASE WHEN text LIKE '%Licen%' THEN 'notice' WHEN n_chars >= 500 THEN 'decided' ELSE 'contested' END AS part FROM documents")
@@ -48,6 +58,12 @@ def stratified_sample_sizes(spark, sf_dir):
     return L.stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 300).groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query()
+def stratified_sample_rows(spark, sf_dir):
+    """The sampled rows themselves; which ones, a hash says that SQL does not have (tested against sorting whole classes)."""
+    return L.stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 300)
+
+
 @query()
 def char_ngram_features(spark, sf_dir):
     x = L.char_ngram_hash(table(spark, sf_dir, "benchmark"), "item_id", "text")

@@ -156,9 +156,97 @@ def document_segments(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.segments("text")).alias("pos", "s")).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("s.body")).alias("longest"))
 
 
-@query(None)
+def chosen_kind(rows: list[tuple[str, str]], side: int, by: str = "page_id") -> str:
+    """SQL of both engines: the text of a row's kind, by id."""
+    said = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+    cases = " ".join(f"WHEN {i} THEN {said(row[side])}" for i, row in enumerate(rows))
+    return f"CASE {by} % {len(rows)} {cases} END"
+
+
+#: Links of a page http://h{n}.example/ir/2024/page.html?x=1#top, and what each means, by hand ({r}: the page's root, {f}: a file).
+LINKS: list[tuple[str, str]] = [
+    ("{f}.pdf", "{r}/ir/2024/{f}.pdf"),
+    ("./{f}.pdf", "{r}/ir/2024/{f}.pdf"),
+    ("../x/{f}.pdf", "{r}/ir/x/{f}.pdf"),
+    ("../../{f}.pdf", "{r}/{f}.pdf"),
+    ("../../../{f}.pdf", "{r}/{f}.pdf"),
+    ("/{f}.pdf", "{r}/{f}.pdf"),
+    ("/a/../b/./{f}.pdf", "{r}/b/{f}.pdf"),
+    ("//c.example/{f}.PDF", "http://c.example/{f}.PDF"),
+    ("https://c.example/a/../{f}.pdf", "https://c.example/a/../{f}.pdf"),
+    ("http://c.example/{f}.pdf", "http://c.example/{f}.pdf"),
+    ("?file={f}.pdf", "{r}/ir/2024/page.html?file={f}.pdf"),
+    ("#{f}.pdf", "{r}/ir/2024/page.html?x=1#{f}.pdf"),
+    ("{f}.pdf?v=2#p3", "{r}/ir/2024/{f}.pdf?v=2#p3"),
+    ("a//{f}.pdf", "{r}/ir/2024/a/{f}.pdf"),
+    ("/a//{f}.pdf", "{r}/a//{f}.pdf"),
+    (" {f}.pdf ", "{r}/ir/2024/{f}.pdf"),
+    ("mailto:{f}.pdf@c.example", "mailto:{f}.pdf@c.example"),
+    ("http:{f}.pdf", "{r}/ir/2024/{f}.pdf"),
+    ("{f}.pdf/..", "{r}/ir/2024/"),
+    ("a/..../{f}.pdf", "{r}/ir/2024/a/..../{f}.pdf"),
+    ("view.jsp?u=../{f}.pdf", "{r}/ir/2024/view.jsp?u=../{f}.pdf"),
+    ("get?a=1&amp;f={f}.pdf", "{r}/ir/2024/get?a=1&f={f}.pdf"),
+]
+LINK_BASE = "'http://h' || cast(page_id AS varchar(20)) || '.example/ir/2024/page.html?x=1#top'"
+LINK_FILE = "CASE WHEN page_id % 5 < 3 THEN 'plan' ELSE 'report' END"
+LABELS = [("기업가치 <b>제고</b> 계획", "기업가치  제고  계획"), ("실적 발표", "실적 발표"), ("IR 자료", "IR 자료"), ("첨부<br/><i>문서</i>", "첨부 문서")]
+LINK_WORDS, LINK_EXCLUDED = ["plan", "제고"], ["실적", "audit"]
+
+
+def linked_pages(spark, sf_dir):
+    """Each page with a link of LINKS before its own text, and the same link once more."""
+    form = F.replace(F.expr(chosen_kind(LINKS, 0)), F.lit("{f}"), F.expr(LINK_FILE))
+    label = F.expr(chosen_kind(LABELS, 0, "(page_id div 3)"))
+    again = F.concat(F.lit("<A target=_top HREF='"), form, F.lit("'>again</A>"))
+    html = F.concat(F.lit('<p><a class="x" href="'), form, F.lit('">'), label, F.lit("</a> "), again, F.coalesce("html", F.lit("")))
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(LINK_BASE).alias("url"), html.alias("html"))
+
+
+LINK_ORACLE = f"""SELECT page_id, replace(replace({chosen_kind(LINKS, 1)}, '{{r}}', 'http://h' || cast(page_id AS varchar) || '.example'), '{{f}}', f) AS href,
+ {chosen_kind(LABELS, 1, '(page_id // 3)')} AS label, CASE WHEN f = 'plan' THEN 2 ELSE 0 END + CASE WHEN (page_id // 3) % {len(LABELS)} = 0 THEN 1 ELSE 0 END AS score
+ FROM (SELECT page_id, {LINK_FILE} AS f FROM pages) WHERE page_id % {len(LINKS)} <> 18 AND (page_id // 3) % {len(LABELS)} <> 1"""
+
+
+@query(LINK_ORACLE)
+def plan_page_links(spark, sf_dir):
+    return X.plan_links(linked_pages(spark, sf_dir), LINK_WORDS, LINK_EXCLUDED).select("page_id", "href", "label", "score")
+
+
+@query(f"SELECT p.page_id, CASE WHEN score > 0 THEN href END AS href, CASE WHEN href IS NULL THEN 'no_pdf_links' WHEN score = 0 THEN 'ambiguous:1_pdfs' END AS error FROM pages p LEFT JOIN ({LINK_ORACLE}) l USING (page_id)")
 def page_links(spark, sf_dir):
-    return X.best_links(X.plan_links(table(spark, sf_dir, "pages"), ["en", "the"], ["track"], suffix="/"))
+    pages = linked_pages(spark, sf_dir)
+    return X.best_links(pages, X.plan_links(pages, LINK_WORDS, LINK_EXCLUDED))
+
+
+#: Texts with and without leading style rules, and what is left of each, by hand.
+STYLES: list[tuple[str, str]] = [
+    ("p{margin:0} .x > a:hover{b:c}\n본문 ", "\n본문 "),
+    ("한글{그대로} ", "한글{그대로} "),
+    ("p{a{b}} ", "p{a{b}} "),
+    ("1 본문 p{a} ", "1 본문 p{a} "),
+    ("@media print{p{margin:0}} ", "@media print{p{margin:0}} "),
+    ("p{한글도} ", " "),
+    ("p{a:b}}", "}"),
+    ('#id.cl[x="y"]{}\t*{}', ""),
+    ("p{a:b", "p{a:b"),
+    ("p{a:b} 글 q{c:d} ", " 글 q{c:d} "),
+    ("p{margin:0}" * 300, ""),
+    ("", ""),
+]
+
+
+@query(f"SELECT page_id, {chosen_kind(STYLES, 1)} || url AS body FROM pages")
+def stylesheets(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.strip_stylesheet(F.concat(F.expr(chosen_kind(STYLES, 0)), "url")).alias("body"))
+
+
+@query("SELECT page_id, '재공시' AS phrase FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, '예고' FROM pages WHERE page_id % 6 = 0")
+def lost_signals(spark, sf_dir):
+    """Phrases inside a leading style rule are lost by cleaning, the same phrases in the text are not."""
+    head = "CASE WHEN page_id % 6 = 0 THEN 'p{예고} .x {재공시} ' WHEN page_id % 3 = 0 THEN 'p{재공시}' || chr(13) || '예고 ' ELSE '재공시 예고 ' END"
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.expr(head), F.lit(" 목표 "), "url").alias("t"))
+    return X.signal_loss(pages, "page_id", "t", ["재공시", "목표", "예고"])
 
 
 @query(None)
@@ -175,14 +263,12 @@ def _first(f: str) -> str:
 
 @query(f"SELECT *, coalesce(target_roe_page = 3, false) OR coalesce(target_payout_ratio_page = 3, false) AS needs_review FROM (SELECT plan_id, {_first('target_roe')}, {_first('target_payout_ratio')} FROM ({PAGES}) GROUP BY 1)", "valueup_plan")
 def merge_pages(spark, sf_dir):
-    domain_tables(spark, sf_dir).valueup_plan.createOrReplaceTempView("valueup_plan")
-    return X.merge_pages(spark.sql(PAGES), ["target_roe", "target_payout_ratio"])
+    return X.merge_pages(domain_tables(spark, sf_dir).sql(PAGES), ["target_roe", "target_payout_ratio"])
 
 
 @query(f"SELECT plan_id, count(*) FILTER (WHERE length(replace(text, ' ', '')) < 50) AS sparse_pages, CASE WHEN sum(length(replace(text, ' ', ''))) < greatest(20, 5 * count(*)) THEN 'no_text_layer' END AS parse_error FROM ({PAGES}) WHERE NOT is_ocr GROUP BY 1", "valueup_plan")
 def readability(spark, sf_dir):
-    domain_tables(spark, sf_dir).valueup_plan.createOrReplaceTempView("valueup_plan")
-    return X.readability(spark.sql(PAGES).where("NOT is_ocr"))
+    return X.readability(domain_tables(spark, sf_dir).sql(PAGES).where("NOT is_ocr"))
 
 
 FILES = "SELECT CASE plan_id % 4 WHEN 0 THEN rcept_no || '.pdf' WHEN 1 THEN corp_code || '_' || disclosure_date || '.pdf' WHEN 2 THEN 'scan' || cast(plan_id AS varchar(20)) || '.pdf' ELSE '99999999_' || disclosure_date || '_' || cast(plan_id AS varchar(20)) END AS filename, plan_id FROM valueup_plan"
@@ -190,15 +276,14 @@ FILES = "SELECT CASE plan_id % 4 WHEN 0 THEN rcept_no || '.pdf' WHEN 1 THEN corp
 
 @query(f"SELECT filename, CASE WHEN plan_id % 4 < 2 THEN plan_id END AS plan_id, CASE plan_id % 4 WHEN 2 THEN 'unreadable_name' WHEN 3 THEN 'no_plan' END AS reason FROM ({FILES})", "valueup_plan")
 def resolve_attachments(spark, sf_dir):
-    plans = domain_tables(spark, sf_dir).valueup_plan
-    plans.createOrReplaceTempView("valueup_plan")
-    return X.resolve_attachments(spark.sql(FILES).select("filename"), plans)
+    t = domain_tables(spark, sf_dir)
+    return X.resolve_attachments(t.sql(FILES).select("filename"), t.valueup_plan)
 
 
 @query(f"SELECT plan_id, corp_code, CASE WHEN axes = 0 THEN 1 ELSE 2 END AS priority, rcept_no || '.pdf' AS save_as FROM chosen WHERE NOT coalesce(attachment_absent, false) AND axes < 4 AND plan_id NOT IN (SELECT plan_id FROM ({ATTACH}) WHERE parse_error IS NULL)", "chosen", "valueup_plan")
 def attachment_worklist(spark, sf_dir):
     t = domain_tables(spark, sf_dir)
-    return X.attachment_worklist(choose_plans(t.valueup_plan, AS_OF), attachments(spark, t), disclosed_axes(), include_partial=True)
+    return X.attachment_worklist(choose_plans(t.valueup_plan, AS_OF), attachments(t), disclosed_axes(), include_partial=True)
 
 
 REPORT = "CASE l_linenumber WHEN 1 THEN '기업가치 제고 계획' WHEN 2 THEN '기업가치제고계획(이행 현황)' WHEN 3 THEN '기업가치 제고 계획 철회' ELSE '사업보고서' END"

@@ -10,7 +10,7 @@ SCHEMAS = {
     "prices": "corp_code string, date string, close bigint, volume bigint, trading_value bigint, market_cap bigint",
     "ownership": "corp_code string, as_of string, largest_shareholder_pct double, treasury_stock_pct double",
     "macro_indicator": "indicator string, date string, value double, frequency string",
-    "valueup_plan": "plan_id bigint, corp_code string, disclosure_date string, rcept_no string, target_roe double, target_payout_ratio double, target_total_return_ratio double, target_pbr double, period_start string, period_end string, buyback_planned boolean, body_signal string, body_reference_date string, attachment_absent boolean",
+    "valueup_plan": "plan_id bigint, corp_code string, disclosure_date string, rcept_no string, target_roe double, target_payout_ratio double, target_total_return_ratio double, target_pbr double, period_start string, period_end string, buyback_planned boolean, body_signal string, body_reference_date string, attachment_absent boolean, raw_text string",
 }
 
 

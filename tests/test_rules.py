@@ -13,7 +13,7 @@ from pledgelens.operators import ml
 from pledgelens.operators import rank as R
 from pledgelens.operators import scores as S
 from pledgelens.operators import screening as C
-from pledgelens.operators.batch import publish_snapshot, read_snapshot, refresh_company, run_scoring
+from pledgelens.operators.batch import publish_snapshot, read_snapshot, refresh_company, run_scoring, stored_scores
 from pledgelens.sources.domain import domain_tables
 from pledgelens.sources.tables import SCHEMAS, read_table
 from pledgelens.streaming.upserts import read_upserted, upsert_batch
@@ -138,19 +138,20 @@ def test_batch_refresh_and_snapshot(spark, sf, tmp_path):
     t, out, day = domain_tables(spark, sf), str(tmp_path / "scores"), "2001-03-31"
     done = run_scoring(t, out, day)
     assert all(r.publishable and r.scored for r in done)
-    rows = {e: spark.read.parquet(f"{out}/{e}").count() for e in ("gap", "mna", "opacity")}
-    corp = spark.read.parquet(f"{out}/gap").first().corp_code
+    stored = lambda e: stored_scores(spark, out, e, day)
+    rows = {e: stored(e).count() for e in ("gap", "mna", "opacity")}
+    corp = stored("gap").first().corp_code
     assert [(r.engine, r.scored, r.deleted) for r in refresh_company(t, out, corp)] == [("gap", 1, 0), ("opacity", rows["opacity"], 0)]
     for e in rows:  # a run for one company leaves all others as they are
         r = run_scoring(t, out, day, (e,), [corp])[0]
-        assert not r.failed and r.publishable == (e == "gap") and spark.read.parquet(f"{out}/{e}").count() == rows[e]
+        assert not r.failed and r.publishable == (e == "gap") and stored(e).count() == rows[e]
     assert run_scoring(t, out, day, ("nope",))[0].failed
     none = replace(t, valueup_plan=t.valueup_plan.where(f"corp_code <> '{corp}'"))
     assert [(r.scored, r.deleted) for r in run_scoring(none, out, day, ("gap",), [corp])] == [(0, 1)]
-    assert spark.read.parquet(f"{out}/gap").count() == rows["gap"] - 1
+    assert stored("gap").count() == rows["gap"] - 1
     nothing = replace(t, valueup_plan=t.valueup_plan.limit(0))
     assert [(r.scored, r.deleted) for r in run_scoring(nothing, out, day, ("gap",))] == [(0, rows["gap"] - 1)]
-    assert run_scoring(nothing, out, day, ("opacity",))[0].failed and spark.read.parquet(f"{out}/opacity").count() == rows["opacity"]
+    assert run_scoring(nothing, out, day, ("opacity",))[0].failed and stored("opacity").count() == rows["opacity"]
     with pytest.raises(ValueError):
         run_scoring(t, out, day, ("gap",), [])
     vm = M.valuation_metrics(t.financials, t.prices)
