@@ -48,24 +48,39 @@ FIRST_HEADING = f"(?:^|\\n)\\s*([0-9]{{1,2}})[.)]\\s*((?:{HEADS})[^\\n]*)"
 
 
 def segments(c: str | Column) -> Column:
-    """array<struct<label, body>>: numbered sections whose numbers rise, with the text before them as header; else sentences s1, s2, ..."""
+    """array<struct<label, body>>: numbered sections whose numbers rise, with the text before them as header; else sentences s1, s2, ...
+
+    A part whose number does not rise belongs to the section before it. Numbers have two digits at most, so a section starts
+    at the first part of a number if all parts before have smaller ones; the time is linear in the text.
+    """
     t = col(c)
-    parts = F.split(t, f"(?:^|\\n)\\s*(?=[0-9]{{1,2}}[.)]\\s*(?:{HEADS}))")
-    number = lambda p: F.regexp_extract(p, "^([0-9]{1,2})[.)]", 1)
-    # a part whose number does not rise belongs to the section before it
-    start = F.expr("named_struct('last', 0, 'out', cast(array() AS array<struct<label:string,body:string>>))")
-
-    def add(s, p):
-        n = F.coalesce(F.nullif(number(p), F.lit("")).cast("int"), F.lit(0))
-        body = F.struct(F.when(n > 0, n.cast("string")).otherwise("header").alias("label"), F.trim(p).alias("body"))
-        joined = F.concat(F.slice(s["out"], F.lit(1), F.greatest(F.size(s["out"]) - 1, F.lit(0))), F.array(F.struct(F.element_at(s["out"], -1)["label"].alias("label"), F.concat_ws("\n", F.element_at(s["out"], -1)["body"], p).alias("body"))))
-        kept = F.when((n == 0) & (F.length(F.trim(p)) < 10), s["out"]).when((n > s["last"]) | (F.size(s["out"]) == 0), F.array_append(s["out"], body)).otherwise(joined)
-        return F.struct(F.greatest(n, s["last"]).alias("last"), kept.alias("out"))
-
-    numbered = F.aggregate(parts, start, add, lambda s: s["out"])
+    cut = F.split(t, f"(?:^|\\n)\\s*(?=[0-9]{{1,2}}[.)]\\s*(?:{HEADS}))")
+    number = lambda p: F.coalesce(F.nullif(F.regexp_extract(p, "^([0-9]{1,2})[.)]", 1), F.lit("")).cast("int"), F.lit(0))
+    pair = lambda p: F.struct(number(p).alias("n"), p.alias("t"))
+    kept = F.filter(F.transform(cut, pair), lambda x: ~((x["n"] == 0) & (F.length(F.trim(x["t"])) < 10)))
+
+    def sections(parts: Column) -> Column:
+        def begins(numbers: Column) -> Column:
+            place = lambda n: F.array_position(numbers, n).cast("int")
+            first = lambda n: (place(n) > 0) & (F.coalesce(F.array_max(F.slice(numbers, F.lit(1), place(n) - 1)), F.lit(0)) < n)
+            rising = F.transform(F.filter(F.sequence(F.lit(1), F.lit(99)), first), place)
+            return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(1)), rising)))
+
+        def between(at: Column) -> Column:
+            def one(p: Column, k: Column) -> Column:
+                end = F.coalesce(F.try_element_at(at, k + 2), F.size(parts) + 1)
+                rest = F.transform(F.slice(parts, p + 1, end - p - 1), lambda x: x["t"])
+                head = F.element_at(parts, p)
+                body = F.array_join(F.concat(F.array(F.trim(head["t"])), rest), "\n")
+                return F.struct(F.when(head["n"] > 0, head["n"].cast("string")).otherwise("header").alias("label"), body.alias("body"))
+
+            return F.transform(at, one)
+
+        return F.when(F.size(parts) > 0, held(held(F.transform(parts, lambda x: x["n"]), begins), between)).otherwise(F.expr("cast(array() AS array<struct<label:string,body:string>>)"))
+
     sentence = F.filter(F.transform(F.split(t, "(?<=[.!?])\\s+|\\n"), lambda x: F.trim(x)), lambda x: x != "")
     plain = F.transform(sentence, lambda x, i: F.struct(F.concat(F.lit("s"), i + 1).alias("label"), x.alias("body")))
-    return F.when(F.size(parts) > 1, numbered).otherwise(plain)
+    return F.when(F.size(cut) > 1, held(kept, sections)).otherwise(plain)
 
 
 def text_stats(df: DataFrame, text_col: str) -> DataFrame:
@@ -250,7 +265,7 @@ def is_plan_report(c: str | Column) -> Column:
 
 
 # Goal words (two letters each) within 25 characters of a figure, and how a text names an earlier filing.
-FIGURE_GOAL, FIGURE, FIGURE_NEAR = "(?:목표|지향|이상|달성|확대|중반)", "[0-9]+(?:\\.[0-9]+)?\\s*(?:%|배)", 25 - 2
+FIGURE_GOAL, FIGURE, FIGURE_NEAR = "(?:목표|지향|이상|달성|확대|중반)", "(?<![0-9])[0-9]+(?:\\.[0-9]+)?\\s*(?:%|배)", 25 - 2
 EARLIER_FILING = "(?:旣|기)\\s*공시\\s*[(（]?\\s*(20[0-9]{2})\\s*[.\\-/]\\s*([0-9]{1,2})\\s*[.\\-/]\\s*([0-9]{1,2})"
 
 

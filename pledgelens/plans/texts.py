@@ -219,6 +219,29 @@ def page_links(spark, sf_dir):
     return X.best_links(pages, X.plan_links(pages, LINK_WORDS, LINK_EXCLUDED))
 
 
+#: Texts of numbered sections, or of sentences, and by hand the segments of each as label=body.
+SECTIONS: list[tuple[str, list[str]]] = [
+    ("머리말은 열 글자가 넘는다\n1. 기업 개요\n내용\n2. 목표 설정\n값", ["header=머리말은 열 글자가 넘는다", "1=1. 기업 개요\n내용", "2=2. 목표 설정\n값"]),
+    ("짧다\n1) 현황\n가\n3) 계획\n나\n2) 평가\n다\n3) 이행\n라", ["1=1) 현황\n가", "3=3) 계획\n나\n2) 평가\n다\n3) 이행\n라"]),
+    ("2. 목표 하나\n1. 개요 둘\n12. 기타 셋", ["2=2. 목표 하나\n1. 개요 둘", "12=12. 기타 셋"]),
+    ("첫째다. 둘째다! 셋째\n넷째", ["s1=첫째다.", "s2=둘째다!", "s3=셋째", "s4=넷째"]),
+    ("1. 매출 2. 이익", ["s1=1.", "s2=매출 2.", "s3=이익"]),
+    ("", []),
+]
+
+
+def _section_oracle() -> str:
+    flat = [("", "|".join(x)) for _, x in SECTIONS]
+    return f"SELECT page_id, {chosen_kind(flat, 1)} AS segments FROM pages"
+
+
+@query(_section_oracle())
+def section_kinds(spark, sf_dir):
+    """One text of SECTIONS for each page, its segments joined."""
+    made = F.transform(X.segments(F.expr(chosen_kind(SECTIONS, 0))), lambda s: F.concat_ws("=", s["label"], s["body"]))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(made, "|").alias("segments"))
+
+
 #: Texts with and without leading style rules, and what is left of each, by hand.
 STYLES: list[tuple[str, str]] = [
     ("p{margin:0} .x > a:hover{b:c}\n본문 ", "\n본문 "),
@@ -249,6 +272,22 @@ def lost_signals(spark, sf_dir):
     return X.signal_loss(pages, "page_id", "t", ["재공시", "목표", "예고"])
 
 
+#: Texts that name web pages, and by hand the one that is the plan's source.
+RELATED: list[tuple[str, str]] = [
+    ("관련 웹페이지 http://ir.a.example/plan 참조", "http://ir.a.example/plan"),
+    ("http://b.example 다음 관련웹페이지: https://c.example/ir/view.do?id=3.", "https://c.example/ir/view.do?id=3"),
+    ("관련 웹페이지 http://own.example/x 와 http://d.example/y);", "http://d.example/y"),
+    ("공시 http://own.example/1, 자료 <http://e.example/z>", "http://e.example/z"),
+    ("http://own.example/only", ""),
+    ("관련 웹페이지 없음", ""),
+]
+
+
+@query(f"SELECT page_id, nullif({chosen_kind(RELATED, 1)}, '') AS related FROM pages")
+def related_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.related_url(F.expr(chosen_kind(RELATED, 0)), ["own.example"]).alias("related"))
+
+
 @query(None)
 def page_related_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.related_url(F.concat_ws(" ", F.lit("관련 웹페이지"), "url", "html"), ["example.org"]).alias("related"))

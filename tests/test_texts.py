@@ -97,7 +97,10 @@ def test_long_texts_take_linear_time(spark):
     assert [(i, ranges[i].at, ranges[i].a) for i in (0, 1, 99_999)] == [(i, 3 + 14 * i, "2024") for i in (0, 1, 99_999)] and len(ranges) == 100_000
     assert one(spark, "<a href='x.pdf'>" * 60_000, lambda c: F.size(X.anchors(c))) == 0
     assert one(spark, "<script>" * 100_000, lambda c: F.size(X.anchors(c))) == 0
-    assert time.time() - began < 60
+    assert one(spark, "1" * 1_000_000, X.has_numeric_target) is False
+    parts = one(spark, "긴 머리말이 있는 글이다\n" + "3. 목표 값\n1. 개요 글\n" * 50_000 + "7. 기타", X.segments)
+    assert [p.label for p in parts] == ["header", "3", "7"] and parts[1].body.count("개요") == 50_000
+    assert time.time() - began < 90
 
 
 def test_places_and_sums(spark):
