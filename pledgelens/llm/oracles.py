@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from pledgelens.llm.secrets import RULES
+#: The contract's three expressions and the added ones: kind, expression, group, least characters of the group.
+SECRETS = [
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    (
+        "private_key",
+        "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+        r"(?:[^-]*(?:-[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----|(?:[\x20\t\r]*\n[A-Za-z0-9+/]{40,})*(?:={1,2}|[\x20\t\r]*\n[A-Za-z0-9+/]+={1,2})?)",
+        0,
+        1,
+    ),
+    ("code_host", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("chat_bot", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("cloud_key", "AIza[A-Za-z0-9_-]{35}", 0, 1),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+]
 
 _TAILS = r"(INST\]|/INST\]|ROLE\]|/ROLE\]|END\]|s>|/s>|<SYS>>|</SYS>>)"
 
@@ -31,16 +47,16 @@ FROM g"""
 def _secrets() -> str:
     """Matches and the pieces between them give the places, kind by kind."""
     parts, arrays = [], []
-    for rank, rule in enumerate(RULES):
-        p = rule.pattern.replace("'", "''")
-        parts.append(f"regexp_extract_all(body, '{p}') AS m{rank}, regexp_extract_all(body, '{p}', {rule.value}) AS v{rank}, string_split_regex(body, '{p}') AS g{rank}")
+    for rank, (kind, pattern, value, least) in enumerate(SECRETS):
+        p = pattern.replace("'", "''")
+        parts.append(f"regexp_extract_all(body, '{p}') AS m{rank}, regexp_extract_all(body, '{p}', {value}) AS v{rank}, string_split_regex(body, '{p}') AS g{rank}")
         begin = f"(list_sum(list_transform(g{rank}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m{rank}[1:i - 1], lambda x: length(x))), 0))"
-        arrays.append(f"list_transform(list_filter(range(1, len(m{rank}) + 1), lambda i: length(v{rank}[i]) >= {rule.least}), lambda i: {{'start': cast({begin} AS bigint), 'rank': {rank}, 'text': '{rule.kind}:' || cast({begin} AS bigint) || ':' || cast({begin} + length(m{rank}[i]) AS bigint)}})")
+        arrays.append(f"list_transform(list_filter(range(1, len(m{rank}) + 1), lambda i: length(v{rank}[i]) >= {least}), lambda i: {{'start': cast({begin} AS bigint), 'rank': {rank}, 'text': '{kind}:' || cast({begin} AS bigint) || ':' || cast({begin} + length(m{rank}[i]) AS bigint)}})")
     joined = "[]"
     for a in arrays:
         joined = f"list_concat({joined}, {a})"
     text = lambda cond: f"array_to_string(list_transform(list_filter(spans, lambda s: {cond}), lambda s: s.text), ',')"
-    counts = ", ".join(f"len(list_filter(spans, lambda s: s.rank = {k})) AS n_{RULES[k].kind}" for k in range(3))
+    counts = ", ".join(f"len(list_filter(spans, lambda s: s.rank = {k})) AS n_{SECRETS[k][0]}" for k in range(3))
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents), f AS (SELECT doc_id, {', '.join(parts)} FROM d),
 s AS (SELECT doc_id, list_sort({joined}) AS spans FROM f)
 SELECT doc_id, {counts}, sha256({text('s.rank < 3')}) AS base_sha256, {text('true')} AS spans FROM s"""

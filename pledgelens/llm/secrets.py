@@ -35,31 +35,49 @@ except ImportError:  # Python before 3.11
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: the expression, alike in Python and Java; value: the group that must have `least` characters, and no span else."""
+    """pattern: the expression, alike in Python and Java, without repeated groups that could overflow a stack; value: the group
+    that must have `least` characters; kept: SQL of the length that counts of a match `m`, all of it if empty."""
 
     kind: str
     pattern: str
     value: int = 0
     least: int = 1
+    kept: str = ""
 
 
 VALUE = "[A-Za-z0-9+/_.=-]"
 KEYWORD = "(?i:(password|passwd|secret|token|api_?key))"
-#: To the key's end line, which single dashes may precede (headers of encrypted keys); without one over the base64 lines that follow.
-PEM = (
-    "-----BEGIN [A-Z ]*PRIVATE KEY-----"
-    r"(?:[^-]*(?:-[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----|(?:[\x20\t\r]*\n[A-Za-z0-9+/]{40,})*(?:[\x20\t\r]*\n[A-Za-z0-9+/]+={1,2})?)"
-)
+PEM_HEAD, PEM_LINE = "-----BEGIN [A-Z ]*PRIVATE KEY-----", "[A-Za-z0-9+/]{40,}"
+#: To the key's end line, which single dashes may precede (headers of encrypted keys); without one over all that a key can hold.
+PEM = PEM_HEAD + r"(?:[^-]*(?:-[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\x20\t\r\n]*)"
+
+
+def _pem_length() -> str:
+    """Without an end line: the head and the whole base64 lines behind it, and of the next line what is base64 and padding."""
+    blank = r"[\x20\t\r]*$"
+    whole = f"CASE WHEN i = 0 THEN x RLIKE {quoted('KEY-----' + blank)} ELSE x RLIKE {quoted('^' + PEM_LINE + blank)} END"
+    bare = lambda x: f"length(regexp_replace({x}, {quoted('[\\x20\\t\\r]+$')}, ''))"
+    size = "aggregate(slice(f.l, 1, n), 0L, (a, x) -> a + length(x) + 1)"
+    tail = f"regexp_extract(try_element_at(f.l, n + 1), {quoted('^(?:' + PEM_LINE + '={0,2}|[A-Za-z0-9+/]+={1,2})')}, 0)"
+    # n lines are whole; the last of them counts without its line break and blanks
+    up_to = f"{size} - 1 - length(f.l[n - 1]) + {bare('f.l[n - 1]')}"
+    length = f"CASE WHEN n = 0 THEN length(regexp_extract(m, {quoted('^' + PEM_HEAD)}, 0)) WHEN coalesce({tail}, '') <> '' THEN {size} + length({tail}) ELSE {up_to} END"
+    count = "CASE WHEN array_position(f.whole, false) = 0 THEN size(f.l) ELSE cast(array_position(f.whole, false) AS int) - 1 END"
+    lines = "transform(array(split(m, '\\n', -1)), l -> named_struct('l', l, 'whole', transform(l, (x, i) -> " + whole + ")))"
+    return f"CASE WHEN contains(m, '-----END ') THEN length(m) ELSE transform({lines}, f -> transform(array({count}), n -> {length})[0])[0] END"
+
+
 #: The base rules first, then common public key formats.
 RULES = [
     Rule("assign", KEYWORD + r"""["']?\x20*[:=]\x20*["']?(""" + VALUE + "+)", 2, 6),
     Rule("access", "AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", "[0-9a-f]{24,}", 0, 24),
-    Rule("private_key", PEM),
+    Rule("private_key", PEM, kept=_pem_length()),
     Rule("code_host", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_bot", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", "AIza[A-Za-z0-9_-]{35}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # a run that no further parts follow matches too, so that it is read once, and falls by its empty group
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}(\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})?", 1, 1),
 ]
 BASE = [r.kind for r in RULES[:3]]
 
@@ -168,7 +186,8 @@ def _spans_sql(rule: Rule, text: str, kinds: str) -> str:
     lengths = "transform(c, z -> cast(length(z.g) + length(z.m) AS bigint))"
     starts = f"transform(array({lengths}), l -> {starts_sql('l')})[0]"
     places = f"transform(array({cut}), c -> zip_with(c, {starts}, (x, y) -> named_struct('m', x.m, 'start', y + length(x.g))))[0]"
-    spans = f"transform(filter({places}, z -> length({value}) >= {rule.least}), z -> named_struct('start', z.start, 'end', z.start + length(z.m)))"
+    kept = f"transform(array(z.m), m -> {rule.kept})[0]" if rule.kept else "length(z.m)"
+    spans = f"transform(filter({places}, z -> length({value}) >= {rule.least}), z -> named_struct('start', z.start, 'end', z.start + {kept}))"
     return spans if not trigram_query(rule.pattern) else f"CASE WHEN array_contains({kinds}, '{rule.kind}') THEN {spans} END"
 
 
