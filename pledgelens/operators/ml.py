@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
+
+from pledgelens.operators.stacked import confusion, fit_stack, make_stack
+from pledgelens.sources.store import written
 
 
 def char_ngram_hash(df: DataFrame, key: str, text: str, dim: int = 1 << 14, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
@@ -117,60 +118,51 @@ def group_folds(df: DataFrame, group: str, y: str, k: int = 5, seed: int | None
     return df.sparkSession.createDataFrame(out, f"{group} {df.schema[group].dataType.simpleString()}, fold int")
 
 
-def evaluate(df: DataFrame, key: str, text: str, group: str, y: str, k: int = 5, repeats: int = 5, dim: int = 1 << 14, rule: Column | None = None, embedding: DataFrame | None = None, parallelism: int = 8) -> DataFrame:
+def all_folds(x: DataFrame, group: str, y: str, k: int, repeats: int) -> DataFrame:
+    """(_g, folds array<int>): the fold of each group in each repeat."""
+    out = None
+    for rep in range(repeats):
+        f = group_folds(x, group, y, k, seed=1000 + rep).select(F.col(group).alias("_g"), F.col("fold").alias(f"_f{rep}"))
+        out = f if out is None else out.join(f, out["_g"].eqNullSafe(f["_g"])).drop(f["_g"])
+    return out.select("_g", F.array(*(f"_f{rep}" for rep in range(repeats))).alias("folds"))
+
+
+def evaluate(df: DataFrame, key: str, text: str, group: str, y: str, k: int = 5, repeats: int = 5, dim: int = 1 << 14, rule: Column | None = None, embedding: DataFrame | None = None, tolerance: float = 1e-6) -> DataFrame:
     """(system, class, folds, macro_f1, macro_f1_sd, accuracy, accuracy_sd, recall, recall_sd, support) over repeated grouped folds.
 
     Systems: `rule` (a column that names the class, not fitted), class-weighted multinomial logistic regressions on the
     character n-grams of the whole text and of its last segment, and one on `embedding`, a table (key, vec) of precomputed
-    vectors, where rows without one take no part. Means and population deviations are over folds and repeats; undefined
-    measures are left out. Rows without a class take no part. `parallelism` fits run at a time, each a distributed one.
-    Only confusion counts come to the driver.
+    vectors of one length, where rows without one take no part. Means and population deviations are over folds and repeats;
+    undefined measures are left out. Rows without a class take no part. The k * repeats models of a system are fitted side by
+    side, one pass over the data for a step of all. Only confusion counts come to the driver, and sums of a model's size.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.functions import array_to_vector
-
     from pledgelens.functions.text import last_segment
 
-    names = ["rule"] if rule is not None else []
     x = df.where(F.col(y).isNotNull()).select(key, F.col(group).alias("_group"), F.col(y).cast("string").alias("y"), F.col(text).alias("_text"), (rule if rule is not None else F.lit(None)).cast("string").alias("_rule"))
-    x = x.withColumn("_last", F.coalesce(last_segment("_text"), F.col("_text")))
-    x = char_ngram_vectors(char_ngram_vectors(x, "_text", "char_full", dim), "_last", "char_last_segment", dim).drop("_text", "_last")
-    fitted = ["char_full", "char_last_segment"]
+    names = sorted(r.y for r in x.select("y").distinct().collect())
+    folds = all_folds(x, "_group", "y", k, repeats)
+    dealt = x.join(folds, F.col("_group").eqNullSafe(F.col("_g"))).withColumn("label", (F.array_position(F.array(*map(F.lit, names)), F.col("y")) - 1).cast("int"))
+    dealt = written(dealt.withColumn("_last", F.coalesce(last_segment("_text"), F.col("_text"))).drop("_g", "_group"))
+    slots = lambda c: F.transform(_all_grams(c, (2, 3, 4)), lambda g: (F.crc32(F.encode(g, "UTF-8")) % dim).cast("int"))
+    systems = {
+        "char_full": (dealt.select("label", "folds", slots("_text").alias("features")), dim, True),
+        "char_last_segment": (dealt.select("label", "folds", slots("_last").alias("features")), dim, True),
+    }
     if embedding is not None:
-        x = x.join(embedding.select(key, array_to_vector(F.col("vec").cast("array<double>")).alias("embedding")), key, "left")
-        fitted.append("embedding")
-    index = StringIndexer(inputCol="y", outputCol="label", stringOrderType="alphabetAsc").fit(x)
-    x = index.transform(x).persist()
-    confusion, jobs = [], []
-    try:
-        for rep in range(repeats):
-            folds = group_folds(x, "_group", "y", k, seed=1000 + rep).withColumnRenamed("_group", "_g")
-            dealt = x.join(F.broadcast(folds), F.col("_group").eqNullSafe(F.col("_g")))
-            if rule is not None:
-                said = dealt.groupBy("fold", "y", F.col("_rule").alias("p")).count().collect()
-                confusion += [("rule", rep, r.fold, r.y, r.p, r["count"]) for r in said]
-            jobs += [(rep, fold, system, dealt) for fold in range(k) for system in fitted]
-
-        def run(job):
-            """Confusion counts of one fit; nothing if no row of the system is left to learn from."""
-            rep, fold, system, dealt = job
-            rows = dealt.where(F.col(system).isNotNull())
-            train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-            sizes = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
-            if not sizes:
-                return []
-            weights = (F.lit(v) for c, n in sizes.items() for v in (c, sum(sizes.values()) / (len(sizes) * n)))
-            train = train.withColumn("w", F.element_at(F.create_map(*weights), F.col("label")))
-            lr = LogisticRegression(featuresCol=system, weightCol="w", family="multinomial", regParam=1e-3, standardization=False, maxIter=100, tol=1e-4)
-            said = lr.fit(train).transform(test).groupBy("y", "prediction").count().collect()
-            return [(system, rep, fold, r.y, index.labels[int(r.prediction)], r["count"]) for r in said]
-
-        with ThreadPoolExecutor(parallelism) as pool:
-            confusion += [r for done in pool.map(inheritable_thread_target(df.sparkSession)(run), jobs) for r in done]
-    finally:
-        x.unpersist()
-    counts = df.sparkSession.createDataFrame(confusion, "system string, rep int, fold int, y string, p string, n long")
+        there = dealt.join(embedding.select(key, F.col("vec").cast("array<double>").alias("features")), key).where("features IS NOT NULL")
+        width = there.select(F.size("features").alias("n")).first()
+        if width is not None:
+            systems["embedding"] = (there.select("label", "folds", "features"), width["n"], False)
+    found = []
+    if rule is not None:
+        said = dealt.select("y", "_rule", F.posexplode("folds").alias("rep", "fold")).groupBy("rep", "fold", "y", "_rule").count().collect()
+        found += [("rule", r["rep"], r["fold"], r["y"], r["_rule"], r["count"]) for r in said]
+    for system, (rows, width, sparse) in systems.items():
+        stack = make_stack(rows, width, len(names), repeats, k, sparse)
+        if stack.tasks:
+            w = fit_stack(stack, tolerance=tolerance)
+            found += [(system, rep, fold, names[c], names[p], n) for rep, fold, c, p, n in confusion(stack, w) if stack.total[rep * k + fold] > 0]
+    counts = df.sparkSession.createDataFrame(found, "system string, rep int, fold int, y string, p string, n long")
     per = class_scores(counts, "y", "p", ("system", "rep", "fold"), F.col("n"))
     whole = per.where("support > 0").groupBy("system", "rep", "fold").agg(F.avg("f1").alias("macro_f1"), (F.sum("tp") / F.sum("support")).alias("accuracy"))
     moments = lambda *c: [f(x).alias(x + s) for x in c for f, s in ((F.avg, ""), (F.stddev_pop, "_sd"))]

@@ -46,6 +46,48 @@ def test_evaluate(spark):
     assert got["char_full", "no"].recall > 0.8
 
 
+def test_stacked_fits_equal_single_ones(spark):
+    """Each model of the stack against a fit of its own by the library."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from pledgelens.operators.stacked import confusion, fit_stack, make_stack
+
+    rnd = random.Random(8)
+    words = {"a": ["gut", "besser", "neu"], "b": ["schlecht", "alt"], "c": ["mittel", "neu", "alt"]}
+    rows = [(i, " ".join(rnd.choices(words[c], k=4) + rnd.choices(["und", "oder", "lang"], k=6)), c, [rnd.randrange(3) for _ in range(2)]) for i in range(240) for c in [rnd.choice("aaabbc")]]
+    df = spark.createDataFrame(rows, "id long, t string, y string, folds array<int>").withColumn("label", F.ascii("y") - 97)
+    dim = 256
+    slots = F.transform(L._all_grams("t", (2, 3, 4)), lambda g: (F.crc32(F.encode(g, "UTF-8")) % dim).cast("int"))
+    stack = make_stack(df.select("label", "folds", slots.alias("features")).repartition(5), dim, 3, 2, 3)
+    w = fit_stack(stack, tolerance=1e-9, most=300)
+    counts = {}
+    for rep, fold, c, p, n in confusion(stack, w):
+        counts[rep, fold, c, p] = n
+    vectors = L.char_ngram_vectors(df, "t", "v", dim).cache()
+    for rep in range(2):
+        for fold in range(3):
+            train, test = vectors.where(f"folds[{rep}] <> {fold}"), vectors.where(f"folds[{rep}] = {fold}")
+            sizes = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
+            weight = F.element_at(F.create_map(*(F.lit(v) for c, n in sizes.items() for v in (c, sum(sizes.values()) / (3 * n)))), F.col("label"))
+            lr = LogisticRegression(featuresCol="v", weightCol="w", family="multinomial", regParam=1e-3, standardization=False, maxIter=300, tol=1e-9)
+            model = lr.fit(train.withColumn("w", weight))
+            want = {}
+            for r in model.transform(test).groupBy("label", "prediction").count().collect():
+                want[r.label, int(r.prediction)] = r["count"]
+            own = {(c, p): n for (a, b, c, p), n in counts.items() if (a, b) == (rep, fold)}
+            assert sum(abs(own.get(x, 0) - want.get(x, 0)) for x in {*own, *want}) <= 2, (rep, fold, own, want)  # at most one row at the border
+            # at the library's optimum our objective is no lower than at our own
+            theirs = [[*(model.coefficientMatrix.toArray()[c]), model.interceptVector[c]] for c in range(3)]
+            m = rep * 3 + fold
+            from pledgelens.operators.stacked import losses
+            import numpy as np
+
+            both = w.copy()
+            both[m] = np.array(theirs).T
+            a, b = losses(stack, w, 1e-3)[0][m], losses(stack, both, 1e-3)[0][m]
+            assert a <= b + 1e-6 and math.isclose(a, b, rel_tol=1e-3)
+
+
 def test_query_takes_all_labelled_documents(spark, sf, monkeypatch):
     seen = {}
     monkeypatch.setattr(L, "evaluate", lambda df, *a, **k: seen.update(rows=df.count(), **k) or df)
