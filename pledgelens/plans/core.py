@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pledgelens.functions import text, values
 from pledgelens.functions.values import cap_bucket, period_buyback_status, sector_bucket
 from pledgelens.operators import batch as B
 from pledgelens.operators import metrics as M
@@ -14,8 +18,10 @@ from pledgelens.operators import rank as R
 from pledgelens.operators import scores as S
 from pledgelens.operators import screening as X
 from pledgelens.plans.oracle import AS_OF, AXES, BUCKET, KNOWN, ranked, with_tables
+from pledgelens.sources import domain
 from pledgelens.sources.domain import Tables, domain_tables, state_of
 from pledgelens.sources.store import Generations, shared_dir
+from pledgelens.sources.tables import read_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -184,9 +190,10 @@ def mna_ranking_page(t):
 
 
 def score_store(t: Tables) -> str:
-    """The folder of the scores over the present state of the base tables."""
+    """The folder of the scores over the present state of the base tables, by the present rules."""
     spark = t.company.sparkSession
-    return f"{shared_dir(spark)}/scores-{state_of(spark, t.at)}"
+    rules = "".join(inspect.getsource(m) for m in (domain, values, text, M, R, S, X, B))
+    return f"{shared_dir(spark)}/scores-{state_of(spark, t.at)}-{hashlib.sha256(rules.encode()).hexdigest()[:16]}"
 
 
 def screen_rows(t):
@@ -360,3 +367,47 @@ def snapshot_days(t):
 @query("SELECT greatest((SELECT max(as_of) FROM ownership), (SELECT max(date) FROM macro_indicator), (SELECT max(date) FROM prices)) AS as_of", "ownership", "macro_indicator", "prices")
 def latest_any_date(t):
     return X.latest_any_as_of(t.ownership, t.macro_indicator.withColumnRenamed("date", "as_of"), t.prices.withColumnRenamed("date", "as_of"))
+
+
+def fresh_dir(t: Tables, name: str) -> str:
+    """A new folder for what a query writes."""
+    return f"{shared_dir(t.company.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT corp_code, stock_code, corp_name, market, sector FROM company", "company")
+def landed_companies(t):
+    """The companies as a CSV landing, read with their schema: codes keep their leading zeros."""
+    at = fresh_dir(t, "landed") + "/company.csv"
+    t.company.write.option("header", True).csv(at)
+    return read_table(t.company.sparkSession, "company", at)
+
+
+@query("SELECT corp_code, as_of, largest_shareholder_pct, treasury_stock_pct FROM ownership", "ownership")
+def landed_ownership(t):
+    """The ownership rows as a JSON landing, read with their schema; what a row does not say is null."""
+    at = fresh_dir(t, "landed") + "/ownership.json"
+    t.ownership.write.json(at)
+    return read_table(t.company.sparkSession, "ownership", at)
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS \"view\", (SELECT count(*) FROM ({sql})) AS n" for name, (sql, _, _) in SNAPSHOT.items()), *sorted({n for _, needs, _ in SNAPSHOT.values() for n in needs}))
+def published_snapshot(t):
+    """The five views published as CSV and read back through the manifest: the rows of each."""
+    spark, at = t.company.sparkSession, fresh_dir(t, "snapshot")
+    views = X.snapshot_views(t.company, gap(t), vmd(t), vm(t), t.financials, t.macro_indicator, AS_OF)
+    B.publish_snapshot(views, at, AS_OF, "now")
+    counts = [B.read_snapshot(spark, at, name).agg(F.lit(name).alias("view"), F.count("*").alias("n")) for name in views]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query("SELECT 'gap' AS engine, 1 AS scored, 0 AS deleted UNION ALL SELECT 'opacity', (SELECT count(*) FROM opa), 0", "opa")
+def refreshed_company(t):
+    """One company scored anew in a stored day, and all opacity ranked again: what each stage did."""
+    at = fresh_dir(t, "refreshed")
+    B.run_scoring(t, at, AS_OF, ("gap", "opacity"))
+    corp = B.stored_scores(t.company.sparkSession, at, "gap", AS_OF).agg(F.min("corp_code")).first()[0]
+    rows = [(r.engine, r.scored, r.deleted) for r in B.refresh_company(t, at, corp)]
+    return t.company.sparkSession.createDataFrame(rows, "engine string, scored long, deleted long")

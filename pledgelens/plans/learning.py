@@ -64,13 +64,40 @@ def stratified_sample_rows(spark, sf_dir):
     return L.stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 300)
 
 
-@query()
+def _gram_oracle(sizes: tuple[int, ...] = (2, 3, 4), dim: int = 1 << 14) -> str:
+    """CRC-32 by its definition: a table from the polynomial, then one step for each UTF-8 byte of an n-gram."""
+    table_ = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"
+    octets = "list_transform(range(0, octet_length(encode(g))), lambda i: cast('0x' || substr(hex(encode(g)), 2 * i + 1, 2) AS bigint))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, t.v[(xor(c, b) & 255) + 1])), 4294967295)"
+    grams = " UNION ALL ".join(f"SELECT item_id, unnest(list_transform(range(1, greatest(length(s) - {n} + 2, 1)), lambda i: substr(s, i, {n}))) AS g FROM d" for n in sizes)
+    return f"""WITH t AS (SELECT {table_} AS v), d AS (SELECT item_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS s FROM benchmark),
+g AS ({grams}), c AS (SELECT item_id, {crc} % {dim} AS slot, count(*) AS n FROM g, t GROUP BY 1, 2),
+v AS (SELECT item_id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS value FROM c)
+SELECT item_id, count(*) AS slots, cast(sum(slot) AS bigint) AS slot_sum, round(max(value), 6) AS heaviest, round(sum(value * value), 6) AS length FROM v GROUP BY 1"""
+
+
+@query(_gram_oracle())
 def char_ngram_features(spark, sf_dir):
     x = L.char_ngram_hash(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return x.groupBy("item_id").agg(F.count("*").alias("slots"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("length"))
+    square = F.round(F.sum(F.col("value") * F.col("value")), 6).alias("length")
+    return x.groupBy("item_id").agg(F.count("*").alias("slots"), F.sum("slot").alias("slot_sum"), F.round(F.max("value"), 6).alias("heaviest"), square)
 
 
-@query()
+def _fold_oracle(k: int = 5) -> str:
+    """The groups one after the other, with the folds' sizes and class counts as lists."""
+    places = f"range(1, {k + 1})"
+    added = lambda xs, n: f"list_transform({places}, lambda f: x.{xs}[f] + CASE WHEN f = x.pick THEN {n} ELSE 0 END)"
+    none = f"[{', '.join('cast(0 AS bigint)' for _ in range(k))}]"
+    pick = f"list_sort(list_transform({places}, lambda f: [CASE WHEN o.main = 0 THEN w.h0[f] ELSE w.h1[f] END, w.s[f], f]))[1][3]"
+    return f"""WITH RECURSIVE c AS (SELECT source, count(*) FILTER (WHERE quality = 0) AS n0, count(*) FILTER (WHERE quality = 1) AS n1 FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY n0 + n1 DESC, source) AS r, CASE WHEN n1 > n0 THEN 1 ELSE 0 END AS main FROM c),
+w AS (SELECT cast(0 AS bigint) AS r, cast(NULL AS varchar) AS source, cast(0 AS bigint) AS pick, {none} AS s, {none} AS h0, {none} AS h1
+ UNION ALL SELECT x.r, x.source, x.pick, {added('s', 'x.n0 + x.n1')}, {added('h0', 'x.n0')}, {added('h1', 'x.n1')}
+ FROM (SELECT o.r, o.source, o.n0, o.n1, w.s, w.h0, w.h1, {pick} AS pick FROM w JOIN o ON o.r = w.r + 1) x)
+SELECT source, cast(pick - 1 AS int) AS fold FROM w WHERE r > 0"""
+
+
+@query(_fold_oracle())
 def grouped_folds(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", "quality")
     return L.group_folds(docs, "source", "quality", 5)

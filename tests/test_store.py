@@ -4,6 +4,7 @@ import os
 import random
 import statistics
 import zlib
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pledgelens.operators import loads as L
 from pledgelens.operators import ml
 from pledgelens.operators import rank as R
 from pledgelens.operators import screening as X
-from pledgelens.operators.batch import ENGINES, run_scoring, serve_day, stored_scores, stored_screening
+from pledgelens.operators.batch import run_scoring, serve_day, stored_scores, stored_screening
 from pledgelens.plans import registry
 from pledgelens.sources.domain import domain_tables, state_of
 from pledgelens.sources.store import Generations
@@ -79,6 +80,19 @@ def test_screening_reads_the_store(spark, sf, tmp_path):
     assert part.where("has_mna OR has_opacity").count() == 0 and part.count() == store.read("gap", DAY).count()
 
 
+def test_nothing_to_rank_writes_nothing(spark, sf, tmp_path):
+    """Without metrics and ownership the acquisition score is an error, whatever companies there are; the old rows stay."""
+    t, out = domain_tables(spark, sf), str(tmp_path / "scores")
+    bare = replace(t, financials=t.financials.limit(0), ownership=t.ownership.limit(0))
+    r = run_scoring(bare, out, DAY, ("mna",))[0]
+    assert "nothing to rank" in r.failed[0] and not r.complete and stored_scores(spark, out, "mna", DAY) is None
+    assert run_scoring(t, out, DAY, ("mna",))[0].scored > 0
+    old = stored_scores(spark, out, "mna", DAY).count()
+    assert run_scoring(bare, out, DAY, ("mna", "gap"))[0].failed and stored_scores(spark, out, "mna", DAY).count() == old
+    owned = run_scoring(replace(t, financials=t.financials.limit(0)), out, DAY, ("mna",))[0]
+    assert not owned.failed and owned.scored > 0  # ownership alone is something to rank
+
+
 def test_shuffles_of_the_scores(spark, sf):
     assert shuffles(registry.queries()["mna_score"](spark, sf)) < 30
     assert shuffles(registry.queries()["screening_page"](spark, sf)) < 15
