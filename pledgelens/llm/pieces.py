@@ -5,8 +5,10 @@ every blank, since no piece of the vocabulary has a blank behind another charact
 and the characters up to the next blank. The distinct words of a slice become one flat symbol array. In each round
 the best pair rank of every word is found by a segmented minimum, its leftmost pairs are merged at once in all
 words, and the arrays are compacted, until no pair remains. All occurrences of a pair merge together where no
-piece that contains the new one ranks better; else only the leftmost, as the library does. Runs of blanks rank
-below every other merge and are cut into the longest pieces from the left afterwards.
+piece that contains the new one ranks better; else only the leftmost, as the library does. In words of over 64
+characters a round merges every pair that no better one can reach (the longest piece bounds the reach), so that rounds
+do not grow with the word. Runs of blanks rank below every other merge and are cut into the longest pieces from the
+left afterwards.
 
 Edge cases: a null or empty text has the begin and end ids only and decodes to an empty text; characters without
 a piece become byte pieces; U+2581 counts as a blank, as in the library; repeated rows give equal results.
@@ -14,6 +16,8 @@ a piece become byte pieces; U+2581 counts as a blank, as in the library; repeate
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,6 +83,11 @@ class Vocabulary:
         self.safe = np.zeros(self.n_symbols, bool)
         for p, i in normal.items():
             self.safe[i] = inside.get(p, rank[p] + 1) > rank[p]
+        ranks = [rank[p] for p in normal if len(p) > 1 and not p.startswith(BLANK * 2)]
+        if len(set(ranks)) < len(ranks):
+            raise ValueError("pieces of equal scores are not supported")
+        self.rank_bits = len(order).bit_length()
+        self.reach = max((len(p) for p in normal if not p.startswith(BLANK * 2)), default=1)
         # an open-addressed table of the pairs: slot = (key * odd) >> shift, at most `probes` steps
         self.bits = max(4, (len(pairs) * 4).bit_length())
         self.keys = np.full((1 << self.bits) + 64, -1, np.int64)
@@ -177,6 +186,81 @@ def merge_words(v: Vocabulary, symbol: np.ndarray, word: np.ndarray) -> tuple[np
     return symbol[order], word[order], place[order]
 
 
+def least_of(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours, from each place on; places behind the end do not count."""
+    out, have = np.r_[values, np.full(width, np.iinfo(np.int64).max)], 1
+    while have < width:
+        step = min(have, width - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
+    return out[: len(values)]
+
+
+def merge_long_words(v: Vocabulary, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As merge_words, with rounds that do not grow with the words.
+
+    A pair's turn is the worst rank met until it merges: its own, or the turn of the merge that made one of its symbols.
+    A pair merges as soon as none whose turn is before its own lies within the longest piece to either side, since only
+    a piece that reaches from there could take one of its symbols. Turns of pieces that are not `safe` are told apart by
+    place, so what such a merge leads to comes before the next one; a run of equal pairs is paired off from its left end.
+    """
+    never = np.iinfo(np.int64).max
+    at_bits = 62 - 2 * v.rank_bits
+    if len(symbol) >= 1 << at_bits:
+        raise ValueError(f"a text has more than {1 << at_bits} characters")
+    place = np.arange(len(symbol))
+    made = np.zeros(len(symbol), np.int64)
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for turns in itertools.count():
+        at = v.look_up(symbol[:-1], symbol[1:])
+        at[word[1:] != word[:-1]] = -1
+        live = at >= 0
+        if not live.any():
+            done.append((symbol, word, place))
+            break
+        if turns % 8 == 7:  # words without a pair leave
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            goes = np.repeat(np.logical_or.reduceat(np.append(live, False), first), np.diff(np.r_[first, len(word)]))
+            if 2 * np.count_nonzero(goes) < len(goes):
+                done.append((symbol[~goes], word[~goes], place[~goes]))
+                symbol, word, place, made = symbol[goes], word[goes], place[goes], made[goes]
+                continue
+        rank, new = v.value[at, 0], v.value[at, 1]
+        turn = (rank << at_bits) + np.where(live & ~v.safe[np.where(live, new, 0)], place[:-1] + 1, 0)
+        turn = np.maximum(turn, np.maximum(made[:-1], made[1:]))
+        order = np.where(live, (turn << v.rank_bits) + rank, never)
+        least = least_of(np.r_[np.full(v.reach, never), order], v.reach)
+        run = np.r_[True, order[1:] != order[:-1]]
+        index = np.arange(len(order))
+        start = np.maximum.accumulate(np.where(run, index, 0))
+        hit = live & (order <= least[: len(order)])[start] & (order <= np.r_[least[v.reach + 1 :], never]) & ((index - start) % 2 == 0)
+        hit = np.flatnonzero(hit)
+        symbol[hit], made[hit] = new[hit], turn[hit]
+        stay = np.ones(len(symbol), bool)
+        stay[hit + 1] = False
+        symbol, word, place, made = symbol[stay], word[stay], place[stay], made[stay]
+    symbol, word, place = (np.concatenate(x) for x in zip(*done))
+    order = np.argsort(place)
+    return symbol[order], word[order], place[order]
+
+
+LONG = 64
+
+
+def merge_all(v: Vocabulary, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """merge_words for words of up to LONG characters, merge_long_words for the others; results in the order of the words."""
+    long = np.bincount(word, minlength=1)[word] > LONG
+    if not long.any():
+        return merge_words(v, symbol, word)
+    parts = []
+    for at, merge in ((np.flatnonzero(~long), merge_words), (np.flatnonzero(long), merge_long_words)):
+        s, w, place = merge(v, symbol[at], word[at])
+        parts.append((s, w, at[place]))
+    symbol, word, place = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(place)
+    return symbol[order], word[order], place[order]
+
+
 def spread(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """values[start : start + size] of each entry, one after another."""
     total = int(size.sum())
@@ -256,7 +340,7 @@ def encode_words(v: Vocabulary, words: pa.Array) -> tuple[np.ndarray, np.ndarray
     lone &= raw[np.minimum(offsets[:-1], max(len(raw) - 1, 0))] == 32 if n else False
     use = ~lone[word]
     keep = np.flatnonzero(use)
-    symbol, owner, place = merge_words(v, symbol[use], word[use])
+    symbol, owner, place = merge_all(v, symbol[use], word[use])
     char = keep[place]
     # symbols without a piece of their own become their bytes
     bare = np.flatnonzero((symbol < 0) | (symbol >= v.size))
