@@ -103,21 +103,46 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, np.flatnonzero(last) + 1, np.searchsorted(offsets, start, "right") - 1
 
 
-_RNG = np.random.default_rng(20240607)
-BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 2**64)
+PRIME = np.uint64(2**61 - 1)
+BLOCK = 1 << 15  # numbers that stay in the cache
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.minimum(x, x - PRIME)  # below the prime the difference wraps around
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, from halves of 31 bits."""
+    half, low = np.uint64(31), np.uint64(2**31 - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    mid = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & np.uint64(2**30 - 1)) << half) + a0 * b0)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    out = np.ones(max(n, 1), np.uint64)
+    done, step = 1, base
+    while done < n:
+        more = min(done, n - done)
+        for a in range(0, more, BLOCK):
+            to = min(a + BLOCK, more)
+            out[done + a : done + to] = _times(out[a:to], np.uint64(step))
+        done, step = done + more, step * step % int(PRIME)
+    return out
+
+
+_RNG = np.random.default_rng(20240607)
+BYTE_CODE = _RNG.integers(1, int(PRIME), 256, dtype=np.uint64)
+BASE = int(_RNG.integers(2**32, int(PRIME)))
+INVERSE = pow(BASE, -1, int(PRIME))
 
 
 class RollingHash:
-    """64-bit polynomial hashes of any byte ranges of one buffer."""
+    """64-bit names of any byte ranges of one buffer: polynomials modulo the prime 2^61 - 1, scrambled.
+
+    Two different ranges of n bytes have one name for at most n of the 2^61 bases.
+    """
 
     POWERS: dict[str, np.ndarray] = {}
 
@@ -127,11 +152,18 @@ class RollingHash:
             m = max(n, SLICE_BYTES + 1)
             self.POWERS["up"], self.POWERS["down"] = _powers(BASE, m), _powers(INVERSE, m)
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(BYTE_CODE[data] * self.POWERS["up"][: n - 1], out=self.sums[1:])
+        for a in range(0, n - 1, BLOCK):
+            term = _times(BYTE_CODE[data[a : a + BLOCK]], self.POWERS["up"][a : min(a + BLOCK, n - 1)])
+            low, high = np.cumsum(term & np.uint64(2**32 - 1)), np.cumsum(term >> np.uint64(32))
+            self.sums[a + 1 : a + 1 + len(term)] = _reduced(self.sums[a] + low + (high >> np.uint64(29)) + ((high & np.uint64(2**29 - 1)) << np.uint64(32)))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.POWERS["down"][start]
-        return mix(h + (end - start).astype(np.uint64))
+        out = np.empty(len(start), np.uint64)
+        for a in range(0, len(start), BLOCK):
+            s, e = start[a : a + BLOCK], end[a : a + BLOCK]
+            h = self.sums[e] + PRIME - self.sums[s]
+            out[a : a + BLOCK] = mix(_times(np.minimum(h, h - PRIME), self.POWERS["down"][s]) + ((e - s).astype(np.uint64) << np.uint64(40)))
+        return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
