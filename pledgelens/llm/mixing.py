@@ -12,7 +12,8 @@ rate * tokens * posterior, match the targets: sum over domains of (total - targe
 towards rate 1; `most` bounds the rates from above as well. Gradients are taken in the metric weighted by tokens, in
 which a document's rate depends on its
 posteriors alone; so the corpus is summed once to a row for each different posterior vector, each step is one
-aggregate of a few numbers over these rows, and a document's rate is a fold over the steps' residuals.
+aggregate of a few numbers over these rows, and a document's rate is a fold over the steps' residuals. Steps end when
+each domain is within `close` of its own target, or after `max_steps`; the totals reached are returned beside the targets.
 
 Edge cases: a null or empty text has no token and the posteriors of a text without known tokens; a null label is no
 label; of several labels of an id the largest domain number counts; without labels all domains are equally likely;
@@ -148,7 +149,7 @@ def fit_rates(rows: DataFrame, weights: list[float], *, total: float | None = No
     steps: list[list[float]] = []
     reached = natural
     for _ in range(max_steps):
-        if np.abs(reached - goal).max() <= close * all_tokens:
+        if (np.abs(reached - goal) * scale).max() <= close:
             break
         steps.append([float(x) for x in (reached - goal) * scale])
         got = cells.withColumn("rate", _rate(steps, eta, ridge, most)).agg(*(F.sum(F.col("tokens") * F.col("rate") * F.col("posteriors")[k]).alias(f"e{k}") for k in range(n))).first()

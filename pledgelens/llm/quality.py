@@ -7,7 +7,8 @@ labelled documents, which is the documented bound of the training sample, and is
 
 Edge cases: a null or empty text has no feature and gets the bias alone; a label that is null is no label; several
 labels of one id count as their largest; labelled ids without a document are ignored; with no labelled row at all
-every score is 0.5; rows with a null id are scored but never trained on; repeated rows get equal scores.
+every score is 0.5; rows with a null id are scored but never trained on; repeated rows get equal scores, and rows of
+one id are fitted in the order of their features, so that the model does not depend on their order in the table.
 """
 
 from __future__ import annotations
@@ -106,8 +107,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     sparse = rows.mapInArrow(extract, f"id {id_type}, label double, slots binary, vals binary")
 
     def train(batches):
-        got = [(i, np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float), y) for b in batches for i, y, s, v in zip(*(b.column(c).to_pylist() for c in ("id", "label", "slots", "vals")))]
-        got.sort(key=lambda x: x[0])
+        got = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("id", "slots", "vals", "label"))))
+        got = [(i, np.frombuffer(s, np.int32), np.frombuffer(v, np.float32), y) for i, s, v, y in got]
         order = np.random.default_rng(7).permutation(len(got))
         w, bias = ftrl([got[k][1:] for k in order], bits, epochs, alpha, beta, l1, l2)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["weights", "bias"])
