@@ -43,6 +43,15 @@ def test_query_covers_its_table(spark, sf, name):
         assert got.count() == table(spark, sf, "conversations").select("conv_id").distinct().count() + 1
     elif name == "op8_exact_top_k":
         assert got.count() == 10 * table(spark, sf, "embeddings").where("vec_id % 100 = 0").count()
+    elif name == "op11_whitening":
+        usable = "embedding IS NOT NULL AND forall(embedding, x -> coalesce(NOT isnan(x) AND abs(x) < double('Infinity'), false))"
+        assert got.count() == 4 * table(spark, sf, "embeddings").where(usable).count()
+    elif name == "op12_ranked_search":
+        ranks = {r.item_id: r.ranks for r in got.groupBy("item_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks")).collect()}
+        assert all(x == list(range(1, len(x) + 1)) and len(x) <= 10 for x in ranks.values())
+        assert set(ranks) == {r.item_id for r in table(spark, sf, "benchmark").collect()}
+    elif name == "op13_warc":
+        assert got.count() == table(spark, sf, "pages").count()
     else:
         assert got.count() == table(spark, sf, "documents").count()
 
