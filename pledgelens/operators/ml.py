@@ -19,8 +19,13 @@ def char_ngram_hash(df: DataFrame, key: str, text: str, dim: int = 1 << 14, size
     return n.join(norm, key).select(key, "slot", (F.col("n") / F.col("norm")).alias("value"))
 
 
+def _even(text: str | Column) -> Column:
+    """The text with one blank for each run of white space; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " "))
+
+
 def _all_grams(text: str | Column, sizes: tuple[int, ...]) -> Column:
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " "))
+    t = _even(text)
     return F.concat(*(_grams(t, n) for n in sizes))
 
 
@@ -99,14 +104,22 @@ def group_folds(df: DataFrame, group: str, y: str, k: int = 5, seed: int | None
 
     Only the groups' class counts come to the driver; their number is that of the groups (companies), checked here.
     """
+    return _folds_frame(df, group, [(g, f) for g, f in _deal(_group_counts(df, group, y), k, seed).items()], "fold int")
+
+
+def _group_counts(df: DataFrame, group: str, y: str) -> dict:
+    """Each group's rows by class, on the driver."""
     counts = df.groupBy(group, y).agg(F.count("*").alias("n"))
-    n_groups = counts.select(group).distinct().count()
-    if n_groups > 1_000_000:
+    if counts.select(group).distinct().count() > 1_000_000:
         raise ValueError("too many groups to deal one by one")
     by: dict = {}
     for r in counts.collect():
         by.setdefault(r[group], {})[r[y]] = r["n"]
-    size, held, out = [0] * k, [dict() for _ in range(k)], []
+    return by
+
+
+def _deal(by: dict, k: int, seed: int | None) -> dict:
+    size, held, out = [0] * k, [dict() for _ in range(k)], {}
     name = lambda g: (0 if seed is None else zlib.crc32(f"{seed}:{g}".encode()), str(g))
     for g in sorted(by, key=lambda g: (-sum(by[g].values()), name(g))):
         main = max(sorted(by[g], key=str), key=lambda c: by[g][c])
@@ -114,17 +127,19 @@ def group_folds(df: DataFrame, group: str, y: str, k: int = 5, seed: int | None
         for c, n in by[g].items():
             held[fold][c] = held[fold].get(c, 0) + n
             size[fold] += n
-        out.append((g, fold))
-    return df.sparkSession.createDataFrame(out, f"{group} {df.schema[group].dataType.simpleString()}, fold int")
+        out[g] = fold
+    return out
+
+
+def _folds_frame(df: DataFrame, group: str, rows: list, fold: str) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, f"{group} {df.schema[group].dataType.simpleString()}, {fold}")
 
 
 def all_folds(x: DataFrame, group: str, y: str, k: int, repeats: int) -> DataFrame:
-    """(_g, folds array<int>): the fold of each group in each repeat."""
-    out = None
-    for rep in range(repeats):
-        f = group_folds(x, group, y, k, seed=1000 + rep).select(F.col(group).alias("_g"), F.col("fold").alias(f"_f{rep}"))
-        out = f if out is None else out.join(f, out["_g"].eqNullSafe(f["_g"])).drop(f["_g"])
-    return out.select("_g", F.array(*(f"_f{rep}" for rep in range(repeats))).alias("folds"))
+    """(_g, folds array<int>): the fold of each group in each repeat; the groups' counts are read once."""
+    by = _group_counts(x, group, y)
+    dealt = [_deal(by, k, 1000 + rep) for rep in range(repeats)]
+    return _folds_frame(x, group, [(g, [d[g] for d in dealt]) for g in by], "folds array<int>").withColumnRenamed(group, "_g")
 
 
 def evaluate(df: DataFrame, key: str, text: str, group: str, y: str, k: int = 5, repeats: int = 5, dim: int = 1 << 14, rule: Column | None = None, embedding: DataFrame | None = None, tolerance: float = 1e-6) -> DataFrame:
@@ -143,10 +158,9 @@ def evaluate(df: DataFrame, key: str, text: str, group: str, y: str, k: int = 5,
     folds = all_folds(x, "_group", "y", k, repeats)
     dealt = x.join(folds, F.col("_group").eqNullSafe(F.col("_g"))).withColumn("label", (F.array_position(F.array(*map(F.lit, names)), F.col("y")) - 1).cast("int"))
     dealt = written(dealt.withColumn("_last", F.coalesce(last_segment("_text"), F.col("_text"))).drop("_g", "_group"))
-    slots = lambda c: F.transform(_all_grams(c, (2, 3, 4)), lambda g: (F.crc32(F.encode(g, "UTF-8")) % dim).cast("int"))
     systems = {
-        "char_full": (dealt.select("label", "folds", slots("_text").alias("features")), dim, True),
-        "char_last_segment": (dealt.select("label", "folds", slots("_last").alias("features")), dim, True),
+        "char_full": (dealt.select("label", "folds", _even("_text").alias("features")), dim, True),
+        "char_last_segment": (dealt.select("label", "folds", _even("_last").alias("features")), dim, True),
     }
     if embedding is not None:
         there = dealt.join(embedding.select(key, F.col("vec").cast("array<double>").alias("features")), key).where("features IS NOT NULL")

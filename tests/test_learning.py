@@ -88,6 +88,36 @@ def test_stacked_fits_equal_single_ones(spark):
             assert a <= b + 1e-6 and math.isclose(a, b, rel_tol=1e-3)
 
 
+def test_blocks_stay_small(spark):
+    """The n-grams of a text as the column expressions have them; long texts make no large block, blocks no large row group."""
+    import glob
+    import pickle
+
+    import pyarrow.parquet as pq
+
+    from pledgelens.operators.stacked import BLOCK_CELLS, BLOCK_ROWS, GROUPS, pack_rows
+    from pledgelens.sources.store import written
+
+    rnd, dim = random.Random(3), 1 << 14
+    texts = ["", "a", "\U0001f600 b\u20ac\u00e4c", *("".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(0xAC00, 0xD000)])) for _ in range(rnd.choice([5, 20_000]))) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "label int, t string").repartition(1).withColumn("folds", F.array(F.lit(0)))
+    blocks = written(pack_rows(df.select("label", "folds", L._even("t").alias("features")), dim), GROUPS)
+    slots = F.transform(L._all_grams("t", (2, 3, 4)), lambda g: (F.crc32(F.encode(g, "UTF-8")) % dim).cast("int"))
+    want = {r.label: sorted(r.s) for r in df.select("label", slots.alias("s")).collect()}
+    found = {}
+    for r in blocks.collect():
+        label, _, sizes, slot, n = pickle.loads(r.data)
+        assert len(r.data) < 2 << 20 and len(label) <= BLOCK_ROWS and len(slot) < BLOCK_CELLS + dim
+        at = 0
+        for i, size in zip(label, sizes):
+            found[int(i)] = [int(x) for x, k in zip(slot[at : at + size], n[at : at + size]) for _ in range(k)]
+            at += size
+    assert found == want
+    files = [pq.ParquetFile(f) for at in blocks.inputFiles() for f in glob.glob(at.removeprefix("file://"))]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert len(groups) > 1 and max(g.total_byte_size for g in groups) < 12 << 20
+
+
 def test_query_takes_all_labelled_documents(spark, sf, monkeypatch):
     seen = {}
     monkeypatch.setattr(L, "evaluate", lambda df, *a, **k: seen.update(rows=df.count(), **k) or df)
