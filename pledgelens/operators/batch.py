@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pledgelens.operators import loads as L
 from pledgelens.operators import metrics as M
 from pledgelens.operators import scores as S
 from pledgelens.operators import screening as X
-from pledgelens.sources.store import Generations
+from pledgelens.sources.store import Generations, written
 
 ENGINES = ("gap", "mna", "opacity")
 
@@ -47,23 +47,24 @@ class RunResult:
         return self.complete and not (self.subset and self.engine != "gap")
 
 
-def score_engine(engine: str, t, as_of: str, cfg: S.Config = S.Config(), corp_codes: list[str] | None = None, metrics: DataFrame | None = None) -> DataFrame:
+def score_engine(engine: str, t, as_of: str, cfg: S.Config = S.Config(), corp_codes: list[str] | None = None, metrics: DataFrame | None = None, chosen: DataFrame | None = None) -> DataFrame:
     """One engine's rows of a day; an empty universe of facts is an error before anything is written.
 
-    metrics: the valuation metrics, where they are at hand.
+    metrics and chosen: the valuation metrics and the plans in force, where they are at hand.
     """
-    metrics_d = M.reports_as_of(M.valuation_metrics(t.financials, t.prices) if metrics is None else metrics, as_of)
+    metrics = M.valuation_metrics(t.financials, t.prices) if metrics is None else metrics
+    metrics_d = M.reports_as_of(metrics, as_of)
     if engine == "gap":
-        chosen = S.choose_plans(t.valueup_plan, as_of)
+        chosen = S.choose_plans(t.valueup_plan, as_of) if chosen is None else chosen
         out = S.valueup_score(chosen, metrics_d, M.reports_as_of(t.financials, as_of), as_of, cfg)
         return out.where(F.col("corp_code").isin(corp_codes)) if corp_codes else out
     if engine == "mna":
         own = M.latest_as_of(t.ownership, ["corp_code"], ["as_of"], as_of, "as_of")
-        if metrics_d.isEmpty() and own.isEmpty():
+        if metrics.where(M.known_at(as_of)).isEmpty() and t.ownership.where(F.col("as_of") <= as_of).isEmpty():
             raise ValueError("neither metrics nor ownership: nothing to rank")
         return S.mna_score(metrics_d, own, t.company, t.macro_indicator, as_of, cfg, corp_codes)
     if engine == "opacity":
-        chosen = S.choose_plans(t.valueup_plan, as_of)
+        chosen = S.choose_plans(t.valueup_plan, as_of) if chosen is None else chosen
         if chosen.isEmpty():
             raise ValueError("no plan: nothing to rank")
         out = S.opacity_score(chosen, t.company, as_of, cfg)
@@ -77,7 +78,7 @@ def stored_scores(spark: SparkSession, out: str, engine: str, as_of: str) -> Dat
     return None if rows is None else rows.withColumn("as_of", F.lit(as_of))
 
 
-def run_scoring(t, out: str, as_of: str, engines: tuple[str, ...] = ENGINES, corp_codes: list[str] | None = None, metrics: DataFrame | None = None) -> list[RunResult]:
+def run_scoring(t, out: str, as_of: str, engines: tuple[str, ...] = ENGINES, corp_codes: list[str] | None = None, metrics: DataFrame | None = None, chosen: DataFrame | None = None) -> list[RunResult]:
     """Write each engine's rows of a day; an engine that fails leaves its old rows and does not stop the others.
 
     Rows without a basis any more are deleted (counted). With `corp_codes` only these companies are scored anew or
@@ -93,7 +94,7 @@ def run_scoring(t, out: str, as_of: str, engines: tuple[str, ...] = ENGINES, cor
         r = RunResult(e, as_of, subset=corp_codes is not None)
         try:
             store.sweep(e, as_of)
-            new = score_engine(e, t, as_of, corp_codes=corp_codes, metrics=metrics)
+            new = score_engine(e, t, as_of, corp_codes=corp_codes, metrics=metrics, chosen=chosen)
             old = stored_scores(spark, out, e, as_of)
             scope = None if corp_codes is None else spark.createDataFrame([(c,) for c in sorted(set(corp_codes))], "corp_code string")
             generation = store.stage(e, as_of, (new if old is None else L.reconcile(old.select(*new.columns), new, as_of, scope)).drop("as_of"))
@@ -111,11 +112,11 @@ def run_scoring(t, out: str, as_of: str, engines: tuple[str, ...] = ENGINES, cor
         return list(pool.map(inheritable_thread_target(spark)(run), engines))
 
 
-def refresh_company(t, out: str, corp_code: str, as_of: str | None = None) -> list[RunResult]:
+def refresh_company(t, out: str, corp_code: str, as_of: str | None = None, metrics: DataFrame | None = None, chosen: DataFrame | None = None) -> list[RunResult]:
     """Score one company anew in a day's rows (by default the latest day that was scored) and rank all opacity again; each stage has its own result."""
     if as_of is None:
         as_of = Generations(t.company.sparkSession, out).days("gap")[-1]
-    return [*run_scoring(t, out, as_of, ("gap",), [corp_code]), *run_scoring(t, out, as_of, ("opacity",))]
+    return [*run_scoring(t, out, as_of, ("gap",), [corp_code], metrics, chosen), *run_scoring(t, out, as_of, ("opacity",), chosen=chosen)]
 
 
 #: Tables beside the engines' that a screening page reads.
@@ -123,7 +124,10 @@ SERVED = ("history", "metrics", "own_gap", "plans")
 
 
 def serve_day(t, out: str, as_of: str) -> list[RunResult]:
-    """All that a day's pages read: the metrics once, from them the three engines, and the smaller facts beside them."""
+    """All that a day's pages read: the metrics once, from them the three engines, and the smaller facts beside them.
+
+    Reports, plans, last prices and the plans in force are written once, side by side; all else reads what was written.
+    """
     spark = t.company.sparkSession
     store = Generations(spark, out)
 
@@ -133,16 +137,26 @@ def serve_day(t, out: str, as_of: str) -> list[RunResult]:
         store.commit(name, as_of, generation)
         return store.staged(name, as_of, generation)
 
-    history = put("history", M.valuation_metrics(t.financials, t.prices))
+    def beside(jobs: dict) -> tuple[dict, ThreadPoolExecutor]:
+        pool = ThreadPoolExecutor(max(1, len(jobs)))
+        return {n: pool.submit(inheritable_thread_target(spark)(f)) for n, f in jobs.items()}, pool
+
+    first, pool = beside({"financials": lambda: written(t.financials), "valueup_plan": lambda: written(t.valueup_plan), "price": lambda: written(M.latest_price(t.prices))})
+    with pool:
+        t = replace(t, financials=first["financials"].result(), valueup_plan=first["valueup_plan"].result())
+        price = first["price"].result()
+    second, pool = beside({"history": lambda: put("history", M.valuation_metrics(t.financials, t.prices, price)), "chosen": lambda: written(S.choose_plans(t.valueup_plan, as_of))})
+    with pool:
+        history, chosen = second["history"].result(), second["chosen"].result()
     facts = {
-        "metrics": lambda: M.reports_as_of(history, as_of).join(M.latest_price(t.prices), "corp_code", "full"),
+        "metrics": lambda: M.reports_as_of(history, as_of).join(price, "corp_code", "full"),
         "own_gap": lambda: X.lowest_gaps(M.plan_own_gap(t.valueup_plan, history)),
         "plans": lambda: X.plan_reasons(t.valueup_plan),
     }
-    with ThreadPoolExecutor(len(facts)) as pool:
-        jobs = [pool.submit(inheritable_thread_target(spark)(lambda n=n, f=f: put(n, f()))) for n, f in facts.items()]
-        done = run_scoring(t, out, as_of, metrics=history)
-        for j in jobs:
+    jobs, pool = beside({n: lambda n=n, f=f: put(n, f()) for n, f in facts.items()})
+    with pool:
+        done = run_scoring(t, out, as_of, metrics=history, chosen=chosen)
+        for j in jobs.values():
             j.result()
     return done
 

@@ -7,6 +7,7 @@ import zlib
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from pledgelens.operators import loads as L
@@ -98,6 +99,21 @@ def test_shuffles_of_the_scores(spark, sf):
     assert shuffles(registry.queries()["screening_page"](spark, sf)) < 15
 
 
+@pytest.mark.parametrize("name", ["score_batch"])
+def test_reports_are_derived_once(spark, sf, monkeypatch, name):
+    """Only one of all the tables that a query writes and returns is computed from the order lines."""
+    seen = []
+    for kind in ("parquet", "csv"):
+
+        def put(self, path, *a, plain=getattr(DataFrameWriter, kind), **k):
+            seen.append(self._df.inputFiles())
+            return plain(self, path, *a, **k)
+
+        monkeypatch.setattr(DataFrameWriter, kind, put)
+    seen.append(registry.queries()[name](spark, sf).inputFiles())
+    assert sum(any("lineitem.parquet" in f for f in files) for files in seen) == 1
+
+
 def test_callers_views_stay(spark, sf):
     names = ("customer", "orders", "lineitem", "ownership", "valueup_plan", "macro_indicator")
     for name in names:
