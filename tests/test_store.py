@@ -99,7 +99,7 @@ def test_shuffles_of_the_scores(spark, sf):
     assert shuffles(registry.queries()["screening_page"](spark, sf)) < 15
 
 
-@pytest.mark.parametrize("name", ["score_batch", "market_summary", "published_snapshot", "refreshed_company"])
+@pytest.mark.parametrize("name", ["score_batch", "market_summary", "published_snapshot", "refreshed_company", "investment_tags"])
 def test_reports_are_derived_once(spark, sf, monkeypatch, name):
     """Only one of all the tables that a query writes and returns is computed from the order lines."""
     seen = []
