@@ -9,10 +9,13 @@ all other successors. A context is kept if that distribution diverges from its p
 parameters (log-likelihood gain over half a log of its count for each successor). Each token is scored in the state
 of the longest kept suffix of what stands before it; a document starts after an end token.
 
-The tree is a Spark table and grows with the corpus. Chunks name their different n-grams by 64-bit hashes, these are
-counted by key, and each depth's edges are joined with those of the depth before (an edge's n-gram without its oldest
-token is an edge there). A chunk gets the edges and contexts of its own n-grams by key, as it gets its words' counts,
-and scores its tokens from the root down. An n-gram with a word rarer than `least` is not named.
+The tree is never whole anywhere. Texts are read once and cut into chunks, whose words are counted by key and come back as
+numbers; a chunk then sends each token, with up to `depth` tokens before it, to the bucket of its context's newest token.
+All longer contexts, their successors and these successors' shorter n-grams meet in that bucket, so it grows its subtree
+and scores its tokens alone; sums by document come back. A context with more than a third of a bucket of tokens is counted by
+successors across buckets first (`heavy_level`), and its tokens are dealt out by the next older token. Rows between these
+steps hold arrays as compressed byte planes. Tokens and contexts rarer than `least` are not sent further: nothing above
+them can be an edge.
 
 Edge cases: null and empty texts have the end token alone; rows with a null id are training rows; repeated rows count
 as often as they occur; without training rows every token is outside; an empty table gives an empty table.
@@ -20,185 +23,465 @@ as often as they occur; without training rows every token is outside; an empty t
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pledgelens.llm.common import LOWER, SPACE, RollingHash, by_value, materialise, mix, utf8, word_spans
+from pledgelens.llm.common import LOWER, SPACE, RollingHash, by_value, discard, materialise, mix, pack, slices, unpack, utf8, word_spans
 
 by_value(__name__)
 
-END = np.uint64(0xA24BAED4963EE407)  # the hash of the end token
+END = 1  # the number of the end token; 0: a token rarer than `least`, or none
+SHARE = 1 << 19  # tokens of a bucket that are scored at once
+TEXT, DOCS, TABLE = -1, -2, -3  # rows that are not a part's: a chunk's tokens, its documents; a heavy context's edges
 
 
 def coded_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The words of all rows, coded, and their rows."""
     low = LOWER[data]
     start, end, row = word_spans(low, offsets)
-    packed = np.ascontiguousarray(low[~SPACE[low]])
-    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(np.r_[0, np.cumsum(end - start)].astype(np.int64)), pa.py_buffer(packed)]).dictionary_encode(), row
-
+    return strings(end - start, low[~SPACE[low]]).dictionary_encode(), row
 
-def with_ends(values: np.ndarray, row: np.ndarray, rows: int, end) -> tuple[np.ndarray, np.ndarray]:
-    """One value for each token: those of the words, and `end` after each row's; with the tokens' rows."""
-    per = np.bincount(row, minlength=rows)
-    out = np.full(len(values) + rows, end, values.dtype)
-    inner = np.ones(len(out), bool)
-    inner[np.cumsum(per + 1) - 1] = False
-    out[inner] = values
-    return out, np.repeat(np.arange(rows), per + 1)
 
+def strings(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(np.r_[0, np.cumsum(lengths)].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
-def word_hashes(words: pa.DictionaryArray) -> np.ndarray:
-    data, offsets = utf8(words.dictionary)
-    return RollingHash(data).of(offsets[:-1], offsets[1:]) if len(words.dictionary) else np.zeros(0, np.uint64)
 
+def by_rank(lengths: list[int]) -> np.ndarray:
+    """Places in the parts' lists, one list after the other, in the order of rank in a list, then list."""
+    part = np.repeat(np.arange(len(lengths)), lengths)
+    rank = np.arange(len(part)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return np.lexsort((part, rank))
+
+
+def found(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys, -1 where they are not there."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys, a place of each, and sums of n."""
+    keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    return keys, first, np.bincount(which, n, len(keys)).astype(np.int64)
+
+
+@dataclass
+class Root:
+    """Shares at the root; `limit`: how often an n-gram occurs at least."""
+
+    n_all: int
+    v: int
+    outside: float
+    ends: int
+    limit: float
+
+    def q(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, (1 - self.outside) * np.maximum(c, 1) / max(1, self.n_all), self.outside)
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / (self.n_all + 0.5 * (self.v + 1)))
+
+
+@dataclass
+class Heavy:
+    """The heavy contexts of one length: place of the parent among those a token shorter << 32 | oldest token, sorted; how often
+    they occur, in training, and before no edge; whether kept."""
+
+    keys: np.ndarray
+    n: np.ndarray
+    total: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+
+    def q(self, h: np.ndarray, n: np.ndarray, below: np.ndarray) -> np.ndarray:
+        return np.where(self.kept[h], (n + self.rest[h] * below) / self.total[h], below)
+
+    def tail(self) -> np.ndarray:
+        return np.where(self.kept, np.log10(np.maximum(self.rest, 1e-9) / np.maximum(self.total, 1)), 0.0)
+
+
+class Chunk:
+    """A chunk's tokens as places in its dictionary (`ids`, `c`), each document after an end token of its own; `at`: those scored."""
+
+    def __init__(self, blob: bytes, root: Root):
+        gaps, c, tokens, per, held = unpack(blob)
+        self.ids = np.r_[0, END if root.ends >= root.limit else 0, np.cumsum(gaps)]
+        self.c = np.r_[0, root.ends, c]
+        first = np.cumsum(per + 2) - per - 2
+        self.token = np.full(int((per + 2).sum()), 1)
+        inner = np.ones(len(self.token), bool)
+        inner[first] = inner[first + per + 1] = False
+        self.token[inner] = np.where(tokens > 0, tokens + 1, 0)
+        self.place = np.arange(len(self.token)) - np.repeat(first, per + 2)
+        self.at = np.flatnonzero(self.place > 0)
+        self.doc = np.repeat(np.arange(len(per)), per + 2)[self.at]
+        self.train = held[self.doc] == 0
+
+    def before(self, depth: int) -> list[np.ndarray]:
+        """Tokens 1 to depth places before those scored; 0 from the first on that no context holds."""
+        out, on = [], self.ids[self.token[self.at]] >= 0
+        for d in range(1, depth + 1):
+            on = on & (self.place[self.at] >= d)
+            x = np.where(on, self.token[np.maximum(self.at - d, 0)], 0)
+            on = on & (self.ids[x] > 0)
+            out.append(np.where(on, x, 0))
+        return out
+
+
+def heavy_places(x: list[np.ndarray], heavy: list[Heavy]) -> list[np.ndarray]:
+    """For each length the place of the context x among the heavy ones, or -1."""
+    out = [np.zeros(len(x[0]), np.int64)]
+    for level, older in zip(heavy, x, strict=False):
+        out.append(np.where((out[-1] >= 0) & (older > 0), found(level.keys, out[-1] << 32 | older), -1))
+    return out[1:]
+
+
+def subtree_scores(w: np.ndarray, x: list[np.ndarray], q0: np.ndarray, train: np.ndarray, limit: float, heavy: list[Heavy], tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 of each token's probability over that at the root. w, x: tokens and those before them; all tokens of each context
+    that is not heavy are here; tables: of each length, heavy place << 32 | token, sorted, and the edges' probabilities."""
+    diff, q, sel, g = np.zeros(len(w)), np.where(w > 0, q0, np.nan), np.arange(len(w)), np.zeros(len(w), np.int64)
+    places = heavy_places(x, heavy)
+    for d, older in enumerate(x):
+        on = older[sel] > 0
+        sel, g = sel[on], g[on]
+        if not len(sel):
+            break
+        contexts, g = np.unique(g << 32 | older[sel], return_inverse=True)
+        total = np.bincount(g, train[sel], len(contexts))
+        place = np.full(len(contexts), -1)
+        if d < len(heavy):
+            place[g] = places[d][sel]
+        on = (total >= limit)[g] | (place >= 0)[g]
+        sel, g = sel[on], g[on]
+        likely = ~np.isnan(q[sel])
+        at, of = sel[likely], g[likely]
+        _, first, which = np.unique(of << 32 | w[at], return_index=True, return_inverse=True)
+        n, below, of = np.bincount(which, train[at], len(first)), q[at[first]], of[first]
+        edge = (n >= limit) & (place[of] < 0)
+        safe = np.maximum(total, 1)
+        rest = np.maximum(0, total - np.bincount(of[edge], n[edge], len(contexts)))
+        p = (n + rest[of] * below) / safe[of]
+        gain = np.bincount(of[edge], n[edge] * np.log(p[edge] / below[edge]), len(contexts)) + rest * np.log(np.maximum(rest, 1e-300) / safe)
+        many = np.bincount(of[edge], minlength=len(contexts))
+        kept = (many > 0) & (gain > 0.5 * many * np.log(total + 1))
+        tail = np.where(kept, np.log10(np.maximum(rest, 1e-9) / safe), 0.0)
+        now = np.where(edge, np.where(kept[of], p, below), np.nan)
+        if (place >= 0).any():
+            known = place[of] >= 0
+            at_table = found(tables[d][0], place[of[known]] << 32 | w[at[first[known]]])
+            now[known] = np.r_[tables[d][1], np.nan][at_table]
+            tail = np.where(place >= 0, heavy[d].tail()[np.maximum(place, 0)], tail)
+        new = np.full(len(sel), np.nan)
+        new[likely] = now[which]
+        diff[sel] = np.where(np.isnan(new), diff[sel] + tail[g], np.log10(new) - np.log10(q0[sel]))
+        q[sel] = new
+    return diff
+
+
+def targets(heavy: list[Heavy], ranges: list[tuple[np.ndarray, np.ndarray]], parts: int) -> list[list[np.ndarray]]:
+    """Buckets that tokens of each heavy context go to: its own, and those of heavy contexts that continue it."""
+    out = [[(a + np.arange(k)) % parts for a, k in zip(*r)] for r in ranges]
+    for d in range(len(heavy) - 1, 0, -1):
+        for mine, key in zip(out[d], heavy[d].keys):
+            out[d - 1][key >> 32] = np.union1d(out[d - 1][key >> 32], mine)
+    return out
+
+
+def heavy_level(chunks: DataFrame, root: Root, heavy: list[Heavy], below: DataFrame | None, parts: int, most: int) -> tuple[DataFrame, Heavy | None]:
+    """Counts the successors of the longest heavy contexts, dealt out by successor, and fills in heavy[-1]; the edges, and the
+    heavy contexts one token longer."""
+    d = len(heavy)
+
+    def entries(batches):
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                chunk = Chunk(blob, root)
+                x = [chunk.ids[y] for y in chunk.before(d + 1)]
+                place = heavy_places(x, heavy)[-1]
+                at = np.flatnonzero((place >= 0) & chunk.train)
+                key, first, n = summed(place[at] << 32 | chunk.ids[chunk.token[chunk.at[at]]], np.ones(len(at)))
+                c = chunk.c[chunk.token[chunk.at[at[first]]]]
+                at = np.flatnonzero((place >= 0) & (x[d] > 0))
+                child, _, m = summed(place[at] << 32 | x[d][at], np.ones(len(at)))
+                a, b = (key & 0xFFFFFFFF) % parts, (child & 0xFFFFFFFF) % parts
+                for p in np.union1d(a, b).tolist():
+                    yield pa.record_batch([pa.array([p]), pa.array([0]), pa.array([pack(*np.divmod(key[a == p], 2**32), n[a == p], c[a == p], *np.divmod(child[b == p], 2**32), m[b == p])], pa.binary())], ["part", "kind", "blob"])
 
-def grams(hashes: np.ndarray, row: np.ndarray, rows: int, depth: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of order 1 to depth + 1 that end at each token, the tokens' places in their rows and their rows.
-
-    hashes: those of the words. Each row is an end token, its words and an end token; an n-gram of order m is there from place m - 1 on.
+    def count(group: pa.Table) -> pa.Table:
+        kind = group.column("kind").to_numpy()
+        blobs = [unpack(x) for x in group.column("blob").to_pylist()]
+        h, w, n, c, hc, xc, m = (np.concatenate(y) for y in zip(*(x for x, k in zip(blobs, kind) if k == 0))) if (kind == 0).any() else [np.zeros(0, np.int64)] * 7
+        key, first, n = summed(h << 32 | w, n)
+        h, w, c = h[first], w[first], c[first]
+        every = np.bincount(h, n, len(heavy[-1].keys))
+        edge = (w > 0) & (n >= root.limit)
+        h, w, n, c = h[edge], w[edge], n[edge], c[edge]
+        q = root.q(c)
+        if d > 1:
+            ph, pw, pn, pb = (np.concatenate(y) for y in zip(*(x for x, k in zip(blobs, kind) if k == 1))) if len(h) else [np.zeros(0, np.int64)] * 4
+            order = np.argsort(pkey := ph << 32 | pw)
+            q = heavy[-2].q(ph, pn, pb)[order][found(pkey[order], (heavy[-1].keys[h] >> 32) << 32 | w)] if len(h) else q
+        child, _, m = summed(hc << 32 | xc, m)
+        of = np.flatnonzero(every)
+        rows = [(0, pack(h, w, n, q), None, None, None)] + [(1, None, int(i), int(every[i]), int(s)) for i, s in zip(of, np.bincount(h, n, len(every))[of])]
+        rows += [(2, None, int(k), int(s), None) for k, s in zip(child[m >= most], m[m >= most])]
+        return pa.table([pa.array([group.column("part")[0].as_py()] * len(rows)), *(pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), *[pa.int64()] * 3)))], names=["part", "kind", "blob", "h", "n", "edges"])
+
+    given = chunks.mapInArrow(entries, "part long, kind long, blob binary")
+    if below is not None:
+        given = given.unionByName(below.select("part", F.lit(1).cast("long").alias("kind"), "blob"))
+    counted = materialise(given.groupBy("part").applyInArrow(count, "part long, kind long, blob binary, h long, n long, edges long"))
+    top = heavy[-1]
+    total, edges = np.zeros(len(top.keys)), np.zeros(len(top.keys))
+    for r in counted.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n"), F.sum("edges").alias("edges")).collect():
+        total[r.h], edges[r.h] = r.n, r.edges
+    top.total, top.rest = total, np.maximum(0, total - edges)
+    top.kept = np.ones(len(top.keys), bool)
+    longer = sorted((r.h, r.n) for r in counted.where("kind = 2").select("h", "n").collect())
+    edges = counted.where("kind = 0").select("part", "blob")
+
+    def gains(batches):
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                h, _, n, q = unpack(blob)
+                gain, many = np.bincount(h, n * np.log(top.q(h, n, q) / q), len(total)).astype(float), np.bincount(h, minlength=len(total))
+                of = np.flatnonzero(many)
+                yield pa.record_batch([pa.array(of), pa.array(gain[of]), pa.array(many[of])], ["h", "gain", "many"])
+
+    kept = np.zeros(len(total), bool)
+    for r in edges.select("blob").mapInArrow(gains, "h long, gain double, many long").groupBy("h").agg(F.sum("gain").alias("gain"), F.sum("many").alias("many")).collect():
+        rest, n = top.rest[r.h], total[r.h]
+        kept[r.h] = r.gain + (rest * np.log(rest / n) if rest > 0 else 0) > 0.5 * r.many * np.log(n + 1)
+    top.kept = kept
+    return edges, Heavy(np.array([k for k, _ in longer]), np.array([n for _, n in longer])) if longer else None
+
+
+def score_texts(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text", least: float = 2, depth: int = 3, chunk_bytes: int = 8 << 20, bucket: int = 3 << 20) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows where held_out is true are not learned from.
+
+    bucket: about how many tokens are scored together.
     """
-    per = np.bincount(row, minlength=rows) + 2
-    first = np.cumsum(per) - per
-    token = np.full(int(per.sum()), END)
-    inner = np.ones(len(token), bool)
-    inner[first] = inner[first + per - 1] = False
-    token[inner] = hashes
-    place = np.arange(len(token)) - np.repeat(first, per)
-    out = [token]
-    for m in range(1, depth + 1):
-        older = np.r_[np.zeros(min(m, len(token)), np.uint64), token[:-m]]
-        out.append(mix(out[-1] * np.uint64(0x9E3779B97F4A7C15) + older + np.uint64(m)))
-    return out, place, np.repeat(np.arange(rows), per)
-
-
-def named_grams(order: list[np.ndarray], place: np.ndarray, train: np.ndarray, common: np.ndarray) -> dict[str, np.ndarray]:
-    """The different n-grams of common tokens: order, key, ctx (without the newest token), up (without the oldest) and training count."""
-    parts = {c: [] for c in ("m", "key", "ctx", "up", "n")}
-    good = common
-    for m, key in enumerate(order, 1):
-        if m > 1:
-            good = good & np.r_[np.zeros(min(m - 1, len(common)), bool), common[: 1 - m]]
-        at = np.flatnonzero(good & (place >= max(1, m - 1)))
-        key, where, which = np.unique(key[at], return_index=True, return_inverse=True)
-        last = at[where]
-        parts["m"].append(np.full(len(key), m, np.int32))
-        parts["key"].append(key.view(np.int64))
-        parts["ctx"].append(order[m - 2][last - 1].view(np.int64) if m > 1 else np.zeros(len(key), np.int64))
-        parts["up"].append(order[m - 2][last].view(np.int64) if m > 1 else np.zeros(len(key), np.int64))
-        parts["n"].append(np.bincount(which, train[at], len(key)).astype(np.int64))
-    return {c: np.concatenate(x) for c, x in parts.items()}
-
-
-def tree_log(order: list[np.ndarray], place: np.ndarray, own: np.ndarray, key: np.ndarray, edge: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """log10 probability of each token from place 1 on; own: that at the root. key, edge, tail: sorted n-grams, their log10
-    probabilities as edges and the log10 mass that goes to the parent as contexts, NaN where they are none."""
-    score = own.copy()
-    if not len(key):
-        return score
-
-    def find(x: np.ndarray, values: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(key, x), len(key) - 1)
-        return np.where(key[at] == x, values[at], np.nan)
-
-    for d in range(1, len(order)):
-        at = np.flatnonzero(place >= d)
-        e = find(order[d][at].view(np.int64), edge)
-        t = find(order[d - 1][at - 1].view(np.int64), tail)
-        score[at] = np.where(np.isnan(e), score[at] + np.nan_to_num(t), e)
-    return score
-
-
-def grow_tree(named: DataFrame, n_all: int, outside: float, least: float, depth: int) -> DataFrame:
-    """(key, edge, tail): log10 probabilities of the edges, and of the mass that kept contexts leave to their parents."""
-    counts = materialise(named.groupBy("m", "key").agg(F.sum("n").alias("n"), F.max("ctx").alias("ctx"), F.max("up").alias("up")).where(F.col("n") >= max(1, least)))
-    q = counts.where("m = 1").select("key", ((1 - outside) * F.col("n") / max(1, n_all)).alias("q"))
-    out = []
-    for d in range(1, depth + 1):
-        total = counts.where(F.col("m") == d).select(F.col("key").alias("ctx"), F.col("n").alias("total"))
-        edges = counts.where(F.col("m") == d + 1).select("key", "ctx", "up", "n").join(total, "ctx").join(q.select(F.col("key").alias("up"), F.col("q").alias("below")), "up")
-        context = Window.partitionBy("ctx")
-        edges = edges.withColumn("rest", F.greatest(F.lit(0), F.col("total") - F.sum("n").over(context)))
-        edges = edges.withColumn("p", (F.col("n") + F.col("rest") * F.col("below")) / F.col("total"))
-        gain = F.sum(F.col("n") * F.log(F.col("p") / F.col("below"))).over(context) + F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / F.col("total"))).otherwise(0.0)
-        edges = materialise(edges.withColumn("kept", gain > 0.5 * F.count("*").over(context) * F.log(F.col("total") + 1.0)).select("key", "ctx", F.when(F.col("kept"), F.col("p")).otherwise(F.col("below")).alias("q"), "kept", F.log10(F.greatest(F.col("rest"), F.lit(1e-9)) / F.col("total")).alias("tail")))
-        out += [edges.select("key", F.log10("q").alias("edge"), F.lit(None).cast("double").alias("tail")), edges.where("kept").groupBy(F.col("ctx").alias("key")).agg(F.lit(None).cast("double").alias("edge"), F.max("tail").alias("tail"))]
-        q = edges.select("key", "q")
-    table = out[0]
-    for x in out[1:]:
-        table = table.unionByName(x)
-    return table.groupBy("key").agg(F.max("edge").alias("edge"), F.max("tail").alias("tail"))
-
-
-def score_texts(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text", least: float = 2, depth: int = 3, chunk_bytes: int = 4 << 20) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows where held_out is true are not learned from."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).alias("body"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    seen = rows.agg(F.sum(F.octet_length("body")).alias("bytes"), F.count_if(~F.col("held")).alias("train")).first()
-    ends = seen.train
-    chunks = 1 + (seen.bytes or 0) // chunk_bytes
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "body"), F.lit(chunks)))
+    seen = rows.agg(F.sum(F.octet_length("body")).alias("bytes"), F.count("*").alias("rows"), F.count_if(~F.col("held")).alias("train")).first()
+    ends, limit, most = seen.train, max(1, least), max(1, bucket // 3)
+    lists = 1 + (seen.bytes or 0) // (2 * chunk_bytes)
+    schema = f"chunk long, part long, blob binary, ids array<{id_type}>"
+    names = ["chunk", "part", "blob", "ids"]
+
+    def cut(batches):
+        made = TaskContext.get().partitionId() << 32
+        for batch, data, offsets in slices(batches, "body", chunk_bytes):
+            words, row = coded_words(data, offsets)
+            index, size = np.asarray(words.indices), len(words.dictionary)
+            held = np.asarray(batch.column(batch.schema.get_field_index("held")))
+            n, every = np.bincount(index[~held[row]], minlength=size), np.bincount(index, minlength=size)
+            text, at = utf8(words.dictionary)
+            part = (RollingHash(text).of(at[:-1], at[1:]) % np.uint64(lists)).astype(np.int64) if size else np.zeros(0, np.int64)
+            order = np.lexsort((-every, part))
+            ends_at = np.searchsorted(part[order], np.arange(lists + 1))
+            number = np.empty(size, np.int64)
+            number[order[by_rank(np.diff(ends_at))]] = np.arange(size)
+            blobs = [pack(number[index], np.bincount(row, minlength=batch.num_rows), held.astype(np.uint8))]
+            parts = [TEXT]
+            for p, (a, b) in enumerate(zip(ends_at[:-1], ends_at[1:])):
+                if a < b:
+                    data, at = utf8(words.dictionary.take(pa.array(order[a:b])))
+                    blobs.append(pack(np.diff(at), data, n[order[a:b]], every[order[a:b]]))
+                    parts.append(p)
+            ids = batch.column(batch.schema.get_field_index("id"))
+            lists_of = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(parts), pa.int32()), ids)
+            yield pa.record_batch([pa.array([made] * len(parts)), pa.array(parts), pa.array(blobs, pa.binary()), lists_of], names)
+            made += 1
 
     def count(group: pa.Table) -> pa.Table:
-        data, offsets = utf8(group.column("body"))
-        words, row = coded_words(data, offsets)
-        held = np.asarray(group.column("held").combine_chunks())
-        n = np.bincount(np.asarray(words.indices)[~held[row]], minlength=len(words.dictionary))
-        return pa.table({"chunk": pa.array(np.full(len(n), group.column("chunk")[0].as_py())), "word": words.dictionary.cast(pa.string()), "n": pa.array(n)})
-
-    found = materialise(dealt.groupBy("chunk").applyInArrow(count, "chunk long, word string, n long"))
-    total = materialise(found.groupBy("word").agg(F.sum("n").alias("c")))
-    known = total.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
-    n_all, v = (known.n or 0) + ends, known.v + (ends > 0)
-    outside = (known.once + 0.5) / (n_all + 1)
-    back = found.select("chunk", "word").join(total, "word").select("chunk", "word", "c")
-
-    def read(group: pa.Table, counts: pa.Table):
-        """Counts of the words, and the n-grams of the padded rows."""
-        data, offsets = utf8(group.column("body"))
-        words, row = coded_words(data, offsets)
-        where = pc.index_in(words.dictionary, counts.column("word").combine_chunks().cast(pa.large_string()))
-        index = np.asarray(words.indices)
-        c = np.asarray(counts.column("c").combine_chunks())[np.asarray(where)][index] if len(words) else np.zeros(0, np.int64)
-        return c, row, *grams(word_hashes(words)[index], row, group.num_rows, depth)
-
-    def name(group: pa.Table, counts: pa.Table) -> pa.Table:
-        if not group.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in zip(("chunk", "m", "key", "ctx", "up", "n"), (pa.int64(), pa.int32(), *[pa.int64()] * 4))})
-        c, row, order, place, owner = read(group, counts)
-        held = np.asarray(group.column("held").combine_chunks())
-        common = np.full(len(place), ends >= least)
-        inner = np.ones(len(place), bool)
-        inner[place == 0] = False
-        inner[np.r_[place[1:] == 0, True]] = False
-        common[inner] = c >= least
-        got = named_grams(order, place, ~held[owner], common)
-        return pa.table({"chunk": pa.array(np.full(len(got["key"]), group.column("chunk")[0].as_py())), **{k: pa.array(x) for k, x in got.items()}})
-
-    named = materialise(dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(name, "chunk long, m int, key long, ctx long, up long, n long"))
-    tree = grow_tree(named, n_all, outside, least, depth)
-    parts = named.select("chunk", "key").join(tree, "key").select("chunk", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("c"), "key", "edge", "tail")
-    lists = back.select("chunk", "word", "c", *(F.lit(None).cast(t).alias(x) for x, t in (("key", "long"), ("edge", "double"), ("tail", "double")))).unionByName(parts)
-
-    def finish(group: pa.Table, counts: pa.Table) -> pa.Table:
-        if not group.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in zip(names, (group.schema.field("id").type, pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2))})
-        nodes = counts.filter(pc.is_valid(counts.column("key")))
-        c, row, order, place, _ = read(group, counts.filter(pc.is_valid(counts.column("word"))))
-        rows = group.num_rows
-        c, owner = with_ends(c, row, rows, ends)
-        base = np.log10((c + 0.5) / (n_all + 0.5 * (v + 1)))
-        own = np.zeros(len(place))
-        own[place > 0] = np.where(c > 0, np.log10((1 - outside) * np.maximum(c, 1) / max(1, n_all)), np.log10(outside))
-        key, edge, tail = (nodes.column(x).to_numpy() for x in ("key", "edge", "tail"))
-        at = np.argsort(key)
-        score = tree_log(order, place, own, key[at], edge[at], tail[at])[place > 0]
-        per = [pa.array(x) for x in (np.bincount(owner, minlength=rows), np.bincount(owner, c > 0, rows).astype(np.int64), np.full(rows, n_all, np.int64), np.bincount(owner, base, rows), np.bincount(owner, score, rows))]
-        return pa.table([group.column("id"), group.column("held"), *per], names=names)
-
-    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(lists.groupBy("chunk")).applyInArrow(finish, schema).withColumnRenamed("id", id_col)
+        p = group.column("part")[0].as_py()
+        blobs = [unpack(x) for x in group.column("blob").to_pylist()]
+        coded = pa.concat_arrays([strings(x[0], x[1]) for x in blobs]).dictionary_encode()
+        index = np.asarray(coded.indices)
+        n, every = (np.bincount(index, np.concatenate([x[k] for x in blobs]), len(coded.dictionary)).astype(np.int64) for k in (2, 3))
+        ids = np.empty(len(n), np.int64)
+        ids[np.argsort(-n, kind="stable")] = 2 + p + lists * np.arange(len(n))
+        ids[n < limit] = 0
+        often = (every >= most) & (ids > 0)
+        at = np.r_[0, np.cumsum([len(x[0]) for x in blobs])]
+        out = [pack(ids[i], n[i]) for i in (index[a:b] for a, b in zip(at[:-1], at[1:]))]
+        out.append(pack(np.array([n.sum(), (n > 0).sum(), (n == 1).sum(), every.sum()]), ids[often], every[often]))
+        return pa.table({"chunk": pa.array([*group.column("chunk").to_pylist(), -1]), "part": pa.array([p] * len(out)), "blob": pa.array(out, pa.binary())})
+
+    first = materialise(rows.mapInArrow(cut, schema))
+    counts = materialise(first.where(F.col("part") >= 0).select("chunk", "part", "blob").groupBy("part").applyInArrow(count, "chunk long, part long, blob binary"))
+    known = [unpack(r.blob) for r in counts.where("chunk < 0").select("blob").collect()]
+    n_words, v, once, every = (int(sum(x[0][k] for x in known)) for k in range(4))
+    n_all = n_words + ends
+    root = Root(n_all, v + (ends > 0), (once + 0.5) / (n_all + 1), ends, limit)
+    parts = 1 + (every + seen.rows) // bucket
+
+    def number(group: pa.Table) -> pa.Table:
+        """A chunk's tokens by their numbers, and its documents' root scores."""
+        which = group.column("part").to_numpy()
+        mine = int(np.flatnonzero(which == TEXT)[0])
+        blobs = group.column("blob").to_pylist()
+        tokens, per, held = unpack(blobs[mine])
+        lengths, got = np.zeros(lists, np.int64), {}
+        for p, blob in zip(which, blobs):
+            if p >= 0:
+                got[int(p)] = unpack(blob)
+                lengths[p] = len(got[int(p)][0])
+        ids, c = (np.concatenate([np.zeros(0, np.int64), *(got[p][k] for p in sorted(got))])[by_rank(lengths)] for k in (0, 1))
+        doc, of = np.repeat(np.arange(len(per)), per), c[tokens]
+        sums = [np.bincount(doc, f, len(per)) + end for f, end in ((of > 0, ends > 0), (root.base(of), root.base(np.array(ends))), (np.log10(root.q(of)), np.log10(root.q(np.array(ends)))))]
+        order = np.argsort(ids, kind="stable")[np.count_nonzero(ids == 0) :]
+        place = np.zeros(len(ids), np.int64)
+        place[order] = np.arange(1, len(order) + 1)
+        out = [pack(np.diff(ids[order], prepend=0), c[order], place[tokens], per, held.astype(np.uint8)), pack(per + 1, held.astype(np.uint8), sums[0].astype(np.int64), sums[1], sums[2])]
+        ids = group.column("ids").slice(mine, 1).combine_chunks()
+        return pa.table({"chunk": pa.array([group.column("chunk")[0].as_py()] * 2), "part": pa.array([TEXT, DOCS]), "blob": pa.array(out, pa.binary()), "ids": pa.concat_arrays([pa.nulls(1, ids.type), ids])})
+
+    texts = first.where(F.col("part") == TEXT).unionByName(counts.where("chunk >= 0"), allowMissingColumns=True)
+    numbered = materialise(texts.groupBy("chunk").applyInArrow(number, schema))
+    discard(first, counts)
+    chunks = numbered.where(F.col("part") == TEXT).select("blob", "chunk")
+
+    often = sorted(zip(*(np.concatenate([x[k] for x in known]).tolist() for k in (1, 2)))) if known else []
+    if ends >= limit and seen.rows >= most:
+        often.insert(0, (END, seen.rows))
+    heavy, edges = [], []
+    more = Heavy(np.array([i for i, _ in often]), np.array([n for _, n in often])) if often else None
+    while more is not None and len(heavy) < depth:
+        heavy.append(more)
+        below, more = heavy_level(chunks.select("blob"), root, heavy, edges[-1] if edges else None, parts, most)
+        edges.append(below)
+
+    def hashes(x: list[np.ndarray]) -> list[np.ndarray]:
+        out = [np.zeros(len(x[0]), np.uint64)]
+        for d, older in enumerate(x, 1):
+            out.append(mix(out[-1] * np.uint64(0x9E3779B97F4A7C15) + older.astype(np.uint64) + np.uint64(d)))
+        return out[1:]
+
+    def apart(x: list[np.ndarray], by: list[np.ndarray]) -> np.ndarray:
+        """A hash of the shortest context that is not heavy, with which all that it decides stays together; any where all are heavy."""
+        out = by[0].copy()
+        for d, place in enumerate(heavy_places(x, heavy), 1):
+            here = np.flatnonzero(place >= 0)
+            out[here] = np.where(x[d][here] > 0, by[d][here], mix(here.astype(np.uint64))) if d < depth else mix(here.astype(np.uint64))
+        return out
+
+    ranges: list[tuple[np.ndarray, np.ndarray]] = []  # of the heavy contexts: first bucket, buckets
+    for d, level in enumerate(heavy):
+        chain = [level.keys]
+        for up in reversed(heavy[:d]):
+            chain.append(up.keys[chain[-1] >> 32])
+        ranges.append(((hashes([k & 0xFFFFFFFF for k in reversed(chain)])[-1] % np.uint64(parts)).astype(np.int64), np.minimum(parts, -(-level.n // most))))
+
+    def send(batches):
+        for batch in batches:
+            for blob, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                chunk = Chunk(blob, root)
+                x = chunk.before(depth)
+                at = np.flatnonzero(x[0] > 0)
+                x = [y[at] for y in x]
+                if not len(at):
+                    continue
+                ids = [chunk.ids[y] for y in x]
+                by = hashes(ids)
+                to, own = (by[0] % np.uint64(parts)).astype(np.int64), apart(ids, by)
+                for d, place in enumerate(heavy_places(ids, heavy)):
+                    here = np.flatnonzero(place >= 0)
+                    start, wide = (r[place[here]] for r in ranges[d])
+                    to[here] = (start + ((own[here] >> np.uint64(24)) % wide.astype(np.uint64)).astype(np.int64)) % parts
+                order = np.argsort(to, kind="stable")
+                w = np.where(chunk.ids[chunk.token[chunk.at[at]]] > 0, chunk.token[chunk.at[at]], 0)
+                cuts = np.searchsorted(to[order], np.arange(parts + 1))
+                place, seen_here = np.zeros(len(chunk.ids), np.int64), np.zeros(len(chunk.ids), bool)
+                blobs, filled = [], np.flatnonzero(np.diff(cuts))
+                for p in filled:
+                    i = order[cuts[p] : cuts[p + 1]]
+                    columns = [w[i], *(y[i] for y in x)]
+                    seen_here[:] = False
+                    for y in columns:
+                        seen_here[y] = True
+                    words = np.flatnonzero(seen_here)
+                    place[words] = np.arange(len(words))
+                    blobs.append(pack(np.diff(chunk.ids[words], prepend=0), chunk.c[words], np.diff(chunk.doc[at[i]], prepend=0), chunk.train[at[i]].astype(np.uint8), *(place[y] for y in columns)))
+                yield pa.record_batch([pa.array(filled), pa.array([name] * len(blobs)), pa.array(blobs, pa.binary())], ["part", "chunk", "blob"])
+
+    def grow(group: pa.Table) -> pa.Table:
+        names = group.column("chunk").to_numpy()
+        blobs = group.column("blob").to_pylist()
+        given = [unpack(x) for x, k in zip(blobs, names) if k == TABLE]
+        tables = []
+        for d in range(len(heavy)):
+            mine = [x for x in given if x[0][0] == d]
+            key, q = (np.concatenate(y) for y in zip(*((x[1] << 32 | x[2], x[3]) for x in mine))) if mine else (np.zeros(0, np.int64), np.zeros(0))
+            order = np.argsort(key)
+            tables.append((key[order], q[order]))
+        del given
+        names, blobs = names[names != TABLE], [x for x, k in zip(blobs, names) if k != TABLE]
+        if not blobs:
+            return pa.table({"chunk": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+        read = []
+        while blobs:
+            gaps, count, steps, flag, *columns = unpack(blobs.pop())
+            ids = np.cumsum(gaps).astype(np.uint32)
+            read.append((np.cumsum(steps).astype(np.uint32), flag.astype(bool), count[columns[0]].astype(np.min_scalar_type(int(count.max()))), *(ids[y] for y in columns)))
+        read.reverse()
+        shares = 1 + sum(len(x[0]) for x in read) // SHARE
+        share, diff = [], [np.zeros(len(x[0])) for x in read]
+        for _, _, _, _, *x in read:
+            x = [y.astype(np.int64) for y in x]
+            share.append(((apart(x, hashes(x)) >> np.uint64(40)) % np.uint64(shares)).astype(np.min_scalar_type(shares)))
+        for k in range(shares):
+            at = [np.flatnonzero(y == k) for y in share]
+            train, c, w, *x = (np.concatenate([y[j][i] for y, i in zip(read, at)]) for j in range(1, len(read[0])))
+            got = subtree_scores(w.astype(np.int64), [y.astype(np.int64) for y in x], root.q(c), train, limit, heavy, tables)
+            for y, i, z in zip(diff, at, np.split(got, np.cumsum([len(i) for i in at])[:-1])):
+                y[i] = z
+        out = []
+        for d, (doc, *_) in zip(diff, read):
+            new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            out.append(pack(np.diff(doc[new].astype(np.int64), prepend=0), np.add.reduceat(d, new)))
+        return pa.table({"chunk": pa.array(names), "part": pa.array([group.column("part")[0].as_py()] * len(out)), "blob": pa.array(out, pa.binary())})
+
+    sent = chunks.mapInArrow(send, "part long, chunk long, blob binary")
+    where = targets(heavy, ranges, parts)
+    for d, level in enumerate(edges):
+
+        def deal(batches, d=d):
+            to = np.concatenate(where[d])
+            order = np.argsort(to, kind="stable")
+            of = np.repeat(np.arange(len(where[d])), [len(x) for x in where[d]])[order]
+            cuts = np.searchsorted(to[order], np.arange(parts + 1))
+            for batch in batches:
+                for blob in batch.column(0).to_pylist():
+                    h, w, n, below = unpack(blob)
+                    q = heavy[d].q(h, n, below)
+                    for p in np.flatnonzero(np.diff(cuts)):
+                        i = np.flatnonzero(np.isin(h, of[cuts[p] : cuts[p + 1]]))
+                        if len(i):
+                            yield pa.record_batch([pa.array([int(p)]), pa.array([TABLE]), pa.array([pack(np.full(len(i), d), h[i], w[i], q[i])], pa.binary())], ["part", "chunk", "blob"])
+
+        sent = sent.unionByName(level.select("blob").mapInArrow(deal, "part long, chunk long, blob binary"))
+    sums = sent.groupBy("part").applyInArrow(grow, "chunk long, part long, blob binary")
+
+    def finish(group: pa.Table) -> pa.Table:
+        which = group.column("part").to_numpy()
+        mine = int(np.flatnonzero(which == DOCS)[0])
+        blobs = [unpack(x) for x in group.column("blob").to_pylist()]
+        tokens, held, n_known, base, score = blobs[mine]
+        score = score.copy()
+        for p, blob in sorted(((p, x) for p, x in zip(which.tolist(), blobs) if p >= 0), key=lambda x: x[0]):
+            score[np.cumsum(blob[0])] += blob[1]
+        ids = group.column("ids").slice(mine, 1).combine_chunks().flatten()
+        return pa.table([ids, pa.array(held.astype(bool)), *(pa.array(x) for x in (tokens, n_known, np.full(len(tokens), n_all), base, score))], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    result = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    back = numbered.where(F.col("part") == DOCS).unionByName(sums, allowMissingColumns=True)
+    return back.groupBy("chunk").applyInArrow(finish, result).withColumnRenamed("id", id_col)

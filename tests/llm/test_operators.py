@@ -15,9 +15,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pledgelens.llm import registry
+from pledgelens.llm import common, registry, suffix_tree
 from pledgelens.llm.chat import canonical_turns, format_chat, gather_records, loss_text_sql, parse_chat
-from pledgelens.llm.common import utf8, word_spans
+from pledgelens.llm.common import pack, unpack, utf8, word_spans
 from pledgelens.llm.edit_walk import LETTERS, OVER, PERIOD, _moves, _octave, compare_next, edit_distance, edit_near_pairs, edited, likeness, text_slices, walk
 from pledgelens.llm.minhash import dart_signatures, keep_one, near_duplicates
 from pledgelens.llm.mixing import add_posteriors, add_rates, fit_domains, fit_rates, keep_by_rate, label_domains
@@ -145,6 +145,43 @@ def test_tree_scores_against_brute_force(spark):
         assert np.allclose([s for _, s in have], [s for _, s in want], atol=1e-5)
 
 
+def test_heavy_contexts_against_brute_force(spark):
+    """Buckets of 40 tokens: single words, pairs and triples are spread over several, and counted across them first."""
+    rnd = random.Random(5)
+    line = [" ".join(f"u{rnd.randrange(9)}" for _ in range(6)) for _ in range(5)]
+    rows = ODD + [(i + 10, " ".join(rnd.choice([rnd.choice(line), "the cat sat on", "the cat ran", f"w{rnd.randrange(300)}"]) for _ in range(rnd.randrange(20)))) for i in range(60)]
+    tok = lambda x: [None, *(x or "").lower().split(), None]
+    prob, kept = brute_tree([tok(x) for i, x in rows if i is None or i % 5], 2, 3)
+    want = sorted((str(i), round(sum(math.log10(prob(tuple(tok(x)[max(0, k - 3) : k]), tok(x)[k])) for k in range(1, len(tok(x)))), 6)) for i, x in rows)
+    whole, levels, count = {}, [], suffix_tree.heavy_level
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suffix_tree, "heavy_level", lambda chunks, root, heavy, *a: (levels.append((len(heavy), len(heavy[-1].keys))), count(chunks, root, heavy, *a))[1])
+        for bucket in (40, 3 << 20):
+            m.setattr(suffix_tree, "SHARE", bucket)
+            whole[bucket] = sorted((str(r.doc_id), r.score) for r in score_texts(spark.createDataFrame(rows, DOC), F.col("doc_id") % 5 == 0, chunk_bytes=3000, bucket=bucket).collect())
+    assert [d for d, _ in levels] == [1, 2, 3] and min(n for _, n in levels) > 1
+    for have in whole.values():
+        assert [i for i, _ in have] == [i for i, _ in want]
+        assert np.allclose([s for _, s in have], [s for _, s in want], atol=1e-5)
+
+
+def test_the_tree_needs_little_disk(spark, tmp_path, monkeypatch):
+    """Every table that is written on the way, with none deleted meanwhile."""
+    rnd = random.Random(6)
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(300))) for i in range(2000)]
+    monkeypatch.setattr(common, "scratch_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(suffix_tree, "discard", lambda *_: None, raising=False)
+    assert score_texts(spark.createDataFrame(rows, DOC), F.col("doc_id") % 5 == 0).count() == 2000
+    assert 0 < sum(x.stat().st_size for x in tmp_path.rglob("*.parquet")) < 1.5 * sum(len(t) for _, t in rows)
+
+
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(7)
+    arrays = [np.zeros(0, np.int64), np.zeros(5, np.int64), rng.integers(0, 2**40, 1000), rng.integers(0, 256, 99).astype(np.uint8), np.r_[rng.normal(size=100), np.nan, -0.0], np.array([2**62])]
+    back = unpack(pack(*arrays))
+    assert all(np.array_equal(a, b, equal_nan=a.dtype.kind == "f") for a, b in zip(arrays, back, strict=True))
+
+
 # ---- pieces ----
 
 
