@@ -31,24 +31,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pledgelens.llm.common import LOWER, SPACE, RollingHash, by_value, discard, materialise, mix, pack, slices, unpack, utf8, word_spans
+from pledgelens.llm.common import LOWER, SPACE, RollingHash, by_value, discard, materialise, mix, pack, packed_lengths, slices, unpack, utf8, word_spans
 
 by_value(__name__)
 
 END = 1  # the number of the end token; 0: a token rarer than `least`, or none
-SHARE = 1 << 19  # tokens of a bucket that are scored at once
+SHARE = 1 << 17  # tokens of a chunk, and about as many of a bucket, that are worked on at once
+PIECE = 1 << 20  # bytes of texts that are cut into words at once
 TEXT, DOCS, TABLE = -1, -2, -3  # rows that are not a part's: a chunk's tokens, its documents; a heavy context's edges
 
 
 def coded_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The words of all rows, coded, and their rows."""
-    low = LOWER[data]
-    start, end, row = word_spans(low, offsets)
-    return strings(end - start, low[~SPACE[low]]).dictionary_encode(), row
+    """The words of all rows, coded, and how many each row has."""
+    lengths, kept, per, at = [], [], [], 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
+        low = LOWER[data[offsets[at] : offsets[to]]]
+        start, end, row = word_spans(low, offsets[at : to + 1] - offsets[at])
+        lengths.append((end - start).astype(np.int32))
+        kept.append(low[~SPACE[low]])
+        per.append(np.bincount(row, minlength=to - at))
+        at = to
+    return strings(np.concatenate(lengths), np.concatenate(kept)).dictionary_encode(), np.concatenate(per)
 
 
 def strings(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(np.r_[0, np.cumsum(lengths)].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    at = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=at[1:])
+    return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def by_rank(lengths: list[int]) -> np.ndarray:
@@ -66,6 +76,20 @@ def found(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys, a place of each, and which of them each key is; in half the memory of np.unique."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    keys = keys[new]
+    number = np.cumsum(new, dtype=np.int32)
+    number -= 1
+    which = np.empty(len(order), np.int32)
+    which[order] = number
+    return keys, order[new], which
+
+
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different keys, a place of each, and sums of n."""
     keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
@@ -108,31 +132,48 @@ class Heavy:
 
 
 class Chunk:
-    """A chunk's tokens as places in its dictionary (`ids`, `c`), each document after an end token of its own; `at`: those scored."""
+    """A chunk's tokens as places in its dictionary (`ids`, `c`), each document after an end token of its own; `back`: how many tokens
+    of its document stand before each, up to `depth`, none before those that are not scored."""
 
-    def __init__(self, blob: bytes, root: Root):
+    def __init__(self, blob: bytes, root: Root, depth: int):
         gaps, c, tokens, per, held = unpack(blob)
         self.ids = np.r_[0, END if root.ends >= root.limit else 0, np.cumsum(gaps)]
         self.c = np.r_[0, root.ends, c]
-        first = np.cumsum(per + 2) - per - 2
-        self.token = np.full(int((per + 2).sum()), 1)
+        self.depth = depth
+        wide = per + 2
+        first = np.cumsum(wide) - wide
+        self.token = np.full(int(wide.sum()), 1, np.int32)
         inner = np.ones(len(self.token), bool)
         inner[first] = inner[first + per + 1] = False
         self.token[inner] = np.where(tokens > 0, tokens + 1, 0)
-        self.place = np.arange(len(self.token)) - np.repeat(first, per + 2)
-        self.at = np.flatnonzero(self.place > 0)
-        self.doc = np.repeat(np.arange(len(per)), per + 2)[self.at]
-        self.train = held[self.doc] == 0
-
-    def before(self, depth: int) -> list[np.ndarray]:
-        """Tokens 1 to depth places before those scored; 0 from the first on that no context holds."""
-        out, on = [], self.ids[self.token[self.at]] >= 0
-        for d in range(1, depth + 1):
-            on = on & (self.place[self.at] >= d)
-            x = np.where(on, self.token[np.maximum(self.at - d, 0)], 0)
-            on = on & (self.ids[x] > 0)
-            out.append(np.where(on, x, 0))
-        return out
+        del gaps, c, tokens, inner
+        place = np.arange(len(self.token), dtype=np.int32)
+        place -= np.repeat(first.astype(np.int32), wide)
+        self.back = np.minimum(place, depth, out=place).astype(np.min_scalar_type(depth))
+        self.doc = np.repeat(np.arange(len(per), dtype=np.int32), wide)
+        self.train = held == 0
+
+    def before(self, at: np.ndarray, d: int, used: np.ndarray) -> np.ndarray:
+        """The token d places before each; 0 where the context is shorter."""
+        return np.where(used >= d, self.token[np.maximum(at - d, 0)], 0)
+
+    def known(self, at: np.ndarray) -> np.ndarray:
+        token = self.token[at]
+        return np.where(self.ids[token] > 0, token, 0)
+
+    def shares(self):
+        """Places of scored tokens, a share after the other, each with its context's length and the numbers of the tokens 1 to
+        `depth` places before it; 0 from the first on that no context holds."""
+        for a in range(0, len(self.token), SHARE):
+            at = a + np.flatnonzero(self.back[a : a + SHARE])
+            used, x = np.full(len(at), self.depth), []
+            for d in range(1, self.depth + 1):
+                used = np.minimum(used, self.back[at])
+                number = self.ids[self.before(at, d, used)]
+                used = np.where(number > 0, used, np.minimum(used, d - 1))
+                x.append(number)
+            if len(at):
+                yield at, used, x
 
 
 def heavy_places(x: list[np.ndarray], heavy: list[Heavy]) -> list[np.ndarray]:
@@ -146,24 +187,25 @@ def heavy_places(x: list[np.ndarray], heavy: list[Heavy]) -> list[np.ndarray]:
 def subtree_scores(w: np.ndarray, x: list[np.ndarray], q0: np.ndarray, train: np.ndarray, limit: float, heavy: list[Heavy], tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """log10 of each token's probability over that at the root. w, x: tokens and those before them; all tokens of each context
     that is not heavy are here; tables: of each length, heavy place << 32 | token, sorted, and the edges' probabilities."""
-    diff, q, sel, g = np.zeros(len(w)), np.where(w > 0, q0, np.nan), np.arange(len(w)), np.zeros(len(w), np.int64)
-    places = heavy_places(x, heavy)
+    diff, q, sel, g = np.zeros(len(w)), np.where(w > 0, q0, np.nan), np.arange(len(w), dtype=np.int32), np.zeros(len(w), np.int32)
+    place = np.zeros(1, np.int64)
     for d, older in enumerate(x):
         on = older[sel] > 0
         sel, g = sel[on], g[on]
         if not len(sel):
             break
-        contexts, g = np.unique(g << 32 | older[sel], return_inverse=True)
+        contexts, _, g = grouped(g.astype(np.int64) << 32 | older[sel])
+        up = place[contexts >> 32]
+        place = np.where(up >= 0, found(heavy[d].keys, up << 32 | contexts & 0xFFFFFFFF), -1) if d < len(heavy) else np.full(len(contexts), -1)
         total = np.bincount(g, train[sel], len(contexts))
-        place = np.full(len(contexts), -1)
-        if d < len(heavy):
-            place[g] = places[d][sel]
-        on = (total >= limit)[g] | (place >= 0)[g]
+        on = ((total >= limit) | (place >= 0))[g]
         sel, g = sel[on], g[on]
         likely = ~np.isnan(q[sel])
         at, of = sel[likely], g[likely]
-        _, first, which = np.unique(of << 32 | w[at], return_index=True, return_inverse=True)
-        n, below, of = np.bincount(which, train[at], len(first)), q[at[first]], of[first]
+        _, first, which = grouped(of.astype(np.int64) << 32 | w[at])
+        n, first, of = np.bincount(which, train[at], len(first)), at[first], of[first]
+        below = q[first]
+        del at
         edge = (n >= limit) & (place[of] < 0)
         safe = np.maximum(total, 1)
         rest = np.maximum(0, total - np.bincount(of[edge], n[edge], len(contexts)))
@@ -175,7 +217,7 @@ def subtree_scores(w: np.ndarray, x: list[np.ndarray], q0: np.ndarray, train: np
         now = np.where(edge, np.where(kept[of], p, below), np.nan)
         if (place >= 0).any():
             known = place[of] >= 0
-            at_table = found(tables[d][0], place[of[known]] << 32 | w[at[first[known]]])
+            at_table = found(tables[d][0], place[of[known]] << 32 | w[first[known]])
             now[known] = np.r_[tables[d][1], np.nan][at_table]
             tail = np.where(place >= 0, heavy[d].tail()[np.maximum(place, 0)], tail)
         new = np.full(len(sel), np.nan)
@@ -202,14 +244,23 @@ def heavy_level(chunks: DataFrame, root: Root, heavy: list[Heavy], below: DataFr
     def entries(batches):
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                chunk = Chunk(blob, root)
-                x = [chunk.ids[y] for y in chunk.before(d + 1)]
-                place = heavy_places(x, heavy)[-1]
-                at = np.flatnonzero((place >= 0) & chunk.train)
-                key, first, n = summed(place[at] << 32 | chunk.ids[chunk.token[chunk.at[at]]], np.ones(len(at)))
-                c = chunk.c[chunk.token[chunk.at[at[first]]]]
-                at = np.flatnonzero((place >= 0) & (x[d] > 0))
-                child, _, m = summed(place[at] << 32 | x[d][at], np.ones(len(at)))
+                chunk, pairs, children = Chunk(blob, root, d + 1), [], []
+                for at, _, x in chunk.shares():
+                    place = heavy_places(x, heavy)[-1]
+                    on = np.flatnonzero((place >= 0) & chunk.train[chunk.doc[at]])
+                    token = chunk.token[at[on]]
+                    key, first, n = summed(place[on] << 32 | chunk.ids[token], np.ones(len(on)))
+                    pairs.append((key, n, chunk.c[token[first]]))
+                    on = np.flatnonzero((place >= 0) & (x[d] > 0))
+                    child, _, m = summed(place[on] << 32 | x[d][on], np.ones(len(on)))
+                    children.append((child, m))
+                if not pairs:
+                    continue
+                key, n, c = (np.concatenate(y) for y in zip(*pairs))
+                key, first, n = summed(key, n)
+                c = c[first]
+                child, m = (np.concatenate(y) for y in zip(*children))
+                child, _, m = summed(child, m)
                 a, b = (key & 0xFFFFFFFF) % parts, (child & 0xFFFFFFFF) % parts
                 for p in np.union1d(a, b).tolist():
                     yield pa.record_batch([pa.array([p]), pa.array([0]), pa.array([pack(*np.divmod(key[a == p], 2**32), n[a == p], c[a == p], *np.divmod(child[b == p], 2**32), m[b == p])], pa.binary())], ["part", "kind", "blob"])
@@ -263,7 +314,7 @@ def heavy_level(chunks: DataFrame, root: Root, heavy: list[Heavy], below: DataFr
     return edges, Heavy(np.array([k for k, _ in longer]), np.array([n for _, n in longer])) if longer else None
 
 
-def score_texts(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text", least: float = 2, depth: int = 3, chunk_bytes: int = 8 << 20, bucket: int = 3 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text", least: float = 2, depth: int = 3, chunk_bytes: int = 8 << 20, bucket: int = 2 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows where held_out is true are not learned from.
 
     bucket: about how many tokens are scored together.
@@ -279,17 +330,17 @@ def score_texts(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col:
     def cut(batches):
         made = TaskContext.get().partitionId() << 32
         for batch, data, offsets in slices(batches, "body", chunk_bytes):
-            words, row = coded_words(data, offsets)
+            words, per = coded_words(data, offsets)
             index, size = np.asarray(words.indices), len(words.dictionary)
             held = np.asarray(batch.column(batch.schema.get_field_index("held")))
-            n, every = np.bincount(index[~held[row]], minlength=size), np.bincount(index, minlength=size)
+            n, every = np.bincount(index[np.repeat(~held, per)], minlength=size), np.bincount(index, minlength=size)
             text, at = utf8(words.dictionary)
             part = (RollingHash(text).of(at[:-1], at[1:]) % np.uint64(lists)).astype(np.int64) if size else np.zeros(0, np.int64)
             order = np.lexsort((-every, part))
             ends_at = np.searchsorted(part[order], np.arange(lists + 1))
             number = np.empty(size, np.int64)
             number[order[by_rank(np.diff(ends_at))]] = np.arange(size)
-            blobs = [pack(number[index], np.bincount(row, minlength=batch.num_rows), held.astype(np.uint8))]
+            blobs = [pack(number[index], per, held.astype(np.uint8))]
             parts = [TEXT]
             for p, (a, b) in enumerate(zip(ends_at[:-1], ends_at[1:])):
                 if a < b:
@@ -336,8 +387,15 @@ def score_texts(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col:
                 got[int(p)] = unpack(blob)
                 lengths[p] = len(got[int(p)][0])
         ids, c = (np.concatenate([np.zeros(0, np.int64), *(got[p][k] for p in sorted(got))])[by_rank(lengths)] for k in (0, 1))
-        doc, of = np.repeat(np.arange(len(per)), per), c[tokens]
-        sums = [np.bincount(doc, f, len(per)) + end for f, end in ((of > 0, ends > 0), (root.base(of), root.base(np.array(ends))), (np.log10(root.q(of)), np.log10(root.q(np.array(ends)))))]
+        doc = np.repeat(np.arange(len(per), dtype=np.int32), per)
+        of = [f(np.r_[c, ends]) for f in (lambda n: (n > 0).astype(float), root.base, lambda n: np.log10(root.q(n)))]  # of words, then the end
+        sums = [np.full(len(per), f[-1]) for f in of]
+        for a in range(0, len(tokens), SHARE):
+            here, some = doc[a : a + SHARE], tokens[a : a + SHARE]
+            low = here[0]
+            for f, to in zip(of, sums):
+                part = np.bincount(here - low, f[some])
+                to[low : low + len(part)] += part
         order = np.argsort(ids, kind="stable")[np.count_nonzero(ids == 0) :]
         place = np.zeros(len(ids), np.int64)
         place[order] = np.arange(1, len(order) + 1)
@@ -384,38 +442,41 @@ def score_texts(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col:
     def send(batches):
         for batch in batches:
             for blob, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                chunk = Chunk(blob, root)
-                x = chunk.before(depth)
-                at = np.flatnonzero(x[0] > 0)
-                x = [y[at] for y in x]
-                if not len(at):
+                chunk, dealt = Chunk(blob, root, depth), []
+                for at, used, ids in chunk.shares():
+                    on = np.flatnonzero(used)
+                    at, used, ids = at[on], used[on], [y[on] for y in ids]
+                    by = hashes(ids)
+                    to, own = (by[0] % np.uint64(parts)).astype(np.int64), apart(ids, by)
+                    for d, place in enumerate(heavy_places(ids, heavy)):
+                        here = np.flatnonzero(place >= 0)
+                        start, wide = (r[place[here]] for r in ranges[d])
+                        to[here] = (start + ((own[here] >> np.uint64(24)) % wide.astype(np.uint64)).astype(np.int64)) % parts
+                    dealt.append((at.astype(np.int32), used.astype(chunk.back.dtype), to.astype(np.min_scalar_type(parts))))
+                if not sum(len(y[0]) for y in dealt):
                     continue
-                ids = [chunk.ids[y] for y in x]
-                by = hashes(ids)
-                to, own = (by[0] % np.uint64(parts)).astype(np.int64), apart(ids, by)
-                for d, place in enumerate(heavy_places(ids, heavy)):
-                    here = np.flatnonzero(place >= 0)
-                    start, wide = (r[place[here]] for r in ranges[d])
-                    to[here] = (start + ((own[here] >> np.uint64(24)) % wide.astype(np.uint64)).astype(np.int64)) % parts
+                at, used, to = (np.concatenate(y) for y in zip(*dealt))
                 order = np.argsort(to, kind="stable")
-                w = np.where(chunk.ids[chunk.token[chunk.at[at]]] > 0, chunk.token[chunk.at[at]], 0)
-                cuts = np.searchsorted(to[order], np.arange(parts + 1))
+                at, used, to = at[order], used[order], to[order]
+                cuts = np.searchsorted(to, np.arange(parts + 1))
+                del dealt, order, to
                 place, seen_here = np.zeros(len(chunk.ids), np.int64), np.zeros(len(chunk.ids), bool)
                 blobs, filled = [], np.flatnonzero(np.diff(cuts))
                 for p in filled:
-                    i = order[cuts[p] : cuts[p + 1]]
-                    columns = [w[i], *(y[i] for y in x)]
+                    i, u = at[cuts[p] : cuts[p + 1]], used[cuts[p] : cuts[p + 1]]
+                    columns = [chunk.known(i), *(chunk.before(i, d, u) for d in range(1, depth + 1))]
                     seen_here[:] = False
                     for y in columns:
                         seen_here[y] = True
                     words = np.flatnonzero(seen_here)
                     place[words] = np.arange(len(words))
-                    blobs.append(pack(np.diff(chunk.ids[words], prepend=0), chunk.c[words], np.diff(chunk.doc[at[i]], prepend=0), chunk.train[at[i]].astype(np.uint8), *(place[y] for y in columns)))
+                    doc = chunk.doc[i]
+                    blobs.append(pack(np.diff(chunk.ids[words], prepend=0), chunk.c[words], np.diff(doc, prepend=0), chunk.train[doc].astype(np.uint8), *(place[y] for y in columns)))
                 yield pa.record_batch([pa.array(filled), pa.array([name] * len(blobs)), pa.array(blobs, pa.binary())], ["part", "chunk", "blob"])
 
     def grow(group: pa.Table) -> pa.Table:
         names = group.column("chunk").to_numpy()
-        blobs = group.column("blob").to_pylist()
+        blobs = [x.as_buffer() for x in group.column("blob")]
         given = [unpack(x) for x, k in zip(blobs, names) if k == TABLE]
         tables = []
         for d in range(len(heavy)):
@@ -427,27 +488,36 @@ def score_texts(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col:
         names, blobs = names[names != TABLE], [x for x, k in zip(blobs, names) if k != TABLE]
         if not blobs:
             return pa.table({"chunk": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
-        read = []
-        while blobs:
-            gaps, count, steps, flag, *columns = unpack(blobs.pop())
-            ids = np.cumsum(gaps).astype(np.uint32)
-            read.append((np.cumsum(steps).astype(np.uint32), flag.astype(bool), count[columns[0]].astype(np.min_scalar_type(int(count.max()))), *(ids[y] for y in columns)))
-        read.reverse()
-        shares = 1 + sum(len(x[0]) for x in read) // SHARE
-        share, diff = [], [np.zeros(len(x[0])) for x in read]
-        for _, _, _, _, *x in read:
-            x = [y.astype(np.int64) for y in x]
-            share.append(((apart(x, hashes(x)) >> np.uint64(40)) % np.uint64(shares)).astype(np.min_scalar_type(shares)))
+        ends_at = np.cumsum([packed_lengths(x)[3] for x in blobs]).tolist()
+        size = ends_at[-1]
+        shares = 1 + size // SHARE
+        w, *x = columns = [np.empty(size, np.uint32) for _ in range(depth + 1)]
+        c, slot, share = np.empty(size, np.min_scalar_type(n_all)), np.empty(size, np.uint32), np.empty(size, np.min_scalar_type(shares))
+        docs, train, slots = [], [], [0]  # a slot for each document of a chunk
+        for a, b, blob in zip([0, *ends_at], ends_at, blobs):
+            gaps, count, steps, flag, *given = unpack(blob)
+            ids = np.cumsum(gaps)
+            for y, z in zip(columns, given):
+                y[a:b] = ids[z]
+            c[a:b] = count[given[0]]
+            steps[0] += 1
+            slot[a:b] = slots[-1] - 1 + np.cumsum(steps > 0)
+            new = np.flatnonzero(steps)
+            docs.append(steps[new])
+            train.append(flag[new] > 0)
+            slots.append(slots[-1] + len(new))
+            for i in range(a, b, SHARE):
+                older = [y[i : min(b, i + SHARE)].astype(np.int64) for y in x]
+                share[i : i + SHARE][: len(older[0])] = (apart(older, hashes(older)) >> np.uint64(40)) % np.uint64(shares)
+        train, sums = np.concatenate(train), np.zeros(slots[-1])
         for k in range(shares):
-            at = [np.flatnonzero(y == k) for y in share]
-            train, c, w, *x = (np.concatenate([y[j][i] for y, i in zip(read, at)]) for j in range(1, len(read[0])))
-            got = subtree_scores(w.astype(np.int64), [y.astype(np.int64) for y in x], root.q(c), train, limit, heavy, tables)
-            for y, i, z in zip(diff, at, np.split(got, np.cumsum([len(i) for i in at])[:-1])):
-                y[i] = z
+            at = np.flatnonzero(share == k).astype(np.int32)
+            if len(at):
+                np.add.at(sums, slot[at], subtree_scores(w[at], [y[at] for y in x], root.q(c[at]), train[slot[at]], limit, heavy, tables))
         out = []
-        for d, (doc, *_) in zip(diff, read):
-            new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            out.append(pack(np.diff(doc[new].astype(np.int64), prepend=0), np.add.reduceat(d, new)))
+        for steps, a, b in zip(docs, slots, slots[1:]):
+            steps[0] -= 1
+            out.append(pack(steps, sums[a:b]))
         return pa.table({"chunk": pa.array(names), "part": pa.array([group.column("part")[0].as_py()] * len(out)), "blob": pa.array(out, pa.binary())})
 
     sent = chunks.mapInArrow(send, "part long, chunk long, blob binary")

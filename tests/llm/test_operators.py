@@ -8,6 +8,8 @@ import math
 import random
 import re
 import time
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
@@ -175,6 +177,33 @@ def test_the_tree_needs_little_disk(spark, tmp_path, monkeypatch):
     assert 0 < sum(x.stat().st_size for x in tmp_path.rglob("*.parquet")) < 1.5 * sum(len(t) for _, t in rows)
 
 
+def test_the_tree_needs_little_memory(spark, tmp_path, monkeypatch):
+    """The largest peak of numpy's memory in a task, for one chunk of 8 MB and its buckets, of 1.2 million tokens."""
+    rng, traced = np.random.default_rng(8), itertools.count()
+    words = np.array([f"w{i:04d}" for i in range(5000)])
+    rows = [(i, " ".join(words[rng.zipf(1.4, 2000) % 5000])) for i in range(600)]
+
+    def watched(kernel):
+        k = next(traced)
+
+        def run(given):
+            tracemalloc.start()
+            out = kernel(given)
+            out = list(out) if isinstance(out, types.GeneratorType) else out
+            (tmp_path / f"{k}-{kernel.__name__}-{time.time_ns()}").write_text(str(tracemalloc.get_traced_memory()[1]))
+            tracemalloc.stop()
+            return iter(out) if isinstance(out, list) else out
+
+        return run
+
+    docs = spark.createDataFrame(rows, DOC).coalesce(1).localCheckpoint()
+    for owner, name in ((type(docs), "mapInArrow"), (type(docs.groupBy("doc_id")), "applyInArrow")):
+        monkeypatch.setattr(owner, name, lambda self, kernel, schema, *a, f=getattr(owner, name): f(self, watched(kernel), schema, *a))
+    assert score_texts(docs, F.col("doc_id") % 5 == 0).count() == 600
+    peaks = [(x.name.split("-")[1], int(x.read_text()) >> 20) for x in sorted(tmp_path.iterdir())]
+    assert {"cut", "count", "number", "send", "grow", "finish"} <= {k for k, _ in peaks} and max(m for _, m in peaks) < 180, peaks
+
+
 def test_packed_arrays_come_back():
     rng = np.random.default_rng(7)
     arrays = [np.zeros(0, np.int64), np.zeros(5, np.int64), rng.integers(0, 2**40, 1000), rng.integers(0, 256, 99).astype(np.uint8), np.r_[rng.normal(size=100), np.nan, -0.0], np.array([2**62])]
